@@ -23,7 +23,7 @@ RULES: dict[str, str] = {
     "min_words": "n_words < 50",
     "repeat_words": "100 * n_repeat_words > 50 * n_words",
     "symbol_words": "10 * n_symbols > n_words * 3",
-    "dup_lines": "10 * n_dup_lines > 3 * n_lines",
+    "dup_lines": "10 * n_dup_lines > 4 * n_lines",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 16 * n_words",
     "max_words": "n_words > 100000",
@@ -158,7 +158,7 @@ m AS (SELECT p.doc_id, n AS n_words,
   len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
   coalesce(r, 0)::BIGINT AS n_repeat_words FROM p LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT
-  + 4 * (10 * n_symbols > 3 * n_words)::BIGINT + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT
+  + 4 * (10 * n_symbols > 3 * n_words)::BIGINT + 8 * (10 * n_dup_lines > 4 * n_lines)::BIGINT
   + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 16 * n_words)::BIGINT
   + 64 * (n_words > 100000)::BIGINT)::BIGINT AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
