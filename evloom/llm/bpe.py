@@ -17,6 +17,7 @@ import heapq
 import json
 import sys
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -281,7 +282,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     spec = _spec(spark, path)
 
     @F.arrow_udf("array<int>")
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _model(spec)
         for col in batches:
             parts = []
@@ -292,7 +293,6 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
             flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
 
-    run.func.__annotations__ = {}
     return docs.withColumn(out, run(F.col(text)))
 
 
@@ -303,14 +303,13 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> Dat
     spec = _spec(spark, path)
 
     @F.arrow_udf("string")
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _model(spec)
         for col in batches:
             off = col.offsets.to_numpy()
             flat = col.values.to_numpy(zero_copy_only=False).tolist()
             yield pa.array([model.decode(flat[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.string())
 
-    run.func.__annotations__ = {}
     return df.withColumn(out, run(F.col(ids)))
 
 

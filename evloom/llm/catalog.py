@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules, simhash
+from . import bpe, packing, quality_rules, simhash
 
 
 def queries() -> dict:
     return {
         "op2_bpe": bpe.query,
+        "op3_packing": packing.query,
         "op8_simhash": simhash.query,
         "op10_quality_rules": quality_rules.query,
     }
