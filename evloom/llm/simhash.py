@@ -99,14 +99,12 @@ def linked(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int, sma
             todo, rest = [rest[0]], rest[1:]
             while todo and len(rest):
                 x = todo.pop()
-                hit = near(rest, np.full(len(rest), x))
+                hit = near(rest, np.full(len(rest), x, np.uint64))
                 found = rest[hit]
-                a.append(np.full(len(found), x))
+                a.append(np.full(len(found), x, np.uint64))
                 b.append(found)
                 todo += found.tolist()
                 rest = rest[~hit]
-            if not todo and not len(rest):
-                break
     none = np.zeros(0, np.uint64)
     return (np.concatenate(a) if a else none), (np.concatenate(b) if b else none)
 
