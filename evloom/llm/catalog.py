@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality_rules, simhash, suffix_dedup
+from . import bpe, packing, quality_rules, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_bpe": bpe.query,
         "op3_packing": packing.query,
+        "op4_toxicity": toxicity.query,
         "op5_suffix_dedup": suffix_dedup.query,
         "op8_simhash": simhash.query,
         "op10_quality_rules": quality_rules.query,
