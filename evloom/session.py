@@ -60,3 +60,10 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("evloom", os.path.relpath(full, root)))
     spark.sparkContext.addPyFile(target)
     spark.conf.set(_SHIPPED, spark.sparkContext.applicationId)
+
+
+def sliced(batches, rows: int = 512):
+    """Arrow batches in smaller parts: bounds what a Python worker holds at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
