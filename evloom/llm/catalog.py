@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality_rules, simhash, suffix_dedup, toxicity
+from . import bpe, chat_format, packing, quality_rules, simhash, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_chat_format": chat_format.query,
         "op2_bpe": bpe.query,
         "op3_packing": packing.query,
         "op4_toxicity": toxicity.query,
         "op5_suffix_dedup": suffix_dedup.query,
         "op8_simhash": simhash.query,
+        "op9_url_filter": url_filter.query,
         "op10_quality_rules": quality_rules.query,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op9_url_filter": url_filter.SQL,
         "op10_quality_rules": quality_rules.SQL,
     }
