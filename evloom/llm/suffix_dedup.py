@@ -14,8 +14,10 @@ Windows that are equal in all digits are the equal groups; the first of a group
 then smallest start) stays, all bytes of the others go. Groups with more than `split` leaders are
 ordered by aggregation over the cluster instead of inside one task, with the same result.
 
-A fixed-size bit filter (BLOOM_MB) keeps runs with a unique first digit out of the shuffle; it can
-only let too many through, later digits are exact. Texts are processed whole, in segments.
+Bit filters of fixed size (BLOOM_MB) keep runs with a unique first digit out of the shuffle and let
+the leaders' bytes be read from the source again; a filter only ever lets too many through, which
+changes nothing, as later digits are exact. Digits with more than `frequent` runs go through an
+aggregation and a join that Spark splits. Texts are processed whole, in segments.
 
 Defined results: null is an empty text; texts shorter than `depth` bytes are kept; rows that share
 a doc_id, or have none, are separate documents in the order (doc_id, nulls last; then text).
@@ -28,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evloom.session import ship, written
+from evloom.session import discard, ship, sliced, written
 
 DEPTH = 100
 GRAM = 24
 SEGMENT = 1 << 18
-SPLIT = 20_000
-SLICES, SLICE_BITS = 64, 22
+SPLIT = 20_000  # leaders of one digit that are ordered inside one task
+FREQUENT = 200_000  # runs of one digit that meet in one task
+FILTERED = 20_000_000  # leaders up to which their bytes are found by a filter instead of a join
+SLICES, SLICE_BITS = 64, 21
 BLOOM_MB = SLICES * (1 << SLICE_BITS) / 8 / 1e6
 _ODD = 0x9E3779B97F4A7C15 | 1
 _ODD2 = 0xC2B2AE3D27D4EB4F | 1
@@ -119,10 +123,10 @@ def _bytes(x) -> np.ndarray:
 
 def _first_digits(depth: int, gram: int):
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 4096):
             got = [d for t in b.column(0) for d, *_ in runs(_bytes(t), depth, gram, False)]
             h, n = np.unique(np.concatenate(got) if got else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     return run
 
@@ -145,34 +149,48 @@ def _probe(h: np.ndarray, shift: int) -> np.ndarray:
     return ((h >> np.uint64(shift)) & np.uint64((1 << SLICE_BITS) - 1)).astype(np.int64)
 
 
-def _bloom(spark, repeated: DataFrame):
-    """The bit filter of a table of hashes, of fixed size, as a broadcast."""
-    rows = repeated.repartition(SLICES, F.shiftrightunsigned("h", 58)).mapInArrow(_slices, "slice int, bits binary").collect()
-    size = (1 << SLICE_BITS) // 8
-    table = np.zeros((SLICES, size), np.uint8)
+def _bloom(hashes: DataFrame) -> bytes:
+    """The bit filter of a one-column table of hashes: BLOOM_MB at most, whatever the table's size."""
+    rows = hashes.toDF("h").repartition(SLICES, F.shiftrightunsigned("h", 58)).mapInArrow(_slices, "slice int, bits binary").collect()
+    table = np.zeros((SLICES, (1 << SLICE_BITS) // 8), np.uint8)
     for r in rows:
         table[r["slice"]] |= np.frombuffer(r["bits"], np.uint8)
-    return spark.sparkContext.broadcast(table.tobytes())
+    return table.tobytes() if rows else b""
+
+
+def _maybe(table: bytes, h: np.ndarray) -> np.ndarray:
+    """False only for hashes that the filter does not hold."""
+    if not table:
+        return np.zeros(len(h), bool)
+    t = np.frombuffer(table, np.uint8).reshape(SLICES, -1)
+    s, out = (h >> np.uint64(58)).astype(np.int64), np.ones(len(h), bool)
+    for shift in (0, SLICE_BITS):
+        bit = _probe(h, shift)
+        out &= (t[s, bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+    return out
 
 
-def _candidates(depth: int, gram: int, bloom):
-    def run(batches):
-        table = np.frombuffer(bloom.value, np.uint8).reshape(SLICES, -1)
+def _place(k: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return _mix(k.astype(np.uint64) * np.uint64(_ODD) + lo.astype(np.uint64) * np.uint64(_ODD2))
 
-        def maybe(h):
-            s = (h >> np.uint64(58)).astype(np.int64)
-            out = np.ones(len(h), bool)
-            for shift in (0, SLICE_BITS):
-                bit = _probe(h, shift)
-                out &= (table[s, bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
-            return out
 
-        for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
+def _places(batches):
+    for b in batches:
+        x = _place(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], ["h"])
+
+
+def _candidates(depth: int, gram: int, sent, hot: bool):
+    """(_k, text) -> runs whose first digit occurs again: of the very frequent digits, or of the others."""
+
+    def run(batches):
+        usual, frequent = sent.value
+        for b in sliced(batches):
             h, d, k, lo, n = [], [], [], [], []
-            for key, t in zip(keys.tolist(), b.column(1), strict=True):
+            for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 for x, y, at, size in runs(_bytes(t), depth, gram, True):
-                    ok = maybe(x)
+                    ok = _maybe(frequent, x)
+                    ok = ok if hot else _maybe(usual, x) & ~ok
                     h.append(x[ok])
                     d.append(y[ok])
                     lo.append(at[ok])
@@ -185,6 +203,61 @@ def _candidates(depth: int, gram: int, bloom):
     return run
 
 
+def _contexts(depth: int, gram: int, sent):
+    """(_k, text) -> the bytes of the runs that the filter of leaders lets through."""
+
+    def run(batches):
+        table = sent.value
+        for b in sliced(batches):
+            h, k, lo, n, ctx = [], [], [], [], []
+            for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = _bytes(t)
+                for x, _, at, size in runs(raw, depth, gram, False):
+                    ok = _maybe(table, _place(np.full(len(at), key, np.int64), at))
+                    if ok.any():
+                        h.append(x[ok])
+                        lo.append(at[ok])
+                        n.append(size[ok])
+                        k.append(np.full(int(ok.sum()), key, np.int64))
+                        ctx += [raw[p:q].tobytes() for p, q in zip(at[ok].tolist(), (at + size + depth - 1)[ok].tolist(), strict=True)]
+            if h:
+                cols = [np.concatenate(h).view(np.int64), np.concatenate(k), np.concatenate(lo).astype(np.int32), np.concatenate(n).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], pa.array(ctx, pa.binary())], ["h", "k", "lo", "n", "ctx"])
+
+    return run
+
+
+def _by_block(depth: int):
+    """Runs sorted by (h, d, k, lo) -> (h, k, s, e, n): followers (h null) as spans; leaders of open groups with n windows."""
+
+    def digest(h, d, k, lo, n):
+        first_h = np.concatenate(([True], h[1:] != h[:-1]))
+        first = first_h | np.concatenate(([True], d[1:] != d[:-1]))
+        blocks = np.add.reduceat(first.astype(np.int64), np.flatnonzero(first_h))
+        lead = first & (blocks[np.cumsum(first_h) - 1] > 1)
+        pick = ~first | lead
+        e = (lo + n)[pick] + depth - 1
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h[pick], mask=~lead[pick]), pa.array(k[pick]), pa.array(lo[pick].astype(np.int64)), pa.array(e.astype(np.int64)), pa.array(n[pick])], ["h", "k", "s", "e", "n"]
+        )
+
+    def run(batches):
+        held = None
+        for b in batches:
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            if not len(held[0]):
+                continue
+            end = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
+            if end:
+                yield digest(*[x[:end] for x in held])
+                held = [x[end:] for x in held]
+        if held is not None and len(held[0]):
+            yield digest(*held)
+
+    return run
+
+
 def equal_groups(group: np.ndarray, digits) -> np.ndarray:
     """Radix passes: True where an element equals an earlier one of its group in all digits.
 
@@ -215,7 +288,7 @@ def _windows(bytes_: np.ndarray, size: np.ndarray, depth: int) -> tuple[np.ndarr
     return np.repeat(base - (np.cumsum(size) - size), size) + np.arange(size.sum()), owner
 
 
-def _order_leaders(depth: int, most: int = 1_000_000):
+def _order_leaders(depth: int, most: int = 400_000):
     """Rows (h, k, lo, n, ctx) sorted by (h, k, lo) -> spans (k, s, e) of windows that repeat earlier ones."""
     quarter = [(i * depth // 4, (i + 1) * depth // 4) for i in range(4)]
 
@@ -302,32 +375,51 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, extra: tuple[str, ...] =
     return written(df.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("_k", F.monotonically_increasing_id()), "keyed")
 
 
-def repeated_spans(keys_and_texts: DataFrame, depth: int = DEPTH, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
+def _frequent(rows: DataFrame, depth: int) -> DataFrame:
+    """As _by_block, by aggregation and a join that Spark splits: for digits with very many runs."""
+    rows = written(rows, "frequent")
+    blocks = written(rows.groupBy("h", "d").agg(F.min(F.struct("k", "lo")).alias("lead"), F.count("*").alias("many"), F.min("n").alias("n")), "blocks")
+    end = F.expr(f"cast(lo + n + {depth - 1} as long)").alias("e")
+    followers = rows.join(blocks.where("many > 1").select("h", "d", "lead"), ["h", "d"]).where("k <> lead.k or lo <> lead.lo")
+    followers = followers.select(F.lit(None).cast("long").alias("h"), "k", F.col("lo").cast("long").alias("s"), end, "n")
+    open_ = blocks.groupBy("h").agg(F.count("*").alias("nb")).where("nb > 1")
+    leaders = blocks.join(open_, "h").select("h", F.col("lead.k").alias("k"), F.col("lead.lo").alias("lo"), "n")
+    return followers.unionAll(leaders.select("h", "k", F.col("lo").cast("long").alias("s"), end, "n"))
+
+
+def repeated_spans(keys_and_texts: DataFrame, depth: int = DEPTH, gram: int = GRAM, split: int = SPLIT, frequent: int = FREQUENT, filtered: int = FILTERED) -> DataFrame:
     """(_k, text) -> (k, s, e): byte spans to remove; spans of a document may overlap."""
-    df, spark = keys_and_texts, keys_and_texts.sparkSession
+    df, spark = keys_and_texts.select("_k", "text"), keys_and_texts.sparkSession
     ship(spark)
-    digits = df.select("text").mapInArrow(_first_digits(depth, gram), "h long, n int")
-    repeated = digits.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    bloom = _bloom(spark, repeated)
-    rows = written(df.select("_k", "text").mapInArrow(_candidates(depth, gram, bloom), "h long, d long, k long, lo int, n int"), "runs")
-    blocks = rows.groupBy("h", "d").agg(F.min(F.struct("k", "lo")).alias("lead"), F.count("*").alias("many"), F.min("n").alias("n"))
-    blocks = written(blocks, "blocks")
-    followers = (
-        rows.join(blocks.where("many > 1").select("h", "d", "lead"), ["h", "d"])
-        .where("k <> lead.k or lo <> lead.lo")
-        .select("k", F.col("lo").cast("long").alias("s"), F.expr(f"cast(lo + n + {depth - 1} as long)").alias("e"))
-    )
-    open_ = blocks.groupBy("h").agg(F.count("*").alias("nb")).where("nb > 1")
-    leaders = blocks.join(open_, "h").select("h", "nb", F.col("lead.k").alias("k"), F.col("lead.lo").alias("lo"), "n")
-    lists = leaders.groupBy("k").agg(F.collect_list(F.struct("h", "nb", "lo", "n")).alias("_l"))  # as long as its document at most
-    cut = f"transform(_l, x -> struct(x.h, x.nb, x.lo, x.n, substring(_raw, x.lo + 1, x.n + {depth - 1}) as ctx))"
-    texts = df.select("_k", F.col("text").cast("binary").alias("_raw")).join(lists, F.col("_k") == F.col("k"))
-    context = written(texts.select("k", F.explode(F.expr(cut)).alias("_x")).select("_x.h", "_x.nb", "k", "_x.lo", "_x.n", "_x.ctx"), "context")
-    cols = ["h", "k", "lo", "n", "ctx"]
-    few = context.where(f"nb <= {split}").select(*cols).repartition("h").sortWithinPartitions("h", "k", "lo")
-    spans = followers.unionAll(few.mapInArrow(_order_leaders(depth), "k long, s long, e long"))
-    if context.where(f"nb > {split}").limit(1).count():
-        each = written(context.where(f"nb > {split}").select(*cols).mapInArrow(_all_windows(depth), "w1 long, w2 long, k long, s long"), "windows")
+    digits = df.select("text").mapInArrow(_first_digits(depth, gram), "h long, n long")
+    repeated = written(digits.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "repeated")
+    hot = _bloom(repeated.where(f"n > {frequent}").select("h"))
+    usual = _bloom(repeated.select("h"))
+    discard(repeated)
+    sent = spark.sparkContext.broadcast((usual, hot))
+    kind = "h long, d long, k long, lo int, n int"
+    rows = df.mapInArrow(_candidates(depth, gram, sent, False), kind).repartition("h").sortWithinPartitions("h", "d", "k", "lo")
+    sorted_ = rows.mapInArrow(_by_block(depth), "h long, k long, s long, e long, n int")
+    if hot:
+        sorted_ = sorted_.unionAll(_frequent(df.mapInArrow(_candidates(depth, gram, sent, True), kind), depth))
+    sorted_ = written(sorted_, "sorted")
+    followers = sorted_.where("h is null").select("k", "s", "e")
+    leaders = sorted_.where("h is not null").select("h", "k", F.col("s").cast("int").alias("lo"), "n")
+    if leaders.count() <= filtered:  # few enough for a filter of fixed size: texts are read again, not shuffled
+        table = spark.sparkContext.broadcast(_bloom(leaders.select("k", "lo").mapInArrow(_places, "h long")))
+        context = df.mapInArrow(_contexts(depth, gram, table), "h long, k long, lo int, n int, ctx binary")
+    else:
+        lists = leaders.groupBy("k").agg(F.collect_list(F.struct("h", "lo", "n")).alias("_l"))  # as long as its document at most
+        cut = f"transform(_l, x -> struct(x.h, _k as k, x.lo, x.n, substring(_raw, x.lo + 1, x.n + {depth - 1}) as ctx))"
+        texts = df.select("_k", F.col("text").cast("binary").alias("_raw")).join(lists, F.col("_k") == F.col("k")).drop("k")
+        context = texts.select(F.explode(F.expr(cut)).alias("_x")).select("_x.*")
+    big = written(leaders.groupBy("h").count().where(f"count > {split}").select("h"), "big")
+    any_big = big.limit(1).count() > 0
+    few = context.join(big, "h", "left_anti") if any_big else context
+    ordered = few.repartition("h").sortWithinPartitions("h", "k", "lo").mapInArrow(_order_leaders(depth), "k long, s long, e long")
+    spans = followers.unionAll(ordered)
+    if any_big:
+        each = written(context.join(big, "h", "left_semi").mapInArrow(_all_windows(depth), "w1 long, w2 long, k long, s long"), "windows")
         first = each.groupBy("w1", "w2").agg(F.min(F.struct("k", "s")).alias("lead"), F.count("*").alias("many")).where("many > 1")
         again = each.join(first, ["w1", "w2"]).where("k <> lead.k or s <> lead.s")
         spans = spans.unionAll(again.select("k", "s", (F.col("s") + depth).alias("e")))
@@ -364,10 +456,10 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)]], ["_k", *rows])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """One row per document: _k, doc_id, n_bytes, n_removed, spans (removed bytes) and kept (the bytes that stay)."""
     df = keyed(docs, id_col, text_col)
-    spans = repeated_spans(df, depth, gram, split)
+    spans = repeated_spans(df, **parameters)
     lists = spans.groupBy("k").agg(F.collect_set(F.struct("s", "e")).alias("_s"))
     joined = df.join(lists, F.col("_k") == F.col("k"), "left").select("_k", "text", "_s", "doc_id")
     return _cut(joined)
@@ -375,7 +467,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
 
 def _cut(joined: DataFrame) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             for out in _kept([b]):
                 yield pa.RecordBatch.from_arrays([out.column(0), b.column(3), *out.columns[1:]], ["_k", "doc_id", *out.schema.names[1:]])
 
@@ -387,3 +479,28 @@ def query(spark, sf_dir: str) -> DataFrame:
     return dedup(docs).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents without their repeated passages (a character cut in half goes whole), n_chars renewed;
+    documents of which nothing but white space is left go."""
+    cols = docs.columns
+    df = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in cols if c not in ("text",)]).alias("_rest"))
+    df = keyed(df, "doc_id", "text", ("_rest",))
+    lists = repeated_spans(df).groupBy("k").agg(F.collect_set(F.struct("s", "e")).alias("_s"))
+    joined = df.join(lists, F.col("_k") == F.col("k"), "left").select("_rest", "text", "_s")
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for t, s in zip(texts, spans, strict=True):
+            raw, at, parts = t.as_py().encode("utf-8", "surrogatepass"), 0, []
+            for a, b in merge([(x["s"], x["e"]) for x in s.as_py() or ()]):
+                parts.append(raw[at:a])
+                at = b
+            out.append(b"".join([*parts, raw[at:]]).decode("utf-8", "ignore"))
+        return pa.array(out, pa.string())
+
+    changed = joined.where("_s is not null").select("_rest", cut("text", "_s").alias("text"))
+    left = changed.unionAll(joined.where("_s is null").select("_rest", "text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.select(*[F.col("text") if c == "text" else F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"_rest.{c}") for c in cols])
