@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, packing, quality_rules, simhash, suffix_dedup, toxicity, url_filter
+from . import bpe, chat_format, embedding_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op3_packing": packing.query,
         "op4_toxicity": toxicity.query,
         "op5_suffix_dedup": suffix_dedup.query,
+        "op6_embedding_dedup": embedding_dedup.query,
+        "op7_quality_classifier": quality_classifier.query,
         "op8_simhash": simhash.query,
         "op9_url_filter": url_filter.query,
         "op10_quality_rules": quality_rules.query,
@@ -20,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op6_embedding_dedup": embedding_dedup.SQL,
         "op9_url_filter": url_filter.SQL,
         "op10_quality_rules": quality_rules.SQL,
     }

@@ -176,3 +176,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of each group (smallest doc_id, then smallest text), with all its columns."""
+    prints = written(fingerprints(docs), "prints")
+    comp = near_components(prints)
+    named = prints.join(comp, "fp").select(F.col("doc_id").alias("_id"), "component_id").distinct()
+    keep = named.where("_id <=> component_id").select("_id")
+    first = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    again = first.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if not again:
+        return first
+    one = first.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_d"))
+    return one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_d.{c}") for c in docs.columns])
