@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED = "spark.evloom.shipped"
 
@@ -67,3 +68,12 @@ def sliced(batches, rows: int = 512):
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+def where_once(df: DataFrame, condition) -> DataFrame:
+    """df.where(condition), kept above the projections that make its columns.
+
+    Pushed below them, a filter repeats their expressions once per mention, which for nested
+    measurements multiplies the work; a column without a fixed value holds it in place.
+    """
+    return df.withColumn("_pin", F.monotonically_increasing_id()).where(condition & (F.col("_pin") >= 0)).drop("_pin")
