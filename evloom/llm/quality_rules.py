@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evloom.session import where_once
+
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -140,7 +142,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     cols = docs.columns
     tagged = docs.select(F.struct(*cols).alias("_doc"), F.col("text").alias("_text"))
     led = ledger(measure(tagged, "_text", ("_doc",)))
-    return led.where(verdict("v1")).select("_doc.*")
+    return where_once(led, verdict("v1")).select("_doc.*")
 
 
 SQL = """

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evloom.session import discard, ship, sliced, written
+from evloom.session import discard, ship, sliced, where_once, written
 
 DEPTH = 100
 GRAM = 24
@@ -483,7 +483,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without their repeated passages (a character cut in half goes whole), n_chars renewed;
-    documents of which nothing but white space is left go."""
+    documents that lost something and have nothing but white space left go."""
     cols = docs.columns
     df = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in cols if c not in ("text",)]).alias("_rest"))
     df = keyed(df, "doc_id", "text", ("_rest",))
@@ -502,5 +502,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         return pa.array(out, pa.string())
 
     changed = joined.where("_s is not null").select("_rest", cut("text", "_s").alias("text"))
-    left = changed.unionAll(joined.where("_s is null").select("_rest", "text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = where_once(changed, F.col("text").rlike(r"[^\x20\x09-\x0D]")).unionAll(joined.where("_s is null").select("_rest", "text"))
     return left.select(*[F.col("text") if c == "text" else F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"_rest.{c}") for c in cols])

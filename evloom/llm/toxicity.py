@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evloom.session import ship, written
+from evloom.session import ship, where_once, written
 
 LABELLED, UNLABELLED = 30_000, 10_000
 CANDIDATES, FEATURES, VOTERS = 20_000, 1024, 192
@@ -213,4 +213,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that are not predicted toxic, with all their columns."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("_text"))
-    return score(whole, model, "_text").where("predicted = 0").select("_doc.*")
+    return where_once(score(whole, model, "_text"), F.col("predicted") == 0).select("_doc.*")
