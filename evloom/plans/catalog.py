@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from . import q_measure, q_temporal, q_text  # noqa: F401  (they register their queries)
+from .registry import QUERIES, SQL
+
 FLAGSHIP = "evidence_near_batch"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
