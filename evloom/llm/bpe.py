@@ -65,6 +65,15 @@ def splitter(pattern: str, fast: str):
     return lambda text: full(text) if odd(text) else quick(text)
 
 
+def recall(new: list[str], held: dict, older: dict) -> list[str]:
+    """Moves words that are remembered from before into `held`; returns the others."""
+    if not older:
+        return new
+    known = [w for w in new if w in older]
+    held.update({w: older[w] for w in known})
+    return [w for w in new if w not in older]
+
+
 class PairRanks:
     """(left id, right id) -> rank, as an open-addressing table probed by whole arrays."""
 
@@ -133,19 +142,19 @@ class ByteBPE:
         self.split, self.finditer = splitter(PATTERN, FAST), regex.compile(PATTERN).finditer
         self.late = late_letters()
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.held: dict[str, bytes | None] = {}
+        self.held: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def words_to_ids(self, words: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(words)
+    def words_to_ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as the bytes of an int32 array."""
+        out: list[bytes] = [b""] * len(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         for lo, hi in ((1, 4), (5, 8), (9, 12), (13, 18), (19, 32), (33, 64), (65, _LONG)):
             rows = np.flatnonzero((sizes >= lo) & (sizes <= hi))
             for at in range(0, len(rows), 16384):
                 self._matrix(words, rows[at : at + 16384], hi, out)
         for i in np.flatnonzero(sizes > _LONG):
-            out[i] = self._heap(words[i])
-        for i in np.flatnonzero(sizes == 0):
-            out[i] = np.zeros(0, np.int32)
+            out[i] = self._heap(words[i]).tobytes()
         return out
 
     def _matrix(self, words, rows, width, out) -> None:
@@ -166,8 +175,10 @@ class ByteBPE:
             best = rank[r, pos]
             done = best == NO_RANK
             if done.any():
-                for k in np.flatnonzero(done):
-                    out[left[k]] = ids[k, : size[k]].copy()
+                raw, at = ids[done].tobytes(), 0
+                for k, n in zip(left[done].tolist(), (size[done] * 4).tolist(), strict=True):
+                    out[k] = raw[at : at + n]
+                    at += 4 * width
                 go = ~done
                 left, ids, rank, size, pos, best = left[go], ids[go], rank[go], size[go], pos[go], best[go]
                 if not len(left):
@@ -241,11 +252,11 @@ class ByteBPE:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.held) > WORDS_HELD:
-            self.held.clear()
+            self.older, self.held = self.held, {}
         split = [self._pieces(t) for t in texts]
         held = self.held
         for again in (False, True):
-            new = [w for w in set(itertools.chain.from_iterable(split)) - held.keys() if w.__class__ is str]
+            new = recall([w for w in set(itertools.chain.from_iterable(split)).difference(held) if w.__class__ is str], held, self.older)
             if new:
                 late = self.late
                 odd = {c for c in set("".join(new)) if ord(c) in late}
@@ -253,11 +264,12 @@ class ByteBPE:
                 if bad and not again:
                     split = [self._careful(t) if any(w in bad for w in ws) else ws for t, ws in zip(texts, split, strict=True)]
                     continue
-                for w, ids in zip(new, self.words_to_ids([w.encode() for w in new]), strict=True):
-                    if w not in bad:
-                        held[w] = ids.tobytes()
-                    else:  # met again it must be split with care again
-                        split = [[(x if x != w else ids.tobytes()) for x in ws] if w in ws else ws for ws in split]
+                ids = self.words_to_ids([w.encode() for w in new])
+                held.update(zip(new, ids, strict=True))
+                for w, x in zip(new, ids, strict=True) if bad else ():
+                    if w in bad:  # met again it must be split with care again
+                        del held[w]
+                        split = [[(y if y != w else x) for y in ws] if w in ws else ws for ws in split]
             break
         out = []
         for ws in split:

@@ -13,33 +13,36 @@ documents; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import os
 import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evloom.session import ship, written
 
+from .bpe import ByteBPE, recall, splitter
+
 LENGTH = 2048
 UNIT = 8
 CLOSING_ID = 1
 BLOCK_ROWS = 100_000
 WORDS_HELD = 300_000
 # The splitting pattern of this tokenizer family, as published in its file.
+FAST = "[{L}]+|[{N}]|'(?:s|t|re|ve|m|ll|d)|[^{S}{L}{N}]+"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordIds:
-    """Ids of whole texts by the tokenizers library, asked once per word.
+    """Ids of whole texts as the tokenizers library gives them, worked out once per word.
 
     The file's normalizer (NFC, white space, lower case) and pattern are applied here; each distinct
-    word is encoded by the library and remembered (bounded). Texts with added tokens, or with code
-    points younger than this Python's Unicode table, go to the library whole.
+    word is encoded in rank-array batches and remembered (bounded). Texts with added tokens, or with
+    code points younger than this Python's Unicode table, go to the library whole.
     """
 
     def __init__(self, spec: str):
@@ -47,16 +50,17 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
-        self.split = regex.compile(PATTERN)
+        self.split, self.bpe = splitter(PATTERN, FAST), ByteBPE(spec)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.held: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if len(self.held) > WORDS_HELD:
-            self.held.clear()
+            self.older, self.held = self.held, {}
         held, split = self.held, []
         for t in texts:
             if any(a in t for a in self.added):
@@ -64,12 +68,13 @@ class WordIds:
                 continue
             if not t.isascii():
                 t = unicodedata.normalize("NFC", t).replace("Σ", "σ")  # the library lower-cases letter by letter
-            split.append(self.split.findall(t.lower()))
-        new = list({w for ws in split if ws for w in ws if w not in held})
+            split.append(self.split(t.lower()))
+        new = recall(list(set(itertools.chain.from_iterable(ws for ws in split if ws)).difference(held)), held, self.older)
         if new:
+            held.update(zip(new, self.bpe.words_to_ids([w.encode() for w in new]), strict=True))
             odd = {c for c in set("".join(new)) if unicodedata.category(c) == "Cn"}
-            for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                held[w] = None if odd and not odd.isdisjoint(w) else np.array(e.ids, np.int32).tobytes()
+            if odd:
+                held.update((w, None) for w in new if not odd.isdisjoint(w))
         out = []
         for t, ws in zip(texts, split, strict=True):
             try:
