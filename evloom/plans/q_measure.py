@@ -1,0 +1,198 @@
+"""Queries over ordered measurements."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from evloom.functions import scalars
+from evloom.operators import folds, measure
+
+from . import views
+from .registry import query
+from .views import FR, PT, SG
+
+GAP = 259200.0
+
+
+@query("pointer_normalized", f"WITH {PT} SELECT video_id, seq, x / 1000.0::DOUBLE AS nx, y / 500.0::DOUBLE AS ny FROM pt")
+def pointer_normalized(spark, sf_dir):
+    pt = views.pointer(spark, sf_dir)
+    return pt.select("video_id", "seq", scalars.normalized("x", "frame_width").alias("nx"), scalars.normalized("y", "frame_height").alias("ny"))
+
+
+@query("track_confidence", f"WITH {PT} SELECT video_id, count(*) FILTER (WHERE status = 'detected') / count(*)::DOUBLE AS detected FROM pt GROUP BY 1")
+def track_confidence(spark, sf_dir):
+    pt = views.pointer(spark, sf_dir)
+    return pt.groupBy("video_id").agg((F.sum(F.when(F.col("status") == "detected", 1).otherwise(0)) / F.count("*")).alias("detected"))
+
+
+_IV = f"""o AS (SELECT *, lead(ts) OVER w AS ts2, lead(status) OVER w AS st2, lead(x) OVER w AS x2, lead(y) OVER w AS y2, row_number() OVER w - 1 AS i FROM pt WINDOW w AS (PARTITION BY video_id ORDER BY ts, seq)),
+iv AS (SELECT video_id, i, ts AS start_sec, ts2 AS end_sec, x, y, x2, y2, CASE WHEN ts2 <= ts THEN 'zero_elapsed_time' WHEN ts2 - ts > {GAP} THEN 'sampling_gap'
+  WHEN x IS NULL OR x2 IS NULL THEN 'pointer_not_observed' WHEN status <> 'detected' OR st2 <> 'detected' THEN 'ambiguous_position'
+  WHEN sqrt(1.0::DOUBLE * (x2 - x) * (x2 - x) + 1.0::DOUBLE * (y2 - y) * (y2 - y)) / sqrt(1250000.0::DOUBLE) < 0.03 THEN 'displacement_within_jitter' ELSE 'moving' END AS basis FROM o WHERE ts2 IS NOT NULL)"""
+
+
+@query("cursor_intervals", f"WITH {PT}, {_IV} SELECT video_id, i, start_sec, end_sec, basis FROM iv")
+def cursor_intervals(spark, sf_dir):
+    return measure.cursor_intervals(views.pointer(spark, sf_dir), GAP).select("video_id", "i", "start_sec", "end_sec", "basis")
+
+
+@query(
+    "cursor_segments",
+    f"""WITH {PT}, {_IV}, n AS (SELECT *, CASE WHEN lag(basis) OVER (PARTITION BY video_id ORDER BY i) = basis THEN 0 ELSE 1 END AS new FROM iv),
+g AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY i) AS island FROM n)
+SELECT video_id, island::BIGINT AS island, min(start_sec) AS start_sec, max(end_sec) AS end_sec, any_value(basis) AS basis, count(*) AS intervals,
+CASE WHEN any_value(basis) = 'moving' THEN 'moving' ELSE 'uncertain' END AS motion_state,
+CASE WHEN any_value(basis) = 'moving' THEN (arg_max(x2, i) - arg_min(x, i))::BIGINT END AS dx, CASE WHEN any_value(basis) = 'moving' THEN (arg_max(y2, i) - arg_min(y, i))::BIGINT END AS dy FROM g GROUP BY video_id, island""",
+)
+def cursor_segments(spark, sf_dir):
+    s = measure.cursor_segments(views.pointer(spark, sf_dir), GAP)
+    moving = F.col("motion_state") == "moving"
+    return s.select(
+        "video_id", F.col("island").cast("long").alias("island"), "start_sec", "end_sec", "basis", "intervals", "motion_state",
+        F.when(moving, (F.col("x1") - F.col("x0")).cast("long")).alias("dx"), F.when(moving, (F.col("y1") - F.col("y0")).cast("long")).alias("dy"),
+    )
+
+
+_PAIR = "pr AS (SELECT video_id, seq, ts AS later, lag(ts) OVER w AS earlier, px, lag(px) OVER w AS q FROM fr WINDOW w AS (PARTITION BY video_id ORDER BY ts, seq))"
+_MAG = "mg AS (SELECT *, list_sum(list_transform(list_zip(px, q), lambda z: CASE WHEN abs(z[1] - z[2]) > 0.3 THEN 1 ELSE 0 END)) / 64.0::DOUBLE AS magnitude FROM pr WHERE q IS NOT NULL)"
+
+
+@query(
+    "frame_pair_change",
+    f"""WITH {FR}, {_PAIR}, {_MAG} SELECT video_id, seq, earlier, later, magnitude, CASE WHEN magnitude >= 0.08 THEN 'detected' ELSE 'not_detected' END AS status,
+least(1.0::DOUBLE, abs(magnitude - 0.08::DOUBLE) / 0.08::DOUBLE) AS confidence FROM mg""",
+)
+def frame_pair_change(spark, sf_dir):
+    return measure.frame_changes(views.frames(spark, sf_dir), above=0.3)
+
+
+@query(
+    "change_sweep",
+    f"""WITH {FR}, {_PAIR}, {_MAG}, t(threshold) AS (VALUES (0.02::DOUBLE), (0.05::DOUBLE), (0.08::DOUBLE), (0.12::DOUBLE)) SELECT threshold, count(*) FILTER (WHERE magnitude >= threshold) AS detected, count(*) AS pairs FROM mg CROSS JOIN t GROUP BY threshold""",
+)
+def change_sweep(spark, sf_dir):
+    ch = measure.frame_changes(views.frames(spark, sf_dir), above=0.3)
+    steps = F.array(*[F.lit(x) for x in (0.02, 0.05, 0.08, 0.12)])
+    return ch.select("magnitude", F.explode(steps).alias("threshold")).groupBy("threshold").agg(F.sum(F.when(F.col("magnitude") >= F.col("threshold"), 1).otherwise(0)).alias("detected"), F.count("*").alias("pairs"))
+
+
+@query("thumbnail_mad", f"WITH {FR}, {_PAIR} SELECT video_id, seq, CAST(floor(list_sum(list_transform(list_zip(px, q), lambda z: abs(z[1] - z[2]))) / 64 * 1e6 + 0.5) AS BIGINT) AS mad_micro FROM pr WHERE q IS NOT NULL")
+def thumbnail_mad(spark, sf_dir):
+    w = Window.partitionBy("video_id").orderBy("ts", "seq")
+    fr = views.frames(spark, sf_dir).withColumn("q", F.lag("px").over(w)).where("q is not null")
+    return fr.select("video_id", "seq", F.expr(f"cast(floor({measure.thumbnail_mad('px', 'q')} * 1e6D + 0.5D) as bigint)").alias("mad_micro"))
+
+
+@query(
+    "keyframe_dedupe",
+    f"""WITH RECURSIVE {FR}, o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY ts, seq) AS i FROM fr),
+k AS (SELECT video_id, i, seq, ts, px, px AS last, true AS kept FROM o WHERE i = 1 UNION ALL
+SELECT o.video_id, o.i, o.seq, o.ts, o.px, CASE WHEN d > 0.14 THEN o.px ELSE k.last END, d > 0.14 FROM k JOIN o ON o.video_id = k.video_id AND o.i = k.i + 1,
+  LATERAL (SELECT list_sum(list_transform(list_zip(o.px, k.last), lambda z: abs(z[1] - z[2]))) / 64.0::DOUBLE AS d))
+SELECT video_id, seq, ts FROM k WHERE kept""",
+)
+def keyframe_dedupe(spark, sf_dir):
+    return folds.keyframe_dedupe(views.frames(spark, sf_dir), 0.14)
+
+
+@query(
+    "dhash_hamming",
+    f"""WITH {FR}, h AS (SELECT video_id, seq, ts, list_sum(list_transform(range(0, 56), lambda i: CASE WHEN px[(i // 7) * 8 + i % 7 + 1] > px[(i // 7) * 8 + i % 7 + 2] THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS sig FROM fr),
+p AS (SELECT *, lag(sig) OVER (PARTITION BY video_id ORDER BY ts, seq) AS prev FROM h) SELECT video_id, seq, sig, bit_count(xor(sig, prev))::BIGINT AS distance FROM p WHERE prev IS NOT NULL""",
+)
+def dhash_hamming(spark, sf_dir):
+    fr = views.frames(spark, sf_dir).withColumn("sig", F.expr(SIGNATURE))
+    fr = fr.withColumn("prev", F.lag("sig").over(Window.partitionBy("video_id").orderBy("ts", "seq"))).where("prev is not null")
+    return fr.select("video_id", "seq", "sig", F.expr("cast(bit_count(sig ^ prev) as bigint)").alias("distance"))
+
+
+# 7 comparisons of neighbours in each of 8 rows, low bit first
+SIGNATURE = "aggregate(sequence(0, 55), 0L, (s, i) -> s | if(px[(i div 7) * 8 + i % 7] > px[(i div 7) * 8 + i % 7 + 1], shiftleft(1L, i), 0L))"
+
+
+@query("bundle_greedy")
+def bundle_greedy(spark, sf_dir):
+    fr = views.frames(spark, sf_dir)
+    c = fr.select("video_id", "seq", F.expr("cast(seq % 97 as bigint) * 1000000 + seq").alias("rank"), F.expr(SIGNATURE).alias("signature"), F.expr("aggregate(px, 0D, (a, x) -> a + x) / 64").alias("bright"))
+    return folds.bundle(c, most=12, distance=16, brightness=4.0)
+
+
+@query(
+    "keyframe_union",
+    f"WITH {FR}, s AS (SELECT video_id, ts FROM fr WHERE seq % 5 = 0 UNION SELECT video_id, floor(ts / 60) * 60.0::DOUBLE FROM fr UNION SELECT video_id, 0.0::DOUBLE FROM fr) SELECT video_id, ts, row_number() OVER (PARTITION BY video_id ORDER BY ts) - 1 AS pos FROM s",
+)
+def keyframe_union(spark, sf_dir):
+    """Scene starts, a uniform grid and zero, sorted."""
+    fr = views.frames(spark, sf_dir)
+    s = fr.where("seq % 5 = 0").select("video_id", "ts").unionAll(fr.select("video_id", F.expr("floor(ts / 60) * 60.0D"))).unionAll(fr.select("video_id", F.lit(0.0))).distinct()
+    return s.withColumn("pos", F.row_number().over(Window.partitionBy("video_id").orderBy("ts")).cast("long") - 1)
+
+
+_VD = "vd AS (SELECT video_id, max(end_sec) AS duration FROM sg GROUP BY 1)"
+
+
+@query(
+    "sample_grid",
+    f"""WITH {SG}, {_VD}, st AS (SELECT *, greatest(2.0::DOUBLE, duration / 18) AS step FROM vd)
+SELECT video_id, duration, i::BIGINT AS i, i * step AS ts FROM st, LATERAL (SELECT unnest(range(0, CAST(floor(duration / step + 1e-9) AS BIGINT) + 1)) AS i)""",
+)
+def sample_grid(spark, sf_dir):
+    vd = views.segments(spark, sf_dir).groupBy("video_id").agg(F.max("end_sec").alias("duration"))
+    return measure.sample_grid(vd, 2.0, 20).withColumn("i", F.col("i").cast("long"))
+
+
+@query(
+    "even_spread",
+    f"""WITH {FR}, o AS (SELECT video_id, seq, row_number() OVER (PARTITION BY video_id ORDER BY ts, seq) - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n FROM fr),
+j AS (SELECT DISTINCT video_id, (2 * k * (n - 1) + 19) // 38 AS i FROM (SELECT DISTINCT video_id, n FROM o), range(0, 20) r(k))
+SELECT o.video_id, seq FROM o LEFT JOIN j ON o.video_id = j.video_id AND o.i = j.i WHERE n <= 20 OR j.i IS NOT NULL""",
+)
+def even_spread(spark, sf_dir):
+    return measure.even_spread(views.frames(spark, sf_dir).drop("px"), 20).select("video_id", "seq")
+
+
+@query("clamp_segments", f"WITH {SG}, c AS (SELECT video_id, seg_no, greatest(0.0::DOUBLE, start_sec) AS start_sec, least(end_sec, 20.0::DOUBLE) AS end_sec FROM sg) SELECT * FROM c WHERE start_sec < 20 AND end_sec > start_sec")
+def clamp_segments(spark, sf_dir):
+    sg = views.segments(spark, sf_dir).withColumn("duration", F.lit(20.0))
+    return measure.clamp_segments(sg).select("video_id", "seg_no", "start_sec", "end_sec")
+
+
+@query(
+    "anchor_tolerance",
+    f"""WITH {FR}, g AS (SELECT video_id, ts - lag(ts) OVER (PARTITION BY video_id ORDER BY ts) AS gap FROM (SELECT DISTINCT video_id, ts FROM fr)),
+l AS (SELECT video_id, list_sort(list(gap) FILTER (WHERE gap IS NOT NULL)) AS g FROM g GROUP BY 1) SELECT video_id, greatest(1.0::DOUBLE, coalesce(g[len(g) // 2 + 1] / 2, 1.0::DOUBLE)) AS tolerance FROM l""",
+)
+def anchor_tolerance(spark, sf_dir):
+    return measure.anchor_tolerance(views.frames(spark, sf_dir))
+
+
+_SIZE = "p_partkey % 1000 + 2"
+
+
+@query(
+    "crop_plan",
+    """WITH a AS (SELECT p_partkey, (p_partkey % 1000 + 2)::INT AS size, (p_partkey % 7) / 10.0::DOUBLE AS lo, (p_partkey % 7) / 10.0::DOUBLE + 0.3 AS hi FROM part),
+b AS (SELECT *, CAST(floor(round(lo * size, 6)) AS INT) AS f, least(size, CAST(ceil(round(hi * size, 6)) AS INT)) AS e FROM a),
+c AS (SELECT *, f - f % 2 AS st, e - (f - f % 2) + (e - (f - f % 2)) % 2 AS n0 FROM b),
+d AS (SELECT *, greatest(2, CASE WHEN st + n0 > size THEN n0 - 2 ELSE n0 END) AS n FROM c)
+SELECT p_partkey, size, CASE WHEN st + n > size THEN (size - n) - (size - n) % 2 ELSE st END AS start, n AS length, greatest(1, CAST(floor((n * 64 * 2 + size) / (2 * size)::DOUBLE) AS INT)) AS height FROM d""",
+)
+def crop_plan(spark, sf_dir):
+    p = views.table(spark, sf_dir, "part").select("p_partkey", F.expr(f"cast({_SIZE} as int)").alias("size"), F.expr("(p_partkey % 7) / 10.0D").alias("lo"))
+    p = p.withColumn("hi", F.expr("lo + 0.3D"))
+    start, length = scalars.even_span("lo", "hi", "size")
+    p = p.withColumn("start", start).withColumn("length", length)
+    return p.withColumn("height", scalars.scaled_height("size", "length", "64")).select("p_partkey", "size", "start", "length", "height")
+
+
+@query(
+    "transcript_chunks",
+    f"""WITH RECURSIVE {SG}, o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seg_no) AS i FROM sg WHERE regexp_matches(text, '\\S')),
+k AS (SELECT video_id, i, seg_no, start_sec AS chunk_start, end_sec, 0::BIGINT AS chunk FROM o WHERE i = 1 UNION ALL
+SELECT o.video_id, o.i, o.seg_no, CASE WHEN k.end_sec - k.chunk_start >= 20 THEN o.start_sec ELSE k.chunk_start END, o.end_sec, CASE WHEN k.end_sec - k.chunk_start >= 20 THEN k.chunk + 1 ELSE k.chunk END
+FROM k JOIN o ON o.video_id = k.video_id AND o.i = k.i + 1) SELECT video_id, seg_no, chunk, chunk_start FROM k""",
+)
+def transcript_chunks(spark, sf_dir):
+    return folds.transcript_chunks(views.segments(spark, sf_dir))
