@@ -1,0 +1,329 @@
+"""Queries over text: topics, cues, claims, packages, names and urls."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from evloom.functions import scalars
+from evloom.operators import contracts, correlate, knowledge, synthesis, temporal
+
+from . import views
+from .registry import query
+from .views import EV, FR, PT, SG, SP
+
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in knowledge.STOPWORDS)
+
+
+def _topics_sql(per: str) -> str:
+    p = f"{per}, " if per else ""
+    over = f"PARTITION BY {per} " if per else ""
+    return f"""WITH w AS (SELECT {p}doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS pos FROM (SELECT *, regexp_extract_all(text, '[A-Za-z][A-Za-z''-]+') AS l FROM documents)),
+c AS (SELECT {p}lower(x) AS w, count(*) AS n, min({{'d': doc_id, 'p': pos}}) AS f FROM w WHERE length(x) >= 4 AND lower(x) NOT IN ({_STOP}) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER ({over}ORDER BY n DESC, f) AS r FROM c)
+SELECT {p}upper(w[1]) || w[2:] AS topic, n, r - 1 AS pos FROM r WHERE r <= 8 AND n >= 2"""
+
+
+@query("topics", _topics_sql(""))
+def topics(spark, sf_dir):
+    return knowledge.topics(views.table(spark, sf_dir, "documents"), order="doc_id")
+
+
+@query("topics_per_source", _topics_sql("source"))
+def topics_per_source(spark, sf_dir):
+    return knowledge.topics(views.table(spark, sf_dir, "documents"), ("source",), order="doc_id")
+
+
+CUE_TOKENS = (("warning", ("warning", "nicht ", "pas ")), ("procedure", ("then, ", "step ", "en la ")), ("definition", ("is the ", "est ", "ist ")))
+
+
+def _cue_sql(cues) -> str:
+    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{p}')" for p in ps) + f" THEN '{k}'" for k, ps in cues) + " END"
+
+
+@query(
+    "cue_lessons",
+    f"""WITH {SG}, k AS (SELECT video_id, seg_no, start_sec, text, {_cue_sql(CUE_TOKENS)} AS kind FROM (SELECT * EXCLUDE (text), trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS text FROM sg) WHERE text <> ''),
+f AS (SELECT * FROM k WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY video_id, text ORDER BY seg_no) = 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seg_no) - 1 AS pos FROM f) SELECT video_id, seg_no, start_sec, kind, pos, 0.4::DOUBLE AS confidence FROM p WHERE pos < 15""",
+)
+def cue_lessons(spark, sf_dir):
+    return knowledge.lessons(views.segments(spark, sf_dir), CUE_TOKENS).select("video_id", "seg_no", "start_sec", "kind", "pos", "confidence")
+
+
+@query(
+    "stage_coverage",
+    f"""WITH {EV}, a AS (SELECT video_id, kind FROM ev WHERE seq % 3 = 0), v AS (SELECT DISTINCT video_id FROM ev), s(k) AS (VALUES ('frame'), ('pointer'), ('transcript'), ('vision'), ('visual_change'))
+SELECT v.video_id, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT DISTINCT kind AS k FROM a WHERE a.video_id = v.video_id)) AS available,
+(SELECT string_agg(k, ',' ORDER BY k) FROM s WHERE k NOT IN (SELECT kind FROM a WHERE a.video_id = v.video_id)) AS unavailable FROM v""",
+)
+def stage_coverage(spark, sf_dir):
+    ev = views.evidence(spark, sf_dir)
+    out = knowledge.coverage(ev.where("seq % 3 = 0"), ev.select("video_id").distinct(), ("visual_change",))
+    return out.select("video_id", *[F.nullif(F.array_join(c, ","), F.lit("")).alias(c) for c in ("available", "unavailable")])
+
+
+@query("frame_count", f"WITH {EV} SELECT video_id, count(DISTINCT ref) FILTER (WHERE kind = 'frame') AS frames FROM ev GROUP BY 1")
+def frame_count(spark, sf_dir):
+    ev = views.evidence(spark, sf_dir)
+    return ev.groupBy("video_id").agg(F.count_distinct(F.when(F.col("kind") == "frame", F.col("ref"))).alias("frames"))
+
+
+@query(
+    "cited_evidence_dedupe",
+    f"""WITH {EV}, c AS (SELECT video_id, floor(ts / 86400) * 86400.0::DOUBLE AS ts, kind, ref, source, seq AS ord FROM ev)
+SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY video_id, ts, kind, ref, source ORDER BY ord) = 1""",
+)
+def cited_evidence_dedupe(spark, sf_dir):
+    ev = views.evidence(spark, sf_dir)
+    return knowledge.cited_once(ev.select("video_id", F.expr("floor(ts / 86400) * 86400.0D").alias("ts"), "kind", "ref", "source", F.col("seq").alias("ord")))
+
+
+@query(
+    "demand_rank",
+    f"""WITH {FR}, n AS (SELECT count(*) AS n FROM fr), w AS (SELECT '0' AS video_id, (doc_id * 7) % n AS frame_id, (doc_id % 10) / 10.0::DOUBLE AS confidence, CASE quality WHEN 1 THEN 'cited' ELSE 'near' END AS reason, doc_id AS ord FROM labels, n),
+d AS (SELECT video_id, frame_id, count(*) AS refs, max(confidence) AS confidence, arg_min(reason, ord) AS reason FROM w GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY refs DESC, confidence DESC, CAST(frame_id AS VARCHAR)) AS rank FROM d""",
+)
+def demand_rank(spark, sf_dir):
+    n = F.broadcast(views.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n")))  # one row
+    w = views.table(spark, sf_dir, "labels").crossJoin(n).select(
+        F.lit("0").alias("video_id"), F.expr("(doc_id * 7) % n").alias("frame_id"), F.expr("(doc_id % 10) / 10.0D").alias("confidence"),
+        F.expr("case quality when 1 then 'cited' else 'near' end").alias("reason"), F.col("doc_id").alias("ord"),
+    )
+    return knowledge.demand(w)
+
+
+@query(
+    "nearest_description",
+    f"""WITH {FR}, d AS (SELECT CAST(doc_id % 10 AS VARCHAR) AS video_id, doc_id AS seq, doc_id * 1.5::DOUBLE AS ts, left(text, 300) AS description FROM documents)
+SELECT fr.video_id, fr.seq, x.seq AS doc_id, x.description FROM fr LEFT JOIN LATERAL (SELECT * FROM d WHERE d.video_id = fr.video_id AND abs(d.ts - fr.ts) <= 1.0 ORDER BY abs(d.ts - fr.ts), d.seq LIMIT 1) x ON true""",
+)
+def nearest_description(spark, sf_dir):
+    d = views.table(spark, sf_dir, "documents").select(
+        F.expr("cast(doc_id % 10 as string)").alias("video_id"), F.col("doc_id").alias("seq"), F.expr("doc_id * 1.5D").alias("ts"), F.expr("left(text, 300)").alias("description")
+    )
+    fr = views.frames(spark, sf_dir).select("video_id", F.col("seq").alias("probe"), F.col("ts").alias("t"))
+    out = temporal.nearest(fr, d, 1.0, ("video_id", "probe"), ("seq", "description"))
+    return out.select("video_id", F.col("probe").alias("seq"), F.col("near.seq").alias("doc_id"), F.col("near.description").alias("description"))
+
+
+@query(
+    "brief_budget",
+    f"""WITH d AS (SELECT lang, doc_id, text, sum(length(text)) OVER (PARTITION BY lang) AS total, greatest(120, {synthesis.BRIEF_CHARS} // count(*) OVER (PARTITION BY lang)) AS share FROM documents)
+SELECT lang, doc_id, CASE WHEN total <= {synthesis.BRIEF_CHARS} OR length(text) <= share THEN text ELSE rtrim(left(text, share::INT), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') || ' ...[condensed]' END AS fitted FROM d""",
+)
+def brief_budget(spark, sf_dir):
+    return synthesis.fit_budget(views.table(spark, sf_dir, "documents"), per="lang").select("lang", "doc_id", "fitted")
+
+
+_REFS = "CASE seq % 11 WHEN 0 THEN '{\"status\":\"not_detected\"}' WHEN 1 THEN '{\"state\":\"uncertain\"}' WHEN 2 THEN 'not json' ELSE ref END"
+
+
+@query("json_null_measurement", f"WITH {EV} SELECT video_id, seq, seq % 11 IN (0, 1) AS is_null FROM ev")
+def json_null_measurement(spark, sf_dir):
+    ev = views.evidence(spark, sf_dir).withColumn("ref", F.expr(_REFS))
+    return ev.select("video_id", "seq", synthesis.null_measurement().alias("is_null"))
+
+
+@query(
+    "brief_items",
+    f"""WITH {EV}, w AS (SELECT video_id, seq AS probe, ts AS t FROM ev WHERE kind = 'frame'),
+o AS (SELECT w.video_id, w.probe, w.t, e.seq AS ord, e.ts, e.kind, e.source, {_REFS.replace("seq", "e.seq").replace("ELSE ref", "ELSE e.ref")} AS ref FROM w JOIN ev e ON w.video_id = e.video_id AND abs(e.ts - w.t) <= 21600 AND e.kind <> 'transcript' AND e.seq % 11 > 1),
+k AS (SELECT * FROM o WHERE kind <> 'pointer' OR probe % 2 = 0 QUALIFY row_number() OVER (PARTITION BY video_id, round(ts, 3), kind, ref, source ORDER BY t, ord) = 1)
+SELECT video_id, probe, ord, 'e' || (row_number() OVER (PARTITION BY video_id ORDER BY t, ord) - 1) AS evidence_id FROM k""",
+)
+def brief_items(spark, sf_dir):
+    ev = views.evidence(spark, sf_dir)
+    w = correlate.windows(ev)
+    around = temporal.band_join(w, ev.select("video_id", F.col("seq").alias("ord"), "ts", "kind", "source", F.expr(_REFS).alias("ref")), 21600.0)
+    return synthesis.brief_items(around, w.where("probe % 2 = 0").select("video_id", "probe")).select("video_id", "probe", "ord", "evidence_id")
+
+
+_CLAIMS = """n AS (SELECT count(*) AS n FROM documents),
+br AS (SELECT CAST(doc_id AS VARCHAR) AS evidence_id, CASE doc_id % 5 WHEN 0 THEN 'transcript' WHEN 1 THEN 'vision' WHEN 2 THEN 'frame' WHEN 3 THEN 'visual_change' ELSE 'pointer' END AS kind, doc_id * 1.0::DOUBLE AS ts,
+  CASE WHEN doc_id % 3 <> 0 THEN (doc_id % 10) / 10.0::DOUBLE END AS confidence FROM documents),
+cl AS (SELECT doc_id AS ord, left(text, 600) AS text, CASE WHEN doc_id % 17 = 0 THEN 'guess' WHEN quality = 1 THEN 'observed' WHEN quality = 0 THEN 'inferred' END AS nature, doc_id * 1.0::DOUBLE AS ts, 0.7::DOUBLE AS confidence,
+  [CAST(doc_id AS VARCHAR), CAST((doc_id * 7) % (6 * n // 5) AS VARCHAR)] AS ids, n * 0.95::DOUBLE AS duration FROM labels JOIN documents USING (doc_id), n),
+ct AS (SELECT ord, list(kind) AS kinds, max(br.confidence) AS cap, string_agg(i, ', ' ORDER BY i) FILTER (WHERE br.kind IS NULL) AS missing FROM (SELECT DISTINCT ord, unnest(ids) AS i FROM cl) x LEFT JOIN br ON br.evidence_id = x.i GROUP BY ord),
+cf AS (SELECT DISTINCT ord FROM cl JOIN benchmark ON abs(cl.ts - item_id * 25.0) <= 2.0),
+vf AS (SELECT cl.ord, CASE WHEN cf.ord IS NOT NULL THEN 'conflicting' WHEN nature = 'observed' AND list_contains(kinds, 'visual_change') AND NOT (list_contains(kinds, 'transcript') OR list_contains(kinds, 'vision')) THEN 'inferred' ELSE nature END AS status,
+  cl.ts, least(cl.confidence, coalesce(cap, cl.confidence)) AS confidence,
+  CASE WHEN list_contains(kinds, 'transcript') AND list_contains(kinds, 'vision') THEN 'speech_corroborated_by_visual_evidence' WHEN list_contains(kinds, 'transcript') AND list_contains(kinds, 'frame') THEN 'speech_evidence_with_uninterpreted_frame'
+    WHEN list_contains(kinds, 'transcript') AND list_contains(kinds, 'visual_change') THEN 'speech_evidence_with_measured_change' WHEN list_contains(kinds, 'transcript') THEN 'speech_evidence_only'
+    WHEN list_contains(kinds, 'vision') THEN 'visual_evidence_only' WHEN list_contains(kinds, 'visual_change') THEN 'measurement_evidence_only' WHEN list_contains(kinds, 'frame') THEN 'uninterpreted_frame_only'
+    WHEN list_contains(kinds, 'pointer') THEN 'pointer_evidence_only' ELSE 'unverifiable_no_evidence_cited' END AS verification,
+  CASE WHEN regexp_replace(text, '\\s', '', 'g') = '' THEN 'claim has no text' WHEN nature = 'guess' THEN 'invalid claim nature' WHEN missing IS NOT NULL THEN 'cites evidence id(s) that do not exist: ' || missing
+    WHEN cl.ts > duration + 1 THEN 'timestamp falls outside the source duration' END AS reason
+  FROM cl JOIN ct USING (ord) LEFT JOIN cf USING (ord))"""
+
+
+def _claims(spark, sf_dir):
+    docs = views.table(spark, sf_dir, "documents")
+    n = F.broadcast(docs.agg(F.count("*").alias("n")))  # one row
+    brief = docs.select(
+        F.lit("0").alias("video_id"), F.col("doc_id").cast("string").alias("evidence_id"),
+        F.expr("case doc_id % 5 when 0 then 'transcript' when 1 then 'vision' when 2 then 'frame' when 3 then 'visual_change' else 'pointer' end").alias("kind"),
+        F.expr("doc_id * 1.0D").alias("ts"), F.expr("case when doc_id % 3 <> 0 then (doc_id % 10) / 10.0D end").alias("confidence"),
+    )
+    raw = views.table(spark, sf_dir, "labels").join(docs, "doc_id").crossJoin(n).select(
+        F.lit("0").alias("video_id"), F.col("doc_id").alias("ord"), F.expr("left(text, 600)").alias("text"),
+        F.expr("case when doc_id % 17 = 0 then 'guess' when quality = 1 then 'observed' when quality = 0 then 'inferred' end").alias("nature"),
+        F.expr("doc_id * 1.0D").alias("timestamp_sec"), F.lit(0.7).alias("confidence"),
+        F.expr("array(cast(doc_id as string), cast((doc_id * 7) % (6 * n div 5) as string))").alias("evidence_ids"), F.expr("n * 0.95D").alias("duration_sec"),
+    )
+    conflicts = views.table(spark, sf_dir, "benchmark").select(F.lit("0").alias("video_id"), F.expr("item_id * 25.0D").alias("c"))
+    return synthesis.verify(raw, brief, conflicts)
+
+
+@query("claims_verified", f"WITH {_CLAIMS} SELECT ord, status, ts, confidence, verification FROM vf WHERE reason IS NULL")
+def claims_verified(spark, sf_dir):
+    return _claims(spark, sf_dir).where("reason is null").select("ord", "status", "ts", "confidence", "verification")
+
+
+@query("claims_rejected", f"WITH {_CLAIMS} SELECT reason, count(*) AS n, min(ord) AS first FROM vf WHERE reason IS NOT NULL GROUP BY 1")
+def claims_rejected(spark, sf_dir):
+    return _claims(spark, sf_dir).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+
+
+@query(
+    "claims_intake",
+    f"""WITH {_CLAIMS}, i AS (SELECT ord, reason, row_number() OVER (ORDER BY ord) AS i, coalesce(sum((reason IS NULL)::INT) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ok FROM vf)
+SELECT ord, reason IS NULL AS retained FROM i WHERE i <= 160 AND ok < 40""",
+)
+def claims_intake(spark, sf_dir):
+    return synthesis.intake(_claims(spark, sf_dir)).select("ord", F.col("reason").isNull().alias("retained"))
+
+
+@query("dangling_refs", "WITH r AS (SELECT doc_id, (doc_id * 7) % 1300 AS ref FROM labels) SELECT r.doc_id, ref FROM r ANTI JOIN documents d ON d.doc_id = r.ref")
+def dangling_refs(spark, sf_dir):
+    r = views.table(spark, sf_dir, "labels").select("doc_id", F.expr("(doc_id * 7) % 1300").alias("ref"))
+    return r.join(views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref")), "ref", "left_anti").select("doc_id", "ref")
+
+
+@query("contract_rejects", f"WITH {SP}, {PT} SELECT 'segment_order' AS rule, video_id, seq FROM sp WHERE end_sec < start_sec UNION ALL SELECT 'pointer_position', video_id, seq FROM pt WHERE status <> 'not_detected' AND y IS NULL UNION ALL SELECT 'evidence_span', user_id::VARCHAR, event_id FROM events WHERE value < 1")
+def contract_rejects(spark, sf_dir):
+    _, a = contracts.validate(views.spans(spark, sf_dir), "segment")
+    _, b = contracts.validate(views.pointer(spark, sf_dir), "pointer")
+    short = views.evidence(spark, sf_dir).withColumn("end_ts", F.expr("ts + (confidence * 500 - 1)"))
+    _, c = contracts.validate(short, "evidence")
+    return a.select("rule", "video_id", "seq").unionAll(b.select("rule", "video_id", "seq")).unionAll(c.select("rule", "video_id", "seq"))
+
+
+@query(
+    "package_validation",
+    f"""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE source END AS src, n_chars - 40 AS duration, left(text, 60) AS s, doc_id % 200 AS ts, length(text) > 1500 AND doc_id % 4 = 1 AS long, doc_id % 19 = 0 AS absolute, doc_id % 23 = 0 AS contra, doc_id % 29 = 0 AS media FROM documents)
+SELECT doc_id, CASE WHEN trim(src) = '' THEN 'no source reference' WHEN duration <= 0 THEN 'invalid duration' WHEN trim(s) = '' THEN 'empty summary' WHEN ts > duration + 1 THEN 'timestamp outside duration'
+WHEN absolute THEN 'visual path not relative' WHEN long THEN 'excerpt too long' WHEN media THEN 'embedded media' WHEN contra THEN 'contradictory stages' END AS violation FROM p""",
+)
+def package_validation(spark, sf_dir):
+    d = views.table(spark, sf_dir, "documents")
+    p = d.select(
+        "doc_id", F.expr("case when doc_id % 13 = 0 then ' ' else source end").alias("source"), F.expr("(n_chars - 40) * 1.0D").alias("duration_sec"), F.expr("left(text, 60)").alias("summary"),
+        F.expr("array((doc_id % 200) * 1.0D)").alias("timestamps"), F.expr("array('a')").alias("claim_visuals"), F.expr("array('a', 'b')").alias("visual_ids"),
+        F.expr("array(if(doc_id % 19 = 0, '/abs/x.jpg', 'x_evidence/a.jpg'))").alias("visual_paths"),
+        F.expr("array(struct(if(doc_id % 4 = 1, 'transcript', 'frame') as kind, if(length(text) > 1500, text, 'r') as ref))").alias("refs"),
+        F.expr("array(if(doc_id % 29 = 0, 'x iVBORw0KGgo', 'plain'))").alias("claim_texts"),
+        F.expr("array('transcript', 'frame')").alias("cited_kinds"), F.expr("if(doc_id % 23 = 0, array('frame'), array('vision'))").alias("stages_unavailable"),
+    )
+    return knowledge.validate_packages(p).select("doc_id", "violation")
+
+
+@query(
+    "measurement_collect",
+    f"""WITH {EV}, m AS (SELECT video_id, floor(ts / 3600) * 3600.0::DOUBLE AS ts, end_ts, ref, source, confidence, seq, seq % 2 AS prio FROM ev WHERE kind = 'visual_change'),
+f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY video_id, ts, end_ts, ref, source ORDER BY prio, seq) = 1)
+SELECT video_id, ts, end_ts, ref, source, confidence, seq, row_number() OVER (PARTITION BY video_id ORDER BY ts, coalesce(end_ts, 0), seq) - 1 AS pos FROM f""",
+)
+def measurement_collect(spark, sf_dir):
+    ev = views.evidence(spark, sf_dir).withColumn("ts", F.expr("floor(ts / 3600) * 3600.0D")).withColumn("prio", F.expr("seq % 2"))
+    return knowledge.collect_kind(ev, "visual_change")
+
+
+_URL = "regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'v=' || page_id || '&token=t0k&id=#frag'"
+_URL_SPARK = "concat(regexp_replace(url, '#.*$', ''), case when contains(url, '?') then '&' else '?' end, 'v=', page_id, '&token=t0k&id=#frag')"
+
+
+@query("public_source_url", f"WITH u AS (SELECT page_id, {_URL} AS u FROM pages) SELECT page_id, lower(regexp_extract(u, '^([^:]+):', 1)) || '://' || lower(regexp_extract(u, '://([^/?#]*)', 1)) || regexp_extract(u, '://[^/?#]*([^?#]*)', 1) || '?v=' || page_id AS public FROM u")
+def public_source_url(spark, sf_dir):
+    p = views.table(spark, sf_dir, "pages").select("page_id", F.expr(_URL_SPARK).alias("u"))
+    return p.select("page_id", scalars.public_url("u").alias("public"))
+
+
+@query("redact_url", "SELECT page_id, regexp_replace(regexp_replace('see ' || replace(url, '://', '://u:p@') || ' now', '(https?://)[^/\\s@]+@', '\\1', 'g'), '(https?://[^\\s?#''\"]+)[?#][^\\s''\"]*', '\\1?<redacted>', 'g') AS redacted FROM pages")
+def redact_url(spark, sf_dir):
+    p = views.table(spark, sf_dir, "pages")
+    return p.select("page_id", scalars.redact_url(F.expr("concat('see ', replace(url, '://', '://u:p@'), ' now')")).alias("redacted"))
+
+
+_STEM = "left(coalesce(nullif(regexp_replace(regexp_replace({x}, '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'video'), {n})"
+
+
+@query("filename_stem", f"SELECT doc_id, {_STEM.format(x='left(text, 120)', n=80)} AS stem FROM documents")
+def filename_stem(spark, sf_dir):
+    return views.table(spark, sf_dir, "documents").select("doc_id", scalars.filename_stem(F.expr("left(text, 120)")).alias("stem"))
+
+
+@query("session_filename", f"SELECT page_id, {_STEM.format(x='url', n=60)} || '-' || left(sha256(url), 8) || '.session.json' AS name FROM pages")
+def session_filename(spark, sf_dir):
+    return views.table(spark, sf_dir, "pages").select("page_id", scalars.session_filename("url", "url").alias("name"))
+
+
+@query("embedded_media_scan", "SELECT page_id, regexp_matches(html || CASE WHEN page_id % 9 = 0 THEN 'DATA:image/png;base64,AA' ELSE '' END, '(?i)data:[a-z]+/[a-z0-9.+-]+;base64,|/9j/4[A-Za-z0-9+/]{40,}|iVBORw0KGgo') AS media FROM pages")
+def embedded_media_scan(spark, sf_dir):
+    p = views.table(spark, sf_dir, "pages").withColumn("h", F.expr("concat(html, case when page_id % 9 = 0 then 'DATA:image/png;base64,AA' else '' end)"))
+    return p.select("page_id", F.col("h").rlike(scalars.EMBEDDED_MEDIA).alias("media"))
+
+
+@query("job_claim_filter", "WITH j AS (SELECT page_id, regexp_extract(url, '([^/]+)/?$', 1) AS job_id FROM pages), d AS (SELECT DISTINCT job_id FROM j WHERE page_id % 5 = 0) SELECT page_id, job_id, CASE WHEN NOT regexp_full_match(job_id, '[A-Za-z0-9][A-Za-z0-9_-]{0,99}') THEN 'invalid-id' WHEN d.job_id IS NOT NULL THEN 'duplicate' ELSE 'claimable' END AS state FROM j LEFT JOIN d USING (job_id)")
+def job_claim_filter(spark, sf_dir):
+    from evloom.streaming import worker
+
+    j = views.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "([^/]+)/?$", 1).alias("job_id"))
+    return worker.claim_states(j, j.where("page_id % 5 = 0").select("job_id"))
+
+
+@query(
+    "streaming_session_runs",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT user_id, date_diff('microsecond', TIMESTAMP '2024-01-01', min(ts)) AS start_us, date_diff('microsecond', TIMESTAMP '2024-01-01', max(ts) + INTERVAL 1 DAY) AS end_us, count(*) AS n FROM s GROUP BY user_id, run""",
+)
+def streaming_session_runs(spark, sf_dir):
+    from evloom.streaming import sessions
+
+    return sessions.activity_runs(spark, sf_dir)
+
+
+@query(
+    "pointer_events_by_time",
+    f"WITH {EV}, {PT}, p AS (SELECT video_id, ts, arg_max(seq, seq) AS pointer_seq FROM pt GROUP BY 1, 2) SELECT ev.video_id, ev.seq, pointer_seq FROM ev JOIN p ON ev.video_id = p.video_id AND ev.ts = p.ts",
+)
+def pointer_events_by_time(spark, sf_dir):
+    """Readings by exact time; of several at one time the last."""
+    p = views.pointer(spark, sf_dir).groupBy("video_id", "ts").agg(F.max("seq").alias("pointer_seq"))
+    return views.evidence(spark, sf_dir).join(p, ["video_id", "ts"]).select("video_id", "seq", "pointer_seq")
+
+
+@query(
+    "scene_frames_for_segments",
+    f"""WITH {SG}, sc AS (SELECT video_id, seg_no AS scene, start_sec AS ts FROM sg WHERE seg_no % 2 = 1) SELECT sg.video_id, sg.seg_no, scene, round(ts, 3) = round(sg.start_sec, 3) AS at_start FROM sg JOIN sc ON sg.video_id = sc.video_id AND ts >= sg.start_sec AND ts <= sg.end_sec""",
+)
+def scene_frames_for_segments(spark, sf_dir):
+    """Scene starts inside each segment, both ends included."""
+    sg = views.segments(spark, sf_dir)
+    sc = sg.where("seg_no % 2 = 1").select("video_id", F.col("seg_no").alias("scene"), F.col("start_sec").alias("ts"), F.col("start_sec").alias("te"))
+    w = sg.select("video_id", "seg_no", F.col("start_sec").alias("lo"), F.col("end_sec").alias("hi")).where("lo <= hi")
+    hit = temporal.interval_join(w, sc, 20.0, start="ts", end="te")
+    return hit.select("video_id", "seg_no", "scene", (F.round("ts", 3) == F.round("lo", 3)).alias("at_start"))
+
+
+@query("latest_descriptions", f"WITH {EV} SELECT video_id, floor(ts / 86400)::BIGINT AS day, arg_max(ref, seq) AS description FROM ev WHERE kind = 'vision' GROUP BY ALL")
+def latest_descriptions(spark, sf_dir):
+    """P10: description per time, the last one wins."""
+    ev = views.evidence(spark, sf_dir).where("kind = 'vision' and ref <> ''")
+    return ev.groupBy("video_id", F.expr("floor(ts / 86400)").alias("day")).agg(F.max_by("ref", "seq").alias("description"))
+
+
+def numbered(df, per, *order):
+    return F.row_number().over(Window.partitionBy(per).orderBy(*order))
