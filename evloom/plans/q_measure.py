@@ -196,3 +196,13 @@ FROM k JOIN o ON o.video_id = k.video_id AND o.i = k.i + 1) SELECT video_id, seg
 )
 def transcript_chunks(spark, sf_dir):
     return folds.transcript_chunks(views.segments(spark, sf_dir))
+
+
+@query("visual_regions")
+def visual_regions(spark, sf_dir):
+    """Pixel changes between neighbouring 8 x 8 rasters, located (numpy: no SQL counterpart)."""
+    from evloom.operators import pixels
+
+    gray = F.expr("unhex(array_join(transform(px, x -> lpad(hex(cast(least(255, greatest(0, floor(128 + x * 400))) as int)), 2, '0')), ''))")
+    fr = views.frames(spark, sf_dir).select("video_id", "seq", "ts", gray.alias("gray"), F.lit(8).alias("width"), F.lit(8).alias("height"))
+    return pixels.visual_changes(fr)
