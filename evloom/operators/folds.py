@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from evloom.session import ship
 
@@ -18,7 +20,7 @@ from evloom.session import ship
 def _fold(df: DataFrame, key: str, order: tuple[str, ...], schema: str, step) -> DataFrame:
     """step(state, row) -> (state, output row or None); the state is None at the start of a group."""
     ship(df.sparkSession)
-    names = df.columns
+    names, kinds = df.columns, to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         group, state = object(), None
@@ -32,7 +34,7 @@ def _fold(df: DataFrame, key: str, order: tuple[str, ...], schema: str, step) ->
                 if made is not None:
                     out.append(made)
             if out:
-                yield pa.RecordBatch.from_pylist(out)
+                yield pa.RecordBatch.from_pylist(out, kinds)
 
     return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
