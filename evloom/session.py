@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED = "spark.evloom.shipped"
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evloom/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._evloom_path = path
@@ -41,10 +43,18 @@ def discard(df: DataFrame) -> None:
     """Delete a table made by written() that nothing reads any more."""
     path = getattr(df, "_evloom_path", None)
     if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediates that this driver has written: for sessions that have used their results."""
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ship(spark: SparkSession) -> None:
