@@ -37,7 +37,7 @@ GRAM = 24
 SEGMENT = 1 << 18
 SPLIT = 20_000  # leaders of one digit that are ordered inside one task
 FREQUENT = 200_000  # runs of one digit that meet in one task
-FILTERED = 20_000_000  # leaders up to which their bytes are found by a filter instead of a join
+FILTERED = 50_000_000  # hashes that a filter takes; beyond, all runs are shuffled and leaders' bytes joined
 SLICES, SLICE_BITS = 64, 21
 BLOOM_MB = SLICES * (1 << SLICE_BITS) / 8 / 1e6
 _ODD = 0x9E3779B97F4A7C15 | 1
@@ -149,8 +149,10 @@ def _probe(h: np.ndarray, shift: int) -> np.ndarray:
     return ((h >> np.uint64(shift)) & np.uint64((1 << SLICE_BITS) - 1)).astype(np.int64)
 
 
-def _bloom(hashes: DataFrame) -> bytes:
-    """The bit filter of a one-column table of hashes: BLOOM_MB at most, whatever the table's size."""
+def _bloom(hashes: DataFrame, most: int) -> bytes | None:
+    """The bit filter of a one-column table of hashes: BLOOM_MB; null (lets all through) beyond `most` rows, where it would be full."""
+    if hashes.count() > most:
+        return None
     rows = hashes.toDF("h").repartition(SLICES, F.shiftrightunsigned("h", 58)).mapInArrow(_slices, "slice int, bits binary").collect()
     table = np.zeros((SLICES, (1 << SLICE_BITS) // 8), np.uint8)
     for r in rows:
@@ -158,8 +160,10 @@ def _bloom(hashes: DataFrame) -> bytes:
     return table.tobytes() if rows else b""
 
 
-def _maybe(table: bytes, h: np.ndarray) -> np.ndarray:
+def _maybe(table: bytes | None, h: np.ndarray) -> np.ndarray:
     """False only for hashes that the filter does not hold."""
+    if table is None:
+        return np.ones(len(h), bool)
     if not table:
         return np.zeros(len(h), bool)
     t = np.frombuffer(table, np.uint8).reshape(SLICES, -1)
@@ -393,20 +397,21 @@ def repeated_spans(keys_and_texts: DataFrame, depth: int = DEPTH, gram: int = GR
     ship(spark)
     digits = df.select("text").mapInArrow(_first_digits(depth, gram), "h long, n long")
     repeated = written(digits.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "repeated")
-    hot = _bloom(repeated.where(f"n > {frequent}").select("h"))
-    usual = _bloom(repeated.select("h"))
+    hot = _bloom(repeated.where(f"n > {frequent}").select("h"), filtered)
+    usual = _bloom(repeated.select("h"), filtered)
     discard(repeated)
     sent = spark.sparkContext.broadcast((usual, hot))
     kind = "h long, d long, k long, lo int, n int"
     rows = df.mapInArrow(_candidates(depth, gram, sent, False), kind).repartition("h").sortWithinPartitions("h", "d", "k", "lo")
     sorted_ = rows.mapInArrow(_by_block(depth), "h long, k long, s long, e long, n int")
-    if hot:
+    if hot is None or hot:
         sorted_ = sorted_.unionAll(_frequent(df.mapInArrow(_candidates(depth, gram, sent, True), kind), depth))
     sorted_ = written(sorted_, "sorted")
     followers = sorted_.where("h is null").select("k", "s", "e")
     leaders = sorted_.where("h is not null").select("h", "k", F.col("s").cast("int").alias("lo"), "n")
-    if leaders.count() <= filtered:  # few enough for a filter of fixed size: texts are read again, not shuffled
-        table = spark.sparkContext.broadcast(_bloom(leaders.select("k", "lo").mapInArrow(_places, "h long")))
+    places = _bloom(leaders.select("k", "lo").mapInArrow(_places, "h long"), filtered)
+    if places is not None:  # few enough for a filter of fixed size: texts are read again, not shuffled
+        table = spark.sparkContext.broadcast(places)
         context = df.mapInArrow(_contexts(depth, gram, table), "h long, k long, lo int, n int, ctx binary")
     else:
         lists = leaders.groupBy("k").agg(F.collect_list(F.struct("h", "lo", "n")).alias("_l"))  # as long as its document at most

@@ -98,7 +98,7 @@ def test_bpe_equals_the_library_and_round_trips(spark, monkeypatch):
         texts = (TRICKY + random_texts())[at : at + 20]
         for t, ids in zip(texts, model.encode_batch(texts), strict=True):
             want = lib.encode(t, add_special_tokens=False).ids
-            assert ids.tolist() == want, t
+            assert np.frombuffer(ids, np.int32).tolist() == want, t
             assert model.decode(want) == lib.decode(want, skip_special_tokens=False)
 
 
@@ -160,7 +160,7 @@ def test_patterns_use_every_item_once():
             used[c] = used.get(c, 0) + n * times
     assert used == {c: n for c, n in counts.items() if n}
     least = max(sum(c * n for c, n in counts.items()) / 256, sum(n for c, n in counts.items() if c > 128))  # two halves never share
-    assert sum(t for _, t in plan) <= 1.01 * least + 20
+    assert sum(t for _, t in plan) <= 1.01 * least + 128  # rounding costs at most a sequence or so per class
 
 
 # --- toxicity
