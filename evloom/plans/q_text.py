@@ -327,3 +327,25 @@ def latest_descriptions(spark, sf_dir):
 
 def numbered(df, per, *order):
     return F.row_number().over(Window.partitionBy(per).orderBy(*order))
+
+
+@query(
+    "package_rows",
+    f"""WITH {SG}, w AS (SELECT video_id, seg_no, unnest(l) AS x, unnest(range(0, len(l))) AS pos FROM (SELECT *, regexp_extract_all(text, '[A-Za-z][A-Za-z''-]+') AS l FROM sg)),
+c AS (SELECT video_id, lower(x) AS w, count(*) AS n, min({{'d': seg_no, 'p': pos}}) AS f FROM w WHERE length(x) >= 4 AND lower(x) NOT IN ({_STOP}) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY n DESC, f) AS r FROM c),
+t AS (SELECT video_id, string_agg(upper(w[1]) || w[2:], ', ' ORDER BY r) AS topics FROM r WHERE r <= 8 AND n >= 2 GROUP BY 1),
+k AS (SELECT video_id, count(DISTINCT text) AS n FROM (SELECT video_id, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS text FROM sg) WHERE {_cue_sql(CUE_TOKENS)} IS NOT NULL GROUP BY 1),
+v AS (SELECT video_id, ceil(max(end_sec)) AS d FROM sg GROUP BY 1)
+SELECT v.video_id, 'conversation ' || v.video_id || ': a ' || d::BIGINT || 's local video. ' || coalesce(least(k.n, 15), 0) || ' notable point(s) identified via deterministic transcript analysis.' ||
+coalesce(' Recurring topics: ' || topics || '.', '') AS summary, 'frame,pointer,vision' AS unavailable, 4::BIGINT AS n_limitations FROM v LEFT JOIN t USING (video_id) LEFT JOIN k USING (video_id)""",
+)
+def package_rows(spark, sf_dir):
+    from evloom.operators import package
+
+    sg = views.segments(spark, sf_dir)
+    v = sg.groupBy("video_id").agg(F.ceil(F.max("end_sec")).cast("double").alias("duration_sec")).select(
+        "video_id", F.concat(F.lit("conversation "), F.col("video_id")).alias("source"), F.lit("local").alias("source_type"), "duration_sec", F.lit(None).cast("string").alias("title")
+    )
+    p = package.assemble(v, sg, views.evidence(spark, sf_dir).where("false"), "2026-01-01T00:00:00+00:00", cues=CUE_TOKENS)
+    return p.select("video_id", "summary", F.array_join("stages_unavailable", ",").alias("unavailable"), F.size("limitations").cast("long").alias("n_limitations"))

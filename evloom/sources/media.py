@@ -20,7 +20,7 @@ def probes(rows: DataFrame, json_col: str = "probe") -> DataFrame:
     """rows (path, probe: container JSON) -> videos; `error` says what a container lacks."""
     p = rows.withColumn("_p", F.from_json(json_col, PROBE_SCHEMA))
     p = p.withColumn("_v", F.expr("get(filter(_p.streams, s -> s.codec_type = 'video'), 0)")).withColumn("_a", F.expr("get(filter(_p.streams, s -> s.codec_type = 'audio'), 0)"))
-    fps = F.expr("coalesce(try_divide(try_cast(split(_v.r_frame_rate, '/')[0] as double), try_cast(split(_v.r_frame_rate, '/')[1] as double)), 0D)")
+    fps = F.expr("coalesce(try_divide(try_cast(split(_v.avg_frame_rate, '/')[0] as double), try_cast(split(_v.avg_frame_rate, '/')[1] as double)), 0D)")
     p = p.withColumn("duration_sec", F.expr("try_cast(_p.format.duration as double)"))
     error = F.expr(
         "case when _p is null then 'unreadable container' when _v is null then 'no video stream' when not coalesce(duration_sec > 0, false) then 'invalid duration'"

@@ -78,7 +78,7 @@ def test_package_files(tmp_path, spark):
 
 
 def test_probe_errors(spark):
-    ok = {"streams": [{"codec_type": "video", "codec_name": "h264", "width": 64, "height": 48, "r_frame_rate": "30/0"}], "format": {"duration": "3.5"}}
+    ok = {"streams": [{"codec_type": "video", "codec_name": "h264", "width": 64, "height": 48, "avg_frame_rate": "30/0"}], "format": {"duration": "3.5"}}
     rows = [("/a.mp4", json.dumps(ok)), ("https://x/b", json.dumps({"streams": [], "format": {"duration": "1"}})), ("/c", None)]
     got = {r.path: r for r in media.probes(spark.createDataFrame(rows, "path string, probe string")).collect()}
     assert (got["/a.mp4"].error, got["/a.mp4"].fps, got["/a.mp4"].has_audio, got["/a.mp4"].source_type) == (None, 0.0, False, "local")
