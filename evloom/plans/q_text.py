@@ -337,7 +337,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY n DESC, f) AS
 t AS (SELECT video_id, string_agg(upper(w[1]) || w[2:], ', ' ORDER BY r) AS topics FROM r WHERE r <= 8 AND n >= 2 GROUP BY 1),
 k AS (SELECT video_id, count(DISTINCT text) AS n FROM (SELECT video_id, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS text FROM sg) WHERE {_cue_sql(CUE_TOKENS)} IS NOT NULL GROUP BY 1),
 v AS (SELECT video_id, ceil(max(end_sec)) AS d FROM sg GROUP BY 1)
-SELECT v.video_id, 'conversation ' || v.video_id || ': a ' || d::BIGINT || 's local video. ' || coalesce(least(k.n, 15), 0) || ' notable point(s) identified via deterministic transcript analysis.' ||
+SELECT v.video_id, 'conversation ' || v.video_id || ': a ' || d::BIGINT || 's local video. ' || least(coalesce(k.n, 0), 15) || ' notable point(s) identified via deterministic transcript analysis.' ||
 coalesce(' Recurring topics: ' || topics || '.', '') AS summary, 'frame,pointer,vision' AS unavailable, 4::BIGINT AS n_limitations FROM v LEFT JOIN t USING (video_id) LEFT JOIN k USING (video_id)""",
 )
 def package_rows(spark, sf_dir):
