@@ -34,7 +34,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 # The same alternatives for texts below U+0250, the frequent ones first; L, N and S are their letters, numbers and white space.
 FAST = " ?[{L}]+| ?[{N}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 NO_RANK = np.int32(2**31 - 1)
-WORDS_HELD = 200_000
+WORDS_HELD = 80_000
 _LONG = 192  # bytes; longer words use a heap
 
 
@@ -250,7 +250,8 @@ class ByteBPE:
                 at = m.end()
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as the bytes of an int32 array."""
         if len(self.held) > WORDS_HELD:
             self.older, self.held = self.held, {}
         split = [self._pieces(t) for t in texts]
@@ -274,11 +275,9 @@ class ByteBPE:
         out = []
         for ws in split:
             try:
-                out.append(np.frombuffer(b"".join(map(held.__getitem__, ws)), np.int32))
+                out.append(b"".join(map(held.__getitem__, ws)))
             except KeyError:
-                out.append(
-                    np.frombuffer(b"".join(w if isinstance(w, bytes) else held[w] if isinstance(w, str) else np.int32(w).tobytes() for w in ws), np.int32)
-                )
+                out.append(b"".join(w if isinstance(w, bytes) else held[w] if isinstance(w, str) else np.int32(w).tobytes() for w in ws))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -311,16 +310,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _model(spec)
         for col in batches:
-            flat, sizes = [np.zeros(0, np.int32)], []
+            flat, sizes = bytearray(), []
             for at in range(0, len(col), 64):  # few texts at a time are held as words
-                parts = model.encode_batch([x or "" for x in col[at : at + 64].to_pylist()])
-                sizes += map(len, parts)
-                flat.append(np.concatenate(parts))
+                for raw in model.encode_batch([x or "" for x in col[at : at + 64].to_pylist()]):
+                    flat += raw
+                    sizes.append(len(raw) // 4)
             offsets = np.zeros(len(sizes) + 1, np.int32)
             np.cumsum(sizes, out=offsets[1:])
-            ids = np.concatenate(flat)
-            del flat
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, np.int32)))
 
     return docs.withColumn(out, run(F.col(text)))
 
