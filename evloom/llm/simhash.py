@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from evloom.session import ship, written
 
 from .components import connected_components, forest
+from .suffix_dedup import keyed
 
 SEED = 42
 _GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
@@ -40,24 +41,30 @@ def triples() -> list[tuple[int, int, int]]:
     return [tuple(sorted(t)) for t in out]
 
 
-def fingerprint(text: str | None, n: int = 4) -> int:
-    """The 64-bit SimHash of one text over n-word shingles."""
+def shingle_hashes(text: str | None, n: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every n-word shingle of one text, repeats included; fewer words: of the whole sequence."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    if len(words) <= n:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    digest, total, count = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(words) - n + 1
-    for at in range(0, count, 100_000):  # bounded memory for very long texts
-        to = min(count, at + 100_000)
-        h = np.fromiter(
-            (digest(joined[s:e], SEED) for s, e in zip(starts[at:to].tolist(), ends[at + n - 1 : to + n - 1].tolist(), strict=True)), np.uint64, to - at
-        )
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > count, bitorder="little").view(np.uint64)[0])
+    count, digest = max(1, len(words) - n + 1), xxhash.xxh64_intdigest
+    last = np.append(ends[n - 1 :], ends[-1:])[:count]
+    return np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts[:count].tolist(), last.tolist(), strict=True)), np.uint64, count)
+
+
+def majority(h: np.ndarray) -> int:
+    """Bits set in over half of the hashes."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(h), 100_000):  # bounded memory for very long texts
+        total += np.unpackbits(h[at : at + 100_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, n: int = 4) -> int:
+    """The 64-bit SimHash of one text over n-word shingles."""
+    return majority(shingle_hashes(text, n))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
@@ -141,7 +148,7 @@ def _lists(bits: int):
 
 
 def near_components(prints: DataFrame, bits: int = 4, split: int = 50_000) -> DataFrame:
-    """prints (doc_id, fp) -> (fp, component_id): one row per distinct fingerprint."""
+    """prints (doc_id, fp) -> (fp, root, component_id): one row per distinct fingerprint."""
     spark = prints.sparkSession
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
     posts = []
@@ -164,13 +171,13 @@ def near_components(prints: DataFrame, bits: int = 4, split: int = 50_000) -> Da
     joined = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = written(joined, "roots")
     best = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return joined.join(best, "root").select("fp", "component_id")
+    return joined.join(best, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     prints = written(fingerprints(docs, id_col, text_col, words), "prints")
-    comp = near_components(prints, bits)
+    comp = near_components(prints, bits).drop("root")
     return prints.join(comp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -178,15 +185,123 @@ def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+# --- near copies beyond four bits, for the pipeline
+
+_PAIRS = [(i, j) for i in range(8) for j in range(i + 1, 8)]
+
+
+def _wide_prints(batches):
+    """(id, text) -> id, the contract's fingerprint, and two fingerprints over word pairs (few changed words move few of their bits)."""
+    for b in batches:
+        rows = []
+        for t in b.column(1):
+            text = t.as_py()
+            h = shingle_hashes(text, 2)
+            again = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            rows.append((fingerprint(text), majority(h), majority(again ^ (again >> np.uint64(32)))))
+        x = np.array(rows, np.uint64).reshape(-1, 3).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, i].copy()) for i in range(3)]], ["doc_id", "fp", "a", "b"])
+
+
+def closest(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int, few: int = 16, k: int = 4, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of links inside each list: all of a short list, of a longer one each member's k nearest."""
+    sizes, left, right = ends - starts, [], []
+    s, n = starts[(sizes > 1) & (sizes <= few)], sizes[(sizes > 1) & (sizes <= few)]
+    for gap in range(1, few):
+        s, n = s[n > gap], n[n > gap]
+        reps = n - gap
+        i = np.repeat(s - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+        z = x[i] ^ x[i + gap]
+        ok = np.bitwise_count(z) <= bits
+        left.append(i[ok])
+        right.append(i[ok] + gap)
+    for at, to in zip(starts[sizes > few].tolist(), ends[sizes > few].tolist(), strict=True):
+        own = x[at:to]
+        for c in range(0, len(own), block):
+            far = np.bitwise_count(own[c : c + block, None] ^ own[None, :]).astype(np.uint8)
+            far[np.arange(len(far)), np.arange(c, c + len(far))] = 255
+            near = np.argpartition(far, min(k, far.shape[1] - 1), axis=1)[:, :k]
+            i, j = np.nonzero(np.take_along_axis(far, near, axis=1) <= bits)
+            left.append(at + c + i)
+            right.append(at + near[i, j])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left) if left else none), (np.concatenate(right) if right else none)
+
+
+def _wide_lists(bits: int):
+    """Rows (unit, node, x) sorted by unit -> candidate links (a, b) with a < b."""
+
+    def run(batches):
+        held = None
+
+        def out(unit, node, x):
+            cut = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+            i, j = closest(x.view(np.uint64), cut, np.append(cut[1:], len(unit)), bits)
+            pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            held = cols if held is None else [np.concatenate(c) for c in zip(held, cols, strict=True)]
+            if not len(held[0]):
+                continue
+            end = int(np.searchsorted(held[0], held[0][-1]))
+            if end:
+                yield out(*[c[:end] for c in held])
+                held = [c[end:] for c in held]
+        if held is not None and len(held[0]):
+            yield out(*held)
+
+    return run
+
+
+def _shingle_sets(words: int):
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, bits: int = 6, words: int = 5, least: float = 0.8, split: int = 50_000) -> DataFrame:
+    """docs (_k unique, text) -> the smallest _k of every group. A group holds what op8's links join (four-word
+    fingerprints within four bits) and near copies: candidates are within `bits` of each other in a fingerprint over word
+    pairs (they share two positional bytes at least, which the 28 byte pairs cover), links have a Jaccard similarity of
+    `least` or more over the distinct `words`-word shingles, checked exactly. Posting lists beyond `split` are cut in
+    chunks that meet pairwise, as near_components does it."""
+    spark = docs.sparkSession
+    ship(spark)
+    prints = written(docs.select("_k", "text").mapInArrow(_wide_prints, "doc_id long, fp long, a long, b long"), "prints")
+    comp = near_components(prints.select("doc_id", "fp"))
+    nodes = prints.join(comp, "fp").groupBy("a", "b", "root").agg(F.min("doc_id").alias("least"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    posts = []
+    for seed, col in enumerate(("a", "b")):
+        for n, (i, j) in enumerate(_PAIRS):
+            key = f"{(seed * 28 + n) << 16} | (shiftleft(shiftrightunsigned({col}, {8 * i}) & 255, 8)) | (shiftrightunsigned({col}, {8 * j}) & 255)"
+            posts.append(f"struct({key} as unit, {col} as x)")
+    posted = nodes.select("node", F.explode(F.expr(f"array({', '.join(posts)})")).alias("p")).select(F.col("p.unit").cast("long").alias("unit"), "node", F.col("p.x").alias("x"))
+    if posted.groupBy("unit").count().where(F.col("count") > split).limit(1).count():
+        sizes = posted.groupBy("unit").count().where(F.col("count") > split).withColumn("c", F.ceil(F.col("count") / split).cast("int")).drop("count")
+        posted = posted.join(sizes, "unit", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("i", F.expr("cast(pmod(xxhash64(node), c) as int)"))
+        posted = posted.withColumn("j", F.explode(F.expr("sequence(0, c - 1)"))).select(F.expr("xxhash64(unit, least(i, j), greatest(i, j))").alias("unit"), "node", "x")
+    found = posted.repartition("unit").sortWithinPartitions("unit").mapInArrow(_wide_lists(bits), "a long, b long")
+    found = written(found.distinct(), "candidates")
+    ends = found.select(F.col("a").alias("node")).unionAll(found.select("b")).distinct().join(nodes.select("node", "least"), "node")
+    texts = docs.select("_k", "text").join(ends, F.col("_k") == F.col("least")).select("node", "text")
+    sets = written(texts.mapInArrow(_shingle_sets(words), "node long, s array<long>"), "sets")
+    both = found.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+    same = both.where(F.col("n") >= F.lit(least) * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
+    first = nodes.groupBy("root").agg(F.min("node").alias("m"))
+    joined = nodes.join(first, "root").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
+    groups = connected_components(same.unionAll(joined))
+    rich = nodes.join(groups.withColumnRenamed("root", "group"), "node", "left").select("least", F.coalesce("group", "node").alias("group"))
+    return rich.groupBy("group").agg(F.min("least").alias("_k")).select("_k")
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group (smallest doc_id, then smallest text), with all its columns."""
-    prints = written(fingerprints(docs), "prints")
-    comp = near_components(prints)
-    named = prints.join(comp, "fp").select(F.col("doc_id").alias("_id"), "component_id").distinct()
-    keep = named.where("_id <=> component_id").select("_id")
-    first = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    again = first.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not again:
-        return first
-    one = first.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_d"))
-    return one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_d.{c}") for c in docs.columns])
+    """Pipeline stage: one document of each group (smallest doc_id, nulls last, then smallest text), with all its columns."""
+    cols = docs.columns
+    df = keyed(docs.select("doc_id", "text", F.struct(*cols).alias("_doc")), "doc_id", "text", ("_doc",))
+    return df.join(similar_groups(df), "_k", "left_semi").select("_doc.*")
