@@ -22,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op1_chat_format": chat_format.SQL,
         "op6_embedding_dedup": embedding_dedup.SQL,
         "op9_url_filter": url_filter.SQL,
         "op10_quality_rules": quality_rules.SQL,

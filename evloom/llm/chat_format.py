@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evloom.session import written
+
 BUDGET, HISTORY, SYSTEM = 1024, 256, 128
 BLOCK_TURNS = 256
 # What counts as a control string behind its first character, < or [.
@@ -39,35 +41,34 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, syst
     """turns (conv_id, turn, role, text) -> one row per window: conv_id, window (ordinal), formatted, turns (idx, part:
     0 system, 1 history, 2 own; loss), loss (start, length in code points of formatted), n_tokens, over_budget."""
     stride = max(1, (budget - history - system) // 2)
-    df = turns.select(
-        F.col("conv_id").alias("c"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    df = df.withColumn("body", escape(F.col("text"))).withColumn("head", F.concat(F.lit(OPEN), F.url_encode("role"), F.lit("\n")))
-    df = df.withColumn("whole", F.concat("head", "body", F.lit(CLOSE + "\n"))).withColumn("tok", F.expr("cast(length(whole) div 4 + 4 as long)"))
-    df = df.withColumn("blk", F.expr(f"coalesce(turn div {BLOCK_TURNS}, -9223372036854775808)")).drop("text")
+    # the conversation as a struct: equal to itself even where the id is null
+    df = turns.select(F.struct("conv_id").alias("c"), "turn", F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("body"))
+    df = df.withColumn("head", F.concat(F.lit(OPEN), F.url_encode("role"), F.lit("\n")))
+    df = df.withColumn("tok", F.expr(f"cast((length(head) + length(body) + {len(CLOSE) + 1}) div 4 + 4 as long)"))
+    df = df.withColumn("blk", F.expr(f"coalesce(turn div {BLOCK_TURNS}, -9223372036854775808)"))
     inside = Window.partitionBy("c", "blk").orderBy(F.col("turn").asc_nulls_first(), "role", "body")
     df = df.withColumn("s", F.sum("tok").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tok")).withColumn("i", F.row_number().over(inside) - 1)
+    # texts are written once; what follows reads the slim columns and meets the texts again at the end
+    df = written(df.select("c", "blk", "i", "s", "tok", "role", "head", "body"), "turns")
     before = Window.partitionBy("c").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     blocks = df.groupBy("c", "blk").agg(F.sum("tok").alias("bt"), F.count("*").alias("bn"))
-    blocks = blocks.select(
-        F.col("c").alias("c2"), F.col("blk").alias("blk2"), F.coalesce(F.sum("bt").over(before), F.lit(0)).alias("bs"), F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("bi")
-    )
-    df = df.join(blocks, F.col("c").eqNullSafe(F.col("c2")) & (F.col("blk") == F.col("blk2")))
-    df = df.select("c", "role", "body", "head", "whole", "tok", (F.col("s") + F.col("bs")).alias("s"), (F.col("i") + F.col("bi")).cast("long").alias("idx"))
-    df = df.withColumn("own", F.expr(f"(s div {stride}) * 2 + if(tok > {stride}, 1, 0)"))  # windows in order: bucket, then its long turn
-    one = F.struct("idx", "role", "head", "body", "whole", "tok")
-    own = df.select("c", F.col("own").alias("w"), F.lit(2).alias("part"), one.alias("t"), "s")
-    first = own.groupBy("c", "w").agg(F.min("s").alias("w0"))
-    sys_turn = df.where("idx = 0 and role = 'system'").select(F.col("c").alias("sc"), F.col("own").alias("sw"), one.alias("t"))
+    blocks = blocks.select("c", "blk", F.coalesce(F.sum("bt").over(before), F.lit(0)).alias("bs"), F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("bi"))
+    slim = df.select("c", "blk", "i", "s", "tok", (F.col("role") == "system").alias("sys")).join(blocks, ["c", "blk"])
+    slim = slim.select("c", "blk", "i", "tok", "sys", (F.col("s") + F.col("bs")).alias("s"), (F.col("i") + F.col("bi")).cast("long").alias("idx"))
+    slim = slim.withColumn("own", F.expr(f"(s div {stride}) * 2 + if(tok > {stride}, 1, 0)"))  # windows in order: bucket, then its long turn
+    place = ["c", "blk", "i", "idx", "tok"]
+    first = slim.groupBy("c", F.col("own").alias("w")).agg(F.min("s").alias("w0"))
+    own = slim.select(*place, F.col("own").alias("w"), F.lit(2).alias("part"))
     # a turn is history of spans that start within `history` tokens of its own start
-    past = df.where("not (idx = 0 and role = 'system')").select(
-        F.col("c").alias("hc"), one.alias("t"), (F.col("s") + F.col("tok")).alias("h1"), (F.col("s") + history).alias("h2"),
-        F.explode(F.expr(f"if((s + tok) div {stride} <= (s + {history}) div {stride}, sequence((s + tok) div {stride} * 2, (s + {history}) div {stride} * 2 + 1), array())")).alias("hw"),
-    )
-    hist = past.join(first, F.col("hc").eqNullSafe(F.col("c")) & (F.col("hw") == F.col("w")) & F.col("w0").between(F.col("h1"), F.col("h2")))
-    lead = first.join(sys_turn, F.col("c").eqNullSafe(F.col("sc")) & (F.col("w") > F.col("sw")))
-    parts = own.drop("s").unionAll(hist.select("c", "w", F.lit(1), "t")).unionAll(lead.select("c", "w", F.lit(0), "t"))
-    rows = parts.groupBy("c", "w").agg(F.array_sort(F.collect_list(F.struct("part", "t.idx", "t"))).alias("p"))  # a budget's worth of turns
+    reach = f"if((s + tok) div {stride} <= (s + {history}) div {stride}, sequence((s + tok) div {stride} * 2, (s + {history}) div {stride} * 2 + 1), array())"
+    past = slim.where("not (idx = 0 and sys)").select(*place, (F.col("s") + F.col("tok")).alias("h1"), (F.col("s") + history).alias("h2"), F.explode(F.expr(reach)).alias("w"))
+    hist = past.join(first, ["c", "w"]).where("w0 between h1 and h2").select(*place, "w", F.lit(1).alias("part"))
+    lead = slim.where("idx = 0 and sys").join(first, "c").where("w > own").select(*place, "w", F.lit(0).alias("part"))
+    member = own.unionAll(hist).unionAll(lead).drop("tok")
+    parts = member.join(df.drop("s"), ["c", "blk", "i"])
+    whole = F.concat("head", "body", F.lit(CLOSE + "\n")).alias("whole")
+    t = F.struct("idx", "role", "head", "body", whole, "tok")
+    rows = parts.groupBy("c", "w").agg(F.array_sort(F.collect_list(F.struct("part", "idx", t.alias("t")))).alias("p"))  # a budget's worth of turns
     rows = rows.withColumn(
         "at",
         F.expr("aggregate(p, named_struct('n', 0L, 'a', cast(array() as array<bigint>)), (x, y) -> named_struct('n', x.n + length(y.t.whole), 'a', array_append(x.a, x.n)), x -> x.a)"),
@@ -78,7 +79,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, syst
     )
     rows = rows.withColumn("n_tokens", F.expr("aggregate(p, 0L, (x, y) -> x + y.t.tok)"))
     return rows.select(
-        F.col("c").alias("conv_id"), F.col("w").alias("window"), F.expr("array_join(transform(p, x -> x.t.whole), '')").alias("formatted"),
+        F.col("c.conv_id").alias("conv_id"), F.col("w").alias("window"), F.expr("array_join(transform(p, x -> x.t.whole), '')").alias("formatted"),
         "turns", "loss", "n_tokens", (F.col("n_tokens") > budget).alias("over_budget"),
     )
 
@@ -112,3 +113,20 @@ def query(spark, sf_dir: str) -> DataFrame:
     )
     loss = loss.select(F.col("conv_id").alias("c"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
     return back.join(loss, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+
+
+SQL = r"""
+WITH c AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, '<|im_start|>' || url_encode(role) || chr(10) || regexp_replace(text, '([<\[])(\\*)(\|[A-Za-z0-9_]+\|>|/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g') || '<|im_end|>' || chr(10) AS whole FROM c),
+t AS (SELECT *, length(whole) // 4 + 4 AS tok FROM e),
+o AS (SELECT *, sum(tok) OVER o - tok AS s, row_number() OVER o - 1 AS idx FROM t WINDOW o AS (PARTITION BY c ORDER BY turn NULLS FIRST, role, whole ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT *, CAST(s AS BIGINT) // 320 * 2 + (tok > 320)::BIGINT AS own FROM o),
+f AS (SELECT c, own AS w, min(s) AS w0 FROM x GROUP BY ALL),
+r AS (SELECT x.c, length(whole) AS n FROM x JOIN f ON f.c = x.c AND f.w0 BETWEEN x.s + x.tok AND x.s + 256 WHERE NOT (idx = 0 AND role = 'system')
+  UNION ALL SELECT x.c, length(whole) FROM x JOIN f ON f.c = x.c AND f.w > x.own WHERE idx = 0 AND role = 'system'),
+again AS (SELECT c, sum(n) AS n FROM r GROUP BY c),
+g AS (SELECT c, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY idx) FILTER (WHERE role = 'assistant'), '') AS loss, sum(length(whole)) AS n FROM x GROUP BY c)
+SELECT g.c AS conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (g.n + coalesce(again.n, 0))::BIGINT AS formatted_chars FROM g LEFT JOIN again ON g.c = again.c
+"""
