@@ -152,11 +152,12 @@ def knapsack(value: np.ndarray, size: np.ndarray, room: int) -> tuple[float, np.
     return float(best[room]), many
 
 
-def patterns(counts: dict[int, int], room: int = LENGTH // UNIT, gap: float = 5e-4, most_rounds: int = 6000) -> list[tuple[dict[int, int], int]]:
+def patterns(counts: dict[int, int], room: int = LENGTH // UNIT, gap: float = 5e-4, smooth: float = 0.8, most_rounds: int = 8000) -> list[tuple[dict[int, int], int]]:
     """Cutting patterns ({units: how many}, times used) that hold every item of the histogram exactly once.
 
-    Column generation (revised simplex, explicit inverse) until the priced bound is within `gap` of
-    the master's value; patterns are rounded down, the rest is packed first-fit decreasing.
+    Column generation (revised simplex, explicit inverse) until the master's value is within `gap` of
+    the best bound; columns are priced at duals smoothed toward those of the best bound, and at the
+    true ones where that finds none. Patterns are rounded down, the rest is packed first-fit decreasing.
     """
     out = [({c: 1}, n) for c, n in counts.items() if c >= room and n]
     size = np.array(sorted(c for c, n in counts.items() if c < room and n), np.int64)
@@ -164,11 +165,20 @@ def patterns(counts: dict[int, int], room: int = LENGTH // UNIT, gap: float = 5e
         return out
     need = np.array([counts[c] for c in size], float)
     cols = np.diag(room // size).astype(float)
-    inverse, x = np.diag(1.0 / (room // size)), need / (room // size)
+    full = need + 1e-3 * np.random.default_rng(0).random(len(size))  # a nudge against degenerate steps
+    inverse, x = np.diag(1.0 / (room // size)), full / (room // size)
+    best, center = 0.0, np.ones(len(size)) @ inverse
     for _ in range(most_rounds):
         price = np.ones(len(size)) @ inverse
-        worth, many = knapsack(np.maximum(price, 0), size, room)
-        if worth <= 1 + 1e-9 or x.sum() * (1 - 1 / worth) <= gap * x.sum():
+        for dual in (np.maximum(smooth * center + (1 - smooth) * price, 0), np.maximum(price, 0)):
+            worth, many = knapsack(dual, size, room)
+            if full @ dual / max(1.0, worth) > best:
+                best, center = full @ dual / max(1.0, worth), dual / max(1.0, worth)
+            if price @ many > 1 + 1e-9:
+                break
+        else:
+            break
+        if x.sum() - best <= gap * x.sum():
             break
         step = inverse @ many
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
