@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED = "spark.evloom.shipped"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _WRITTEN: list[str] = []
 
 
@@ -58,7 +59,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, wherever they run (once per session)."""
+    """Make this package importable in Python workers, wherever they run (once per session), and keep their Arrow
+    batches small: whole texts travel in them. A batch size that the session has set itself stays."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "2000")
     if spark.conf.get(_SHIPPED, None) == spark.sparkContext.applicationId:
         return
     root = os.path.dirname(os.path.abspath(__file__))
