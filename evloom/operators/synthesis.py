@@ -111,3 +111,26 @@ def parse_response(raw) -> dict | None:
         except ValueError:
             return None
     return raw if isinstance(raw, dict) else None
+
+
+def counts(verified: DataFrame, seen: DataFrame) -> DataFrame:
+    """Per video: claims returned (all raw ones), retained, rejected, and the first distinct reasons in order."""
+    total = verified.groupBy("video_id").agg(F.count("*").alias("returned"))
+    own = seen.groupBy("video_id").agg(
+        F.sum(F.expr("if(reason is null, 1, 0)")).alias("retained"),
+        F.expr(f"slice(array_distinct(transform(array_sort(collect_list(case when reason is not null then struct(ord, reason) end)), x -> x.reason)), 1, {MAX_REASONS})").alias("reasons"),
+    )
+    return total.join(own, "video_id", "left").withColumn("retained", F.coalesce("retained", F.lit(0))).withColumn("rejected", F.col("returned") - F.col("retained"))
+
+
+def ask(synthesizer, brief: dict) -> dict:
+    """A synthesizer's answer: status ok with its object, or failed with the reason; its exceptions never leave here."""
+    if synthesizer is None:
+        return {"status": "unavailable", "answer": None, "detail": "no synthesizer"}
+    try:
+        answer = parse_response(synthesizer.synthesize(brief))
+    except Exception as e:  # an outside provider must not fail a run
+        return {"status": "failed", "answer": None, "detail": f"{type(e).__name__}: {e}"[:300]}
+    if answer is None or not isinstance(answer.get("claims", []), list):
+        return {"status": "failed", "answer": None, "detail": "the answer is no object with a list of claims"}
+    return {"status": "ok", "answer": answer, "detail": ""}

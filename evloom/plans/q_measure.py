@@ -206,3 +206,33 @@ def visual_regions(spark, sf_dir):
     gray = F.expr("unhex(array_join(transform(px, x -> lpad(hex(cast(least(255, greatest(0, floor(128 + x * 400))) as int)), 2, '0')), ''))")
     fr = views.frames(spark, sf_dir).select("video_id", "seq", "ts", gray.alias("gray"), F.lit(8).alias("width"), F.lit(8).alias("height"))
     return pixels.visual_changes(fr)
+
+
+@query(
+    "change_percentiles",
+    f"WITH {FR}, {_PAIR}, {_MAG} SELECT video_id, quantile_cont(magnitude, 0.1) AS p10, quantile_cont(magnitude, 0.5) AS p50, quantile_cont(magnitude, 0.9) AS p90 FROM mg GROUP BY 1",
+)
+def change_percentiles(spark, sf_dir):
+    ch = measure.frame_changes(views.frames(spark, sf_dir), above=0.3)
+    return ch.groupBy("video_id").agg(*[F.expr(f"percentile(magnitude, {p})").alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)])
+
+
+@query(
+    "pointer_references",
+    f"WITH {PT} SELECT video_id, seq, CASE WHEN x IS NULL THEN '(status=' || status || ')' ELSE 'x=' || x || ', y=' || y || ' (status=' || status || ')' END AS ref, round_even(ts * 25.0::DOUBLE, 0)::BIGINT AS frame_index FROM pt",
+)
+def pointer_references(spark, sf_dir):
+    from evloom.functions import evidence
+
+    pt = views.pointer(spark, sf_dir).withColumn("fps", F.lit(25.0))
+    return pt.select("video_id", "seq", evidence.pointer_ref().alias("ref"), evidence.frame_index().alias("frame_index"))
+
+
+@query(
+    "neighbour_links",
+    f"WITH {FR} SELECT video_id, seq, lag(seq) OVER w AS before, lead(seq) OVER w AS after FROM fr WINDOW w AS (PARTITION BY video_id ORDER BY ts, seq)",
+)
+def neighbour_links(spark, sf_dir):
+    """Each frame with the one before and after it."""
+    w = Window.partitionBy("video_id").orderBy("ts", "seq")
+    return views.frames(spark, sf_dir).select("video_id", "seq", F.lag("seq").over(w).alias("before"), F.lead("seq").over(w).alias("after"))

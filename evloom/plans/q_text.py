@@ -349,3 +349,31 @@ def package_rows(spark, sf_dir):
     )
     p = package.assemble(v, sg, views.evidence(spark, sf_dir).where("false"), "2026-01-01T00:00:00+00:00", cues=CUE_TOKENS)
     return p.select("video_id", "summary", F.array_join("stages_unavailable", ",").alias("unavailable"), F.size("limitations").cast("long").alias("n_limitations"))
+
+
+@query(
+    "claim_counts",
+    f"""WITH {_CLAIMS}, i AS (SELECT ord, reason, row_number() OVER (ORDER BY ord) AS i, coalesce(sum((reason IS NULL)::INT) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ok FROM vf),
+s AS (SELECT * FROM i WHERE i <= 160 AND ok < 40), f AS (SELECT reason, min(ord) AS o FROM s WHERE reason IS NOT NULL GROUP BY 1 ORDER BY 2 LIMIT 10)
+SELECT (SELECT count(*) FROM vf) AS returned, (SELECT count(*) FROM s WHERE reason IS NULL) AS retained, (SELECT count(*) FROM vf) - (SELECT count(*) FROM s WHERE reason IS NULL) AS rejected, (SELECT string_agg(reason, '|' ORDER BY o) FROM f) AS reasons""",
+)
+def claim_counts(spark, sf_dir):
+    v = _claims(spark, sf_dir)
+    c = synthesis.counts(v, synthesis.intake(v))
+    return c.select("returned", F.col("retained").cast("long").alias("retained"), F.col("rejected").cast("long").alias("rejected"), F.array_join("reasons", "|").alias("reasons"))
+
+
+@query(
+    "claim_images",
+    f"""WITH {FR}, k AS (SELECT seq AS frame_id, CASE WHEN seq % 3 = 0 THEN seq WHEN seq % 3 = 1 THEN seq - 1 END AS kept FROM fr), w AS (SELECT doc_id AS claim, pos, (doc_id * 7 + pos) % 400 AS frame_id FROM labels, (VALUES (0), (1), (2)) t(pos)),
+h AS (SELECT claim, kept, min(pos) AS pos FROM w JOIN k USING (frame_id) WHERE kept IS NOT NULL GROUP BY ALL) SELECT claim, string_agg(CAST(kept AS VARCHAR), ',' ORDER BY pos) AS images FROM h GROUP BY 1""",
+)
+def claim_images(spark, sf_dir):
+    """claims' frames as retained images, duplicates by their stand-in."""
+    from evloom.operators import package
+
+    fr = views.frames(spark, sf_dir)
+    kept = fr.select(F.lit("0").alias("video_id"), "seq", F.expr("case when seq % 3 = 0 then seq when seq % 3 = 1 then seq - 1 end").alias("superseded_by")).where("superseded_by is not null")
+    wants = views.table(spark, sf_dir, "labels").select(F.lit("0").alias("video_id"), F.col("doc_id").alias("claim"), F.posexplode(F.array(*[F.lit(i) for i in range(3)])).alias("pos", "_i"))
+    wants = wants.select("video_id", "claim", "pos", F.expr("(claim * 7 + pos) % 400").alias("frame_id"))
+    return package.link_images(wants, kept).select("claim", F.array_join(F.col("images").cast("array<string>"), ",").alias("images"))

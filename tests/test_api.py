@@ -80,3 +80,25 @@ def test_cursor_motion_from_pixels(spark):
     df = spark.createDataFrame(rows, "video_id string, seq long, ts double, width int, height int, gray binary")
     s = [r for r in api.analyze_cursor_motion(df).collect() if r.motion_state == "moving"]
     assert len(s) == 1 and s[0].direction_deg == 0.0 and F is not None
+
+
+def test_evidence_rows(spark):
+    from evloom.functions import evidence as fn
+    from evloom.operators import synthesis
+
+    df = spark.createDataFrame([("ok", "", "/p", 0.5, 1.0, "moving", 10.0, 0.25, "displacement"), (None, "u", "/p", 2.5, 1.0, "uncertain", None, None, "gap")], "status string, source string, path string, ts double, fps double, motion_state string, direction_deg double, speed double, basis string")
+    a, b = df.select(fn.usable().alias("u"), fn.source_of().alias("s"), fn.frame_index().alias("i"), fn.cursor_ref().alias("r")).collect()
+    assert (a.u, a.s, a.i) == (True, "/p", 0) and (b.u, b.s, b.i) == (False, "u", 2)
+    assert a.r == '{"basis":"displacement","direction_deg":10.0,"mean_speed_norm":0.25,"state":"moving"}' and '"direction_deg":null' in b.r
+    assert fn.change_method(0.08) == "luma_absdiff>25/area>=0.08"
+
+    class Broken:
+        def synthesize(self, brief):
+            raise RuntimeError("down")
+
+    class Wrong:
+        def synthesize(self, brief):
+            return {"claims": 3}
+
+    assert synthesis.ask(None, {})["status"] == "unavailable"
+    assert synthesis.ask(Broken(), {})["detail"] == "RuntimeError: down" and synthesis.ask(Wrong(), {})["status"] == "failed"
