@@ -23,6 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op1_chat_format": chat_format.SQL,
+        "op5_suffix_dedup": suffix_dedup.SQL,
         "op6_embedding_dedup": embedding_dedup.SQL,
         "op9_url_filter": url_filter.SQL,
         "op10_quality_rules": quality_rules.SQL,

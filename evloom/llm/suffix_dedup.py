@@ -509,3 +509,15 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     changed = joined.where("_s is not null").select("_rest", cut("text", "_s").alias("text"))
     left = where_once(changed, F.col("text").rlike(r"[^\x20\x09-\x0D]")).unionAll(joined.where("_s is null").select("_rest", "text"))
     return left.select(*[F.col("text") if c == "text" else F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"_rest.{c}") for c in cols])
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, i, substr(h, i * 2 + 1, 2) AS b, CASE WHEN (i + 100) * 2 <= length(h) THEN substr(h, i * 2 + 1, 200) END AS w
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM d)),
+r AS (SELECT doc_id, i, b, w IS NOT NULL AND row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1 AS again FROM p),
+m AS (SELECT doc_id, i, b, coalesce(i - max(CASE WHEN again THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) < 100, false) AS gone FROM r),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM m),
+g AS (SELECT doc_id, sum(gone::INT) AS n_removed, sum(opens::INT) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM s GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
