@@ -31,7 +31,7 @@ LENGTH = 2048
 UNIT = 8
 CLOSING_ID = 1
 BLOCK_ROWS = 100_000
-WORDS_HELD = 300_000
+WORDS_HELD = 100_000
 # The splitting pattern of this tokenizer family, as published in its file.
 FAST = "[{L}]+|[{N}]|'(?:s|t|re|ve|m|ll|d)|[^{S}{L}{N}]+"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -46,16 +46,18 @@ class WordIds:
     """
 
     def __init__(self, spec: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_str(spec)
+        self.spec, self.tok = spec, None
         self.split, self.bpe = splitter(PATTERN, FAST), ByteBPE(spec)
-        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = list(self.bpe.added)
         self.held: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
 
     def _whole(self, text: str) -> bytes:
+        if self.tok is None:  # few texts need the library
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.tok = Tokenizer.from_str(self.spec)
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:

@@ -26,17 +26,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evloom.session import ship, where_once, written
+from evloom.session import ship, sliced, where_once, written
 
 LABELLED, UNLABELLED = 30_000, 10_000
 CANDIDATES, FEATURES, VOTERS = 20_000, 1024, 192
 STARTS = (3, 4, 5, 6, 7)
-LEVELS = (1, 2, 4)
+OFTEN, SHARES = (2, 4), (0.008, 0.015)
 LEAST_TOXIC = 4
 LEAST_G2 = 30.0  # a mined feature must be far from chance
 LABEL_VOTE = 3.0  # log odds of a given label, itself a voter
 _WORD = re.compile(r"[^\W\d_]+")
-_HELD = 300_000
+_HELD = 100_000
 
 
 def word_features(word: str) -> list[str]:
@@ -44,18 +44,27 @@ def word_features(word: str) -> list[str]:
     return [word[:k] for k in STARTS if len(word) > k] + [word + "$"]
 
 
-def text_words(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+def text_words(text: str | None) -> Counter:
+    return Counter(_WORD.findall((text or "").lower()))
 
 
-def levels(tally: dict[str, int]) -> list[str]:
-    """Features of a text: what its distinct words show, and shown by at least 2 or 4 of them."""
-    return [f if k == 1 else f"{f}#{k}" for f, n in tally.items() for k in LEVELS if n >= k]
+def levels(tally: dict[str, int], total: int) -> list[str]:
+    """Features of a text of `total` words: what its words show, how often (#) and in what share of them (~)."""
+    out = list(tally)
+    for f, n in tally.items():
+        out += [f"{f}#{k}" for k in OFTEN if n >= k]
+        out += [f"{f}~{i}" for i, share in enumerate(SHARES) if n >= share * total]
+    return out
 
 
-def text_features(text: str | None, known=None) -> list[str]:
-    out = levels(Counter(f for w in text_words(text) for f in word_features(w)))
-    return out if known is None else [f for f in out if f in known]
+def text_stems(text: str | None, known=None) -> tuple[Counter, int]:
+    """How often the words of a text show each (known) feature, and how many words it has."""
+    words, tally = text_words(text), Counter()
+    for w, n in words.items():
+        for f in word_features(w):
+            if known is None or f in known:
+                tally[f] += n
+    return tally, words.total()
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -69,13 +78,26 @@ def _share(id_col: str, n: int, most: int) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col), F.lit(97)), F.lit(1_000_000)) < int(1_000_000 * most / n)
 
 
-def _counted(known=None):
+def _stem_counts(batches):
+    """(t) -> in how many texts each feature occurs; a few texts are counted at a time."""
+    for b in sliced(batches, 64):
+        c: Counter = Counter()
+        for t in b.column(0):
+            c.update(text_stems(t.as_py())[0].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["f", "n"])
+
+
+def _level_counts(sent):
+    """(y, t) -> toxic and clean texts per feature and level, of the candidates only."""
+
     def run(batches):
-        for b in batches:
-            c: Counter = Counter()
-            for t in b.column(0):
-                c.update(text_features(t.as_py(), known))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["f", "n"])
+        known = sent.value
+        for b in sliced(batches, 512):
+            c = (Counter(), Counter())
+            for y, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                c[y].update(levels(*text_stems(t.as_py(), known)))
+            every = list(c[0].keys() | c[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *[pa.array([c[y][f] for f in every], pa.int64()) for y in (1, 0)]], ["f", "n1", "n0"])
 
     return run
 
@@ -139,29 +161,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """{"bias": float, "weights": {feature: weight}, "voters": [...]} learnt from the rows that are not held out."""
     spark = docs.sparkSession
     ship(spark)
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
-    n_known = known.count()
-    pick = known.where(_share("doc_id", n_known, most)).withColumnRenamed("doc_id", "_id")
+    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    marked = marked.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
+    n_known = marked.count()
+    pick = marked.where(_share("doc_id", n_known, most)).withColumnRenamed("doc_id", "_id")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("t")).where(F.col("_id").isNotNull() & ~held_out("_id"))
     rows = written(texts.join(F.broadcast(pick), "_id").select("y", "t"), "labelled")  # about `most` ids
     classes = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     n1, n0 = classes.get(1, 0), classes.get(0, 0)
     if not n1 or not n0:
         return {"bias": float(np.clip(np.log((n1 + 1e-3) / (n0 + 1e-3)), -20, 20)) if n1 + n0 else -20.0, "weights": {}, "voters": []}
-    tally = lambda df, only=None: df.select("t").mapInArrow(_counted(only), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    toxic = tally(rows.where("y = 1")).where(F.col("n") >= LEAST_TOXIC).orderBy(F.desc("n"), "f").limit(CANDIDATES).collect()
-    in_toxic = {r["f"]: r["n"] for r in toxic}
-    in_clean = {r["f"]: r["n"] for r in tally(rows.where("y = 0"), frozenset(in_toxic)).collect()}
+    stems = rows.where("y = 1").select("t").mapInArrow(_stem_counts, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    stems = stems.where(F.col("n") >= LEAST_TOXIC).orderBy(F.desc("n"), "f").limit(CANDIDATES).collect()
+    sent = spark.sparkContext.broadcast(frozenset(r["f"] for r in stems))  # at most CANDIDATES words
+    counted = rows.mapInArrow(_level_counts(sent), "f string, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    counted = counted.where(F.col("n1") >= LEAST_TOXIC).collect()  # a few levels a candidate
+    in_toxic, in_clean = {r["f"]: r["n1"] for r in counted}, {r["f"]: r["n0"] for r in counted}
     odds = {f: np.log(((n + 0.5) / (n1 + 1)) / ((in_clean.get(f, 0) + 0.5) / (n0 + 1))) for f, n in in_toxic.items()}
     weight = {f: _g2(n, in_clean.get(f, 0), n1, n0) for f, n in in_toxic.items()}
     mined = sorted((f for f in odds if odds[f] > 1.5 and weight[f] >= LEAST_G2), key=lambda f: (-weight[f], f))[:FEATURES]
     place = {f: i for i, f in enumerate(mined)}
-    known_f = frozenset(mined)
+    known = frozenset(re.split("[#~]", f)[0] for f in mined)
 
     def hits(batches):
         for b in batches:
-            own = [[place[f] for f in text_features(t.as_py(), known_f)] for t in b.column(1)]
+            own = [[place[f] for f in levels(*text_stems(t.as_py(), known)) if f in place] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int32()))], ["y", "hits"])
 
     n_docs = texts.count()
@@ -186,7 +210,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bias, weights = sent.value
-        stems = {f.split("#")[0] for f in weights}
+        stems = {re.split("[#~]", f)[0] for f in weights}
         held: dict[str, tuple] = {}
         for col in batches:
             out = np.empty(len(col))
@@ -194,10 +218,13 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                 words = text_words(t.as_py())
                 if len(held) > _HELD:
                     held.clear()
-                for w in words.difference(held):
+                for w in [w for w in words if w not in held]:
                     held[w] = tuple(f for f in word_features(w) if f in stems)
-                found = levels(Counter(f for w in words if held[w] for f in held[w]))
-                out[i] = bias + sum(weights.get(f, 0.0) for f in sorted(found))
+                tally: Counter = Counter()
+                for w, n in words.items():
+                    for f in held[w]:
+                        tally[f] += n
+                out[i] = bias + sum(weights.get(f, 0.0) for f in sorted(levels(tally, words.total())))
             yield pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))
 
     return docs.withColumn("score", run(F.col(text_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
