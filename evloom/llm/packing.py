@@ -31,7 +31,8 @@ LENGTH = 2048
 UNIT = 8
 CLOSING_ID = 1
 BLOCK_ROWS = 100_000
-WORDS_HELD = 100_000
+WORDS_HELD = 300_000  # words that a worker remembers, twice (about 200 bytes each)
+WORDS_HELD_BESIDE = 100_000  # the same where workers also serve other stages
 # The splitting pattern of this tokenizer family, as published in its file.
 FAST = "[{L}]+|[{N}]|'(?:s|t|re|ve|m|ll|d)|[^{S}{L}{N}]+"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -45,7 +46,8 @@ class WordIds:
     code points younger than this Python's Unicode table, go to the library whole.
     """
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, most: int = WORDS_HELD):
+        self.most = most
         self.spec, self.tok = spec, None
         self.split, self.bpe = splitter(PATTERN, FAST), ByteBPE(spec)
         self.added = list(self.bpe.added)
@@ -61,7 +63,7 @@ class WordIds:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.held) > WORDS_HELD:
+        if len(self.held) > self.most:
             self.older, self.held = self.held, {}
         held, split = self.held, []
         for t in texts:
@@ -90,7 +92,7 @@ _MADE: dict[int, WordIds] = {}
 
 
 def token_pieces(
-    docs: DataFrame, path: str, length: int = LENGTH, closing_id: int = CLOSING_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    docs: DataFrame, path: str, length: int = LENGTH, closing_id: int = CLOSING_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, words_held: int = WORDS_HELD
 ) -> DataFrame:
     """Pieces of at most `length` ids: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids."""
     spark = docs.sparkSession
@@ -101,9 +103,9 @@ def token_pieces(
     end = np.int32(closing_id).tobytes()
 
     def run(batches):
-        key = hash(spec.value)
+        key = hash((spec.value, words_held))
         if key not in _MADE:
-            _MADE[key] = WordIds(spec.value)
+            _MADE[key] = WordIds(spec.value, words_held)
         model = _MADE[key]
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -276,4 +278,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: the packed pieces of the documents that are left."""
-    return pack(token_pieces(docs, _default_path()))
+    return pack(token_pieces(docs, _default_path(), words_held=WORDS_HELD_BESIDE))
