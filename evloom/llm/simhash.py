@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evloom.session import ship, written
+from evloom.session import ship, sliced, written
 
 from .components import connected_components, forest
 from .suffix_dedup import keyed
@@ -187,115 +187,197 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 # --- near copies beyond four bits, for the pipeline
 
-_PAIRS = [(i, j) for i in range(8) for j in range(i + 1, 8)]
+SAMPLE, COMMON = 10_000, 200_000  # documents and shingles that shape the order of prefixes; results do not depend on them
+_SKETCH = 1024
 
 
-def _wide_prints(batches):
-    """(id, text) -> id, the contract's fingerprint, and two fingerprints over word pairs (few changed words move few of their bits)."""
-    for b in batches:
-        rows = []
-        for t in b.column(1):
-            text = t.as_py()
-            h = shingle_hashes(text, 2)
-            again = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            rows.append((fingerprint(text), majority(h), majority(again ^ (again >> np.uint64(32)))))
-        x = np.array(rows, np.uint64).reshape(-1, 3).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, i].copy()) for i in range(3)]], ["doc_id", "fp", "a", "b"])
+def _mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
+    x = (x ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
 
 
-def closest(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int, few: int = 16, k: int = 4, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of links inside each list: all of a short list, of a longer one each member's k nearest."""
-    sizes, left, right = ends - starts, [], []
-    s, n = starts[(sizes > 1) & (sizes <= few)], sizes[(sizes > 1) & (sizes <= few)]
-    for gap in range(1, few):
-        s, n = s[n > gap], n[n > gap]
-        reps = n - gap
-        i = np.repeat(s - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-        z = x[i] ^ x[i + gap]
-        ok = np.bitwise_count(z) <= bits
-        left.append(i[ok])
-        right.append(i[ok] + gap)
-    for at, to in zip(starts[sizes > few].tolist(), ends[sizes > few].tolist(), strict=True):
-        own = x[at:to]
-        for c in range(0, len(own), block):
-            far = np.bitwise_count(own[c : c + block, None] ^ own[None, :]).astype(np.uint8)
-            far[np.arange(len(far)), np.arange(c, c + len(far))] = 255
-            near = np.argpartition(far, min(k, far.shape[1] - 1), axis=1)[:, :k]
-            i, j = np.nonzero(np.take_along_axis(far, near, axis=1) <= bits)
-            left.append(at + c + i)
-            right.append(at + near[i, j])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left) if left else none), (np.concatenate(right) if right else none)
-
-
-def _wide_lists(bits: int):
-    """Rows (unit, node, x) sorted by unit -> candidate links (a, b) with a < b."""
+def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first shingles of a set in a fixed order (rare ones first): two sets with a Jaccard similarity of `least` share one of them."""
+    known, count = common
+    at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
+    rank = np.where(known[at] == s, count[at], 0) if len(known) else np.zeros(len(s), np.int64)
+    return s[np.lexsort((s, _mixed(s), rank))[: len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1]]
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of a set's hashes in 1024 cells: two sketches differ in no more cells than the sets in elements."""
+    return np.packbits(np.bincount((_mixed(s, 1) % np.uint64(_SKETCH)).astype(np.int64), minlength=_SKETCH) & 1 == 1)
+
+
+def _wide_prints(sent, words: int, least: float):
+    """(id, text) -> id, the contract's fingerprint, the shingle set's hash, size and sketch, and its prefix."""
+
+    def run(batches):
+        common = sent.value
+        for b in sliced(batches):
+            rows = []
+            for t in b.column(1):
+                text = t.as_py()
+                s = np.unique(shingle_hashes(text, words))
+                rows.append((fingerprint(text), xxhash.xxh64_intdigest(s.tobytes(), SEED), len(s), sketch(s).tobytes(), prefix(s, common, least).view(np.int64)))
+            fp, node, n, bits, first = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, node)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *longs, pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "fp", "node", "n", "sketch", "first"]
+            )
+
+    return run
+
+
+def _by_unit(act):
+    """Rows sorted by unit (first column) -> what `act` yields for the columns of whole lists; a list cut by a batch border is carried over."""
 
     def run(batches):
-        held = None
+        held, rows = [], 0
+        last = None
 
-        def out(unit, node, x):
+        def whole():
+            t = pa.Table.from_batches(held)
+            unit = t.column(0).to_numpy()
             cut = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-            i, j = closest(x.view(np.uint64), cut, np.append(cut[1:], len(unit)), bits)
-            pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+            return t, cut
 
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            held = cols if held is None else [np.concatenate(c) for c in zip(held, cols, strict=True)]
-            if not len(held[0]):
+            if not batch.num_rows:
                 continue
-            end = int(np.searchsorted(held[0], held[0][-1]))
-            if end:
-                yield out(*[c[:end] for c in held])
-                held = [c[end:] for c in held]
-        if held is not None and len(held[0]):
-            yield out(*held)
+            if rows >= 100_000 and batch.column(0)[batch.num_rows - 1].as_py() != last:
+                held.append(batch)
+                t, cut = whole()
+                end = int(cut[-1])
+                yield from act(t.slice(0, end), cut[:-1])
+                held = t.slice(end).to_batches()
+                rows = t.num_rows - end
+            else:
+                held.append(batch)
+                rows += batch.num_rows
+            last = batch.column(0)[batch.num_rows - 1].as_py()
+        if held:
+            yield from act(*whole())
 
     return run
 
 
+def _shared(t: pa.Table, cut: np.ndarray):
+    """Rows of the lists that have more than one member."""
+    size = np.diff(np.append(cut, t.num_rows))
+    yield from t.filter(pa.array(np.repeat(size > 1, size))).combine_chunks().to_batches()
+
+
+def _links(least: float, stars: int, block: int = 256, small: int = 48, most: int = 200_000):
+    """Lists (unit, node, comp, n, pos, sketch) -> pairs (a, b) of different components that may be similar: each member with `stars`
+    members of its list, or for 0 all pairs. Left out are only pairs that cannot reach `least`: by sizes and places in the prefix
+    (a similar pair passes at the first shingle that it shares), or because sketches differ in too many cells."""
+
+    def act(t, cut):
+        node, comp, n, pos = (t.column(i).to_numpy() for i in range(1, 5))
+        bits = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint64).reshape(-1, _SKETCH // 64)
+        ends = np.append(cut[1:], t.num_rows)
+        share = least / (1 + least)
+
+        def cheap(i, j):
+            both = n[i] + n[j]
+            return (comp[i] != comp[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= share * both - 1e-9)
+
+        def out(i, j):
+            for at in range(0, len(i), most):
+                x, y = i[at : at + most], j[at : at + most]
+                ok = cheap(x, y)
+                x, y = x[ok], y[ok]
+                ok = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= (1 - 2 * share) * (n[x] + n[y]) + 1e-9
+                x, y = node[x[ok]], node[y[ok]]
+                if len(x):
+                    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+        sizes = ends - cut
+        if stars:
+            unit = np.repeat(np.arange(len(cut)), sizes)
+            for seed in range(2, 2 + stars):
+                lead = np.lexsort((_mixed(node.view(np.uint64), seed), unit))[cut]
+                yield from out(np.arange(len(node)), np.repeat(lead, sizes))
+            return
+        open_ = np.minimum.reduceat(comp, cut) != np.maximum.reduceat(comp, cut) if len(cut) else np.zeros(0, bool)
+        s, k = cut[open_ & (sizes <= small)], sizes[open_ & (sizes <= small)]
+        for gap in range(1, small):
+            s, k = s[k > gap], k[k > gap]
+            reps = k - gap
+            i = np.repeat(s - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+            yield from out(i, i + gap)
+        for at, to in zip(cut[open_ & (sizes > small)].tolist(), ends[open_ & (sizes > small)].tolist(), strict=True):
+            for c in range(at, to, block):
+                i, j = np.arange(c, min(c + block, to))[:, None], np.arange(c, to)[None, :]
+                x, y = np.nonzero(cheap(i, j) & (i < j))
+                yield from out(c + x, c + y)
+
+    return act
+
+
 def _shingle_sets(words: int):
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
     return run
 
 
-def similar_groups(docs: DataFrame, bits: int = 6, words: int = 5, least: float = 0.8, split: int = 50_000) -> DataFrame:
-    """docs (_k unique, text) -> the smallest _k of every group. A group holds what op8's links join (four-word
-    fingerprints within four bits) and near copies: candidates are within `bits` of each other in a fingerprint over word
-    pairs (they share two positional bytes at least, which the 28 byte pairs cover), links have a Jaccard similarity of
-    `least` or more over the distinct `words`-word shingles, checked exactly. Posting lists beyond `split` are cut in
-    chunks that meet pairwise, as near_components does it."""
+def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample shows often, sorted, and how often: they go last in prefixes, so lists stay short. Any order gives the same links."""
+    n = docs.count()
+    some = docs if n <= SAMPLE else docs.where(F.pmod(F.xxhash64("_k", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / n))
+    seen = some.select("_k", "text").mapInArrow(_shingle_sets(words), "node long, s array<long>").select(F.explode("s").alias("h")).groupBy("h").count()
+    got = seen.where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toPandas()  # at most COMMON rows
+    h, c = got["h"].to_numpy(np.int64).view(np.uint64), got["count"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, split: int = 20_000, stars: int = 4) -> DataFrame:
+    """docs (_k unique, text) -> the smallest _k of every group. A group holds what op8's links join (four-word fingerprints
+    within four bits) and near copies: texts with a Jaccard similarity of `least` or more over their distinct `words`-word
+    shingles. No such pair is missed: sets are posted under the shingles of their prefixes, and two that are similar share
+    one. Equal sets are one node. First each member of a list meets a few others of it, so large groups come together
+    without their pairs; then all pairs of a list that are still in different components are checked. Lists beyond
+    `split` are cut in chunks that meet pairwise, as near_components does it."""
     spark = docs.sparkSession
     ship(spark)
-    prints = written(docs.select("_k", "text").mapInArrow(_wide_prints, "doc_id long, fp long, a long, b long"), "prints")
+    sent = spark.sparkContext.broadcast(_common(docs, words))
+    prints = docs.select("_k", "text").mapInArrow(_wide_prints(sent, words, least), "doc_id long, fp long, node long, n int, sketch binary, first array<long>")
+    prints = written(prints, "prints")
     comp = near_components(prints.select("doc_id", "fp"))
-    nodes = prints.join(comp, "fp").groupBy("a", "b", "root").agg(F.min("doc_id").alias("least"))
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    posts = []
-    for seed, col in enumerate(("a", "b")):
-        for n, (i, j) in enumerate(_PAIRS):
-            key = f"{(seed * 28 + n) << 16} | (shiftleft(shiftrightunsigned({col}, {8 * i}) & 255, 8)) | (shiftrightunsigned({col}, {8 * j}) & 255)"
-            posts.append(f"struct({key} as unit, {col} as x)")
-    posted = nodes.select("node", F.explode(F.expr(f"array({', '.join(posts)})")).alias("p")).select(F.col("p.unit").cast("long").alias("unit"), "node", F.col("p.x").alias("x"))
-    if posted.groupBy("unit").count().where(F.col("count") > split).limit(1).count():
-        sizes = posted.groupBy("unit").count().where(F.col("count") > split).withColumn("c", F.ceil(F.col("count") / split).cast("int")).drop("count")
-        posted = posted.join(sizes, "unit", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("i", F.expr("cast(pmod(xxhash64(node), c) as int)"))
-        posted = posted.withColumn("j", F.explode(F.expr("sequence(0, c - 1)"))).select(F.expr("xxhash64(unit, least(i, j), greatest(i, j))").alias("unit"), "node", "x")
-    found = posted.repartition("unit").sortWithinPartitions("unit").mapInArrow(_wide_lists(bits), "a long, b long")
-    found = written(found.distinct(), "candidates")
-    ends = found.select(F.col("a").alias("node")).unionAll(found.select("b")).distinct().join(nodes.select("node", "least"), "node")
-    texts = docs.select("_k", "text").join(ends, F.col("_k") == F.col("least")).select("node", "text")
+    roots = written(prints.select("fp", "node").distinct().join(comp, "fp").select("node", "root").distinct(), "noderoots")
+    first = roots.groupBy("root").agg(F.min("node").alias("m"))
+    same = roots.join(first, "root").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
+    nodes = written(nodes, "nodes")
+    leaders = prints.join(nodes, (prints.doc_id == nodes.least) & (prints.node == nodes.node)).select(prints.node, "n", "sketch", "first")
+    posted = leaders.select("node", "n", F.posexplode("first").alias("pos", "unit")).select("unit", "node", "n", "pos")
+    lists = posted.repartition("unit").sortWithinPartitions("unit").mapInArrow(_by_unit(_shared), "unit long, node long, n int, pos int")
+    lists = written(lists, "lists")
+    some = lists.select("node").distinct()
+    prints = leaders.select("node", "sketch").join(some, "node")
+    texts = docs.select("_k", "text").join(nodes.join(some, "node"), F.col("_k") == F.col("least")).select("node", "text")
     sets = written(texts.mapInArrow(_shingle_sets(words), "node long, s array<long>"), "sets")
-    both = found.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
-    same = both.where(F.col("n") >= F.lit(least) * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
-    first = nodes.groupBy("root").agg(F.min("node").alias("m"))
-    joined = nodes.join(first, "root").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
-    groups = connected_components(same.unionAll(joined))
+    bits = written(prints, "sketches")
+    groups = connected_components(same)
+    for n in (stars, 0):
+        full = lists.join(bits, "node").join(groups.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        if not n and lists.groupBy("unit").count().where(F.col("count") > split).limit(1).count():
+            sizes = lists.groupBy("unit").count().where(F.col("count") > split).withColumn("c", F.ceil(F.col("count") / split).cast("int")).drop("count")
+            full = full.join(sizes, "unit", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("i", F.expr("cast(pmod(xxhash64(node), c) as int)"))
+            full = full.withColumn("j", F.explode(F.expr("sequence(0, c - 1)"))).withColumn("unit", F.expr("xxhash64(unit, least(i, j), greatest(i, j))"))
+        full = full.select("unit", "node", "comp", "n", "pos", "sketch")
+        found = full.repartition("unit").sortWithinPartitions("unit").mapInArrow(_by_unit(_links(least, n)), "a long, b long")
+        found = written(found.distinct(), "candidates")
+        both = found.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+        near = both.where(F.col("n") >= F.lit(least) * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
+        groups = connected_components(near.unionAll(groups.toDF("a", "b")))
     rich = nodes.join(groups.withColumnRenamed("root", "group"), "node", "left").select("least", F.coalesce("group", "node").alias("group"))
     return rich.groupBy("group").agg(F.min("least").alias("_k")).select("_k")
 

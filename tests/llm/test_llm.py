@@ -469,6 +469,64 @@ def test_native_operators_run_no_python(spark):
         assert not re.search("Python|Pandas|Arrow(Eval|Map)|MapIn", plan), name
 
 
+# --- groups of near copies
+
+
+def grouped(texts, words=5, least=0.8):
+    """Smallest place of each group, by all pairs."""
+    sets = [set(simhash.shingle_hashes(t, words).tolist()) for t in texts]
+    prints = [simhash.fingerprint(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        n = len(sets[i] & sets[j])
+        if (prints[i] ^ prints[j]).bit_count() <= 4 or (n and n >= least * (len(sets[i]) + len(sets[j]) - n)):
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
+    return {find(i) for i in range(len(texts))}
+
+
+def kept(spark, texts, **kw):
+    d = spark.createDataFrame(list(enumerate(texts)), "_k long, text string")
+    return {r._k for r in simhash.similar_groups(d, **kw).collect()}
+
+
+def variants(rnd, base, times, changed):
+    out = []
+    for _ in range(times):
+        w = list(base)
+        for i in rnd.sample(range(len(w)), changed):
+            w[i] = f"v{rnd.randrange(10**9)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("split", [20_000, 10])
+def test_near_copies_in_long_lists(spark, split):
+    rnd = random.Random(8)
+    base = [f"b{rnd.randrange(5000)}" for _ in range(300)]
+    texts = variants(rnd, base, 60, 9)  # a template family: mostly under the threshold, in the same lists
+    texts += [t for x in texts[:12] for t in variants(rnd, x.split(), 1, 5)]  # true near copies behind it
+    texts += variants(rnd, [f"c{i}" for i in range(250)], 40, 2)  # one group of many variants
+    want = grouped(texts)
+    assert 2 < len(want) < len(texts) - 40
+    assert kept(spark, texts, split=split) == want
+
+
+def test_near_copy_behind_nearer_fingerprints(spark):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice("abcdef") for _ in range(3000)) for _ in range(60)]  # equal word pairs, other passages
+    texts += [f"{t} {'z ' * 100}" for t in texts[:10]]  # nearly all passages the same, but one word pair more
+    want = grouped(texts)
+    assert want < set(range(60))  # some copies are near each other, too
+    assert kept(spark, texts) == want
+
+
 # --- pipeline
 
 
