@@ -527,6 +527,21 @@ def test_near_copy_behind_nearer_fingerprints(spark):
     assert kept(spark, texts) == want
 
 
+def test_recall_between_the_threshold_and_nine_tenths(spark):
+    rnd = random.Random(9)
+    texts = []
+    for k in range(240):  # r changed words out of 229, five or more apart: similarity (225 - 5 r) / (225 + 5 r)
+        r = (5, 4, 3)[k % 3]
+        w = [f"w{rnd.randrange(10**6)}" for _ in range(229)]
+        texts.append(" ".join(w))
+        for i in range(r):
+            w[20 + 40 * i + rnd.randrange(30)] = f"n{rnd.randrange(10**6)}"
+        texts.append(" ".join(w))
+    want = grouped(texts)
+    assert len(want) == 240
+    assert kept(spark, texts) == want
+
+
 # --- pipeline
 
 
