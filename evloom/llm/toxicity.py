@@ -6,9 +6,11 @@ rates in both classes and the voters' correlations inside the toxic class; corre
 their weight. Its posteriors, not the raw labels, train a linear classifier over all mined
 features, which scores every whole text.
 
-Bounds (parameters): about LABELLED labelled and UNLABELLED unlabelled rows are used to fit, taken
-by a hash of doc_id; CANDIDATES, FEATURES and VOTERS bound what the driver holds. Rows whose
-crc32(doc_id as text) mod 5 is 0 are never used to fit.
+Bounds (parameters): about LABELLED labelled rows are used as labels, and about UNLABELLED more rows
+train the linear classifier, taken by a hash of doc_id. Voters are tested over all features of the
+labelled rows, and the label model sees every row that is not held out, as counts of distinct vote
+patterns. FEATURES and VOTERS bound what the driver holds. Rows whose crc32(doc_id as text) mod 5
+is 0 are never used to fit.
 
 Defined results: null or empty texts score like a text without any feature; without usable labels
 of both classes every score is the prior (0 if there is none); repeated rows get equal scores;
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from evloom.session import ship, sliced, where_once, written
 
 LABELLED, UNLABELLED = 30_000, 10_000
-CANDIDATES, FEATURES, VOTERS = 20_000, 1024, 192
+FEATURES, VOTERS = 1024, 192
 STARTS = (3, 4, 5, 6, 7)
 OFTEN, SHARES = (2, 4), (0.008, 0.015)
 LEAST_TOXIC = 4
@@ -92,7 +94,7 @@ def _level_counts(sent):
 
     def run(batches):
         known = sent.value
-        for b in sliced(batches, 512):
+        for b in sliced(batches, 128):
             c = (Counter(), Counter())
             for y, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 c[y].update(levels(*text_stems(t.as_py(), known)))
@@ -109,40 +111,88 @@ def _g2(a: int, b: int, n1: int, n0: int) -> float:
     return 2 * float(part(a, a + b, n1) + part(b, a + b, n0) + part(n1 - a, rest, n1) + part(n0 - b, rest, n0))
 
 
-def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 12, anchor: float = 1.0):
-    """EM over binary votes (rows x voters); label: 1, 0 or -1 (unknown).
+def posteriors(v: np.ndarray, label: np.ndarray, params: tuple) -> np.ndarray:
+    """P(toxic) of rows of binary votes; a given label (1 or 0) is a voter, too."""
+    prior, hit1, hit0, share, none1, none0 = params
+    z = np.log(prior / (1 - prior)) + np.where(v.any(1), v @ (share * np.log(hit1 / hit0)), np.log(none1 / none0))
+    z = z + LABEL_VOTE * ((label == 1).astype(float) - (label == 0))
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    Returns posteriors and the parameters (prior, hit rates toxic, hit rates clean, voter shares).
-    Known labels anchor the rates as pseudo-counts and vote with a fixed weight beside the others.
-    """
-    v = votes.astype(np.float32)
-    tox, clean = label == 1, label == 0
-    base1, base0 = v[tox].sum(0), v[clean].sum(0)
-    n1, n0 = max(1, tox.sum()), max(1, clean.sum())
+
+def _sums(v: np.ndarray, label: np.ndarray, n: np.ndarray, params: tuple | None) -> np.ndarray:
+    """What a round needs of rows that stand for n rows each, as one vector: weights, votes and joint votes of the toxic class,
+    weights and votes of the clean class. Without parameters: the counts by label, and joint votes of all."""
+    v, silent = v.astype(np.float64), ~v.any(1)
+    if params is None:
+        one, zero = n * (label == 1), n * (label == 0)
+        return np.concatenate([[one.sum(), zero.sum(), n.sum(), (one * silent).sum(), (zero * silent).sum()], one @ v, zero @ v, ((v * n[:, None]).T @ v).ravel()])
+    q = posteriors(v, label, params)
+    return np.concatenate([[(q * n).sum(), ((1 - q) * n).sum()], (q * n) @ v, ((1 - q) * n) @ v, ((v * (q * n)[:, None]).T @ v).ravel()])
+
+
+def label_rounds(tally, d: int, rounds: int = 12, anchor: float = 1.0) -> tuple:
+    """EM over the sums that tally(parameters) gives; the parameters of the last round for `d` voters."""
+    got = tally(None)
+    known1, known0, total, quiet1, quiet0 = got[:5]
+    base1, base0, joint = got[5 : 5 + d], got[5 + d : 5 + 2 * d], got[5 + 2 * d :].reshape(d, d)
+    n1, n0 = max(1, known1), max(1, known0)
     prior = (n1 + 1) / (n1 + n0 + 2)
     hit1, hit0 = (base1 + 0.5) / (n1 + 1), (base0 + 0.5) / (n0 + 1)
-    some = v.any(1)
-    none1, none0 = ((~some & tox).sum() + 0.5) / (n1 + 1), ((~some & clean).sum() + 0.5) / (n0 + 1)  # a voter that is silent abstains
-    share = np.ones(v.shape[1], np.float32)
-    q = np.full(len(v), prior)
+    none1, none0 = (quiet1 + 0.5) / (n1 + 1), (quiet0 + 0.5) / (n0 + 1)  # a voter that is silent abstains
+    s1, qv, joint = total * prior, np.diag(joint) * prior, joint * prior
+    share = np.ones(d)
     for _ in range(rounds):
-        w = v * np.sqrt(q)[:, None]  # correlations of the voters within the toxic class
-        mean = (v * q[:, None]).sum(0) / q.sum()
-        cov = w.T @ w / q.sum() - np.outer(mean, mean)
+        mean = qv / s1  # correlations of the voters within the toxic class
+        cov = joint / s1 - np.outer(mean, mean)
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         rho = np.clip(cov / np.outer(sd, sd), 0, 1)
         rho[rho < 0.5] = 0
         np.fill_diagonal(rho, 0)
         share = 1 / (1 + rho.sum(1))
-        on = np.log(hit1 / hit0)
-        z = np.log(prior / (1 - prior)) + np.where(some, v @ (share * on), np.log(none1 / none0))
-        z = z + LABEL_VOTE * (tox.astype(float) - clean)
-        q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        s1, s0 = q.sum(), (1 - q).sum()
-        prior = float(np.clip((s1 + anchor * n1) / (len(q) + anchor * (n1 + n0)), 1e-4, 1 - 1e-4))
-        hit1 = np.clip((q @ v + anchor * base1 + 0.5) / (s1 + anchor * n1 + 1), 1e-5, 1 - 1e-5)
-        hit0 = np.clip(((1 - q) @ v + anchor * base0 + 0.5) / (s0 + anchor * n0 + 1), 1e-5, 1 - 1e-5)
-    return q, (prior, hit1, hit0, share)
+        used = (prior, hit1, hit0, share, none1, none0)
+        got = tally(used)
+        s1, s0, qv, cv, joint = got[0], got[1], got[2 : 2 + d], got[2 + d : 2 + 2 * d], got[2 + 2 * d :].reshape(d, d)
+        prior = float(np.clip((s1 + anchor * n1) / (total + anchor * (n1 + n0)), 1e-4, 1 - 1e-4))
+        hit1 = np.clip((qv + anchor * base1 + 0.5) / (s1 + anchor * n1 + 1), 1e-5, 1 - 1e-5)
+        hit0 = np.clip((cv + anchor * base0 + 0.5) / (s0 + anchor * n0 + 1), 1e-5, 1 - 1e-5)
+    return used, (prior, hit1, hit0, share)
+
+
+def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 12, anchor: float = 1.0):
+    """EM over binary votes (rows x voters); label: 1, 0 or -1 (unknown).
+
+    Returns posteriors and the parameters (prior, hit rates toxic, hit rates clean, voter shares).
+    Known labels anchor the rates as pseudo-counts and vote with a fixed weight beside the others.
+    """
+    one = np.ones(len(votes))
+    used, params = label_rounds(lambda p: _sums(votes, label, one, p), votes.shape[1], rounds, anchor)
+    return posteriors(votes, label, used), params
+
+
+def _dense(hits, d: int) -> np.ndarray:
+    """Lists of places -> rows of binary votes."""
+    out = np.zeros((len(hits), d), np.uint8)
+    for i, h in enumerate(hits):
+        out[i, [x for x in h if x < d]] = 1
+    return out
+
+
+def _pattern_tally(patterns: DataFrame, d: int):
+    """Sums over a table (y, hits, n) of distinct vote patterns, one vector a partition."""
+
+    def tally(params):
+        def run(batches):
+            total = None
+            for b in batches:
+                if b.num_rows:
+                    part = _sums(_dense(b.column(1).to_pylist(), d), b.column(0).to_numpy(), b.column(2).to_numpy().astype(float), params)
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+        return sum(np.frombuffer(bytes(r[0])) for r in patterns.mapInArrow(run, "sums binary").collect())
+
+    return tally
 
 
 def linear(rows: np.ndarray, cols: np.ndarray, n: int, d: int, q: np.ndarray, rounds: int = 400, l2: float = 3e-4):
@@ -172,33 +222,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n1 or not n0:
         return {"bias": float(np.clip(np.log((n1 + 1e-3) / (n0 + 1e-3)), -20, 20)) if n1 + n0 else -20.0, "weights": {}, "voters": []}
     stems = rows.where("y = 1").select("t").mapInArrow(_stem_counts, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    stems = stems.where(F.col("n") >= LEAST_TOXIC).orderBy(F.desc("n"), "f").limit(CANDIDATES).collect()
-    sent = spark.sparkContext.broadcast(frozenset(r["f"] for r in stems))  # at most CANDIDATES words
+    # a level of a stem is in no more toxic texts than the stem: below `enough` no count of clean texts reaches LEAST_G2
+    enough = next((n for n in range(LEAST_TOXIC, n1 + 1) if _g2(n, 0, n1, n0) >= LEAST_G2), n1 + 1)
+    sent = spark.sparkContext.broadcast(frozenset(stems.where(F.col("n") >= enough).select("f").toPandas()["f"]))
     counted = rows.mapInArrow(_level_counts(sent), "f string, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    counted = counted.where(F.col("n1") >= LEAST_TOXIC).collect()  # a few levels a candidate
-    in_toxic, in_clean = {r["f"]: r["n1"] for r in counted}, {r["f"]: r["n0"] for r in counted}
-    odds = {f: np.log(((n + 0.5) / (n1 + 1)) / ((in_clean.get(f, 0) + 0.5) / (n0 + 1))) for f, n in in_toxic.items()}
-    weight = {f: _g2(n, in_clean.get(f, 0), n1, n0) for f, n in in_toxic.items()}
-    mined = sorted((f for f in odds if odds[f] > 1.5 and weight[f] >= LEAST_G2), key=lambda f: (-weight[f], f))[:FEATURES]
-    place = {f: i for i, f in enumerate(mined)}
-    known = frozenset(re.split("[#~]", f)[0] for f in mined)
-
-    def hits(batches):
-        for b in batches:
-            own = [[place[f] for f in levels(*text_stems(t.as_py(), known)) if f in place] for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int32()))], ["y", "hits"])
-
+    part = lambda x, row, col: f"if({x} > 0, ({x}) * ln(({x}) * {n1 + n0}D / (cast({row} as double) * {col})), 0D)"
+    rest = f"({n1 + n0} - n1 - n0)"
+    g2 = F.expr("2 * (" + " + ".join([part("n1", "(n1 + n0)", n1), part("n0", "(n1 + n0)", n0), part(f"({n1} - n1)", rest, n1), part(f"({n0} - n0)", rest, n0)]) + ")")
+    odds = F.expr(f"ln(((n1 + 0.5D) / {n1 + 1}) / ((n0 + 0.5D) / {n0 + 1}))")
+    tested = counted.where(F.col("n1") >= LEAST_TOXIC).withColumn("g2", g2).where((odds > 1.5) & (F.col("g2") >= LEAST_G2))
+    mined = [r["f"] for r in tested.orderBy(F.desc("g2"), "f").limit(FEATURES).collect()]
+    d = min(VOTERS, len(mined))
+
+    def hits(names):
+        place = {f: i for i, f in enumerate(names)}
+        stems = frozenset(re.split("[#~]", f)[0] for f in names)
+
+        def run(batches):
+            for b in batches:
+                own = [sorted(place[f] for f in levels(*text_stems(t.as_py(), stems)) if f in place) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int32()))], ["y", "hits"])
+
+        return run
+
+    every = texts.join(F.broadcast(pick), "_id", "left").select(F.coalesce("y", F.lit(-1)).alias("y"), "t")  # about `most` ids
+    patterns = every.mapInArrow(hits(mined[:d]), "y int, hits array<int>").groupBy("y", "hits").agg(F.count("*").alias("n"))
+    used, params = label_rounds(_pattern_tally(written(patterns, "patterns").coalesce(64), d), d)
     n_docs = texts.count()
     loose = texts.where(_share("_id", n_docs, more)).select(F.lit(-1).alias("y"), "t")
-    got = rows.select("y", "t").unionAll(loose).mapInArrow(hits, "y int, hits array<int>").toPandas()
+    got = rows.select("y", "t").unionAll(loose).mapInArrow(hits(mined), "y int, hits array<int>").toPandas()
     at = np.repeat(np.arange(len(got)), got["hits"].map(len).to_numpy())
     cols = np.concatenate([np.asarray(h, np.int64) for h in got["hits"]]) if len(at) else np.zeros(0, np.int64)
-    votes = np.zeros((len(got), min(VOTERS, len(mined))), np.uint8)
-    few = cols < votes.shape[1]
-    votes[at[few], cols[few]] = 1
-    q, _ = label_model(votes, got["y"].to_numpy())
+    q = posteriors(_dense(got["hits"], d), got["y"].to_numpy(), used)
     w, bias = linear(at, cols, len(got), len(mined), q)
-    return {"bias": bias, "weights": {f: float(w[i]) for f, i in place.items()}, "voters": mined[: votes.shape[1]]}
+    return {"bias": bias, "weights": {f: float(w[i]) for i, f in enumerate(mined)}, "voters": mined[:d], "prior": params[0]}
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:

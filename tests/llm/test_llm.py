@@ -205,6 +205,31 @@ def test_label_model_discounts_copies():
     assert ((q > 0.5) == y).mean() > 0.85
 
 
+def test_toxicity_tests_every_feature_before_ranking(spark):
+    rnd = random.Random(6)
+    stock = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(4600)]
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5]
+    rows = []
+    for i in ids[:900]:
+        toxic = len(rows) < 120
+        n = len(rows) if toxic else len(rows) - 120
+        rows.append((i, " ".join(stock if n < (14 if toxic else 90) else rnd.sample(stock, 5)) + (" qqxqq" if toxic and n >= 110 else ""), int(toxic)))
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(d, spark.createDataFrame([r[::2] for r in rows], "doc_id long, toxic int"))
+    assert "qqxqq$" in model["weights"]
+
+
+def test_label_model_sees_every_row(spark):
+    d, labels = toxic_fixture(spark)
+    labels = labels.where("doc_id < 300")
+    model = toxicity.fit(d, labels, more=5)
+    known = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    use = [r for r in d.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    votes = np.array([[f in shown for f in model["voters"]] for r in use for shown in [set(toxicity.levels(*toxicity.text_stems(r.text)))]])
+    _, (prior, *_) = toxicity.label_model(votes, np.array([known.get(r.doc_id, -1) for r in use]))
+    assert abs(model["prior"] - prior) < 1e-9
+
+
 # --- repeated passages
 
 
