@@ -567,6 +567,16 @@ def test_recall_between_the_threshold_and_nine_tenths(spark):
     assert kept(spark, texts) == want
 
 
+def test_texts_of_equal_fingerprints_keep_their_own_links(spark):
+    tail = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    often = "the same five words again and over " * 400
+    first, other = often + tail("r", 90), often + tail("m", 90)  # repeats outweigh the rest in every fingerprint
+    outside = "the same five words again and over " + tail("m", 94)
+    texts = [first, other, outside]
+    assert simhash.fingerprint(first) == simhash.fingerprint(other) and (simhash.fingerprint(outside) ^ simhash.fingerprint(other)).bit_count() > 4
+    assert kept(spark, texts) == grouped(texts) == {0}
+
+
 # --- pipeline
 
 
