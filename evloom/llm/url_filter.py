@@ -6,7 +6,8 @@ prefix lengths in use per rule host turn matching into equi-joins.
 
 Urls that redirect to each other, or name each other as canonical link, are aliases: connected
 components over those edges. A url without a rule of its own is allowed if a rule allows one of its
-aliases explicitly, else blocked if a rule blocks one of them, else allowed.
+aliases explicitly, else blocked if a rule blocks one of them, else allowed. Aliases are whole urls
+with their query strings (scheme and fragment do not tell pages apart); rules see host and path.
 
 Defined results: a null url, or one without ://, has an empty host and path, no rule and is
 allowed; a null html has no links; repeated rows stay repeated; empty tables give empty results.
@@ -33,6 +34,11 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://[^/?#]*([^?#]*)", 1)
 
 
+def tail(url: Column) -> Column:
+    """The query string with its question mark, or nothing."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://[^?#]*(\?[^#]*)", 1)
+
+
 def rule_table(spark, rules=RULES) -> DataFrame:
     """(verdict, rule) pairs, the rule being host + path, as a rule table (host, path, rule, verdict)."""
     rows = [(r.partition("/")[0], "/" + r.partition("/")[2], r, v) for v, r in rules]
@@ -53,50 +59,55 @@ def match(keys: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Alias edges that pages state: canonical links and immediate redirects, as (host, path, to_host, to_path)."""
-    attr = r"""["']?([^"'>\s]+)"""
+    """Alias edges that pages state, every one of them: canonical links and immediate redirects, as (host, path, tail, to_host, to_path, to_tail)."""
+    attr = r"""\s*=\s*["']?([^"'>\s]+)"""
+    rel, equiv = r"""\brel\s*=\s*["']?canonical\b""", r"""\bhttp-equiv\s*=\s*["']?refresh\b"""
     text = F.coalesce(F.col(html), F.lit(""))
     found = [
-        F.regexp_extract(text, r"(?i)<link\b[^>]*\brel=[\"']?canonical\b[^>]*\bhref=" + attr, 1),
-        F.regexp_extract(text, r"(?i)<link\b[^>]*\bhref=" + attr + r"[^>]*\brel=[\"']?canonical\b", 1),
-        F.regexp_extract(text, r"(?i)<meta\b[^>]*\bhttp-equiv=[\"']?refresh\b[^>]*\burl=[\"']?([^\"'>\s]+)", 1),
+        rf"(?i)<link\b[^>]*{rel}[^>]*\bhref{attr}",
+        rf"(?i)<link\b[^>]*\bhref{attr}[^>]*{rel}",
+        rf"(?i)<meta\b[^>]*{equiv}[^>]*\burl{attr}",
+        rf"(?i)<meta\b[^>]*\burl{attr}[^>]*{equiv}",
     ]
-    df = pages.select(host(F.col(url)).alias("host"), path(F.col(url)).alias("path"), F.explode(F.filter(F.array(*found), lambda x: x != "")).alias("to"))
+    every = F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(x), F.lit(1)) for x in found]))
+    own = [f(F.col(url)).alias(n) for f, n in ((host, "host"), (path, "path"), (tail, "tail"))]
+    df = pages.select(*own, F.explode(F.filter(every, lambda x: x != "")).alias("to")).withColumn("to", F.replace("to", F.lit("&amp;"), F.lit("&")))
     absolute = (
-        F.when(F.col("to").contains("://"), F.col("to"))
+        F.when(F.col("to").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to"))
         .when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to")))
         .when(F.col("to").startswith("/"), F.concat(F.lit("http://"), F.col("host"), F.col("to")))
+        .when(F.col("to").startswith("?"), F.concat(F.lit("http://"), F.col("host"), F.col("path"), F.col("to")))
         .otherwise(F.concat(F.lit("http://"), F.col("host"), F.regexp_extract("path", "^(.*/)", 1), F.col("to")))
     )
-    return df.where("host <> ''").select("host", "path", host(absolute).alias("to_host"), path(absolute).alias("to_path"))
+    return df.where("host <> ''").select("host", "path", "tail", host(absolute).alias("to_host"), path(absolute).alias("to_path"), tail(absolute).alias("to_tail"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, id_col: str = "page_id", url: str = "url", html: str | None = "html") -> DataFrame:
     """One row per page: its id, host, path, rule and verdict. redirects: more edges (from_url, to_url)."""
-    own = pages.select(F.col(id_col), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
+    own = pages.select(F.col(id_col), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"), tail(F.col(url)).alias("tail"))
     edges = links(pages, url, html) if html else None
     if redirects is not None:
-        more = redirects.select(*[f(F.col(c)).alias(n) for c, p in (("from_url", ""), ("to_url", "to_")) for f, n in ((host, p + "host"), (path, p + "path"))])
+        more = redirects.select(*[f(F.col(c)).alias(n) for c, p in (("from_url", ""), ("to_url", "to_")) for f, n in ((host, p + "host"), (path, p + "path"), (tail, p + "tail"))])
         edges = more if edges is None else edges.unionByName(more)
     keys = own.select("host", "path")
     component = None
     if edges is not None:
         edges = written(edges.distinct(), "links")
-        ends = edges.select("host", "path").unionAll(edges.select("to_host", "to_path"))
+        ends = edges.select("host", "path", "tail").unionAll(edges.select("to_host", "to_path", "to_tail"))
         if edges.limit(1).count():
             ids = written(ends.distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
-            a, b = ids.toDF("host", "path", "a"), ids.toDF("to_host", "to_path", "b")
-            comp = connected_components(edges.join(a, ["host", "path"]).join(b, ["to_host", "to_path"]).select("a", "b"))
-            component = ids.join(comp, "node").select("host", "path", "root")
-            keys = keys.unionAll(ends)
+            a, b = ids.toDF("host", "path", "tail", "a"), ids.toDF("to_host", "to_path", "to_tail", "b")
+            comp = connected_components(edges.join(a, ["host", "path", "tail"]).join(b, ["to_host", "to_path", "to_tail"]).select("a", "b"))
+            component = ids.join(comp, "node").select("host", "path", "tail", "root")
+            keys = keys.unionAll(ends.select("host", "path"))
     ruled = match(keys.distinct(), rules)
     if component is not None:
         ruled = written(ruled, "ruled")
         votes = component.join(ruled, ["host", "path"]).groupBy("root").agg(
             F.max(F.expr("verdict = 'allow'")).alias("allowed"), F.max(F.expr("verdict = 'block'")).alias("blocked")
         )
-        spread = component.join(votes, "root").where("blocked and not allowed").select("host", "path", F.lit("block").alias("alias"))
-        out = own.join(ruled, ["host", "path"], "left").join(spread, ["host", "path"], "left")
+        spread = component.join(votes, "root").where("blocked and not allowed").select("host", "path", "tail", F.lit("block").alias("alias"))
+        out = own.join(ruled, ["host", "path"], "left").join(spread, ["host", "path", "tail"], "left")
     else:
         out = own.join(ruled, ["host", "path"], "left").withColumn("alias", F.lit(None).cast("string"))
     return out.select(id_col, "host", "path", "rule", F.coalesce("verdict", "alias", F.lit("allow")).alias("verdict"))

@@ -460,6 +460,23 @@ def test_url_rules(spark):
     assert url_filter.judge(df.limit(0), url_filter.rule_table(spark)).count() == 0
 
 
+def test_every_alias_of_whole_urls(spark):
+    canon = lambda u: f'<link href="{u}" rel="canonical">'
+    rows = [
+        (0, "http://q.net/a", '<meta content="0;url=http://x.com/de/1" http-equiv="refresh">'),
+        (1, "http://q.net/b", canon("http://q.net/free") + canon("http://x.com/de/2")),
+        (2, "http://q.net/go?id=1", canon("http://x.com/de/3")),
+        (3, "http://q.net/go?id=2", None),
+        (4, "http://q.net/c", canon("/go?x=1&amp;id=4")),
+        (5, "http://q.net/go?x=1&id=4", canon("http://x.com/de/4")),
+        (6, "https://q.net/go?id=1#part", None),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(df, url_filter.rule_table(spark)).collect()}
+    assert got == {0: "block", 1: "block", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "block"}
+
+
+
 # --- quality rules
 
 
