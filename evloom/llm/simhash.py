@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evloom.session import ship, sliced, written
+from evloom.session import discard, ship, sliced, written
 
 from .components import connected_components, forest
 from .suffix_dedup import keyed
@@ -189,6 +189,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 SAMPLE, COMMON = 10_000, 200_000  # documents and shingles that shape the order of prefixes; results do not depend on them
 _SKETCH = 1024
+SETS = "node long, s array<long>, n int, w binary"
 
 
 def _mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -205,9 +206,10 @@ def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -
     return s[np.lexsort((s, _mixed(s), rank))[: len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1]]
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Parities of a set's hashes in 1024 cells: two sketches differ in no more cells than the sets in elements."""
-    return np.packbits(np.bincount((_mixed(s, 1) % np.uint64(_SKETCH)).astype(np.int64), minlength=_SKETCH) & 1 == 1)
+def sketch(s: np.ndarray, cells: int = _SKETCH) -> np.ndarray:
+    """Parities of a set's hashes in 1024 cells, or the next power of two from `cells`: two sketches differ in no more cells than the sets in elements."""
+    size = max(_SKETCH, 1 << (cells - 1).bit_length())
+    return np.packbits(np.bincount((_mixed(s, 1) % np.uint64(size)).astype(np.int64), minlength=size) & 1 == 1, bitorder="little")
 
 
 def _wide_prints(sent, words: int, least: float):
@@ -263,10 +265,23 @@ def _by_unit(act):
     return run
 
 
-def _shared(t: pa.Table, cut: np.ndarray):
-    """Rows of the lists that have more than one member."""
-    size = np.diff(np.append(cut, t.num_rows))
-    yield from t.filter(pa.array(np.repeat(size > 1, size))).combine_chunks().to_batches()
+def _shared(batches):
+    """Rows sorted by unit (first column) -> those whose unit has a second row; of what went before only one row is held."""
+    last = None  # the row before, if nothing was told of it yet
+    told = None  # the unit whose rows are being told
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b] if last is None else [last, b])
+        unit = t.column(0).to_numpy()
+        same = unit[1:] == unit[:-1]
+        keep = np.zeros(len(unit), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        keep |= unit == told if told is not None else False
+        told = int(unit[-1]) if keep[-1] else None
+        last = None if keep[-1] else t.slice(t.num_rows - 1).combine_chunks().to_batches()[0]
+        yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
 
 
 def _links(least: float, stars: int, block: int = 256, small: int = 48, most: int = 200_000):
@@ -321,8 +336,27 @@ def _links(least: float, stars: int, block: int = 256, small: int = 48, most: in
 def _shingle_sets(words: int):
     def run(batches):
         for b in sliced(batches):
-            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(1)]
+            held = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s, 4 * len(s)).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *held], ["node", "s", "n", "w"])
+
+    return run
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many cells two sketches differ, the larger one folded to the size of the smaller: at most as many as elements of the sets."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def _likely(least: float):
+    """Pairs with their sets' sizes and wide sketches -> those that may reach `least`."""
+
+    def run(batches):
+        for t in batches:
+            rows = zip(*(t.column(i).to_pylist() for i in range(2, 6)), strict=True)
+            keep = [apart(x, y) <= (1 - 2 * least / (1 + least)) * (m + n) + 1e-9 for m, x, n, y in rows]
+            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -331,20 +365,53 @@ def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a sample shows often, sorted, and how often: they go last in prefixes, so lists stay short. Any order gives the same links."""
     n = docs.count()
     some = docs if n <= SAMPLE else docs.where(F.pmod(F.xxhash64("_k", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / n))
-    seen = some.select("_k", "text").mapInArrow(_shingle_sets(words), "node long, s array<long>").select(F.explode("s").alias("h")).groupBy("h").count()
+    seen = some.select("_k", "text").mapInArrow(_shingle_sets(words), SETS).select(F.explode("s").alias("h")).groupBy("h").count()
     got = seen.where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toPandas()  # at most COMMON rows
     h, c = got["h"].to_numpy(np.int64).view(np.uint64), got["count"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], c[order]
 
 
-def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, split: int = 20_000, stars: int = 4) -> DataFrame:
-    """docs (_k unique, text) -> the smallest _k of every group. A group holds what op8's links join (four-word fingerprints
-    within four bits) and near copies: texts with a Jaccard similarity of `least` or more over their distinct `words`-word
-    shingles. No such pair is missed: sets are posted under the shingles of their prefixes, and two that are similar share
-    one. Equal sets are one node. First each member of a list meets a few others of it, so large groups come together
-    without their pairs; then all pairs of a list that are still in different components are checked. Lists beyond
-    `split` are cut in chunks that meet pairwise, as near_components does it."""
+def _cut(full: DataFrame, sizes: DataFrame, split: int, pairs: bool) -> DataFrame:
+    """Lists longer than `split` in chunks; with `pairs` every two chunks of a list meet in a unit of their own."""
+    long = sizes.where(F.col("count") > split).select("unit", F.ceil(F.col("count") / split).cast("int").alias("c"))
+    if not long.limit(1).count():
+        return full
+    full = full.join(long, "unit", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("i", F.expr("cast(pmod(xxhash64(node), c) as int)"))
+    if not pairs:
+        return full.withColumn("unit", F.expr("if(c = 1, unit, xxhash64(unit, i))"))
+    full = full.withColumn("j", F.explode(F.expr("sequence(0, c - 1)")))
+    return full.withColumn("unit", F.expr("if(c = 1, unit, xxhash64(unit, least(i, j), greatest(i, j)))"))
+
+
+def _verified(found: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame:
+    """Pairs of nodes -> those whose sets have a Jaccard similarity of `least` or more. Only texts of candidates are read again, and
+    only what passes a wide sketch (of about half a bit per byte of text) meets as whole sets."""
+    wanted = found.select(F.col("a").alias("node")).unionAll(found.select("b")).distinct()
+    leads = written(nodes.join(wanted, "node").select("least", "node"), "wanted")
+    texts = docs.select("_k", "text").join(leads, F.col("_k") == F.col("least")).select("node", "text")
+    whole = sets = written(texts.mapInArrow(_shingle_sets(words), SETS), "sets")
+    side = lambda c, *cols: sets.select(F.col("node").alias(c), *[F.col(x).alias(x + c) for x in cols])
+    likely = found.join(side("a", "n", "w"), "a").join(side("b", "n", "w"), "b").select("a", "b", "na", "wa", "nb", "wb")
+    likely = written(likely.mapInArrow(_likely(least), "a long, b long"), "likely")
+    ends = written(likely.select(F.col("a").alias("node")).unionAll(likely.select("b")).distinct(), "ends")
+    sets = sets.join(ends, "node", "left_semi")
+    both = likely.join(side("a", "s"), "a").join(side("b", "s"), "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+    near = written(both.where(F.col("n") >= F.lit(least) * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b"), "similar")
+    discard(whole)
+    discard(leads)
+    return near
+
+
+def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, split: int = 20_000, stars: int = 4) -> DataFrame:
+    """docs (_k unique, text) -> (_k, group): one row per document, `group` the smallest _k of its group. A group holds what
+    op8's links join (four-word fingerprints within four bits) and near copies: texts with a Jaccard similarity of `least`
+    or more over their distinct `words`-word shingles. No such pair is missed: sets are posted under the shingles of their
+    prefixes, and two that are similar share one. Equal sets are one node. First each member of a list meets a few others
+    of it, so large groups come together without their pairs; then all pairs of a list that are still in different
+    components are checked, in lists that hold more than one component. Lists beyond `split` are cut in chunks, and for the
+    second step chunks meet pairwise. A null text is an empty one; all texts without a word are one group, and none is
+    near a text with words but through op8's links."""
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(_common(docs, words))
@@ -354,36 +421,39 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, split: i
     roots = written(prints.select("fp", "node").distinct().join(comp, "fp").select("node", "root").distinct(), "noderoots")
     first = roots.groupBy("root").agg(F.min("node").alias("m"))
     same = roots.join(first, "root").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
-    nodes = written(nodes, "nodes")
-    leaders = prints.join(nodes, (prints.doc_id == nodes.least) & (prints.node == nodes.node)).select(prints.node, "n", "sketch", "first")
+    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
+    leaders = prints.join(nodes.withColumnRenamed("node", "_node"), F.col("doc_id") == F.col("least"))
     posted = leaders.select("node", "n", F.posexplode("first").alias("pos", "unit")).select("unit", "node", "n", "pos")
-    lists = posted.repartition("unit").sortWithinPartitions("unit").mapInArrow(_by_unit(_shared), "unit long, node long, n int, pos int")
-    lists = written(lists, "lists")
-    some = lists.select("node").distinct()
-    prints = leaders.select("node", "sketch").join(some, "node")
-    texts = docs.select("_k", "text").join(nodes.join(some, "node"), F.col("_k") == F.col("least")).select("node", "text")
-    sets = written(texts.mapInArrow(_shingle_sets(words), "node long, s array<long>"), "sets")
-    bits = written(prints, "sketches")
+    lists = written(posted.repartition("unit").sortWithinPartitions("unit").mapInArrow(_shared, "unit long, node long, n int, pos int"), "lists")
+    bits = written(leaders.select("node", "sketch").join(lists.select("node").distinct(), "node"), "sketches")
     groups = connected_components(same)
     for n in (stars, 0):
-        full = lists.join(bits, "node").join(groups.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if not n and lists.groupBy("unit").count().where(F.col("count") > split).limit(1).count():
-            sizes = lists.groupBy("unit").count().where(F.col("count") > split).withColumn("c", F.ceil(F.col("count") / split).cast("int")).drop("count")
-            full = full.join(sizes, "unit", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("i", F.expr("cast(pmod(xxhash64(node), c) as int)"))
-            full = full.withColumn("j", F.explode(F.expr("sequence(0, c - 1)"))).withColumn("unit", F.expr("xxhash64(unit, least(i, j), greatest(i, j))"))
-        full = full.select("unit", "node", "comp", "n", "pos", "sketch")
-        found = full.repartition("unit").sortWithinPartitions("unit").mapInArrow(_by_unit(_links(least, n)), "a long, b long")
-        found = written(found.distinct(), "candidates")
-        both = found.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
-        near = both.where(F.col("n") >= F.lit(least) * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
-        groups = connected_components(near.unionAll(groups.toDF("a", "b")))
-    rich = nodes.join(groups.withColumnRenamed("root", "group"), "node", "left").select("least", F.coalesce("group", "node").alias("group"))
-    return rich.groupBy("group").agg(F.min("least").alias("_k")).select("_k")
+        full = lists.join(groups.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        if n:
+            full = _cut(full, lists.groupBy("unit").count(), split, False)
+        else:
+            stats = full.groupBy("unit").agg(F.count("*").alias("count"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
+            stats = written(stats.where("_lo <> _hi").select("unit", "count"), "open")
+            full = _cut(full.join(stats.select("unit"), "unit"), stats, split, True)
+        full = full.join(bits, "node").select("unit", "node", "comp", "n", "pos", "sketch")
+        found = written(full.repartition("unit").sortWithinPartitions("unit").mapInArrow(_by_unit(_links(least, n)), "a long, b long").distinct(), "candidates")
+        groups = connected_components(_verified(found, docs, nodes, words, least).unionAll(groups.toDF("a", "b")))
+    rich = nodes.join(groups.withColumnRenamed("root", "g"), "node", "left").select("node", "least", F.coalesce("g", "node").alias("g"))
+    best = rich.groupBy("g").agg(F.min("least").alias("group"))
+    best = rich.join(best, "g").select("node", "group")
+    for used in (lists, bits):
+        discard(used)
+    return prints.select(F.col("doc_id").alias("_k"), "node").join(best, "node").select("_k", "group")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, split: int = 20_000, stars: int = 4) -> DataFrame:
+    """docs (_k unique, text) -> the smallest _k of every group of near_groups, which see."""
+    return near_groups(docs, words, least, split, stars).where("_k = group").select("_k")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group (smallest doc_id, nulls last, then smallest text), with all its columns."""
     cols = docs.columns
     df = keyed(docs.select("doc_id", "text", F.struct(*cols).alias("_doc")), "doc_id", "text", ("_doc",))
-    return df.join(similar_groups(df), "_k", "left_semi").select("_doc.*")
+    copies = written(near_groups(df).where("_k <> group").select("_k"), "copies")  # fewer than the rest: the texts need not move
+    return df.join(copies, "_k", "left_anti").select("_doc.*")

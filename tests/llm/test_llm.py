@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -646,3 +647,31 @@ def test_queries_that_sql_can_express(spark):
         cols = sorted(df.columns)
         got, want = df.select(*cols).collect(), c.execute(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall()
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)), name
+
+
+def test_wide_sketches_never_part_similar_sets():
+    rnd = np.random.default_rng(4)
+    for n in (1, 5, 300, 2000, 9000):
+        a = np.unique(rnd.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: int(0.9 * len(a))], rnd.integers(0, 2**63, n // 8).astype(np.uint64)]))
+        x, y = simhash.sketch(a, 4 * len(a)).tobytes(), simhash.sketch(b, 4 * len(b)).tobytes()
+        assert simhash.apart(x, y) == simhash.apart(y, x) <= len(np.setxor1d(a, b))
+    other = np.unique(rnd.integers(0, 2**63, 9000).astype(np.uint64))
+    assert simhash.apart(simhash.sketch(a, 36000).tobytes(), simhash.sketch(other, 36000).tobytes()) > 2000  # far beyond what 0.8 allows
+
+
+def test_shared_units_across_batches():
+    unit = [1, 2, 2, 2, 3, 4, 4, 5, 6, 6]
+    for size in (1, 2, 3, 10):
+        b = [pa.RecordBatch.from_arrays([pa.array(unit[i : i + size]), pa.array(range(i, min(len(unit), i + size)))], ["unit", "node"]) for i in range(0, len(unit), size)]
+        b.insert(1, b[0].slice(0, 0))
+        got = [r for x in simhash._shared(b) for r in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+        assert got == [(2, 1), (2, 2), (2, 3), (4, 5), (4, 6), (6, 8), (6, 9)]
+
+
+def test_near_groups_of_odd_texts(spark):
+    texts = [None, "", " \n", "a", "A", "a b c d e f g", *[" ".join(f"w{i}" for i in range(60))] * 3]
+    d = spark.createDataFrame(list(enumerate(texts)), "_k long, text string").withColumn("node", F.lit("x")).withColumn("group", F.lit(1))
+    got = {r._k: r.group for r in simhash.near_groups(d.select("_k", "text")).collect()}
+    assert got[0] == got[1] == got[2] == 0 and got[3] == got[4] == 3 and got[5] == 5 and got[6] == got[7] == got[8] == 6
+    assert simhash.near_groups(d.select("_k", "text").limit(0)).count() == 0
