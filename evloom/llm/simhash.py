@@ -284,7 +284,7 @@ def _shared(batches):
         yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
 
 
-def _links(least: float, stars: int, block: int = 256, small: int = 48, most: int = 200_000):
+def _links(least: float, stars: int, cells: int = 1_000_000, small: int = 48, most: int = 50_000):
     """Lists (unit, node, comp, n, pos, sketch) -> pairs (a, b) of different components that may be similar: each member with `stars`
     members of its list, or for 0 all pairs. Left out are only pairs that cannot reach `least`: by sizes and places in the prefix
     (a similar pair passes at the first shingle that it shares), or because sketches differ in too many cells."""
@@ -325,10 +325,13 @@ def _links(least: float, stars: int, block: int = 256, small: int = 48, most: in
             i = np.repeat(s - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
             yield from out(i, i + gap)
         for at, to in zip(cut[open_ & (sizes > small)].tolist(), ends[open_ & (sizes > small)].tolist(), strict=True):
-            for c in range(at, to, block):
-                i, j = np.arange(c, min(c + block, to))[:, None], np.arange(c, to)[None, :]
+            c = at
+            while c < to:  # so many rows at once that a block has at most about `cells` pairs
+                end = min(to, c + max(1, cells // (to - c)))
+                i, j = np.arange(c, end)[:, None], np.arange(c, to)[None, :]
                 x, y = np.nonzero(cheap(i, j) & (i < j))
                 yield from out(c + x, c + y)
+                c = end
 
     return act
 
@@ -409,7 +412,7 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, split: int
     or more over their distinct `words`-word shingles. No such pair is missed: sets are posted under the shingles of their
     prefixes, and two that are similar share one. Equal sets are one node. First each member of a list meets a few others
     of it, so large groups come together without their pairs; then all pairs of a list that are still in different
-    components are checked, in lists that hold more than one component. Lists beyond `split` are cut in chunks, and for the
+    components are checked, in lists that hold more than one component, in blocks of bounded size. Lists beyond `split` are cut in chunks, and for the
     second step chunks meet pairwise. A null text is an empty one; all texts without a word are one group, and none is
     near a text with words but through op8's links."""
     spark = docs.sparkSession
