@@ -18,12 +18,14 @@ _WRITTEN: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only where the session has none (local tests) a temporary folder is set.
+    Only where the session has none and runs on one machine (local tests) a temporary folder is set; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.evloom.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="evloom-")
         spark.conf.set("spark.evloom.shared.dir", found)
     return found.rstrip("/")
@@ -78,10 +80,32 @@ def ship(spark: SparkSession) -> None:
 
 
 def sliced(batches, rows: int = 512):
-    """Arrow batches in smaller parts: bounds what a Python worker holds at once."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+    """Arrow batches in smaller parts: bounds what a Python worker holds at once. At the end of the input the worker gives
+    memory that it no longer uses back to the system: workers stay for later stages beside the executor's heap."""
+    try:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
+    finally:
+        _release()
+
+
+def _release() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: nothing to ask for
+        pass
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as it is, but filters from above stay above: pushed below the projections that make their columns, they repeat
+    whole nested expressions once per mention. A column without a fixed value holds them in place."""
+    return df.withColumn("_pin", F.monotonically_increasing_id()).where("_pin >= 0").drop("_pin")
 
 
 def where_once(df: DataFrame, condition) -> DataFrame:
