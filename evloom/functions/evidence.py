@@ -29,8 +29,3 @@ def change_method(threshold: float) -> str:
 def pointer_ref(x: str = "x", y: str = "y", status: str = "status") -> Column:
     """A pointer reading as an evidence reference."""
     return F.when(F.col(x).isNotNull(), F.format_string("x=%d, y=%d (status=%s)", x, y, status)).otherwise(F.format_string("(status=%s)", status))
-
-
-def cursor_ref(state: str = "motion_state", direction: str = "direction_deg", speed: str = "speed", basis: str = "basis") -> Column:
-    """A movement segment as a compact JSON reference, keys in order, nulls kept."""
-    return F.to_json(F.struct(F.col(basis).alias("basis"), F.col(direction).alias("direction_deg"), F.col(speed).alias("mean_speed_norm"), F.col(state).alias("state")), {"ignoreNullFields": "false"})

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-# Query parameters that identify a source; the file endings that mark embedded media; job ids.
+# Query parameters that identify a source; the marks of embedded media; job ids; what is taken out of urls in texts.
 IDENTIFYING_QUERY = ("v", "list", "id")
 EMBEDDED_MEDIA = r"(?i)data:[a-z]+/[a-z0-9.+-]+;base64,|/9j/4[A-Za-z0-9+/]{40,}|iVBORw0KGgo"
 JOB_ID = r"^[A-Za-z0-9][A-Za-z0-9_-]{0,99}$"
 SESSION_SUFFIX = ".session.json"
+URL_CREDENTIALS, URL_TAIL = r"(https?://)[^/\s@]+@", r"(https?://[^\s?#'\"]+)[?#][^\s'\"]*"
 
 
 def _c(x) -> Column:
@@ -24,13 +25,43 @@ def py_strip(x) -> Column:
 
 
 def py_round(x, digits: int) -> Column:
-    """Python's round: half to even on the exact binary value, which neither round nor bround gives."""
+    """Half to even on the exact binary value, as Python rounds; round and bround look at the shortest decimal text instead.
+
+    p + err is x * 10^digits without error (the factor has few bits, x is split in two halves), so a tie is known from a near tie."""
+    x, s = _c(x).cast("double"), 10.0**digits
+    p, c = x * s, x * 134217729.0
+    high = c - (c - x)
+    err = (high * s - p) + (x - high) * s
+    near = F.rint(p)
+    tie = F.abs(p - near) == 0.5
+    return F.when(tie & (err > 0), F.ceil(p).cast("double")).when(tie & (err < 0), F.floor(p).cast("double")).otherwise(near) / s
+
+
+def fixed(x, digits: int) -> Column:
+    """A number with so many decimals, rounded as py_round does."""
+    return F.format_string(f"%.{digits}f", py_round(x, digits))
 
-    @pandas_udf("double")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None or v != v else round(v, digits))
 
-    return run(_c(x))
+def py_repr(x) -> Column:
+    """The shortest decimal text of a double in Python's notation: 0.0001, 1e-05, 12345678.0, 1e+16."""
+    s = _c(x).cast("string")
+    size = F.abs(_c(x))
+    wide = F.regexp_replace(F.regexp_replace(s.try_cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
+    power = F.substring_index(s, "E", -1).try_cast("int")
+    short = F.concat(F.regexp_replace(F.substring_index(s, "E", 1), r"\.0$", ""), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    return F.when(~s.contains("E"), s).when((size >= 1e-4) & (size < 1e16), wide).otherwise(short)
+
+
+def json_text(x) -> Column:
+    """A string as a JSON string of ASCII alone, others as \\u escapes (two for what lies beyond 16 bits)."""
+    quoted = F.to_json(F.struct(_c(x).alias("v")))
+    quoted = F.substring(quoted, 6, 2**31 - 1)
+    quoted = F.left(quoted, F.length(quoted) - 1)
+    four = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    high = lambda n: F.lit(0xD800) + F.shiftright(n - 0x10000, 10)
+    low = lambda n: F.lit(0xDC00) + (n - 0x10000).bitwiseAND(F.lit(0x3FF))
+    safe = lambda c: F.when(F.ascii(c) < 128, c).when(F.ascii(c) < 0x10000, four(F.ascii(c))).otherwise(F.concat(four(high(F.ascii(c))), four(low(F.ascii(c)))))
+    return F.when(quoted.rlike(r"^[\x00-\x7f]*$"), quoted).otherwise(F.array_join(F.transform(F.split(quoted, ""), safe), ""))
 
 
 def floor_ms(x) -> Column:
@@ -70,8 +101,12 @@ def public_url(url) -> Column:
 
 def redact_url(text) -> Column:
     """Urls in a text without credentials; query and fragment become ?<redacted>."""
-    bare = F.regexp_replace(_c(text), r"(https?://)[^/\s@]+@", "$1")
-    return F.regexp_replace(bare, r"(https?://[^\s?#'\"]+)[?#][^\s'\"]*", r"$1?<redacted>")
+    return F.regexp_replace(F.regexp_replace(_c(text), URL_CREDENTIALS, "$1"), URL_TAIL, r"$1?<redacted>")
+
+
+def redact_text(text: str) -> str:
+    """redact_url for a text on the driver."""
+    return re.sub(URL_TAIL, r"\1?<redacted>", re.sub(URL_CREDENTIALS, r"\1", text))
 
 
 def is_url(x) -> Column:

@@ -1,83 +1,201 @@
-"""Correlation of evidence streams around query times: observed rows, inferences, disagreements, gaps."""
+"""Correlation of evidence streams around query times: what was observed, what follows from it, what disagrees, what is missing.
+
+A stream row is an evidence row (video_id, seq, ts, kind, ref, confidence, end_ts, source) that also has what its kind
+says of itself: `status` (pointer, vision, visual_change), x, y, frame_width, frame_height (pointer), elements (vision).
+The nearest row of a kind is chosen first and judged after: a nearer failed answer hides a good one behind it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .temporal import band_join, interval_join, nearest
+from evloom.functions.evidence import usable
+from evloom.functions.scalars import fixed, py_round
+from evloom.session import settled
+
+from .temporal import band_join, interval_join
+
+# The source label of native video answers, the least normalised way of a moving pointer, the labels of the two rules.
+NATIVE, MOTION_THRESHOLD = "video_understanding", 0.03
+IN_REGION, MOTION = "pointer_in_vision_region", "speech_pointer_motion"
+OPTIONAL = ("video_understanding", "visual_change", "cursor_track")
+REGION = "struct<x1:double,y1:double,x2:double,y2:double>"
+ELEMENT = f"struct<kind:string,description:string,region:{REGION},region_confidence:string>"
+EVIDENCE = "struct<timestamp_sec:double,kind:string,ref:string,confidence:double,timestamp_end_sec:double,source:string>"
+INFERENCE = f"struct<text:string,supporting_evidence:array<{EVIDENCE}>,confidence:double,basis:string>"
+_POINTER = {"x": "int", "y": "int", "frame_width": "int", "frame_height": "int"}
+_KEEP = ("kind", "seq", "ts", "ref", "confidence", "end_ts", "source", "status", *_POINTER, "elements")
+
+
+def streams(evidence: DataFrame) -> DataFrame:
+    """Evidence rows as stream rows: columns they lack are added. Where there is no `status` column at all, every
+    reading counts as detected and every answer as ok; in a column that is there, null says nothing."""
+    if "status" not in evidence.columns:
+        evidence = evidence.withColumn("status", F.expr("case kind when 'pointer' then 'detected' when 'vision' then 'ok' end"))
+    for name, kind in (*_POINTER.items(), ("elements", f"array<{ELEMENT}>")):
+        if name not in evidence.columns:
+            evidence = evidence.withColumn(name, F.lit(None).cast(kind))
+    return evidence.select("video_id", *_KEEP)
+
 
-STAGES = ("frame", "transcript", "pointer", "vision", "visual_change")
-MOTION_THRESHOLD = 0.03
-_RANK = "case kind when 'frame' then 1 when 'transcript' then 2 when 'pointer' then 3 when 'vision' then if(source = '', 4, 5) else 6 end"
+def _native() -> Column:
+    return (F.col("kind") == "vision") & (F.col("source") == NATIVE)
 
 
 def windows(evidence: DataFrame) -> DataFrame:
-    """Query times: the frames'."""
-    return evidence.where("kind = 'frame'").select("video_id", F.col("seq").alias("probe"), F.col("ts").alias("t"))
-
-
-def around(evidence: DataFrame, tol: float) -> DataFrame:
-    """Every piece of evidence of every window: points within tol, speech spans that overlap strictly."""
-    w, cols = windows(evidence), ["kind", "seq", "ts", "confidence", "source"]
-    points = band_join(w, evidence.where("end_ts is null").select("video_id", *cols), tol)
-    win = w.withColumn("lo", F.col("t") - tol).withColumn("hi", F.col("t") + tol)
-    said = interval_join(win, evidence.where("end_ts is not null").select("video_id", *cols, "end_ts"), max(2 * tol, 1.0), start="ts", end="end_ts", strict=True)
-    return points.select("video_id", "probe", "t", *cols).unionByName(said.select("video_id", "probe", "t", *cols)).distinct()
-
-
-def observed(evidence: DataFrame, tol: float) -> DataFrame:
-    """What was observed around each window, in a fixed order: the nearest frame, all speech, the nearest
-    pointer, frame vision and native vision, all changes. Nearest comes before any look at a status."""
-    o = around(evidence, tol).withColumn("native", F.col("source") != "")
-    near = Window.partitionBy("video_id", "probe", "kind", F.expr("kind = 'vision' and native")).orderBy(F.abs(F.col("ts") - F.col("t")), "ts", "seq")
-    o = o.withColumn("_n", F.row_number().over(near)).where("kind in ('transcript', 'visual_change') or _n = 1")
-    order = Window.partitionBy("video_id", "probe").orderBy(F.expr(_RANK), "ts", "seq")
-    return o.select("video_id", "probe", "t", "kind", "native", "seq", (F.row_number().over(order).cast("long") - 1).alias("pos"))
-
-
-def unavailable(evidence: DataFrame, tol: float, stages=STAGES) -> DataFrame:
-    """Per window the configured stages without any evidence, in stage order, joined by commas (null: none)."""
-    seen = around(evidence, tol).groupBy("video_id", "probe").agg(F.collect_set("kind").alias("kinds"))
-    missing = F.array_except(F.array(*[F.lit(s) for s in stages]), F.coalesce("kinds", F.expr("cast(array() as array<string>)")))
-    out = windows(evidence).join(seen, ["video_id", "probe"], "left")
-    return out.select("video_id", "probe", F.nullif(F.array_join(missing, ","), F.lit("")).alias("unavailable"))
-
-
-def multimodal(evidence: DataFrame, tol: float) -> DataFrame:
-    """One row per window: speech references in order (null: none), the nearest frame vision, else native."""
-    o = around(evidence, tol)
-    row = o.groupBy("video_id", "probe").agg(
-        F.expr("nullif(array_join(transform(array_sort(collect_list(case when kind = 'transcript' then struct(ts, seq) end)), x -> cast(x.seq as string)), ' '), '')").alias("transcript"),
-        F.min_by(F.when(F.col("kind") == "vision", F.col("seq")), F.when(F.col("kind") == "vision", F.struct(F.col("source") != "", F.abs(F.col("ts") - F.col("t")), "ts", "seq"))).alias("vision_seq"),
-    )
-    return windows(evidence).join(row, ["video_id", "probe"], "left")
-
-
-def pointer_regions(vision: DataFrame, pointer: DataFrame, tol: float) -> DataFrame:
-    """The nearest pointer against located elements of usable vision (video_id, probe, t, confidence, status, regions).
-
-    finding: pointer_in_vision_region (confidence: the product), outside_all_regions, no_pointer (nothing positioned),
-    or null where no element is located or the vision is not ok."""
-    p = pointer.select("video_id", "ts", "seq", F.expr("case when frame_width > 0 then x / frame_width end").alias("nx"), F.expr("case when frame_height > 0 then y / frame_height end").alias("ny"), F.col("confidence").alias("pc"))
-    m = nearest(vision, p, tol, ("video_id", "probe"), ("seq", "nx", "ny", "pc"))
-    inside = "exists(regions, r -> near.nx between r.x1 and r.x2 and near.ny between r.y1 and r.y2)"
-    finding = F.expr(
-        f"case when status <> 'ok' or size(regions) = 0 then null when near.nx is null or near.ny is null then 'no_pointer' when {inside} then 'pointer_in_vision_region' else 'outside_all_regions' end"
-    )
-    m = m.withColumn("finding", finding).withColumn("pointer_seq", F.col("near.seq"))
-    return m.withColumn("confidence", F.when(F.col("finding") == "pointer_in_vision_region", F.col("near.pc") * F.col("confidence")))
-
-
-def speech_pointer_motion(probes: DataFrame, speech: DataFrame, pointer: DataFrame, tol: float) -> DataFrame:
-    """Windows with speech in which the pointer, detected throughout between its first and last detection,
-    moved by more than the threshold (per-axis normalised): run and readings; their ratio is the confidence."""
-    win = probes.withColumn("lo", F.col("t") - tol).withColumn("hi", F.col("t") + tol)
-    spoken = interval_join(win, speech.select("video_id", "ts", "end_ts"), 2 * tol, start="ts", end="end_ts", strict=True).select("video_id", "probe").distinct()
-    r = band_join(probes, pointer, tol).groupBy("video_id", "probe").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "status", "x", "y", "frame_width", "frame_height"))).alias("r"))
-    r = r.withColumn("hit", F.expr("filter(transform(r, (x, i) -> if(x.status = 'detected', i, null)), i -> i is not null)")).where("size(hit) >= 2")
-    r = r.withColumn("run", F.expr("slice(r, coalesce(get(hit, 0), 0) + 1, coalesce(get(hit, size(hit) - 1) - get(hit, 0) + 1, 0))")).where("forall(run, x -> x.status = 'detected')")
-    a, b = "get(run, 0)", "get(run, size(run) - 1)"
-    moved = F.expr(f"sqrt(pow({b}.x / {b}.frame_width - {a}.x / {a}.frame_width, 2) + pow({b}.y / {b}.frame_height - {a}.y / {a}.frame_height, 2)) > {MOTION_THRESHOLD}D")
-    r = r.where(moved).select("video_id", "probe", F.size("run").cast("long").alias("run"), F.size("r").cast("long").alias("readings"))
-    return r.join(spoken, ["video_id", "probe"])
+    """Query times (video_id, probe, t): the frames', in videos without any the starts of speech, and those of usable
+    native answers; each time once, `probe` the lowest seq that gives it."""
+    s = streams(evidence)
+    frames = s.where("kind = 'frame'").select("video_id", "seq", "ts")
+    speech = s.where("kind = 'transcript'").select("video_id", "seq", "ts").join(frames.select("video_id").distinct(), "video_id", "left_anti")
+    told = s.where(_native() & usable()).select("video_id", "seq", "ts")
+    every = frames.unionAll(speech).unionAll(told)
+    return every.groupBy("video_id", "ts").agg(F.min("seq").alias("probe")).select("video_id", "probe", F.col("ts").alias("t"))
+
+
+def around(times: DataFrame, evidence: DataFrame, tol: float) -> DataFrame:
+    """(video_id, probe, t, rows): all stream rows of each window: points within tol, speech that overlaps it strictly,
+    movement segments that touch it. A window without any row is not there."""
+    s = streams(evidence)
+    item = F.struct(*_KEEP).alias("e")
+    win = times.withColumn("lo", F.col("t") - tol).withColumn("hi", F.col("t") + tol)
+    spans = s.where("kind in ('transcript', 'cursor_track')").withColumn("_e", F.coalesce("end_ts", "ts"))
+    width = max(2 * tol, 1.0)
+    points = band_join(times, s.where("kind not in ('transcript', 'cursor_track')"), tol)
+    said = interval_join(win, spans.where("kind = 'transcript'"), width, start="ts", end="_e", strict=True)
+    moved = interval_join(win, spans.where("kind = 'cursor_track'"), width, start="ts", end="_e")
+    every = points.select("video_id", "probe", "t", item).unionAll(said.select("video_id", "probe", "t", item)).unionAll(moved.select("video_id", "probe", "t", item))
+    return every.groupBy("video_id", "probe", "t").agg(F.collect_list("e").alias("rows"))
+
+
+def _sorted(cond: str, by: str = "e.ts as a, e.seq as b") -> Column:
+    return F.expr(f"transform(array_sort(transform(filter(rows, e -> {cond}), e -> struct({by}, e as e))), x -> x.e)")
+
+
+def _nearest(cond: str) -> Column:
+    return F.expr(f"array_min(transform(filter(rows, e -> {cond}), e -> struct(abs(e.ts - t) as d, e.ts as a, e.seq as b, e as e))).e")
+
+
+def _ev(ts, kind: str, ref, confidence=None, end=None, source="") -> Column:
+    none = F.lit(None).cast("double")
+    source = F.lit(source) if isinstance(source, str) else source
+    return F.struct(ts.alias("timestamp_sec"), F.lit(kind).alias("kind"), ref.alias("ref"), (none if confidence is None else confidence).alias("confidence"),
+                    (none if end is None else end).alias("timestamp_end_sec"), source.alias("source")).cast(EVIDENCE)
+
+
+def _some(condition: Column, item: Column, kind: str) -> Column:
+    return F.when(condition, item).otherwise(F.expr(f"cast(array() as array<{kind}>)"))
+
+
+def _seen(v: str, source: str) -> Column:
+    """A vision answer as evidence: its description, then its elements."""
+    v = F.col(v)
+    said = F.coalesce(F.nullif(v.ref, F.lit("")), F.lit("(no description)"))
+    parts = F.coalesce(F.transform(v.elements, lambda e: _ev(v.ts, "vision", F.concat(e.kind, F.lit(": "), e.description), v.confidence, None, source)), F.expr(f"cast(array() as array<{EVIDENCE}>)"))
+    return F.concat(F.array(_ev(v.ts, "vision", said, v.confidence, None, source)), parts)
+
+
+def observe(evidence: DataFrame, tol: float = 1.0, configured: tuple[str, ...] = (), times: DataFrame | None = None) -> DataFrame:
+    """One row per query time: observed, inferences, disagreements, unavailable, frame_path; and the joined row:
+    transcript_context, description, pointer, vision.
+
+    `configured` names the optional streams that were asked for (video_understanding, visual_change, cursor_track); only
+    those are reported missing. A change that could not be compared is no evidence. Inferences read frame vision, never
+    native answers; a pointer is never said to be still."""
+    if not 0 < tol < float("inf"):
+        raise ValueError(f"tolerance must be positive, not {tol}")
+    if set(configured) - set(OPTIONAL):
+        raise ValueError(f"unknown streams: {sorted(set(configured) - set(OPTIONAL))}")
+    times = windows(evidence) if times is None else times.select("video_id", "probe", "t")
+    df = times.join(around(times, evidence, tol).drop("t"), ["video_id", "probe"], "left")
+    df = df.withColumns({
+        "frame": _nearest("e.kind = 'frame'"), "_p": _nearest("e.kind = 'pointer'"), "_v": _nearest(f"e.kind = 'vision' and e.source <> '{NATIVE}'"), "_n": _nearest(f"e.kind = 'vision' and e.source = '{NATIVE}'"),
+        "_said": _sorted("e.kind = 'transcript'"), "_ptr": _sorted("e.kind = 'pointer'"), "_chg": _sorted("e.kind = 'visual_change' and coalesce(e.status, '') <> 'unavailable'"),
+        "_mov": _sorted("e.kind = 'cursor_track'", "e.ts as a, e.end_ts as b, e.seq as c"),
+    }).drop("rows")
+    at = F.coalesce(F.col("_p.status") != "not_detected", F.lit(False))
+    see, native = usable("_v.status"), usable("_n.status")
+    has = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    place = lambda p: F.concat(F.lit("x="), p.x.cast("string"), F.lit(", y="), p.y.cast("string"))
+    p, v = F.col("_p"), F.col("_v")
+    ref = F.coalesce(F.concat(place(p), F.lit(" (status="), p.status, F.lit(")")), p.ref)
+    as_said = lambda e: _ev(e.ts, "transcript", e.ref, e.confidence)
+    measured = lambda kind: lambda e: _ev(e.ts, kind, e.ref, e.confidence, e.end_ts, e.source)
+    observed = F.concat(
+        _some(F.col("frame").isNotNull(), F.array(_ev(F.col("frame.ts"), "frame", F.col("frame.ref"))), EVIDENCE), _some(has("_said"), F.transform("_said", as_said), EVIDENCE),
+        _some(at, F.array(_ev(p.ts, "pointer", ref, p.confidence)), EVIDENCE), _some(see, _seen("_v", ""), EVIDENCE), _some(native, _seen("_n", NATIVE), EVIDENCE),
+        _some(has("_chg"), F.transform("_chg", measured("visual_change")), EVIDENCE), _some(has("_mov"), F.transform("_mov", measured("cursor_track")), EVIDENCE),
+    )
+    missing = [("frame", F.col("frame").isNull()), ("transcript", ~has("_said")), ("pointer", ~at), ("vision", ~see & ~native)]
+    missing += [(s, ~F.lit(s in configured) | ok) for s, ok in (("video_understanding", native), ("visual_change", has("_chg")), ("cursor_track", has("_mov")))]
+    gone = [F.when(~c if s in OPTIONAL else c, F.lit(s)) for s, c in missing]
+    df = df.withColumns({"observed": observed, "unavailable": F.filter(F.array(*gone), lambda x: x.isNotNull())})
+
+    # the pointer against what vision located
+    df = df.withColumns({
+        "_loc": F.when(F.col("_v.status") == "ok", F.expr("filter(_v.elements, x -> x.region is not null)")),
+        "_nx": F.expr("case when _p.frame_width > 0 then _p.x / _p.frame_width end"), "_ny": F.expr("case when _p.frame_height > 0 then _p.y / _p.frame_height end"),
+        "_hit": F.expr("filter(transform(_ptr, (x, i) -> if(x.status = 'detected', i, null)), i -> i is not null)"),
+    })
+    df = df.withColumn("_in", F.expr("get(filter(_loc, x -> _nx between x.region.x1 and x.region.x2 and _ny between x.region.y1 and x.region.y2), 0)"))
+    located = has("_loc")
+    known = located & at & F.col("_nx").isNotNull() & F.col("_ny").isNotNull()
+    el = F.col("_in")
+    within = F.struct(
+        F.concat(F.lit("The pointer lay inside the region that vision located as '"), el.description, F.lit("' ("), el.kind, F.lit("). That supports, without proving it, that this element was referred to or used.")).alias("text"),
+        F.array(_ev(p.ts, "pointer", place(p), p.confidence), _ev(v.ts, "vision", F.concat(el.kind, F.lit(": "), el.description), v.confidence)).alias("supporting_evidence"),
+        py_round(p.confidence * v.confidence, 4).alias("confidence"), F.lit(IN_REGION).alias("basis"),
+    ).cast(INFERENCE)
+    outside = F.concat(F.lit("pointer position ("), fixed("_nx", 3), F.lit(", "), fixed("_ny", 3), F.lit(") is in none of the "), F.size("_loc").cast("string"), F.lit(" located region(s)"))
+    alone = F.lit("vision located element(s), but no pointer evidence of this window confirms any use of them")
+    notes = F.array(F.when(known & el.isNull(), outside), F.when(located & ~at, alone))
+    df = df.withColumn("disagreements", F.filter(notes, lambda x: x.isNotNull()))
+
+    # speech while the pointer, detected without a break between its first and last detection, moved
+    df = df.withColumn("_run", F.expr("case when size(_hit) >= 2 then slice(_ptr, get(_hit, 0) + 1, get(_hit, size(_hit) - 1) - get(_hit, 0) + 1) end")).withColumn("_a", F.expr("get(_run, 0)")).withColumn("_z", F.expr("get(_run, size(_run) - 1)"))
+    axis = lambda c, s: f"_z.{c} / nullif(if(_z.{s} > 0, _z.{s}, null), 0) - _a.{c} / nullif(if(_a.{s} > 0, _a.{s}, null), 0)"
+    df = df.withColumn("_way", F.expr(f"sqrt(pow({axis('x', 'frame_width')}, 2) + pow({axis('y', 'frame_height')}, 2))"))
+    moving = has("_said") & F.coalesce(F.expr("forall(_run, x -> x.status = 'detected')"), F.lit(False)) & F.coalesce(F.col("_way") > MOTION_THRESHOLD, F.lit(False))
+    motion = F.struct(
+        F.concat(F.lit("There was speech while the pointer moved across the frame (normalized displacement "), fixed("_way", 3), F.lit(").")).alias("text"),
+        F.concat(F.transform("_said", as_said), F.transform("_run", lambda e: _ev(e.ts, "pointer", place(e), e.confidence))).alias("supporting_evidence"),
+        py_round(F.size("_run") / F.size("_ptr"), 4).alias("confidence"), F.lit(MOTION).alias("basis"),
+    ).cast(INFERENCE)
+    df = df.withColumn("inferences", F.concat(_some(known & el.isNotNull(), F.array(within), INFERENCE), _some(moving, F.array(motion), INFERENCE)))
+
+    first = F.expr("get(filter(observed, x -> x.kind = 'vision'), 0).ref")
+    out = df.select(
+        "video_id", "probe", "t", F.lit(float(tol)).alias("tolerance_sec"), "observed", "inferences", "disagreements", "unavailable", F.col("frame.ref").alias("frame_path"),
+        F.when(has("_said"), F.nullif(F.array_join(F.transform("_said", lambda e: e.ref), " "), F.lit(""))).alias("transcript_context"), F.coalesce(first, F.lit("")).alias("description"),
+        F.when(at, p).alias("pointer"), F.when(see, v).when(native, F.col("_n")).alias("vision"),
+    )
+    return settled(out)
+
+
+def flattened(structured: DataFrame) -> DataFrame:
+    """All observed evidence, window by window, in the order of observation: (video_id, probe, t, pos, evidence columns)."""
+    rows = structured.select("video_id", "probe", "t", F.posexplode("observed").alias("pos", "e"))
+    return rows.select("video_id", "probe", "t", F.col("pos").cast("long").alias("pos"), F.col("e.timestamp_sec").alias("ts"), "e.kind", "e.ref", "e.confidence", F.col("e.timestamp_end_sec").alias("end_ts"), "e.source")
+
+
+def change_stream(evidence: DataFrame) -> DataFrame:
+    """Every change that could be compared, wherever the windows lie."""
+    cols = ["video_id", "ts", "kind", "ref", "confidence", "end_ts", "source"]
+    return streams(evidence).where("kind = 'visual_change' and coalesce(status, '') <> 'unavailable'").select(*cols, "seq")
+
+
+def descriptions(structured: DataFrame) -> DataFrame:
+    """(video_id, ts, description): what vision said of each analysed time; of several the last window's, empty ones left out."""
+    told = structured.where("vision is not null and vision.ref <> ''")
+    return told.groupBy("video_id", F.col("vision.ts").alias("ts")).agg(F.max_by("vision.ref", "t").alias("description"))
+
+
+def inferences(structured: DataFrame) -> DataFrame:
+    """(video_id, probe, t, ord, text, supporting_evidence, confidence, basis), one row per inference."""
+    return structured.select("video_id", "probe", "t", F.posexplode("inferences").alias("ord", "x")).select("video_id", "probe", "t", "ord", "x.*")
+
+
+def disagreements(structured: DataFrame) -> DataFrame:
+    """(video_id, probe, t, ord, note), one row per disagreement."""
+    return structured.select("video_id", "probe", "t", F.posexplode("disagreements").alias("ord", "note"))

@@ -64,20 +64,28 @@ def transcript_chunks(segments: DataFrame, chunk_sec: float = 20.0) -> DataFrame
     return _fold(said, "video_id", ("seg_no",), "video_id string, seg_no long, chunk long, chunk_start double", step)
 
 
-def bundle(candidates: DataFrame, most: int, distance: int = 6, brightness: float = 4.0) -> DataFrame:
-    """Ranked candidates (video_id, rank, seq, signature bigint, bright double): kept greedily up to `most`;
-    a candidate within `distance` bits and `brightness` of a kept one is its duplicate (`superseded_by`)."""
+def bundle(candidates: DataFrame, most: int | None = None, distance: int = 6, brightness: float = 4.0) -> DataFrame:
+    """Ranked candidates (video_id, rank, seq, signature bigint, bright double, size bigint) kept greedily; `superseded_by`
+    is the kept one that stands for a row (itself where it was kept).
+
+    A candidate within `distance` bits and `brightness` of a kept one is its duplicate; where either has no signature, one
+    of the same size in bytes is. Missing and empty files (size null or 0) are passed over. At `most` kept ones the walk
+    ends: what ranks behind is neither kept nor linked."""
 
     def step(kept, r):
         kept = kept or []
-        for seq, sig, bright in kept:
-            if ((sig ^ r["signature"]) & (2**64 - 1)).bit_count() <= distance and abs(bright - r["bright"]) <= brightness:
-                return kept, {"video_id": r["video_id"], "seq": r["seq"], "superseded_by": seq}
-        if len(kept) >= most:
+        if (most is not None and len(kept) >= most) or not r["size"]:
             return kept, None
-        return [*kept, (r["seq"], r["signature"], r["bright"])], {"video_id": r["video_id"], "seq": r["seq"], "superseded_by": r["seq"]}
+        for seq, sig, bright, size in kept:
+            if sig is None or r["signature"] is None:
+                same = size == r["size"]
+            else:
+                same = ((sig ^ r["signature"]) & (2**64 - 1)).bit_count() <= distance and abs(bright - r["bright"]) <= brightness
+            if same:
+                return kept, {"video_id": r["video_id"], "seq": r["seq"], "superseded_by": seq}
+        return [*kept, (r["seq"], r["signature"], r["bright"], r["size"])], {"video_id": r["video_id"], "seq": r["seq"], "superseded_by": r["seq"]}
 
-    cols = candidates.select("video_id", "rank", "seq", "signature", "bright")
+    cols = candidates.select("video_id", "rank", "seq", "signature", "bright", "size")
     return _fold(cols, "video_id", ("rank",), "video_id string, seq long, superseded_by long", step)
 
 

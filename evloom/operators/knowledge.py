@@ -37,9 +37,9 @@ TOPIC_WORD = "[A-Za-z][A-Za-z'-]+"
 def topics(texts: DataFrame, per: tuple[str, ...] = (), order: str = "seq", text: str = "text") -> DataFrame:
     """The most frequent words (topic, n, pos) of all texts or of each group: of the 16 most frequent, ties by first
     appearance, those with at least two occurrences, eight at most."""
-    words = texts.select(*per, F.col(order).alias("_o"), F.posexplode(F.regexp_extract_all(text, F.lit(TOPIC_WORD), 0)).alias("_p", "w"))
-    words = words.where(F.length("w") >= MIN_TOPIC_LEN).withColumn("w", F.lower("w")).where(~F.col("w").isin(STOPWORDS))
-    count = words.groupBy(*per, "w").agg(F.count("*").alias("n"), F.min(F.struct("_o", "_p")).alias("first"))
+    kept = F.filter(F.transform(F.regexp_extract_all(text, F.lit(TOPIC_WORD), 0), lambda x, i: F.struct(F.lower(x).alias("w"), i.alias("p"))), lambda x: (F.length(x.w) >= MIN_TOPIC_LEN) & ~x.w.isin(STOPWORDS))
+    words = texts.select(*per, F.col(order).alias("_o"), F.explode(kept).alias("e"))  # what is no topic never becomes a row
+    count = words.groupBy(*per, F.col("e.w").alias("w")).agg(F.count("*").alias("n"), F.min(F.struct("_o", "e.p")).alias("first"))
     if per:
         rank = F.row_number().over(Window.partitionBy(*per).orderBy(F.desc("n"), "first"))
         top = count.withColumn("_r", rank).where(f"_r <= {2 * MAX_TOPICS}")
@@ -64,8 +64,8 @@ def cue_kind(text: str, cues=CUES):
 
 def lessons(segments: DataFrame, cues=CUES, most: int = MAX_LESSONS) -> DataFrame:
     """Segments that hold a cue: distinct stripped texts, the first `most` of each video."""
-    s = segments.withColumn("text", py_strip("text")).where("text <> ''")
-    s = s.withColumn("kind", cue_kind("text", cues)).where("kind is not null").select("video_id", "seg_no", "start_sec", "text", "kind")
+    s = segments.withColumn("text", py_strip("text")).where("text <> ''").withColumn("said_confidence", F.col("confidence") if "confidence" in segments.columns else F.lit(None).cast("double"))
+    s = s.withColumn("kind", cue_kind("text", cues)).where("kind is not null").select("video_id", "seg_no", "start_sec", "text", "kind", "said_confidence")
     return first_seen(s, "text", "video_id", ("seg_no",), most).withColumn("confidence", F.lit(LESSON_CONFIDENCE))
 
 
@@ -81,7 +81,8 @@ def coverage(evidence: DataFrame, videos: DataFrame, configured: tuple[str, ...]
 def collect_kind(evidence: DataFrame, kind: str) -> DataFrame:
     """Distinct measurements of a kind in time order; of copies that differ in confidence only the first (`prio`, seq) stays."""
     key = ["video_id", "ts", "end_ts", "ref", "source"]
-    first = evidence.where(F.col("kind") == kind).groupBy(*key).agg(F.min_by(F.struct("confidence", "seq"), F.struct("prio", "seq")).alias("f"))
+    order = ["prio", *(["t"] if "t" in evidence.columns else []), "seq"]
+    first = evidence.where(F.col("kind") == kind).groupBy(*key).agg(F.min_by(F.struct("confidence", "seq"), F.struct(*order)).alias("f"))
     pos = F.row_number().over(Window.partitionBy("video_id").orderBy("ts", F.coalesce("end_ts", F.lit(0.0)), "f.seq")).cast("long") - 1
     return first.select(*key, "f.confidence", "f.seq", pos.alias("pos"))
 
@@ -94,22 +95,33 @@ def cited_once(cited: DataFrame, digits: int | None = None) -> DataFrame:
 
 
 def demand(wants: DataFrame) -> DataFrame:
-    """wants (video_id, frame_id, confidence, reason, ord) -> per frame: refs, best confidence, first reason; ranked."""
-    d = wants.groupBy("video_id", "frame_id").agg(F.count("*").alias("refs"), F.max("confidence").alias("confidence"), F.min_by("reason", "ord").alias("reason"))
-    rank = Window.partitionBy("video_id").orderBy(F.desc("refs"), F.desc("confidence"), F.col("frame_id").cast("string"))
+    """wants (video_id, frame_id, ts, confidence, reason, ord) -> per frame: refs, best confidence, first reason; ranked by
+    refs, confidence, time, then the id as text."""
+    d = wants.groupBy("video_id", "frame_id").agg(F.count("*").alias("refs"), F.max("confidence").alias("confidence"), F.min_by("reason", "ord").alias("reason"), F.min("ts").alias("ts"))
+    rank = Window.partitionBy("video_id").orderBy(F.desc("refs"), F.desc("confidence"), "ts", F.col("frame_id").cast("string"))
     return d.withColumn("rank", F.row_number().over(rank).cast("long"))
 
 
+def dangling(refs: DataFrame, known: DataFrame, ref: str, on: str) -> DataFrame:
+    """refs whose `ref` is no `on` of `known`."""
+    return refs.join(known.select(F.col(on).alias(ref)).distinct(), ref, "left_anti")
+
+
 # rule -> SQL that holds for a good package row; the order is the order of reports
 PACKAGE_RULES: dict[str, str] = {
     "no source reference": "length(trim(coalesce(source, ''))) > 0",
     "invalid duration": "coalesce(duration_sec > 0, false)",
-    "empty summary": "length(trim(coalesce(summary, ''))) > 0",
+    "empty summary": "length(regexp_replace(coalesce(summary, ''), '(?U)\\\\s', '')) > 0",
+    "no generated_at": "length(coalesce(generated_at, '')) > 0",
+    "no schema version": "length(coalesce(schema_version, '')) > 0",
     "timestamp outside duration": "forall(timestamps, t -> t >= 0 and t <= duration_sec + 1.0D)",
     "dangling visual evidence": "size(array_except(claim_visuals, visual_ids)) = 0",
     "visual path not relative": "forall(visual_paths, p -> not startswith(p, '/') and not startswith(p, '..') and not contains(p, ':'))",
+    "visual outside duration": "forall(visual_times, t -> t >= 0 and t <= duration_sec + 1.0D)",
+    "measurement of another kind": "forall(measurements, m -> m.kind = m.want)",
+    "measurement outside duration": "forall(measurements, m -> m.ts >= 0 and m.ts <= duration_sec + 1.0D)",
     "excerpt too long": f"forall(refs, r -> r.kind = 'frame' or length(r.ref) <= {MAX_REF})",
-    "embedded media": f"not rlike(coalesce(summary, ''), '{EMBEDDED_MEDIA}') and forall(claim_texts, t -> not rlike(t, '{EMBEDDED_MEDIA}'))",
+    "embedded media": f"not rlike(coalesce(semantic_summary, ''), '{EMBEDDED_MEDIA}') and forall(claim_texts, t -> not rlike(t, '{EMBEDDED_MEDIA}'))",
     "contradictory stages": "size(array_intersect(cited_kinds, stages_unavailable)) = 0",
 }
 
@@ -122,15 +134,6 @@ def validate_packages(packages: DataFrame) -> DataFrame:
     return packages.withColumn("violation", out)
 
 
-def summary(name: str, duration: float, source_type: str, speech: bool, n_lessons: int, found: list[str]) -> str:
-    """The deterministic one-line summary of a package."""
-    base = f"{name}: a {duration:.0f}s {source_type} video."
-    if not speech:
-        return f"{base} No speech was available to analyze."
-    said = f" Recurring topics: {', '.join(found)}." if found else ""
-    return f"{base} {n_lessons} notable point(s) identified via deterministic transcript analysis.{said}"
-
-
 def export_package(package: dict, path: str) -> str:
     """One package as JSON: written beside its place and moved there, so readers never see a part."""
     text = json.dumps(package, indent=2, ensure_ascii=False, allow_nan=False)
@@ -145,12 +148,6 @@ def export_package(package: dict, path: str) -> str:
     return path
 
 
-def export_packages(packages: DataFrame, path: str) -> None:
-    """Bulk export: one JSON line per video, nulls kept, in folders by video; the job's commit makes it whole or absent."""
-    cols = [c for c in packages.columns if c != "video_id"]
-    packages.select("video_id", F.to_json(F.struct("video_id", *cols), {"ignoreNullFields": "false"}).alias("value")).write.partitionBy("video_id").text(path)
-
-
 def render_markdown(package: dict) -> str:
     """A package for readers: source, summary, topics, points, limits."""
     lines = [f"# {package.get('title') or package['source']}", "", package.get("summary") or "", ""]

@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evloom.functions.scalars import base_name, public_url
+from evloom.functions.scalars import base_name, public_url, session_filename
 from evloom.session import ship
 
+from . import correlate
 from .contracts import EVIDENCE_KINDS
 from .temporal import canonical
 
@@ -166,11 +167,56 @@ def session_evidence(observed: DataFrame, changes: DataFrame, segments: DataFram
     if segments is not None:
         seen = seen.where("kind <> 'transcript'")
         said = segments.where(F.length(F.regexp_replace("text", r"(?U)\s", "")) > 0)
-        said = said.select("video_id", F.col("start_sec").alias("ts"), F.lit("transcript").alias("kind"), F.col("text").alias("ref"), F.lit(None).cast("double").alias("confidence"), F.col("end_sec").alias("end_ts"), F.lit("").alias("source"))
+        sure = F.col("confidence") if "confidence" in segments.columns else F.lit(None).cast("double")
+        said = said.select("video_id", F.col("start_sec").alias("ts"), F.lit("transcript").alias("kind"), F.col("text").alias("ref"), sure.alias("confidence"), F.col("end_sec").alias("end_ts"), F.lit("").alias("source"))
         seen = seen.select(*cols).unionByName(said)
     return canonical(seen.select(*cols).unionByName(changes.select(*cols)), ("video_id",))
 
 
+def build_sessions(videos: DataFrame, structured: DataFrame, changes: DataFrame, segments: DataFrame | None, created_at: str, analysis: dict, engine_version: str = "1.0.0", transcripts: DataFrame | None = None) -> DataFrame:
+    """(video_id, name, document): the session of each video as its JSON text, and its file's name.
+
+    videos: video_id, source, source_type, duration_sec, title, width, height, fps, has_audio. Kept are observations,
+    windows with what they lacked, the transcript and the run's facts; no inferences, conclusions, media or tokens."""
+    ship(videos.sparkSession)
+    ev = session_evidence(correlate.flattened(structured), changes, segments)
+    ev = ev.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ts", "kind", "ref", "confidence", "end_ts", "source"))).alias("evidence"))
+    win = structured.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("t", "tolerance_sec", "unavailable"))).alias("windows"))
+    v = public_source(videos).join(ev, "video_id", "left").join(win, "video_id", "left")
+    if segments is not None:
+        seg = segments.select("video_id", F.struct("seg_no", "start_sec", "end_sec", "text", (F.col("confidence") if "confidence" in segments.columns else F.lit(None).cast("double")).alias("confidence")).alias("s"))
+        v = v.join(seg.groupBy("video_id").agg(F.array_sort(F.collect_list("s")).alias("segments")), "video_id", "left")
+    else:
+        v = v.withColumn("segments", F.lit(None).cast("array<struct<seg_no:bigint,start_sec:double,end_sec:double,text:string,confidence:double>>"))
+    if transcripts is not None:
+        v = v.join(transcripts.select("video_id", F.col("transcript_status").alias("state")), "video_id", "left")
+    else:
+        v = v.withColumn("state", F.lit(None).cast("string"))
+    stem = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.regexp_replace(base_name("source"), r"(?<=.)\.[^.]*$", ""))
+    v = v.withColumn("name", session_filename(stem, "source"))
+    facts = dict(sorted(analysis.items()))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                spoken = None
+                if r["segments"] is not None or r["state"] is not None:
+                    said = [{"start_sec": x["start_sec"], "end_sec": x["end_sec"], "text": x["text"], "confidence": x["confidence"], "words": None} for x in r["segments"] or []]
+                    spoken = {"segments": said, "language": None, "source": "unknown", "duration_sec": r["duration_sec"], "status": r["state"] or "ok"}
+                doc = {
+                    "format_version": FORMAT_VERSION, "created_at": created_at, "engine_version": engine_version, "analysis": facts, "transcript": spoken,
+                    "source": {k: r[k] for k in ("source_type", "source", "duration_sec", "title")}, "video": {k: r[k] for k in ("width", "height", "fps", "has_audio")},
+                    "evidence": [{"timestamp_sec": e["ts"], "kind": e["kind"], "ref": e["ref"], "confidence": e["confidence"], "timestamp_end_sec": e["end_ts"], "source": e["source"]} for e in r["evidence"] or []],
+                    "windows": [{"timestamp_sec": w["t"], "tolerance_sec": w["tolerance_sec"], "unavailable": w["unavailable"]} for w in r["windows"] or []],
+                }
+                out.append({"video_id": r["video_id"], "name": r["name"], "document": session_json(doc)})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("video_id", pa.string()), ("name", pa.string()), ("document", pa.string())]))
+
+    cols = ["video_id", "name", "source_type", "source", "duration_sec", "title", "width", "height", "fps", "has_audio", "evidence", "windows", "segments", "state"]
+    return v.select(*cols).mapInArrow(run, "video_id string, name string, document string")
+
+
 def public_source(sources: DataFrame) -> DataFrame:
     """sources (source_type, source) as they may be stored: urls without credentials, tokens and fragments."""
     return sources.withColumn("source", F.when(F.col("source_type") == "url", public_url("source")).otherwise(F.col("source")))

@@ -21,15 +21,14 @@ def pointer_normalized(spark, sf_dir):
     return pt.select("video_id", "seq", scalars.normalized("x", "frame_width").alias("nx"), scalars.normalized("y", "frame_height").alias("ny"))
 
 
-@query("track_confidence", f"WITH {PT} SELECT video_id, count(*) FILTER (WHERE status = 'detected') / count(*)::DOUBLE AS detected FROM pt GROUP BY 1")
+@query("track_confidence", f"WITH {PT} SELECT video_id, min(ts) AS start_sec, max(ts) AS end_sec, count(*) AS readings, count(*) FILTER (WHERE status = 'detected') / count(*)::DOUBLE AS confidence FROM pt GROUP BY 1")
 def track_confidence(spark, sf_dir):
-    pt = views.pointer(spark, sf_dir)
-    return pt.groupBy("video_id").agg((F.sum(F.when(F.col("status") == "detected", 1).otherwise(0)) / F.count("*")).alias("detected"))
+    return measure.track_summary(views.pointer(spark, sf_dir))
 
 
-_IV = f"""o AS (SELECT *, lead(ts) OVER w AS ts2, lead(status) OVER w AS st2, lead(x) OVER w AS x2, lead(y) OVER w AS y2, row_number() OVER w - 1 AS i FROM pt WINDOW w AS (PARTITION BY video_id ORDER BY ts, seq)),
-iv AS (SELECT video_id, i, ts AS start_sec, ts2 AS end_sec, x, y, x2, y2, CASE WHEN ts2 <= ts THEN 'zero_elapsed_time' WHEN ts2 - ts > {GAP} THEN 'sampling_gap'
-  WHEN x IS NULL OR x2 IS NULL THEN 'pointer_not_observed' WHEN status <> 'detected' OR st2 <> 'detected' THEN 'ambiguous_position'
+_IV = f"""o AS (SELECT *, lead(ts) OVER w AS ts2, lead(status) OVER w AS st2, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(confidence) OVER w AS c2, row_number() OVER w - 1 AS i FROM pt WINDOW w AS (PARTITION BY video_id ORDER BY ts, seq)),
+iv AS (SELECT video_id, i, ts AS start_sec, ts2 AS end_sec, x, y, x2, y2, confidence AS c1, c2, sqrt(1.0::DOUBLE * (x2 - x) * (x2 - x) + 1.0::DOUBLE * (y2 - y) * (y2 - y)) / sqrt(1250000.0::DOUBLE) AS step,
+  CASE WHEN ts2 <= ts THEN 'zero_elapsed_time' WHEN ts2 - ts > {GAP} THEN 'sampling_gap' WHEN x IS NULL OR x2 IS NULL THEN 'pointer_not_observed' WHEN status <> 'detected' OR st2 <> 'detected' THEN 'ambiguous_position'
   WHEN sqrt(1.0::DOUBLE * (x2 - x) * (x2 - x) + 1.0::DOUBLE * (y2 - y) * (y2 - y)) / sqrt(1250000.0::DOUBLE) < 0.03 THEN 'displacement_within_jitter' ELSE 'moving' END AS basis FROM o WHERE ts2 IS NOT NULL)"""
 
 
@@ -41,18 +40,24 @@ def cursor_intervals(spark, sf_dir):
 @query(
     "cursor_segments",
     f"""WITH {PT}, {_IV}, n AS (SELECT *, CASE WHEN lag(basis) OVER (PARTITION BY video_id ORDER BY i) = basis THEN 0 ELSE 1 END AS new FROM iv),
-g AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY i) AS island FROM n)
-SELECT video_id, island::BIGINT AS island, min(start_sec) AS start_sec, max(end_sec) AS end_sec, any_value(basis) AS basis, count(*) AS intervals,
-CASE WHEN any_value(basis) = 'moving' THEN 'moving' ELSE 'uncertain' END AS motion_state,
-CASE WHEN any_value(basis) = 'moving' THEN (arg_max(x2, i) - arg_min(x, i))::BIGINT END AS dx, CASE WHEN any_value(basis) = 'moving' THEN (arg_max(y2, i) - arg_min(y, i))::BIGINT END AS dy FROM g GROUP BY video_id, island""",
+g AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY i) AS island FROM n),
+s AS (SELECT video_id, island, min(start_sec) AS a, max(end_sec) AS z, any_value(basis) AS why, count(*) AS intervals, sum(step) AS path, arg_max(x2, i) - arg_min(x, i) AS dx, arg_max(y2, i) - arg_min(y, i) AS dy, arg_min(c1, i) AS c0, sum(c2) AS cs FROM g GROUP BY ALL),
+m AS (SELECT *, why = 'moving' AS moving, sqrt(1.0::DOUBLE * dx * dx + 1.0::DOUBLE * dy * dy) / sqrt(1250000.0::DOUBLE) AS net FROM s),
+h AS (SELECT *, moving AND net >= 0.03 AND net / path >= 0.8 AS straight, degrees(atan2(dy::DOUBLE, dx::DOUBLE)) AS deg FROM m),
+own AS (SELECT video_id, count(*) AS n, min(ts) AS first, max(ts) AS last, min(ts) - 10.0::DOUBLE AS t0, max(ts) + CASE WHEN CAST(video_id AS BIGINT) % 2 = 0 THEN 5.0 ELSE 0.0 END::DOUBLE AS t1 FROM pt GROUP BY 1)
+SELECT video_id, a AS start_sec, z AS end_sec, intervals, CASE WHEN moving THEN 'moving' ELSE 'uncertain' END AS motion_state, CASE WHEN straight THEN CAST(printf('%.1f', CASE WHEN deg < 0 THEN deg + 360 ELSE deg END) AS DOUBLE) % 360 END AS direction_deg,
+  CASE WHEN moving THEN CAST(printf('%.4f', path / (z - a)) AS DOUBLE) END AS mean_speed_norm, CASE WHEN moving THEN CAST(printf('%.4f', (c0 + cs) / (intervals + 1) * least(1.0::DOUBLE, intervals / 2.0::DOUBLE)) AS DOUBLE) ELSE 0.0 END::DOUBLE AS confidence,
+  CASE WHEN NOT moving THEN why WHEN straight THEN 'consecutive_detections_displaced' ELSE 'consecutive_detections_displaced_heading_varies' END AS basis FROM h
+UNION ALL SELECT video_id, t0, first, 0, 'uncertain', NULL, NULL, 0.0, 'not_sampled' FROM own WHERE n > 1
+UNION ALL SELECT video_id, last, t1, 0, 'uncertain', NULL, NULL, 0.0, 'not_sampled' FROM own WHERE n > 1 AND last < t1
+UNION ALL SELECT video_id, t0, t1, 0, 'uncertain', NULL, NULL, 0.0, 'too_few_samples' FROM own WHERE n = 1
+UNION ALL SELECT 'empty', 1.0, 2.0, 0, 'uncertain', NULL, NULL, 0.0, 'no_pointer_samples'""",
 )
 def cursor_segments(spark, sf_dir):
-    s = measure.cursor_segments(views.pointer(spark, sf_dir), GAP)
-    moving = F.col("motion_state") == "moving"
-    return s.select(
-        "video_id", F.col("island").cast("long").alias("island"), "start_sec", "end_sec", "basis", "intervals", "motion_state",
-        F.when(moving, (F.col("x1") - F.col("x0")).cast("long")).alias("dx"), F.when(moving, (F.col("y1") - F.col("y0")).cast("long")).alias("dy"),
-    )
+    pt = views.pointer(spark, sf_dir)
+    tracks = pt.groupBy("video_id").agg((F.min("ts") - 10.0).alias("start_sec"), (F.max("ts") + F.expr("if(first(cast(video_id as bigint)) % 2 = 0, 5.0D, 0.0D)")).alias("end_sec"))
+    tracks = tracks.unionAll(spark.createDataFrame([("empty", 1.0, 2.0)], "video_id string, start_sec double, end_sec double"))
+    return measure.cursor_segments(pt, GAP, tracks).drop("island")
 
 
 _PAIR = "pr AS (SELECT video_id, seq, ts AS later, lag(ts) OVER w AS earlier, px, lag(px) OVER w AS q FROM fr WINDOW w AS (PARTITION BY video_id ORDER BY ts, seq))"
@@ -97,9 +102,12 @@ def keyframe_dedupe(spark, sf_dir):
     return folds.keyframe_dedupe(views.frames(spark, sf_dir), 0.14)
 
 
+_SIG = "h AS (SELECT video_id, seq, ts, px, list_sum(list_transform(range(0, 56), lambda i: CASE WHEN px[(i // 7) * 8 + i % 7 + 1] > px[(i // 7) * 8 + i % 7 + 2] THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS sig FROM fr)"
+
+
 @query(
     "dhash_hamming",
-    f"""WITH {FR}, h AS (SELECT video_id, seq, ts, list_sum(list_transform(range(0, 56), lambda i: CASE WHEN px[(i // 7) * 8 + i % 7 + 1] > px[(i // 7) * 8 + i % 7 + 2] THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS sig FROM fr),
+    f"""WITH {FR}, {_SIG},
 p AS (SELECT *, lag(sig) OVER (PARTITION BY video_id ORDER BY ts, seq) AS prev FROM h) SELECT video_id, seq, sig, bit_count(xor(sig, prev))::BIGINT AS distance FROM p WHERE prev IS NOT NULL""",
 )
 def dhash_hamming(spark, sf_dir):
@@ -112,22 +120,43 @@ def dhash_hamming(spark, sf_dir):
 SIGNATURE = "aggregate(sequence(0, 55), 0L, (s, i) -> s | if(px[(i div 7) * 8 + i % 7] > px[(i div 7) * 8 + i % 7 + 1], shiftleft(1L, i), 0L))"
 
 
-@query("bundle_greedy")
+_BUNDLE = """r AS (SELECT video_id, seq, CASE WHEN seq % 11 = 0 THEN NULL ELSE sig END AS sig, list_sum(px) / 64 AS bright, CASE WHEN seq % 13 = 0 THEN 0 ELSE seq % 5 + 1 END AS size, (seq % 97) * 1000000 + seq AS rank FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY rank) AS i FROM r),
+k AS (SELECT video_id, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::BIGINT AS superseded_by, []::STRUCT(q BIGINT, s BIGINT, b DOUBLE, z BIGINT)[] AS kept FROM (SELECT DISTINCT video_id FROM o)
+UNION ALL SELECT o.video_id, o.i, o.seq, CASE WHEN len(k.kept) < 12 AND o.size > 0 THEN coalesce(d[1].q, o.seq) END, CASE WHEN len(k.kept) < 12 AND o.size > 0 AND len(d) = 0 THEN list_append(k.kept, {'q': o.seq, 's': o.sig, 'b': o.bright, 'z': o.size}) ELSE k.kept END
+FROM k JOIN o ON o.video_id = k.video_id AND o.i = k.i + 1, LATERAL (SELECT list_filter(k.kept, lambda x: CASE WHEN x.s IS NULL OR o.sig IS NULL THEN x.z = o.size ELSE bit_count(xor(x.s, o.sig)) <= 16 AND abs(x.b - o.bright) <= 4.0 END) AS d))"""
+
+
+@query("bundle_greedy", f"WITH RECURSIVE {FR}, {_SIG}, {_BUNDLE} SELECT video_id, seq, superseded_by FROM k WHERE superseded_by IS NOT NULL")
 def bundle_greedy(spark, sf_dir):
-    fr = views.frames(spark, sf_dir)
-    c = fr.select("video_id", "seq", F.expr("cast(seq % 97 as bigint) * 1000000 + seq").alias("rank"), F.expr(SIGNATURE).alias("signature"), F.expr("aggregate(px, 0D, (a, x) -> a + x) / 64").alias("bright"))
+    fr = views.frames(spark, sf_dir).withColumn("rank", F.expr("cast(seq % 97 as bigint) * 1000000 + seq"))
+    c = fr.select("video_id", "seq", "rank", F.expr(f"if(seq % 11 = 0, null, {SIGNATURE})").alias("signature"), F.expr("aggregate(px, 0D, (a, x) -> a + x) / 64").alias("bright"), F.expr("if(seq % 13 = 0, 0L, seq % 5 + 1)").alias("size"))
     return folds.bundle(c, most=12, distance=16, brightness=4.0)
 
 
 @query(
     "keyframe_union",
-    f"WITH {FR}, s AS (SELECT video_id, ts FROM fr WHERE seq % 5 = 0 UNION SELECT video_id, floor(ts / 60) * 60.0::DOUBLE FROM fr UNION SELECT video_id, 0.0::DOUBLE FROM fr) SELECT video_id, ts, row_number() OVER (PARTITION BY video_id ORDER BY ts) - 1 AS pos FROM s",
+    f"""WITH {FR}, v AS (SELECT video_id, max(ts) AS duration FROM fr GROUP BY 1), s AS (SELECT video_id, ts FROM fr WHERE seq % 5 = 0 UNION SELECT video_id, unnest(range(0, CAST(floor(duration / 60) AS BIGINT) + 1)) * 60.0::DOUBLE FROM v UNION SELECT video_id, 0.0::DOUBLE FROM v)
+SELECT video_id, ts, row_number() OVER (PARTITION BY video_id ORDER BY ts) - 1 AS pos FROM s""",
 )
 def keyframe_union(spark, sf_dir):
     """Scene starts, a uniform grid and zero, sorted."""
     fr = views.frames(spark, sf_dir)
-    s = fr.where("seq % 5 = 0").select("video_id", "ts").unionAll(fr.select("video_id", F.expr("floor(ts / 60) * 60.0D"))).unionAll(fr.select("video_id", F.lit(0.0))).distinct()
-    return s.withColumn("pos", F.row_number().over(Window.partitionBy("video_id").orderBy("ts")).cast("long") - 1)
+    return measure.keyframe_times(fr.where("seq % 5 = 0"), fr.groupBy("video_id").agg(F.max("ts").alias("duration")), 60.0)
+
+
+@query(
+    "segment_times",
+    f"""WITH {SG}, sc AS (SELECT video_id, start_sec AS ts FROM sg WHERE seg_no % 2 = 1), own AS (SELECT * FROM sg WHERE end_sec > start_sec),
+hit AS (SELECT DISTINCT own.video_id, seg_no, ts FROM own JOIN sc ON own.video_id = sc.video_id AND ts >= start_sec AND ts <= end_sec),
+c AS (SELECT video_id, seg_no, start_sec AS ts FROM own UNION SELECT video_id, seg_no, (start_sec + end_sec) / 2 FROM own UNION SELECT video_id, seg_no, end_sec FROM own
+  UNION SELECT video_id, seg_no, start_sec + unnest(range(0, CAST(floor((end_sec - start_sec) / 2.0 + 1e-9) AS BIGINT) + 1)) * 2.0::DOUBLE FROM own UNION SELECT * FROM hit)
+SELECT c.video_id, c.seg_no, c.ts, EXISTS (SELECT 1 FROM hit h WHERE h.video_id = c.video_id AND h.seg_no = c.seg_no AND round(h.ts, 3) = round(c.ts, 3)) AS scene FROM c""",
+)
+def segment_times(spark, sf_dir):
+    """Where to look for frames of each segment."""
+    sg = views.segments(spark, sf_dir)
+    return measure.segment_times(sg, sg.where("seg_no % 2 = 1").select("video_id", F.col("start_sec").alias("ts")), 2.0)
 
 
 _VD = "vd AS (SELECT video_id, max(end_sec) AS duration FROM sg GROUP BY 1)"
@@ -161,11 +190,12 @@ def clamp_segments(spark, sf_dir):
 
 @query(
     "anchor_tolerance",
-    f"""WITH {FR}, g AS (SELECT video_id, ts - lag(ts) OVER (PARTITION BY video_id ORDER BY ts) AS gap FROM (SELECT DISTINCT video_id, ts FROM fr)),
+    f"""WITH {FR}, g AS (SELECT video_id, ts - lag(ts) OVER (PARTITION BY video_id ORDER BY ts, seq) AS gap FROM (SELECT video_id, seq, ts - CASE WHEN seq % 3 = 0 THEN 2.0 ELSE 0.0 END::DOUBLE AS ts FROM fr)),
 l AS (SELECT video_id, list_sort(list(gap) FILTER (WHERE gap IS NOT NULL)) AS g FROM g GROUP BY 1) SELECT video_id, greatest(1.0::DOUBLE, coalesce(g[len(g) // 2 + 1] / 2, 1.0::DOUBLE)) AS tolerance FROM l""",
 )
 def anchor_tolerance(spark, sf_dir):
-    return measure.anchor_tolerance(views.frames(spark, sf_dir))
+    fr = views.frames(spark, sf_dir)
+    return measure.anchor_tolerance(fr.withColumn("ts", F.expr("ts - if(seq % 3 = 0, 2.0D, 0.0D)")))
 
 
 _SIZE = "p_partkey % 1000 + 2"

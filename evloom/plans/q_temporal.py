@@ -9,7 +9,7 @@ from evloom.operators import correlate, temporal
 
 from . import views
 from .registry import query
-from .views import EV, PT, SG, SP
+from .views import EV, SG, SP, ST, windowed
 
 TOL = 21600.0
 _CANON = "ts, coalesce(end_ts, ts), kind, source, ref, coalesce(confidence, -1.0)"
@@ -103,11 +103,11 @@ def all_within_tolerance(spark, sf_dir):
 
 @query(
     "span_overlap",
-    f"""WITH {SP}, w AS (SELECT CAST(o_custkey AS VARCHAR) AS video_id, o_orderkey AS probe, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) * 1.0::DOUBLE AS t FROM orders WHERE o_orderkey % 4 = 0)
+    f"""WITH {SP}, w AS (SELECT CAST(o_custkey AS VARCHAR) AS video_id, o_orderkey AS probe, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) * 1.0::DOUBLE AS t FROM orders)
 SELECT w.video_id, w.probe, sp.seq, sp.start_sec, sp.end_sec FROM w JOIN sp ON w.video_id = sp.video_id AND sp.start_sec <= w.t + 15 AND sp.end_sec >= w.t - 15 AND sp.start_sec <= sp.end_sec""",
 )
 def span_overlap(spark, sf_dir):
-    o = views.table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0")
+    o = views.table(spark, sf_dir, "orders")
     w = o.select(F.col("o_custkey").cast("string").alias("video_id"), F.col("o_orderkey").alias("probe"), F.expr("datediff(cast(o_orderdate as date), date'1992-01-01') * 1.0D").alias("t"))
     w = w.withColumn("lo", F.col("t") - 15).withColumn("hi", F.col("t") + 15)
     return temporal.interval_join(w, views.spans(spark, sf_dir), 30.0).select("video_id", "probe", "seq", "start_sec", "end_sec")
@@ -147,89 +147,99 @@ def text_around(spark, sf_dir):
     return temporal.text_around(p, sg, ("video_id", "probe")).select("video_id", "probe", "said")
 
 
-_WIN = f"""win AS (SELECT video_id, seq AS probe, ts AS t FROM ev WHERE kind = 'frame'),
-obs AS (SELECT DISTINCT w.video_id, w.probe, w.t, e.kind, e.seq, e.ts, e.confidence, e.source FROM win w JOIN ev e ON e.video_id = w.video_id
-  AND ((e.end_ts IS NULL AND abs(e.ts - w.t) <= {TOL}) OR (e.end_ts IS NOT NULL AND e.ts < w.t + {TOL} AND e.end_ts > w.t - {TOL})))"""
+_WIN = windowed(TOL)
+_CALLS = ("video_understanding", "visual_change", "cursor_track")
+_OBSERVED = """o AS (SELECT video_id, probe, t, ts, kind, CASE WHEN kind = 'pointer' THEN 'x=' || x || ', y=' || y || ' (status=' || status || ')' ELSE ref END AS ref,
+  CASE WHEN kind <> 'frame' THEN confidence END AS confidence, CASE WHEN kind = 'cursor_track' THEN end_ts END AS end_ts, CASE WHEN kind IN ('visual_change', 'cursor_track') OR native THEN source ELSE '' END AS source,
+  CASE kind WHEN 'frame' THEN 1 WHEN 'transcript' THEN 2 WHEN 'pointer' THEN 3 WHEN 'vision' THEN CASE WHEN native THEN 5 ELSE 4 END WHEN 'visual_change' THEN 6 ELSE 7 END AS slot, seq, 0 AS part FROM nr
+  WHERE CASE kind WHEN 'frame' THEN rk = 1 WHEN 'pointer' THEN rk = 1 AND status <> 'not_detected' WHEN 'vision' THEN rk = 1 AND status IN ('ok', 'low_information') WHEN 'visual_change' THEN status <> 'unavailable' ELSE true END),
+el AS (SELECT o.* REPLACE (x.said AS ref, x.p AS part) FROM o, (VALUES ('text: a line', 1), ('button: the button', 2)) x(said, p) WHERE kind = 'vision' AND (p = 1 OR seq % 2 = 0)),
+every AS (SELECT * FROM o UNION ALL SELECT * FROM el),
+fl AS (SELECT *, row_number() OVER (PARTITION BY video_id, probe ORDER BY slot, ts, coalesce(end_ts, ts), seq, part) - 1 AS pos FROM every)"""
 
 
-@query(
-    "structured_observed",
-    f"""WITH {EV}, {_WIN},
-near AS (SELECT *, row_number() OVER (PARTITION BY video_id, probe, kind, kind = 'vision' AND source <> '' ORDER BY abs(ts - t), ts, seq) AS rk FROM obs),
-kept AS (SELECT * FROM near WHERE kind IN ('transcript', 'visual_change') OR rk = 1)
-SELECT video_id, probe, t, kind, source <> '' AS native, seq, row_number() OVER (PARTITION BY video_id, probe ORDER BY CASE kind WHEN 'frame' THEN 1 WHEN 'transcript' THEN 2 WHEN 'pointer' THEN 3
-  WHEN 'vision' THEN CASE WHEN source = '' THEN 4 ELSE 5 END ELSE 6 END, ts, seq) - 1 AS pos FROM kept""",
-)
+def _structured(spark, sf_dir):
+    return correlate.observe(views.streams(spark, sf_dir), TOL, _CALLS)
+
+
+@query("structured_observed", f"WITH {_WIN}, {_OBSERVED} SELECT video_id, probe, t, pos, ts, kind, ref, confidence, end_ts, source FROM fl")
 def structured_observed(spark, sf_dir):
-    return correlate.observed(views.evidence(spark, sf_dir), TOL)
+    return correlate.flattened(_structured(spark, sf_dir))
 
 
 @query(
     "stage_unavailable",
-    f"""WITH {EV}, {_WIN}, k AS (SELECT DISTINCT video_id, probe, kind FROM obs),
-s(stage, pos) AS (VALUES ('frame', 1), ('transcript', 2), ('pointer', 3), ('vision', 4), ('visual_change', 5))
-SELECT win.video_id, win.probe, string_agg(stage, ',' ORDER BY pos) FILTER (WHERE k.kind IS NULL) AS unavailable
-FROM win CROSS JOIN s LEFT JOIN k ON k.video_id = win.video_id AND k.probe = win.probe AND k.kind = s.stage GROUP BY ALL""",
+    f"""WITH {_WIN}, {_OBSERVED}, s(stage, place) AS (VALUES ('frame', 1), ('transcript', 2), ('pointer', 3), ('vision', 4), ('video_understanding', 5), ('visual_change', 6), ('cursor_track', 7)),
+k AS (SELECT DISTINCT video_id, probe, kind AS stage FROM o UNION SELECT DISTINCT video_id, probe, 'video_understanding' FROM o WHERE slot = 5)
+SELECT w.video_id, w.probe, string_agg(s.stage, ',' ORDER BY place) FILTER (WHERE k.stage IS NULL) AS unavailable FROM w CROSS JOIN s LEFT JOIN k ON k.video_id = w.video_id AND k.probe = w.probe AND k.stage = s.stage GROUP BY ALL""",
 )
 def stage_unavailable(spark, sf_dir):
-    return correlate.unavailable(views.evidence(spark, sf_dir), TOL)
+    return _structured(spark, sf_dir).select("video_id", "probe", F.nullif(F.array_join("unavailable", ","), F.lit("")).alias("unavailable"))
 
 
 @query(
     "multimodal_rows",
-    f"""WITH {EV}, {_WIN}, v AS (SELECT DISTINCT ON (video_id, probe) video_id, probe, seq FROM obs WHERE kind = 'vision' ORDER BY video_id, probe, source <> '', abs(ts - t), ts, seq),
-s AS (SELECT video_id, probe, string_agg(CAST(seq AS VARCHAR), ' ' ORDER BY ts, seq) AS said FROM obs WHERE kind = 'transcript' GROUP BY ALL)
-SELECT win.video_id, win.probe, win.t, s.said AS transcript, v.seq AS vision_seq FROM win LEFT JOIN s USING (video_id, probe) LEFT JOIN v USING (video_id, probe)""",
+    f"""WITH {_WIN}, {_OBSERVED}, sp AS (SELECT video_id, probe, string_agg(ref, ' ' ORDER BY ts, seq) AS said FROM o WHERE slot = 2 GROUP BY ALL), d AS (SELECT video_id, probe, arg_min(ref, pos) AS d FROM fl WHERE kind = 'vision' GROUP BY ALL)
+SELECT w.video_id, w.probe, w.t, nullif(said, '') AS transcript_context, coalesce(d, '') AS description, f.ref AS frame_path, p.seq AS pointer_seq, coalesce(v.seq, n.seq) AS vision_seq FROM w LEFT JOIN sp USING (video_id, probe) LEFT JOIN d USING (video_id, probe)
+LEFT JOIN (SELECT * FROM o WHERE slot = 1) f USING (video_id, probe) LEFT JOIN (SELECT * FROM o WHERE slot = 3) p USING (video_id, probe) LEFT JOIN (SELECT * FROM o WHERE slot = 4) v USING (video_id, probe) LEFT JOIN (SELECT * FROM o WHERE slot = 5) n USING (video_id, probe)""",
 )
 def multimodal_rows(spark, sf_dir):
-    return correlate.multimodal(views.evidence(spark, sf_dir), TOL)
+    m = _structured(spark, sf_dir)
+    return m.select("video_id", "probe", "t", "transcript_context", "description", "frame_path", F.col("pointer.seq").alias("pointer_seq"), F.col("vision.seq").alias("vision_seq"))
 
 
-_BOX = "0.4::DOUBLE AS x1, 0.0::DOUBLE AS y1, 0.8::DOUBLE AS x2, 0.06::DOUBLE AS y2"
-_REGION = f"""vis AS (SELECT video_id, seq AS probe, ts AS t, confidence AS vconf, seq % 2 = 0 AS located, {_BOX} FROM ev WHERE kind = 'vision'),
-nearp AS (SELECT vis.*, p.seq, p.status, p.x / 1000.0::DOUBLE AS nx, p.y / 500.0::DOUBLE AS ny, p.confidence AS pconf FROM vis LEFT JOIN LATERAL
-  (SELECT * FROM pt WHERE pt.video_id = vis.video_id AND abs(pt.ts - vis.t) <= {TOL} ORDER BY abs(pt.ts - vis.t), pt.ts, pt.seq LIMIT 1) p ON true)"""
+_REGION = """rg AS (SELECT np.video_id, np.probe, np.t, np.seq, np.x / 1000.0::DOUBLE AS nx, np.y / 500.0::DOUBLE AS ny, np.confidence AS pc, nv.confidence AS vc, np.x, np.y FROM np JOIN nv USING (video_id, probe)
+  WHERE nv.status = 'ok' AND nv.seq % 2 = 0 AND np.status <> 'not_detected')"""
 
 
 @query(
     "pointer_in_region",
-    f"""WITH {EV}, {PT}, {_REGION} SELECT video_id, probe, seq AS pointer_seq, CASE WHEN nx BETWEEN x1 AND x2 AND ny BETWEEN y1 AND y2 THEN 'pointer_in_vision_region' ELSE 'outside_all_regions' END AS finding,
-CASE WHEN nx BETWEEN x1 AND x2 AND ny BETWEEN y1 AND y2 THEN pconf * vconf END AS confidence FROM nearp WHERE located AND nx IS NOT NULL AND ny IS NOT NULL""",
+    f"""WITH {_WIN}, {_REGION} SELECT video_id, probe, 'x=' || x || ', y=' || y || ' + button: the button' AS cited, CAST(printf('%.4f', pc * vc) AS DOUBLE) AS confidence,
+'The pointer lay inside the region that vision located as ''the button'' (button). That supports, without proving it, that this element was referred to or used.' AS text FROM rg WHERE nx BETWEEN 0.4::DOUBLE AND 0.8::DOUBLE AND ny BETWEEN 0.0::DOUBLE AND 0.06::DOUBLE""",
 )
 def pointer_in_region(spark, sf_dir):
-    vis, pt = _located(spark, sf_dir)
-    found = correlate.pointer_regions(vis, pt, TOL)
-    return found.where("finding in ('pointer_in_vision_region', 'outside_all_regions')").select("video_id", "probe", "pointer_seq", "finding", "confidence")
-
+    found = correlate.inferences(_structured(spark, sf_dir)).where(F.col("basis") == correlate.IN_REGION)
+    return found.select("video_id", "probe", F.expr("array_join(transform(supporting_evidence, e -> e.ref), ' + ')").alias("cited"), "confidence", "text")
 
-@query("region_without_pointer", f"WITH {EV}, {PT}, {_REGION} SELECT video_id, probe FROM nearp WHERE located AND (nx IS NULL OR ny IS NULL)")
-def region_without_pointer(spark, sf_dir):
-    vis, pt = _located(spark, sf_dir)
-    return correlate.pointer_regions(vis, pt, TOL).where("finding = 'no_pointer'").select("video_id", "probe")
 
-
-def _located(spark, sf_dir):
-    ev = views.evidence(spark, sf_dir).where("kind = 'vision'")
-    box = F.struct(F.lit(0.4).alias("x1"), F.lit(0.0).alias("y1"), F.lit(0.8).alias("x2"), F.lit(0.06).alias("y2"))
-    vis = ev.select("video_id", F.col("seq").alias("probe"), F.col("ts").alias("t"), "confidence", F.lit("ok").alias("status"), F.when(F.col("seq") % 2 == 0, F.array(box)).otherwise(F.expr("array()")).alias("regions"))
-    return vis, views.pointer(spark, sf_dir)
+@query(
+    "region_disagreements",
+    f"""WITH {_WIN}, {_REGION} SELECT video_id, probe, 'pointer position (' || printf('%.3f', nx) || ', ' || printf('%.3f', ny) || ') is in none of the 1 located region(s)' AS note FROM rg WHERE NOT (nx BETWEEN 0.4::DOUBLE AND 0.8::DOUBLE AND ny BETWEEN 0.0::DOUBLE AND 0.06::DOUBLE)
+UNION ALL SELECT nv.video_id, nv.probe, 'vision located element(s), but no pointer evidence of this window confirms any use of them' FROM nv LEFT JOIN np USING (video_id, probe) WHERE nv.status = 'ok' AND nv.seq % 2 = 0 AND coalesce(np.status, 'not_detected') = 'not_detected'""",
+)
+def region_disagreements(spark, sf_dir):
+    return correlate.disagreements(_structured(spark, sf_dir)).select("video_id", "probe", "note")
 
 
 @query(
     "speech_pointer_motion",
-    f"""WITH {EV}, {PT}, w AS (SELECT video_id, seq AS probe, ts AS t FROM ev WHERE kind = 'frame'),
-speech AS (SELECT DISTINCT w.video_id, w.probe FROM w JOIN ev e ON e.video_id = w.video_id AND e.kind = 'transcript' AND e.ts < w.t + 86400.0 AND e.end_ts > w.t - 86400.0),
-r AS (SELECT w.video_id, w.probe, pt.*  EXCLUDE (video_id) FROM w JOIN pt ON pt.video_id = w.video_id AND abs(pt.ts - w.t) <= 86400.0),
-o AS (SELECT *, row_number() OVER (PARTITION BY video_id, probe ORDER BY ts, seq) AS i FROM r),
-b AS (SELECT video_id, probe, min(i) FILTER (WHERE status = 'detected') AS a, max(i) FILTER (WHERE status = 'detected') AS z, count(*) AS n FROM o GROUP BY ALL),
+    f"""WITH {windowed(86400.0)}, speech AS (SELECT video_id, probe, count(*) AS spoken FROM ob WHERE kind = 'transcript' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY video_id, probe ORDER BY ts, seq) AS i FROM ob WHERE kind = 'pointer'),
+b AS (SELECT video_id, probe, min(i) FILTER (WHERE status = 'detected') AS a, max(i) FILTER (WHERE status = 'detected') AS z, count(*) AS n FROM r GROUP BY ALL),
 g AS (SELECT b.video_id, b.probe, z - a + 1 AS run, n, bool_and(status = 'detected') AS ok, arg_min(x, i) AS x0, arg_max(x, i) AS x1, arg_min(y, i) AS y0, arg_max(y, i) AS y1
-  FROM b JOIN o ON o.video_id = b.video_id AND o.probe = b.probe AND i BETWEEN a AND z GROUP BY ALL)
-SELECT g.video_id, g.probe, run::BIGINT AS run, n::BIGINT AS readings FROM g JOIN speech USING (video_id, probe)
-WHERE ok AND run >= 2 AND sqrt(pow(x1 / 1000.0::DOUBLE - x0 / 1000.0::DOUBLE, 2) + pow(y1 / 500.0::DOUBLE - y0 / 500.0::DOUBLE, 2)) > 0.03""",
+  FROM b JOIN r ON r.video_id = b.video_id AND r.probe = b.probe AND i BETWEEN a AND z GROUP BY ALL),
+m AS (SELECT *, sqrt(pow(x1 / 1000.0::DOUBLE - x0 / 1000.0::DOUBLE, 2) + pow(y1 / 500.0::DOUBLE - y0 / 500.0::DOUBLE, 2)) AS way FROM g JOIN speech USING (video_id, probe))
+SELECT video_id, probe, 'There was speech while the pointer moved across the frame (normalized displacement ' || printf('%.3f', way) || ').' AS text, CAST(printf('%.4f', run / n::DOUBLE) AS DOUBLE) AS confidence, spoken + run::BIGINT AS cited
+FROM m WHERE ok AND run >= 2 AND way > 0.03""",
 )
 def speech_pointer_motion(spark, sf_dir):
-    ev = views.evidence(spark, sf_dir)
-    return correlate.speech_pointer_motion(probes(ev), ev.where("kind = 'transcript'"), views.pointer(spark, sf_dir), 86400.0)
+    found = correlate.inferences(correlate.observe(views.streams(spark, sf_dir), 86400.0)).where(F.col("basis") == correlate.MOTION)
+    return found.select("video_id", "probe", "text", "confidence", F.size("supporting_evidence").cast("long").alias("cited"))
+
+
+@query("change_stream", f"WITH {ST} SELECT video_id, seq, ts, ref, confidence, source FROM st WHERE kind = 'visual_change' AND status <> 'unavailable'")
+def change_stream(spark, sf_dir):
+    return correlate.change_stream(views.streams(spark, sf_dir)).select("video_id", "seq", "ts", "ref", "confidence", "source")
+
+
+@query(
+    "vision_descriptions",
+    f"""WITH {_WIN}, c AS (SELECT * FROM nv WHERE status IN ('ok', 'low_information') UNION ALL SELECT nn.* FROM nn LEFT JOIN nv USING (video_id, probe) WHERE nn.status IN ('ok', 'low_information') AND coalesce(nv.status, '') NOT IN ('ok', 'low_information'))
+SELECT video_id, ts, arg_max(ref, t) AS description FROM c WHERE ref <> '' GROUP BY ALL""",
+)
+def vision_descriptions(spark, sf_dir):
+    """P10: what vision said of each analysed time."""
+    return correlate.descriptions(_structured(spark, sf_dir))
 
 
 @query(
@@ -243,14 +253,7 @@ def session_windows(spark, sf_dir):
     return w.withColumn("pos", F.row_number().over(Window.partitionBy("video_id").orderBy("t", "tol", "seq")).cast("long") - 1).drop("seq")
 
 
-@query(
-    "query_timestamps",
-    f"""WITH {EV}, f AS (SELECT DISTINCT video_id, ts FROM ev WHERE kind = 'frame' AND source = ''), s AS (SELECT DISTINCT video_id, ts FROM ev WHERE kind = 'transcript' AND video_id NOT IN (SELECT video_id FROM f)),
-n AS (SELECT DISTINCT video_id, ts FROM ev WHERE kind = 'vision' AND source = 'video_understanding') SELECT * FROM f UNION SELECT * FROM s UNION SELECT * FROM n""",
-)
+@query("query_timestamps", f"WITH {_WIN} SELECT video_id, probe, t FROM w")
 def query_timestamps(spark, sf_dir):
-    """Frame times, or segment starts where a video has no frames, with native observation times."""
-    ev = views.evidence(spark, sf_dir)
-    f = ev.where("kind = 'frame' and source = ''").select("video_id", "ts")
-    s = ev.where("kind = 'transcript'").select("video_id", "ts").join(f.select("video_id").distinct(), "video_id", "left_anti")
-    return f.unionAll(s).unionAll(ev.where("kind = 'vision' and source = 'video_understanding'").select("video_id", "ts")).distinct()
+    """Frame times, or segment starts where a video has no frames, with the times of usable native answers."""
+    return correlate.windows(views.streams(spark, sf_dir))

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from evloom.functions import scalars
 from evloom.operators import contracts, correlate, knowledge, synthesis, temporal
+from evloom.session import written
+from evloom.sources import media
 
 from . import views
 from .registry import query
+from .q_temporal import _OBSERVED, _REGION
 from .views import EV, FR, PT, SG, SP
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in knowledge.STOPWORDS)
@@ -53,13 +56,13 @@ def cue_lessons(spark, sf_dir):
 
 @query(
     "stage_coverage",
-    f"""WITH {EV}, a AS (SELECT video_id, kind FROM ev WHERE seq % 3 = 0), v AS (SELECT DISTINCT video_id FROM ev), s(k) AS (VALUES ('frame'), ('pointer'), ('transcript'), ('vision'), ('visual_change'))
+    f"""WITH {EV}, a AS (SELECT video_id, kind FROM ev WHERE kind <> 'pointer'), v AS (SELECT DISTINCT video_id FROM ev), s(k) AS (VALUES ('frame'), ('pointer'), ('transcript'), ('vision'), ('visual_change'))
 SELECT v.video_id, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT DISTINCT kind AS k FROM a WHERE a.video_id = v.video_id)) AS available,
 (SELECT string_agg(k, ',' ORDER BY k) FROM s WHERE k NOT IN (SELECT kind FROM a WHERE a.video_id = v.video_id)) AS unavailable FROM v""",
 )
 def stage_coverage(spark, sf_dir):
     ev = views.evidence(spark, sf_dir)
-    out = knowledge.coverage(ev.where("seq % 3 = 0"), ev.select("video_id").distinct(), ("visual_change",))
+    out = knowledge.coverage(ev.where("kind <> 'pointer'"), ev.select("video_id").distinct(), ("visual_change",))
     return out.select("video_id", *[F.nullif(F.array_join(c, ","), F.lit("")).alias(c) for c in ("available", "unavailable")])
 
 
@@ -81,15 +84,15 @@ def cited_evidence_dedupe(spark, sf_dir):
 
 @query(
     "demand_rank",
-    f"""WITH {FR}, n AS (SELECT count(*) AS n FROM fr), w AS (SELECT '0' AS video_id, (doc_id * 7) % n AS frame_id, (doc_id % 10) / 10.0::DOUBLE AS confidence, CASE quality WHEN 1 THEN 'cited' ELSE 'near' END AS reason, doc_id AS ord FROM labels, n),
-d AS (SELECT video_id, frame_id, count(*) AS refs, max(confidence) AS confidence, arg_min(reason, ord) AS reason FROM w GROUP BY ALL)
-SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY refs DESC, confidence DESC, CAST(frame_id AS VARCHAR)) AS rank FROM d""",
+    f"""WITH {FR}, n AS (SELECT count(*) AS n FROM fr), w AS (SELECT '0' AS video_id, (doc_id * 7) % n AS frame_id, (doc_id % 10) / 10.0::DOUBLE AS confidence, ((doc_id * 7) % n % 9) * 1.0::DOUBLE AS ts, CASE quality WHEN 1 THEN 'cited' ELSE 'near' END AS reason, doc_id AS ord FROM labels, n),
+d AS (SELECT video_id, frame_id, count(*) AS refs, max(confidence) AS confidence, arg_min(reason, ord) AS reason, min(ts) AS ts FROM w GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY refs DESC, confidence DESC, ts, CAST(frame_id AS VARCHAR)) AS rank FROM d""",
 )
 def demand_rank(spark, sf_dir):
     n = F.broadcast(views.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n")))  # one row
     w = views.table(spark, sf_dir, "labels").crossJoin(n).select(
         F.lit("0").alias("video_id"), F.expr("(doc_id * 7) % n").alias("frame_id"), F.expr("(doc_id % 10) / 10.0D").alias("confidence"),
-        F.expr("case quality when 1 then 'cited' else 'near' end").alias("reason"), F.col("doc_id").alias("ord"),
+        F.expr("((doc_id * 7) % n % 9) * 1.0D").alias("ts"), F.expr("case quality when 1 then 'cited' else 'near' end").alias("reason"), F.col("doc_id").alias("ord"),
     )
     return knowledge.demand(w)
 
@@ -120,65 +123,115 @@ def brief_budget(spark, sf_dir):
 _REFS = "CASE seq % 11 WHEN 0 THEN '{\"status\":\"not_detected\"}' WHEN 1 THEN '{\"state\":\"uncertain\"}' WHEN 2 THEN 'not json' ELSE ref END"
 
 
-@query("json_null_measurement", f"WITH {EV} SELECT video_id, seq, seq % 11 IN (0, 1) AS is_null FROM ev")
+@query("json_null_measurement", f"WITH {EV} SELECT video_id, seq, kind = 'visual_change' AND seq % 11 IN (0, 1) AS is_null FROM ev")
 def json_null_measurement(spark, sf_dir):
     ev = views.evidence(spark, sf_dir).withColumn("ref", F.expr(_REFS))
     return ev.select("video_id", "seq", synthesis.null_measurement().alias("is_null"))
 
 
-@query(
-    "brief_items",
-    f"""WITH {EV}, w AS (SELECT video_id, seq AS probe, ts AS t FROM ev WHERE kind = 'frame'),
-o AS (SELECT w.video_id, w.probe, w.t, e.seq AS ord, e.ts, e.kind, e.source, {_REFS.replace("seq", "e.seq").replace("ELSE ref", "ELSE e.ref")} AS ref FROM w JOIN ev e ON w.video_id = e.video_id AND abs(e.ts - w.t) <= 21600 AND e.kind <> 'transcript' AND e.seq % 11 > 1),
-k AS (SELECT * FROM o WHERE kind <> 'pointer' OR probe % 2 = 0 QUALIFY row_number() OVER (PARTITION BY video_id, round(ts, 3), kind, ref, source ORDER BY t, ord) = 1)
-SELECT video_id, probe, ord, 'e' || (row_number() OVER (PARTITION BY video_id ORDER BY t, ord) - 1) AS evidence_id FROM k""",
-)
+TOL = 21600.0
+_CHUNKED = f"""o_ AS (SELECT * REPLACE (trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS text), row_number() OVER (PARTITION BY video_id ORDER BY seg_no) AS i FROM sg WHERE regexp_matches(text, '\\S')),
+k_ AS (SELECT video_id, i, text, start_sec AS chunk_start, end_sec, 0::BIGINT AS chunk FROM o_ WHERE i = 1 UNION ALL
+SELECT o_.video_id, o_.i, o_.text, CASE WHEN k_.end_sec - k_.chunk_start >= 20 THEN o_.start_sec ELSE k_.chunk_start END, o_.end_sec, CASE WHEN k_.end_sec - k_.chunk_start >= 20 THEN k_.chunk + 1 ELSE k_.chunk END FROM k_ JOIN o_ ON o_.video_id = k_.video_id AND o_.i = k_.i + 1),
+ch AS (SELECT video_id, chunk, any_value(chunk_start) AS ts, string_agg(text, ' ' ORDER BY i) AS text FROM k_ GROUP BY ALL),
+cf_ AS (SELECT *, sum(length(text)) OVER (PARTITION BY video_id) > {synthesis.BRIEF_CHARS} AS condensed, greatest(120, {synthesis.BRIEF_CHARS} // count(*) OVER (PARTITION BY video_id)) AS share FROM ch),
+said_ AS (SELECT video_id, chunk, ts, condensed, CASE WHEN NOT condensed OR length(text) <= share THEN text ELSE rtrim(left(text, share::INT), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') || ' ...[condensed]' END AS ref FROM cf_)"""
+_INFERRED = f"""sp_ AS (SELECT DISTINCT video_id, probe FROM ob WHERE kind = 'transcript'),
+r_ AS (SELECT *, row_number() OVER (PARTITION BY video_id, probe ORDER BY ts, seq) AS i FROM ob WHERE kind = 'pointer'),
+b_ AS (SELECT video_id, probe, min(i) FILTER (WHERE status = 'detected') AS a, max(i) FILTER (WHERE status = 'detected') AS z FROM r_ GROUP BY ALL),
+g_ AS (SELECT b_.video_id, b_.probe, z - a + 1 AS run, bool_and(status = 'detected') AS ok, arg_min(x, i) AS x0, arg_max(x, i) AS x1, arg_min(y, i) AS y0, arg_max(y, i) AS y1 FROM b_ JOIN r_ ON r_.video_id = b_.video_id AND r_.probe = b_.probe AND i BETWEEN a AND z GROUP BY ALL),
+mv AS (SELECT * FROM (SELECT video_id, probe, sqrt(pow(x1 / 1000.0::DOUBLE - x0 / 1000.0::DOUBLE, 2) + pow(y1 / 500.0::DOUBLE - y0 / 500.0::DOUBLE, 2)) AS way FROM g_ JOIN sp_ USING (video_id, probe) WHERE ok AND run >= 2) WHERE way > 0.03),
+inr AS (SELECT * FROM rg WHERE nx BETWEEN 0.4::DOUBLE AND 0.8::DOUBLE AND ny BETWEEN 0.0::DOUBLE AND 0.06::DOUBLE),
+con AS (SELECT video_id, probe FROM mv UNION SELECT video_id, probe FROM inr)"""
+_BRIEF = f"""WITH RECURSIVE {views.windowed(TOL)}, {_OBSERVED}, {_REGION}, {_INFERRED}, {SG}, {_CHUNKED},
+bi AS (SELECT video_id, -1.0::DOUBLE AS tt, NULL::BIGINT AS probe, chunk AS p, ts, 'transcript' AS kind, ref, NULL::DOUBLE AS confidence, '' AS source, condensed FROM said_
+  UNION ALL SELECT fl.video_id, t, fl.probe, pos, ts, kind, ref, confidence, source, false FROM fl LEFT JOIN con ON con.video_id = fl.video_id AND con.probe = fl.probe
+  WHERE kind <> 'transcript' AND (kind <> 'pointer' OR con.probe IS NOT NULL) AND ref NOT IN ('{{"status":"not_detected"}}', '{{"state":"uncertain"}}')),
+bd AS (SELECT * FROM bi QUALIFY row_number() OVER (PARTITION BY video_id, round(ts, 3), kind, ref, source ORDER BY tt, probe, p) = 1),
+bx AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY tt, probe, p) - 1 AS ord FROM bd)"""
+
+
+def _structured(spark, sf_dir):
+    return correlate.observe(views.streams(spark, sf_dir), TOL, ("video_understanding", "visual_change", "cursor_track"))
+
+
+@query("brief_items", f"{_BRIEF} SELECT video_id, 'e' || ord AS evidence_id, ord, ts, kind, ref, confidence, source, condensed FROM bx")
 def brief_items(spark, sf_dir):
-    ev = views.evidence(spark, sf_dir)
-    w = correlate.windows(ev)
-    around = temporal.band_join(w, ev.select("video_id", F.col("seq").alias("ord"), "ts", "kind", "source", F.expr(_REFS).alias("ref")), 21600.0)
-    return synthesis.brief_items(around, w.where("probe % 2 = 0").select("video_id", "probe")).select("video_id", "probe", "ord", "evidence_id")
-
-
-_CLAIMS = """n AS (SELECT count(*) AS n FROM documents),
-br AS (SELECT CAST(doc_id AS VARCHAR) AS evidence_id, CASE doc_id % 5 WHEN 0 THEN 'transcript' WHEN 1 THEN 'vision' WHEN 2 THEN 'frame' WHEN 3 THEN 'visual_change' ELSE 'pointer' END AS kind, doc_id * 1.0::DOUBLE AS ts,
-  CASE WHEN doc_id % 3 <> 0 THEN (doc_id % 10) / 10.0::DOUBLE END AS confidence FROM documents),
-cl AS (SELECT doc_id AS ord, left(text, 600) AS text, CASE WHEN doc_id % 17 = 0 THEN 'guess' WHEN quality = 1 THEN 'observed' WHEN quality = 0 THEN 'inferred' END AS nature, doc_id * 1.0::DOUBLE AS ts, 0.7::DOUBLE AS confidence,
-  [CAST(doc_id AS VARCHAR), CAST((doc_id * 7) % (6 * n // 5) AS VARCHAR)] AS ids, n * 0.95::DOUBLE AS duration FROM labels JOIN documents USING (doc_id), n),
-ct AS (SELECT ord, list(kind) AS kinds, max(br.confidence) AS cap, string_agg(i, ', ' ORDER BY i) FILTER (WHERE br.kind IS NULL) AS missing FROM (SELECT DISTINCT ord, unnest(ids) AS i FROM cl) x LEFT JOIN br ON br.evidence_id = x.i GROUP BY ord),
-cf AS (SELECT DISTINCT ord FROM cl JOIN benchmark ON abs(cl.ts - item_id * 25.0) <= 2.0),
-vf AS (SELECT cl.ord, CASE WHEN cf.ord IS NOT NULL THEN 'conflicting' WHEN nature = 'observed' AND list_contains(kinds, 'visual_change') AND NOT (list_contains(kinds, 'transcript') OR list_contains(kinds, 'vision')) THEN 'inferred' ELSE nature END AS status,
-  cl.ts, least(cl.confidence, coalesce(cap, cl.confidence)) AS confidence,
-  CASE WHEN list_contains(kinds, 'transcript') AND list_contains(kinds, 'vision') THEN 'speech_corroborated_by_visual_evidence' WHEN list_contains(kinds, 'transcript') AND list_contains(kinds, 'frame') THEN 'speech_evidence_with_uninterpreted_frame'
-    WHEN list_contains(kinds, 'transcript') AND list_contains(kinds, 'visual_change') THEN 'speech_evidence_with_measured_change' WHEN list_contains(kinds, 'transcript') THEN 'speech_evidence_only'
-    WHEN list_contains(kinds, 'vision') THEN 'visual_evidence_only' WHEN list_contains(kinds, 'visual_change') THEN 'measurement_evidence_only' WHEN list_contains(kinds, 'frame') THEN 'uninterpreted_frame_only'
-    WHEN list_contains(kinds, 'pointer') THEN 'pointer_evidence_only' ELSE 'unverifiable_no_evidence_cited' END AS verification,
-  CASE WHEN regexp_replace(text, '\\s', '', 'g') = '' THEN 'claim has no text' WHEN nature = 'guess' THEN 'invalid claim nature' WHEN missing IS NOT NULL THEN 'cites evidence id(s) that do not exist: ' || missing
-    WHEN cl.ts > duration + 1 THEN 'timestamp falls outside the source duration' END AS reason
-  FROM cl JOIN ct USING (ord) LEFT JOIN cf USING (ord))"""
+    """Speech in chunks first, then what the windows observed."""
+    b = synthesis.brief_items(_structured(spark, sf_dir), views.segments(spark, sf_dir))
+    return b.select("video_id", "evidence_id", "ord", F.col("timestamp_sec").alias("ts"), "kind", "ref", "confidence", "source", "condensed")
 
 
-def _claims(spark, sf_dir):
+@query(
+    "synthesis_prompts",
+    f"""{_BRIEF}, nt AS (SELECT video_id, t, 0 AS o, 'pointer position (' || printf('%.3f', nx) || ', ' || printf('%.3f', ny) || ') is in none of the 1 located region(s)' AS note FROM rg WHERE NOT (nx BETWEEN 0.4::DOUBLE AND 0.8::DOUBLE AND ny BETWEEN 0.0::DOUBLE AND 0.06::DOUBLE)
+  UNION ALL SELECT nv.video_id, nv.t, 0, 'vision located element(s), but no pointer evidence of this window confirms any use of them' FROM nv LEFT JOIN np USING (video_id, probe) WHERE nv.status = 'ok' AND nv.seq % 2 = 0 AND coalesce(np.status, 'not_detected') = 'not_detected'),
+s(stage) AS (VALUES ('frame'), ('transcript'), ('pointer'), ('vision'), ('video_understanding'), ('visual_change'), ('cursor_track')),
+k AS (SELECT DISTINCT video_id, probe, kind AS stage FROM o UNION SELECT DISTINCT video_id, probe, 'video_understanding' FROM o WHERE slot = 5),
+ms AS (SELECT DISTINCT w.video_id, s.stage FROM w CROSS JOIN s LEFT JOIN k ON k.video_id = w.video_id AND k.probe = w.probe AND k.stage = s.stage WHERE k.stage IS NULL),
+v AS (SELECT DISTINCT video_id FROM st)
+SELECT video_id, 'VIDEO: user ' || video_id || chr(10) || 'DURATION: 61.5s' || chr(10) || chr(10) || 'EVIDENCE:' || chr(10) || coalesce((SELECT string_agg('[e' || ord || '] ' || kind || ' @ ' || printf('%.1f', ts) || 's' || CASE WHEN confidence IS NULL THEN '' ELSE ', confidence ' || printf('%.2f', confidence) END || ': ' || ref, chr(10) ORDER BY ord) FROM bx WHERE bx.video_id = v.video_id), '')
+|| coalesce(chr(10) || chr(10) || 'KNOWN CONFLICTS (keep them visible):' || chr(10) || (SELECT string_agg('- [' || printf('%.1f', t) || 's] ' || note, chr(10) ORDER BY t, o) FROM nt WHERE nt.video_id = v.video_id), '')
+|| coalesce(chr(10) || chr(10) || 'STREAMS MISSING IN PARTS: ' || (SELECT string_agg(stage, ', ' ORDER BY stage) FROM ms WHERE ms.video_id = v.video_id) || '. That a stream is missing proves nothing; claim nothing from it.', '')
+|| CASE WHEN (SELECT bool_or(condensed) FROM bx WHERE bx.video_id = v.video_id) THEN chr(10) || chr(10) || 'NOTE: speech was cut to fit a budget; do not quote cut text as verbatim.' ELSE '' END || chr(10) || chr(10) || 'Answer with the JSON object.' AS prompt FROM v""",
+)
+def synthesis_prompts(spark, sf_dir):
+    """The user prompt of each video."""
+    from evloom.operators import package
+
+    st = _structured(spark, sf_dir)
+    v = views.evidence(spark, sf_dir).select("video_id").distinct().select("video_id", F.lit(None).cast("string").alias("title"), F.concat(F.lit("user "), "video_id").alias("source"), F.lit(61.5).alias("duration_sec"))
+    return package.prompt(synthesis.brief_items(st, views.segments(spark, sf_dir)), synthesis.brief_notes(st), synthesis.missing_streams(st), v)
+
+
+_CLAIMS = f"""n AS (SELECT count(*) AS n FROM documents),
+br AS (SELECT CAST(doc_id % 40 AS VARCHAR) AS video_id, CAST(doc_id AS VARCHAR) AS evidence_id, CASE doc_id % 5 WHEN 0 THEN 'transcript' WHEN 1 THEN 'vision' WHEN 2 THEN 'frame' WHEN 3 THEN 'visual_change' ELSE 'pointer' END AS kind, doc_id * 1.0::DOUBLE AS ts,
+  left(text, 400) AS ref, CASE WHEN doc_id % 3 <> 0 THEN (doc_id % 10) / 10.0::DOUBLE END AS confidence FROM documents),
+cl AS (SELECT CAST(doc_id % 40 AS VARCHAR) AS video_id, doc_id AS ord, text, doc_id % 41 = 0 AS media, CASE WHEN doc_id % 17 = 0 THEN 'guess' WHEN quality = 1 THEN 'observed' WHEN quality = 0 THEN 'inferred' ELSE '' END AS nature, doc_id % 31 = 0 AS no_number, doc_id * 1.0::DOUBLE AS ts,
+  CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id + 5.0 END::DOUBLE AS end_ts, CASE WHEN doc_id % 37 = 0 THEN 1.5 ELSE 0.7 END::DOUBLE AS confidence, CASE WHEN doc_id % 46 = 0 THEN [] ELSE [CAST(doc_id AS VARCHAR), CAST(doc_id + 40 * (doc_id % 7) AS VARCHAR)] END AS ids, n * 0.95::DOUBLE AS duration
+  FROM labels JOIN documents USING (doc_id), n),
+ct AS (SELECT ord, list(kind) AS kinds, max(br.confidence) AS cap, count(br.kind) AS n_cited, coalesce(sum(length(br.ref)), 0)::BIGINT AS cited_chars, string_agg(DISTINCT i, ', ' ORDER BY i) FILTER (WHERE br.kind IS NULL) AS missing FROM (SELECT video_id, ord, unnest(ids) AS i FROM cl) x LEFT JOIN br ON br.evidence_id = x.i AND br.video_id = x.video_id GROUP BY ord),
+cf AS (SELECT DISTINCT ord FROM cl JOIN benchmark ON CAST(item_id * 25 % 40 AS VARCHAR) = cl.video_id AND abs(cl.ts - item_id * 25.0) <= 2.0),
+f AS (SELECT cl.*, coalesce(kinds, []) AS kinds, cap, coalesce(n_cited, 0) AS n_cited, coalesce(cited_chars, 0) AS cited_chars, missing, cf.ord IS NOT NULL AS conflict FROM cl LEFT JOIN ct USING (ord) LEFT JOIN cf USING (ord)),
+fl_ AS (SELECT *, list_contains(kinds, 'transcript') AS sp, list_contains(kinds, 'vision') AS vi, list_contains(kinds, 'frame') AS fr, list_contains(kinds, 'visual_change') AS me, list_contains(kinds, 'pointer') AS po FROM f),
+lb AS (SELECT *, CASE WHEN sp AND vi THEN 'speech_corroborated_by_visual_evidence' WHEN sp AND fr THEN 'speech_evidence_with_uninterpreted_frame' WHEN sp AND me THEN 'speech_evidence_with_measured_change' WHEN sp THEN 'speech_evidence_only'
+  WHEN vi THEN 'visual_evidence_only' WHEN me THEN 'measurement_evidence_only' WHEN fr THEN 'uninterpreted_frame_only' WHEN po THEN 'pointer_evidence_only' ELSE 'unverifiable_no_evidence_cited' END AS verification FROM fl_),
+vf AS (SELECT video_id, ord, CASE WHEN conflict THEN 'conflicting' WHEN nature = 'observed' AND me AND NOT (sp OR vi) THEN 'inferred' ELSE nature END AS status, ts AS timestamp_sec, CASE WHEN end_ts <= duration + 1 THEN end_ts END AS timestamp_end_sec,
+  least(confidence, coalesce(cap, confidence)) AS confidence, verification, CASE WHEN ord % 4 = 0 THEN 'tip' ELSE 'fact' END AS kind, n_cited, cited_chars,
+  array_to_string(list_filter([CASE WHEN ord % 2 = 0 THEN 'partial view' END, CASE WHEN conflict THEN '{synthesis.CONFLICT_NOTE}' END, CASE verification WHEN 'speech_evidence_with_uninterpreted_frame' THEN '{synthesis.FRAME_NOTE}' WHEN 'uninterpreted_frame_only' THEN '{synthesis.FRAME_NOTE}'
+    WHEN 'speech_evidence_only' THEN '{synthesis.SPEECH_NOTE}' WHEN 'visual_evidence_only' THEN '{synthesis.VISUAL_NOTE}' END, CASE WHEN me THEN '{synthesis.MEASURE_NOTE}' END], lambda x: x IS NOT NULL), '|') AS limitations,
+  CASE WHEN media THEN 'unusable claim: {synthesis.MEDIA}' WHEN regexp_replace(text, '\\s', '', 'g') = '' THEN 'claim has no text' WHEN nature NOT IN ('observed', 'inferred') THEN 'invalid claim nature ' || chr(39) || nature || chr(39) WHEN missing IS NOT NULL THEN 'cites evidence id(s) that do not exist: ' || missing
+    WHEN n_cited = 0 THEN 'claim cites no evidence' WHEN no_number THEN 'claim timestamp is not a number' WHEN ts > duration + 1 THEN 'timestamp ' || printf('%.2f', ts) || 's falls outside the source duration ' || printf('%.2f', duration) || 's'
+    WHEN confidence > 1 THEN 'claim confidence out of range: 1.5' END AS reason FROM lb)"""
+
+
+def _raw_claims(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents")
     n = F.broadcast(docs.agg(F.count("*").alias("n")))  # one row
     brief = docs.select(
-        F.lit("0").alias("video_id"), F.col("doc_id").cast("string").alias("evidence_id"),
+        F.expr("cast(doc_id % 40 as string)").alias("video_id"), F.col("doc_id").cast("string").alias("evidence_id"),
         F.expr("case doc_id % 5 when 0 then 'transcript' when 1 then 'vision' when 2 then 'frame' when 3 then 'visual_change' else 'pointer' end").alias("kind"),
-        F.expr("doc_id * 1.0D").alias("ts"), F.expr("case when doc_id % 3 <> 0 then (doc_id % 10) / 10.0D end").alias("confidence"),
+        F.expr("doc_id * 1.0D").alias("timestamp_sec"), F.col("text").alias("ref"), F.expr("case when doc_id % 3 <> 0 then (doc_id % 10) / 10.0D end").alias("confidence"),
     )
     raw = views.table(spark, sf_dir, "labels").join(docs, "doc_id").crossJoin(n).select(
-        F.lit("0").alias("video_id"), F.col("doc_id").alias("ord"), F.expr("left(text, 600)").alias("text"),
-        F.expr("case when doc_id % 17 = 0 then 'guess' when quality = 1 then 'observed' when quality = 0 then 'inferred' end").alias("nature"),
-        F.expr("doc_id * 1.0D").alias("timestamp_sec"), F.lit(0.7).alias("confidence"),
-        F.expr("array(cast(doc_id as string), cast((doc_id * 7) % (6 * n div 5) as string))").alias("evidence_ids"), F.expr("n * 0.95D").alias("duration_sec"),
+        F.expr("cast(doc_id % 40 as string)").alias("video_id"), F.col("doc_id").alias("ord"), F.expr("if(doc_id % 41 = 0, concat(text, ' iVBORw0KGgo'), text)").alias("text"), F.expr("if(doc_id % 4 = 0, ' tip ', '')").alias("kind"),
+        F.expr("case when doc_id % 17 = 0 then 'guess' when quality = 1 then if(doc_id % 2 = 0, ' Observed ', 'observed') when quality = 0 then 'inferred' end").alias("nature"),
+        F.expr("if(doc_id % 31 = 0, 'soon', cast(doc_id * 1.0D as string))").alias("timestamp_sec"), F.expr("if(doc_id % 3 = 0, doc_id - 1.0D, doc_id + 5.0D)").alias("timestamp_end_sec"), F.expr("if(doc_id % 37 = 0, 1.5D, 0.7D)").alias("confidence"),
+        F.expr("if(doc_id % 46 = 0, array(), array(cast(doc_id as string), cast(doc_id + 40 * (doc_id % 7) as string)))").alias("evidence_ids"), F.expr("if(doc_id % 2 = 0, array(' partial view '), null)").alias("limitations"), F.expr("n * 0.95D").alias("duration_sec"),
     )
-    conflicts = views.table(spark, sf_dir, "benchmark").select(F.lit("0").alias("video_id"), F.expr("item_id * 25.0D").alias("c"))
-    return synthesis.verify(raw, brief, conflicts)
+    conflicts = views.table(spark, sf_dir, "benchmark").select(F.expr("cast(item_id * 25 % 40 as string)").alias("video_id"), F.expr("item_id * 25.0D").alias("c"))
+    return raw, brief, conflicts
+
+
+def _claims(spark, sf_dir):
+    return synthesis.verify(*_raw_claims(spark, sf_dir))
 
 
-@query("claims_verified", f"WITH {_CLAIMS} SELECT ord, status, ts, confidence, verification FROM vf WHERE reason IS NULL")
+@query("claims_verified", f"WITH {_CLAIMS} SELECT * EXCLUDE (reason) FROM vf WHERE reason IS NULL")
 def claims_verified(spark, sf_dir):
-    return _claims(spark, sf_dir).where("reason is null").select("ord", "status", "ts", "confidence", "verification")
+    c = _claims(spark, sf_dir).where("reason is null")
+    return c.select("video_id", "ord", "status", "timestamp_sec", "timestamp_end_sec", "confidence", "verification", "kind", F.size("supporting_evidence").cast("long").alias("n_cited"),
+                    F.expr("aggregate(supporting_evidence, 0L, (s, e) -> s + length(e.ref))").alias("cited_chars"), F.array_join("limitations", "|").alias("limitations"))
 
 
 @query("claims_rejected", f"WITH {_CLAIMS} SELECT reason, count(*) AS n, min(ord) AS first FROM vf WHERE reason IS NOT NULL GROUP BY 1")
@@ -186,19 +239,47 @@ def claims_rejected(spark, sf_dir):
     return _claims(spark, sf_dir).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
 
 
-@query(
-    "claims_intake",
-    f"""WITH {_CLAIMS}, i AS (SELECT ord, reason, row_number() OVER (ORDER BY ord) AS i, coalesce(sum((reason IS NULL)::INT) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ok FROM vf)
-SELECT ord, reason IS NULL AS retained FROM i WHERE i <= 160 AND ok < 40""",
-)
+_INTAKE = "i AS (SELECT video_id, ord, reason, row_number() OVER w AS i, coalesce(sum((reason IS NULL)::INT) OVER (PARTITION BY video_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ok FROM vf WINDOW w AS (PARTITION BY video_id ORDER BY ord)), s_ AS (SELECT * FROM i WHERE i <= 160 AND ok < 40)"
+
+
+@query("claims_intake", f"WITH {_CLAIMS}, {_INTAKE} SELECT video_id, ord, reason IS NULL AS retained FROM s_")
 def claims_intake(spark, sf_dir):
-    return synthesis.intake(_claims(spark, sf_dir)).select("ord", F.col("reason").isNull().alias("retained"))
+    return synthesis.intake(_claims(spark, sf_dir)).select("video_id", "ord", F.col("reason").isNull().alias("retained"))
+
+
+_FAULT = "CASE CAST(v AS BIGINT) % 7 WHEN 0 THEN 'malformed provider response' WHEN 2 THEN 'down' WHEN 3 THEN chr(39) || 'claims' || chr(39) || ' is not a list' END"
 
 
-@query("dangling_refs", "WITH r AS (SELECT doc_id, (doc_id * 7) % 1300 AS ref FROM labels) SELECT r.doc_id, ref FROM r ANTI JOIN documents d ON d.doc_id = r.ref")
+@query(
+    "synthesis_outputs",
+    f"""WITH {_CLAIMS}, {_INTAKE}, v AS (SELECT video_id AS v, count(*) AS n, {_FAULT} AS fault FROM cl GROUP BY ALL),
+k AS (SELECT video_id, count(*) FILTER (WHERE reason IS NULL) AS kept FROM s_ GROUP BY 1), fr_ AS (SELECT video_id, reason, min(ord) AS o FROM s_ WHERE reason IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY min(ord)) <= 10),
+rs AS (SELECT video_id, string_agg(reason, '|' ORDER BY o) AS reasons FROM fr_ GROUP BY 1)
+SELECT v AS video_id, CASE WHEN fault IS NOT NULL THEN 'failed' WHEN coalesce(kept, 0) = 0 AND CAST(v AS BIGINT) % 2 = 0 THEN 'rejected' ELSE 'ok' END AS status, CASE WHEN fault IS NULL OR fault LIKE '%claims%' THEN 'model ' || v ELSE '' END AS provider,
+CASE WHEN fault IS NULL THEN n ELSE 0 END AS returned, CASE WHEN fault IS NULL THEN coalesce(kept, 0) ELSE 0 END AS retained, CASE WHEN fault IS NULL THEN n - coalesce(kept, 0) ELSE 0 END AS rejected, CASE WHEN fault IS NULL THEN coalesce(reasons, '') ELSE '' END AS reasons,
+CASE WHEN fault IS NULL AND CAST(v AS BIGINT) % 2 = 1 THEN 'about ' || v END AS summary, CASE WHEN fault IS NOT NULL THEN fault WHEN coalesce(kept, 0) = 0 AND CAST(v AS BIGINT) % 2 = 0 THEN 'no claim or summary survived verification' ELSE '' END AS detail
+FROM v LEFT JOIN k ON k.video_id = v LEFT JOIN rs ON rs.video_id = v""",
+)
+def synthesis_outputs(spark, sf_dir):
+    """providers' answers as JSON text, some of them broken."""
+    raw, brief, conflicts = _raw_claims(spark, sf_dir)
+    item = F.struct("ord", "text", "kind", "nature", "timestamp_sec", "timestamp_end_sec", "confidence", "evidence_ids", "limitations")
+    a = raw.groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("claims"), F.first("duration_sec").alias("duration_sec"))
+    summary = F.when(F.expr("cast(video_id as bigint) % 2 = 1"), F.concat(F.lit(" about "), "video_id")).otherwise("")
+    good = F.to_json(F.struct(F.concat(F.lit("model "), "video_id").alias("provider"), summary.alias("summary"), "claims"))
+    case = F.expr("cast(video_id as bigint) % 7")
+    broken = F.to_json(F.struct(F.concat(F.lit("model "), "video_id").alias("provider"), F.struct(F.lit(1).alias("x")).alias("claims")))
+    answer = F.when(case == 0, "no json").when(case == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).when(case == 2, None).when(case == 3, broken).otherwise(good)
+    out = synthesis.outputs(a.select("video_id", answer.alias("answer"), F.when(case == 2, "down").alias("error")), brief, conflicts, a.select("video_id", "duration_sec"))
+    m = F.col("synthesis")
+    return out.select("video_id", m.status.alias("status"), m.provider.alias("provider"), m.claims_returned.alias("returned"), m.claims_retained.alias("retained"), m.claims_rejected.alias("rejected"),
+                      F.array_join(m.rejection_reasons, "|").alias("reasons"), F.col("semantic_summary").alias("summary"), m.detail.alias("detail"))
+
+
+@query("dangling_refs", "WITH r AS (SELECT doc_id, doc_id * 7 // 5 AS ref FROM labels) SELECT r.doc_id, ref FROM r ANTI JOIN documents d ON d.doc_id = r.ref")
 def dangling_refs(spark, sf_dir):
-    r = views.table(spark, sf_dir, "labels").select("doc_id", F.expr("(doc_id * 7) % 1300").alias("ref"))
-    return r.join(views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref")), "ref", "left_anti").select("doc_id", "ref")
+    r = views.table(spark, sf_dir, "labels").select("doc_id", F.expr("doc_id * 7 div 5").alias("ref"))
+    return knowledge.dangling(r, views.table(spark, sf_dir, "documents"), "ref", "doc_id").select("doc_id", "ref")
 
 
 @query("contract_rejects", f"WITH {SP}, {PT} SELECT 'segment_order' AS rule, video_id, seq FROM sp WHERE end_sec < start_sec UNION ALL SELECT 'pointer_position', video_id, seq FROM pt WHERE status <> 'not_detected' AND y IS NULL UNION ALL SELECT 'evidence_span', user_id::VARCHAR, event_id FROM events WHERE value < 1")
@@ -212,16 +293,19 @@ def contract_rejects(spark, sf_dir):
 
 @query(
     "package_validation",
-    f"""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE source END AS src, n_chars - 40 AS duration, left(text, 60) AS s, doc_id % 200 AS ts, length(text) > 1500 AND doc_id % 4 = 1 AS long, doc_id % 19 = 0 AS absolute, doc_id % 23 = 0 AS contra, doc_id % 29 = 0 AS media FROM documents)
-SELECT doc_id, CASE WHEN trim(src) = '' THEN 'no source reference' WHEN duration <= 0 THEN 'invalid duration' WHEN trim(s) = '' THEN 'empty summary' WHEN ts > duration + 1 THEN 'timestamp outside duration'
-WHEN absolute THEN 'visual path not relative' WHEN long THEN 'excerpt too long' WHEN media THEN 'embedded media' WHEN contra THEN 'contradictory stages' END AS violation FROM p""",
+    f"""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE source END AS src, n_chars - 40 AS duration, text AS s, doc_id % 200 AS ts, length(text) > 1500 AND doc_id % 4 = 1 AS long FROM documents)
+SELECT doc_id, CASE WHEN trim(src) = '' THEN 'no source reference' WHEN duration <= 0 THEN 'invalid duration' WHEN regexp_full_match(s, '\\s*') THEN 'empty summary' WHEN doc_id % 53 = 0 THEN 'no generated_at' WHEN doc_id % 59 = 0 THEN 'no schema version' WHEN ts > duration + 1 THEN 'timestamp outside duration'
+WHEN doc_id % 61 = 0 THEN 'dangling visual evidence' WHEN doc_id % 19 = 0 THEN 'visual path not relative' WHEN doc_id % 37 = 0 THEN 'visual outside duration' WHEN doc_id % 43 = 0 THEN 'measurement of another kind' WHEN doc_id % 47 = 0 THEN 'measurement outside duration'
+WHEN long THEN 'excerpt too long' WHEN doc_id % 29 = 0 THEN 'embedded media' WHEN doc_id % 23 = 0 THEN 'contradictory stages' END AS violation FROM p""",
 )
 def package_validation(spark, sf_dir):
     d = views.table(spark, sf_dir, "documents")
     p = d.select(
-        "doc_id", F.expr("case when doc_id % 13 = 0 then ' ' else source end").alias("source"), F.expr("(n_chars - 40) * 1.0D").alias("duration_sec"), F.expr("left(text, 60)").alias("summary"),
-        F.expr("array((doc_id % 200) * 1.0D)").alias("timestamps"), F.expr("array('a')").alias("claim_visuals"), F.expr("array('a', 'b')").alias("visual_ids"),
-        F.expr("array(if(doc_id % 19 = 0, '/abs/x.jpg', 'x_evidence/a.jpg'))").alias("visual_paths"),
+        "doc_id", F.expr("case when doc_id % 13 = 0 then ' ' else source end").alias("source"), F.expr("(n_chars - 40) * 1.0D").alias("duration_sec"), F.col("text").alias("summary"), F.lit(None).cast("string").alias("semantic_summary"),
+        F.expr("if(doc_id % 53 = 0, '', 'now')").alias("generated_at"), F.expr("if(doc_id % 59 = 0, null, '1')").alias("schema_version"),
+        F.expr("array((doc_id % 200) * 1.0D)").alias("timestamps"), F.expr("array(if(doc_id % 61 = 0, 'z', 'a'))").alias("claim_visuals"), F.expr("array('a', 'b')").alias("visual_ids"),
+        F.expr("array(if(doc_id % 19 = 0, '/abs/x.jpg', 'x_evidence/a.jpg'))").alias("visual_paths"), F.expr("array(if(doc_id % 37 = 0, -1D, 0D))").alias("visual_times"),
+        F.expr("array(struct(if(doc_id % 43 = 0, 'frame', 'visual_change') as kind, 'visual_change' as want, if(doc_id % 47 = 0, 1e9D, 0D) as ts))").alias("measurements"),
         F.expr("array(struct(if(doc_id % 4 = 1, 'transcript', 'frame') as kind, if(length(text) > 1500, text, 'r') as ref))").alias("refs"),
         F.expr("array(if(doc_id % 29 = 0, 'x iVBORw0KGgo', 'plain'))").alias("claim_texts"),
         F.expr("array('transcript', 'frame')").alias("cited_kinds"), F.expr("if(doc_id % 23 = 0, array('frame'), array('vision'))").alias("stages_unavailable"),
@@ -259,9 +343,9 @@ def redact_url(spark, sf_dir):
 _STEM = "left(coalesce(nullif(regexp_replace(regexp_replace({x}, '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'video'), {n})"
 
 
-@query("filename_stem", f"SELECT doc_id, {_STEM.format(x='left(text, 120)', n=80)} AS stem FROM documents")
+@query("filename_stem", f"SELECT doc_id, {_STEM.format(x='text', n=80)} AS stem FROM documents")
 def filename_stem(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").select("doc_id", scalars.filename_stem(F.expr("left(text, 120)")).alias("stem"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", scalars.filename_stem("text").alias("stem"))
 
 
 @query("session_filename", f"SELECT page_id, {_STEM.format(x='url', n=60)} || '-' || left(sha256(url), 8) || '.session.json' AS name FROM pages")
@@ -301,7 +385,7 @@ def streaming_session_runs(spark, sf_dir):
 )
 def pointer_events_by_time(spark, sf_dir):
     """Readings by exact time; of several at one time the last."""
-    p = views.pointer(spark, sf_dir).groupBy("video_id", "ts").agg(F.max("seq").alias("pointer_seq"))
+    p = media.pointer_at(views.pointer(spark, sf_dir)).select("video_id", "ts", F.col("seq").alias("pointer_seq"))
     return views.evidence(spark, sf_dir).join(p, ["video_id", "ts"]).select("video_id", "seq", "pointer_seq")
 
 
@@ -318,54 +402,144 @@ def scene_frames_for_segments(spark, sf_dir):
     return hit.select("video_id", "seg_no", "scene", (F.round("ts", 3) == F.round("lo", 3)).alias("at_start"))
 
 
-@query("latest_descriptions", f"WITH {EV} SELECT video_id, floor(ts / 86400)::BIGINT AS day, arg_max(ref, seq) AS description FROM ev WHERE kind = 'vision' GROUP BY ALL")
-def latest_descriptions(spark, sf_dir):
-    """P10: description per time, the last one wins."""
-    ev = views.evidence(spark, sf_dir).where("kind = 'vision' and ref <> ''")
-    return ev.groupBy("video_id", F.expr("floor(ts / 86400)").alias("day")).agg(F.max_by("ref", "seq").alias("description"))
-
-
-def numbered(df, per, *order):
-    return F.row_number().over(Window.partitionBy(per).orderBy(*order))
+_PACKED = f"""WITH RECURSIVE {views.windowed(TOL)}, {_OBSERVED}, {_REGION}, {_INFERRED}, {SG},
+wd AS (SELECT video_id, seg_no, unnest(l) AS x, unnest(range(0, len(l))) AS pos FROM (SELECT *, regexp_extract_all(text, '[A-Za-z][A-Za-z''-]+') AS l FROM sg)),
+wc AS (SELECT video_id, lower(x) AS w, count(*) AS n, min({{'d': seg_no, 'p': pos}}) AS f FROM wd WHERE length(x) >= 4 AND lower(x) NOT IN ({_STOP}) GROUP BY ALL),
+wr AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY n DESC, f) AS r FROM wc),
+tp AS (SELECT video_id, string_agg(upper(w[1]) || w[2:], ', ' ORDER BY r) AS topics FROM wr WHERE r <= 8 AND n >= 2 GROUP BY 1),
+kl AS (SELECT video_id, text, min(seg_no) AS seg_no, arg_min(start_sec, seg_no) AS ts FROM (SELECT * EXCLUDE (text), trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS text FROM sg) WHERE {_cue_sql(CUE_TOKENS)} IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY min(seg_no)) <= 15),
+io AS (SELECT video_id, 'in' AS text, min(t) AS t FROM inr GROUP BY 1 UNION ALL SELECT video_id, printf('%.3f', way) AS text, min(w.t) FROM mv JOIN w USING (video_id, probe) GROUP BY ALL),
+vc AS (SELECT DISTINCT video_id, ts, ref, source FROM (SELECT video_id, ts, ref, source FROM st WHERE kind = 'visual_change' AND status <> 'unavailable')),
+cu AS (SELECT DISTINCT video_id, ts, end_ts, ref, source FROM fl WHERE kind = 'cursor_track'),
+kd AS (SELECT DISTINCT video_id, kind FROM fl UNION SELECT DISTINCT video_id, 'visual_change' FROM vc),
+v AS (SELECT video_id, 1e9::DOUBLE AS d FROM (SELECT DISTINCT video_id FROM st)), hs AS (SELECT DISTINCT video_id FROM sg),
+s_(stage) AS (VALUES ('frame'), ('transcript'), ('pointer'), ('vision'), ('visual_change'), ('cursor_track'))"""
 
 
 @query(
     "package_rows",
-    f"""WITH {SG}, w AS (SELECT video_id, seg_no, unnest(l) AS x, unnest(range(0, len(l))) AS pos FROM (SELECT *, regexp_extract_all(text, '[A-Za-z][A-Za-z''-]+') AS l FROM sg)),
-c AS (SELECT video_id, lower(x) AS w, count(*) AS n, min({{'d': seg_no, 'p': pos}}) AS f FROM w WHERE length(x) >= 4 AND lower(x) NOT IN ({_STOP}) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY n DESC, f) AS r FROM c),
-t AS (SELECT video_id, string_agg(upper(w[1]) || w[2:], ', ' ORDER BY r) AS topics FROM r WHERE r <= 8 AND n >= 2 GROUP BY 1),
-k AS (SELECT video_id, count(DISTINCT text) AS n FROM (SELECT video_id, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS text FROM sg) WHERE {_cue_sql(CUE_TOKENS)} IS NOT NULL GROUP BY 1),
-v AS (SELECT video_id, ceil(max(end_sec)) AS d FROM sg GROUP BY 1)
-SELECT v.video_id, 'conversation ' || v.video_id || ': a ' || d::BIGINT || 's local video. ' || least(coalesce(k.n, 0), 15) || ' notable point(s) identified via deterministic transcript analysis.' ||
-coalesce(' Recurring topics: ' || topics || '.', '') AS summary, 'frame,pointer,vision' AS unavailable, 4::BIGINT AS n_limitations FROM v LEFT JOIN t USING (video_id) LEFT JOIN k USING (video_id)""",
+    f"""{_PACKED} SELECT v.video_id, 'user ' || v.video_id || ': a 1000000000s local video.' || CASE WHEN hs.video_id IS NULL THEN ' No speech was available to analyze.' ELSE ' ' || (SELECT count(*) FROM kl WHERE kl.video_id = v.video_id) || ' notable point(s) identified via deterministic transcript analysis.' ||
+coalesce(' Recurring topics: ' || topics || '.', '') END AS summary, (SELECT count(*) FROM kl WHERE kl.video_id = v.video_id) AS n_lessons, (SELECT count(*) FROM io WHERE io.video_id = v.video_id) AS n_observations,
+(SELECT count(*) FROM vc WHERE vc.video_id = v.video_id) AS n_changes, (SELECT count(*) FROM cu WHERE cu.video_id = v.video_id) AS n_movements, (SELECT count(DISTINCT ref) FROM fl WHERE fl.video_id = v.video_id AND kind = 'frame') AS frame_count,
+(SELECT string_agg(kind, ',' ORDER BY kind) FROM kd WHERE kd.video_id = v.video_id) AS available, (SELECT string_agg(stage, ',' ORDER BY stage) FROM s_ WHERE stage NOT IN (SELECT kind FROM kd WHERE kd.video_id = v.video_id)) AS unavailable,
+CASE WHEN hs.video_id IS NULL THEN 'unavailable' ELSE 'ok' END AS transcript_status FROM v LEFT JOIN tp USING (video_id) LEFT JOIN hs USING (video_id)""",
 )
 def package_rows(spark, sf_dir):
+    """The whole package of each user's events, conversations of the same number as speech."""
+    p = _packages(spark, sf_dir)
+    n = lambda c: F.size(c).cast("long")
+    return p.select("video_id", "summary", n("key_lessons").alias("n_lessons"), n("important_observations").alias("n_observations"), n("visual_changes").alias("n_changes"), n("cursor_intelligence").alias("n_movements"),
+                    F.col("processing.frame_count").alias("frame_count"), F.array_join("processing.stages_available", ",").alias("available"), F.nullif(F.array_join("processing.stages_unavailable", ","), F.lit("")).alias("unavailable"),
+                    F.col("processing.transcript_status").alias("transcript_status"))
+
+
+def _packages(spark, sf_dir):
     from evloom.operators import package
 
-    sg = views.segments(spark, sf_dir)
-    v = sg.groupBy("video_id").agg(F.ceil(F.max("end_sec")).cast("double").alias("duration_sec")).select(
-        "video_id", F.concat(F.lit("conversation "), F.col("video_id")).alias("source"), F.lit("local").alias("source_type"), "duration_sec", F.lit(None).cast("string").alias("title")
-    )
-    p = package.assemble(v, sg, views.evidence(spark, sf_dir).where("false"), "2026-01-01T00:00:00+00:00", cues=CUE_TOKENS)
-    return p.select("video_id", "summary", F.array_join("stages_unavailable", ",").alias("unavailable"), F.size("limitations").cast("long").alias("n_limitations"))
+    st = views.streams(spark, sf_dir)
+    v = st.select("video_id").distinct().select("video_id", F.concat(F.lit("user "), "video_id").alias("source"), F.lit("local").alias("source_type"), F.lit(1e9).alias("duration_sec"), F.lit(None).cast("string").alias("title"))
+    structured = written(correlate.observe(st, TOL, ("video_understanding", "visual_change", "cursor_track")), "structured")
+    return package.assemble(v, views.segments(spark, sf_dir), structured, "2026-01-01T00:00:00+00:00", correlate.change_stream(st), cues=CUE_TOKENS)
+
+
+@query(
+    "cited_evidence",
+    f"""{_PACKED}, ci AS (SELECT video_id, ts, 'transcript' AS kind, text AS ref, '' AS source FROM kl JOIN v USING (video_id) UNION ALL SELECT r_.video_id, r_.ts, 'pointer', 'x=' || x || ', y=' || y, '' FROM r_ JOIN b_ USING (video_id, probe) JOIN mv USING (video_id, probe) WHERE i BETWEEN a AND z
+  AND (video_id, printf('%.3f', way), (SELECT w.t FROM w WHERE w.video_id = mv.video_id AND w.probe = mv.probe)) IN (SELECT (video_id, text, t) FROM io)
+  UNION ALL SELECT ob.video_id, ob.ts, 'transcript', ob.ref, '' FROM ob JOIN mv USING (video_id, probe) WHERE kind = 'transcript' AND (ob.video_id, printf('%.3f', way), ob.t) IN (SELECT (video_id, text, t) FROM io)
+  UNION ALL SELECT np.video_id, np.ts, 'pointer', 'x=' || np.x || ', y=' || np.y, '' FROM np JOIN inr USING (video_id, probe) WHERE (np.video_id, 'in', np.t) IN (SELECT (video_id, text, t) FROM io)
+  UNION ALL SELECT nv.video_id, nv.ts, 'vision', 'button: the button', '' FROM nv JOIN inr USING (video_id, probe) WHERE (nv.video_id, 'in', nv.t) IN (SELECT (video_id, text, t) FROM io))
+SELECT DISTINCT * FROM ci""",
+)
+def cited_evidence(spark, sf_dir):
+    """All evidence that a package's points cite, once."""
+    e = _packages(spark, sf_dir).select("video_id", F.explode("evidence").alias("e"))
+    return e.select("video_id", F.col("e.timestamp_sec").alias("ts"), "e.kind", "e.ref", "e.source")
+
+
+@query("package_violations")
+def package_violations(spark, sf_dir):
+    """Whole package rows checked (its rules one by one: package_validation)."""
+    from evloom.operators import package
+
+    return package.checked(_packages(spark, sf_dir)).groupBy("violation").agg(F.count("*").alias("n"))
+
+
+@query(
+    "session_evidence",
+    f"""WITH {views.windowed(TOL)}, {_OBSERVED}, {SG}, u AS (SELECT video_id, ts, kind, CASE WHEN kind = 'frame' THEN regexp_extract(ref, '[^/]*$') ELSE ref END AS ref, confidence, end_ts, source FROM fl WHERE kind <> 'transcript'
+  UNION SELECT video_id, ts, kind, ref, confidence, NULL, source FROM st WHERE kind = 'visual_change' AND status <> 'unavailable' UNION SELECT video_id, start_sec, 'transcript', text, NULL, end_sec, '' FROM sg WHERE regexp_matches(text, '\\S'))
+SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY ts, coalesce(end_ts, ts), kind, source, ref, coalesce(confidence, -1.0)) - 1 AS pos FROM u""",
+)
+def session_evidence(spark, sf_dir):
+    """What sessions keep, in canonical order."""
+    from evloom.operators import session_store
+
+    st = views.streams(spark, sf_dir)
+    return session_store.session_evidence(correlate.flattened(_structured(spark, sf_dir)), correlate.change_stream(st), views.segments(spark, sf_dir))
+
+
+@query(
+    "container_probes",
+    """SELECT CAST(p_partkey AS VARCHAR) || '.mp4' AS path, CASE WHEN p_partkey % 5 = 1 THEN NULL ELSE p_size * 1.5 END::DOUBLE AS duration_sec, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 640 END AS width, CASE WHEN p_partkey % 7 = 0 THEN 0.0 ELSE 30000 / 1001.0::DOUBLE END::DOUBLE AS fps,
+p_partkey % 2 = 0 AS has_audio, CASE WHEN p_partkey % 11 = 0 THEN 'empty file' WHEN p_partkey % 7 = 0 THEN 'no video stream' WHEN p_partkey % 5 = 1 THEN 'invalid duration' END AS error FROM part""",
+)
+def container_probes(spark, sf_dir):
+    """containers' JSON as videos."""
+    video = """if(p_partkey % 7 = 0, '', '{"codec_type":"video","codec_name":"h264","width":640,"height":360,"avg_frame_rate":"30000/1001"}')"""
+    audio = """if(p_partkey % 2 = 0, '{"codec_type":"audio","codec_name":"aac"}', '')"""
+    text = f"concat('{{\"streams\":[', concat_ws(',', nullif({video}, ''), nullif({audio}, '')), '],\"format\":{{', if(p_partkey % 5 = 1, '', concat('\"duration\":\"', p_size * 1.5D, '\"')), '}}}}')"
+    rows = views.table(spark, sf_dir, "part").select(F.expr("concat(cast(p_partkey as string), '.mp4')").alias("path"), F.expr(text).alias("probe"), F.expr("if(p_partkey % 11 = 0, 0L, 1L)").alias("length"))
+    return media.probes(rows).select("path", "duration_sec", "width", "fps", "has_audio", "error")
+
+
+@query(
+    "inspection_frames",
+    f"""WITH {FR}, v AS (SELECT video_id, max(ts) + 1.0 AS d FROM fr GROUP BY 1), l AS (SELECT video_id, floor(max(ts) * 1000) / 1000 AS last FROM fr GROUP BY 1), q AS (SELECT video_id, seq, ts + 0.5 AS t, CASE WHEN seq % 3 = 0 THEN 2.0 END AS fps FROM fr),
+g AS (SELECT q.video_id, seq, unnest(CASE WHEN fps IS NULL OR least(t + 1.0, d) <= greatest(0.0, t - 0.5) THEN [t] ELSE list_transform(range(0, CAST(floor((least(t + 1.0, d) - greatest(0.0, t - 0.5)) * fps + 1e-9) AS BIGINT) + 1), lambda i: greatest(0.0, t - 0.5) + i / fps) END) AS t, d, last FROM q JOIN v USING (video_id) JOIN l USING (video_id)),
+c AS (SELECT DISTINCT video_id, seq, least(greatest(0.0, floor(least(t, d - 1 / 25.0::DOUBLE) * 1000) / 1000), last) AS t FROM g)
+SELECT c.video_id, c.seq AS request, c.t::DOUBLE AS t, (SELECT max(ts) FROM fr WHERE fr.video_id = c.video_id AND fr.ts <= c.t) AS frame_ts, CASE WHEN c.seq % 2 = 0 THEN 64 ELSE 640 END AS crop_w, CASE WHEN c.seq % 2 = 0 THEN 32 ELSE 320 END AS out_width FROM c""",
+)
+def inspection_frames(spark, sf_dir):
+    """Targeted requests, points and windows, cropped and scaled."""
+    fr = views.frames(spark, sf_dir)
+    v = fr.groupBy("video_id").agg((F.max("ts") + 1.0).alias("duration_sec")).withColumns({"fps": F.lit(25.0), "width": F.lit(640), "height": F.lit(360)})
+    box = "named_struct('x1', 0.2D, 'y1', 0.1D, 'x2', 0.3D, 'y2', 0.2D)"
+    q = fr.select("video_id", F.col("seq").alias("request"), (F.col("ts") + 0.5).alias("timestamp_sec"), F.expr("if(seq % 3 = 0, 0.5D, 0D)").alias("window_before_sec"), F.expr("if(seq % 3 = 0, 1D, 0D)").alias("window_after_sec"),
+                  F.expr("if(seq % 3 = 0, 2D, null)").alias("fps"), F.expr("if(seq % 2 = 0, 32, 320)").alias("scale_width"), F.expr(f"if(seq % 2 = 0, {box}, null)").alias("region"))
+    out = media.inspect(q, fr.select("video_id", "ts"), v)
+    return out.select("video_id", "request", "t", "frame_ts", F.coalesce("crop_w", F.lit(640)).alias("crop_w"), "out_width")
+
+
+@query(
+    "change_references",
+    f"""WITH {FR}, pr AS (SELECT video_id, seq, ts, lag(ts) OVER w AS prev, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN abs(px[i] - lag_px[i]) > 0.3 THEN 1 ELSE 0 END)) / 64.0::DOUBLE AS m FROM (SELECT *, lag(px) OVER (PARTITION BY video_id ORDER BY ts, seq) AS lag_px FROM fr) WINDOW w AS (PARTITION BY video_id ORDER BY ts, seq))
+SELECT video_id, seq, '{{"compared":[' || printf('%.1f', prev) || ',' || printf('%.1f', ts) || '],"kind":"visual_change","magnitude":' || CASE WHEN m = 0 OR m = 1 THEN printf('%.1f', m) ELSE rtrim(printf('%.4f', m), '0') END || ',"regions":[],"status":"' || CASE WHEN m >= 0.08 THEN 'detected' ELSE 'not_detected' END || '"}}' AS ref FROM pr WHERE prev IS NOT NULL""",
+)
+def change_references(spark, sf_dir):
+    """Measured changes as references."""
+    from evloom.functions import refs
+    from evloom.operators import measure
+
+    c = measure.frame_changes(views.frames(spark, sf_dir), above=0.3).withColumns({"kind": F.lit("visual_change"), "regions": F.expr("cast(array() as array<struct<x1:double,y1:double,x2:double,y2:double>>)"), "detail": F.lit("")})
+    return c.select("video_id", "seq", refs.change_ref().alias("ref"))
 
 
 @query(
     "claim_counts",
-    f"""WITH {_CLAIMS}, i AS (SELECT ord, reason, row_number() OVER (ORDER BY ord) AS i, coalesce(sum((reason IS NULL)::INT) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ok FROM vf),
-s AS (SELECT * FROM i WHERE i <= 160 AND ok < 40), f AS (SELECT reason, min(ord) AS o FROM s WHERE reason IS NOT NULL GROUP BY 1 ORDER BY 2 LIMIT 10)
-SELECT (SELECT count(*) FROM vf) AS returned, (SELECT count(*) FROM s WHERE reason IS NULL) AS retained, (SELECT count(*) FROM vf) - (SELECT count(*) FROM s WHERE reason IS NULL) AS rejected, (SELECT string_agg(reason, '|' ORDER BY o) FROM f) AS reasons""",
+    f"""WITH {_CLAIMS}, {_INTAKE}, fr_ AS (SELECT video_id, reason, min(ord) AS o FROM s_ WHERE reason IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY min(ord)) <= 10)
+SELECT cl.video_id, count(*) AS returned, any_value(k.n) AS retained, count(*) - any_value(k.n) AS rejected, coalesce(any_value(r.reasons), '') AS reasons FROM cl LEFT JOIN (SELECT video_id, count(*) FILTER (WHERE reason IS NULL) AS n FROM s_ GROUP BY 1) k USING (video_id)
+LEFT JOIN (SELECT video_id, string_agg(reason, '|' ORDER BY o) AS reasons FROM fr_ GROUP BY 1) r USING (video_id) GROUP BY cl.video_id""",
 )
 def claim_counts(spark, sf_dir):
     v = _claims(spark, sf_dir)
     c = synthesis.counts(v, synthesis.intake(v))
-    return c.select("returned", F.col("retained").cast("long").alias("retained"), F.col("rejected").cast("long").alias("rejected"), F.array_join("reasons", "|").alias("reasons"))
+    return c.select("video_id", "returned", F.col("retained").cast("long").alias("retained"), F.col("rejected").cast("long").alias("rejected"), F.array_join("reasons", "|").alias("reasons"))
 
 
 @query(
     "claim_images",
-    f"""WITH {FR}, k AS (SELECT seq AS frame_id, CASE WHEN seq % 3 = 0 THEN seq WHEN seq % 3 = 1 THEN seq - 1 END AS kept FROM fr), w AS (SELECT doc_id AS claim, pos, (doc_id * 7 + pos) % 400 AS frame_id FROM labels, (VALUES (0), (1), (2)) t(pos)),
+    f"""WITH {FR}, k AS (SELECT seq AS frame_id, CASE WHEN seq % 3 = 0 THEN seq WHEN seq % 3 = 1 THEN seq - 1 END AS kept FROM fr), w AS (SELECT doc_id AS claim, pos, doc_id * 2 // 5 + pos AS frame_id FROM labels, (VALUES (0), (1), (2)) t(pos)),
 h AS (SELECT claim, kept, min(pos) AS pos FROM w JOIN k USING (frame_id) WHERE kept IS NOT NULL GROUP BY ALL) SELECT claim, string_agg(CAST(kept AS VARCHAR), ',' ORDER BY pos) AS images FROM h GROUP BY 1""",
 )
 def claim_images(spark, sf_dir):
@@ -375,5 +549,5 @@ def claim_images(spark, sf_dir):
     fr = views.frames(spark, sf_dir)
     kept = fr.select(F.lit("0").alias("video_id"), "seq", F.expr("case when seq % 3 = 0 then seq when seq % 3 = 1 then seq - 1 end").alias("superseded_by")).where("superseded_by is not null")
     wants = views.table(spark, sf_dir, "labels").select(F.lit("0").alias("video_id"), F.col("doc_id").alias("claim"), F.posexplode(F.array(*[F.lit(i) for i in range(3)])).alias("pos", "_i"))
-    wants = wants.select("video_id", "claim", "pos", F.expr("(claim * 7 + pos) % 400").alias("frame_id"))
+    wants = wants.select("video_id", "claim", "pos", F.expr("claim * 2 div 5 + pos").alias("frame_id"))
     return package.link_images(wants, kept).select("claim", F.array_join(F.col("images").cast("array<string>"), ",").alias("images"))

@@ -87,3 +87,44 @@ def spans(spark, sf_dir: str) -> DataFrame:
 SP = """sp AS (SELECT CAST(o_custkey AS VARCHAR) AS video_id, l_orderkey * 10 + l_linenumber AS seq,
   date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) * 1.0::DOUBLE AS start_sec,
   date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) * 1.0::DOUBLE AS end_sec FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
+
+
+_BOX = "named_struct('x1', 0.4D, 'y1', 0.0D, 'x2', 0.8D, 'y2', 0.06D)"
+
+
+def streams(spark, sf_dir: str) -> DataFrame:
+    """events as stream rows: every status occurs, every third purchase is a movement segment, every second vision answer
+    locates a button (and each names a line of text without a place)."""
+    e = evidence(spark, sf_dir).withColumn("kind", F.expr("if(kind = 'visual_change' and seq % 3 = 0, 'cursor_track', kind)"))
+    e = e.withColumn("end_ts", F.expr("if(kind in ('transcript', 'cursor_track'), ts + confidence * 30000D, null)")).withColumn(
+        "status", F.expr("case kind when 'pointer' then case seq % 5 when 0 then 'not_detected' when 1 then 'uncertain' else 'detected' end"
+                         " when 'vision' then case seq % 6 when 0 then 'failed' when 1 then 'low_information' when 2 then 'unavailable' else 'ok' end"
+                         " when 'visual_change' then case seq % 4 when 0 then 'unavailable' when 1 then 'not_detected' else 'detected' end end"))
+    e = e.withColumn("ref", F.expr("""case kind when 'visual_change' then concat('{"status":"', status, '"}') when 'cursor_track' then if(seq % 2 = 0, '{"state":"uncertain"}', '{"state":"moving"}') else ref end"""))
+    there = "kind = 'pointer' and status <> 'not_detected'"
+    e = e.withColumn("x", F.expr(f"if({there}, cast(regexp_extract(ref, '[0-9]+', 0) as int) * 10, null)")).withColumn("y", F.expr(f"if({there}, cast(floor(confidence * 500D) as int), null)"))
+    e = e.withColumn("frame_width", F.expr("if(kind = 'pointer', 1000, null)")).withColumn("frame_height", F.expr("if(kind = 'pointer', 500, null)"))
+    line, box = "named_struct('kind', 'text', 'description', 'a line', 'region', cast(null as struct<x1:double,y1:double,x2:double,y2:double>), 'region_confidence', 'unknown')", _BOX
+    button = f"named_struct('kind', 'button', 'description', 'the button', 'region', {box}, 'region_confidence', 'detected')"
+    return e.withColumn("elements", F.expr(f"case when kind <> 'vision' then null when seq % 2 = 0 then array({line}, {button}) else array({line}) end"))
+
+
+ST = f"""{EV}, st0 AS (SELECT * EXCLUDE (kind, end_ts), CASE WHEN kind = 'visual_change' AND seq % 3 = 0 THEN 'cursor_track' ELSE kind END AS kind FROM ev),
+st1 AS (SELECT *, CASE WHEN kind IN ('transcript', 'cursor_track') THEN ts + confidence * 30000::DOUBLE END AS end_ts,
+  CASE kind WHEN 'pointer' THEN CASE seq % 5 WHEN 0 THEN 'not_detected' WHEN 1 THEN 'uncertain' ELSE 'detected' END
+    WHEN 'vision' THEN CASE seq % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'low_information' WHEN 2 THEN 'unavailable' ELSE 'ok' END
+    WHEN 'visual_change' THEN CASE seq % 4 WHEN 0 THEN 'unavailable' WHEN 1 THEN 'not_detected' ELSE 'detected' END END AS status,
+  CASE WHEN kind = 'pointer' AND seq % 5 <> 0 THEN CAST(regexp_extract(ref, '[0-9]+') AS INT) * 10 END AS x, CASE WHEN kind = 'pointer' AND seq % 5 <> 0 THEN CAST(floor(confidence * 500::DOUBLE) AS INT) END AS y FROM st0),
+st AS (SELECT * REPLACE (CASE kind WHEN 'visual_change' THEN '{{"status":"' || status || '"}}' WHEN 'cursor_track' THEN CASE WHEN seq % 2 = 0 THEN '{{"state":"uncertain"}}' ELSE '{{"state":"moving"}}' END ELSE ref END AS ref) FROM st1)"""
+
+
+def windowed(tol: float) -> str:
+    """CTEs: w (query times), ob (stream rows of each), nr (with their nearness), nearest frames, pointers and answers."""
+    usable = "status IN ('ok', 'low_information')"
+    return f"""{ST}, w0 AS (SELECT video_id, seq, ts FROM st WHERE kind = 'frame' UNION ALL SELECT video_id, seq, ts FROM st WHERE kind = 'transcript' AND video_id NOT IN (SELECT video_id FROM st WHERE kind = 'frame')
+  UNION ALL SELECT video_id, seq, ts FROM st WHERE kind = 'vision' AND source <> '' AND {usable}),
+w AS (SELECT video_id, min(seq) AS probe, ts AS t FROM w0 GROUP BY video_id, ts),
+ob AS (SELECT w.probe, w.t, st.*, kind = 'vision' AND source <> '' AS native FROM w JOIN st ON w.video_id = st.video_id AND CASE kind WHEN 'transcript' THEN ts < t + {tol} AND end_ts > t - {tol}
+  WHEN 'cursor_track' THEN ts <= t + {tol} AND end_ts >= t - {tol} ELSE abs(ts - t) <= {tol} END),
+nr AS (SELECT *, row_number() OVER (PARTITION BY video_id, probe, kind, native ORDER BY abs(ts - t), ts, seq) AS rk FROM ob),
+np AS (SELECT * FROM nr WHERE kind = 'pointer' AND rk = 1), nv AS (SELECT * FROM nr WHERE kind = 'vision' AND NOT native AND rk = 1), nn AS (SELECT * FROM nr WHERE native AND rk = 1)"""

@@ -2,40 +2,93 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 from typing import Protocol, runtime_checkable
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from evloom.functions.scalars import floor_ms, is_url, py_strip
+from evloom.functions.scalars import even_span, floor_ms, is_url, py_round, py_strip
+from evloom.operators import contracts
+from evloom.operators.correlate import ELEMENT, NATIVE
+from evloom.operators.measure import clamp_segments
+from evloom.operators.ordered import placed
+from evloom.operators.pixels import luma
+from evloom.operators.temporal import text_around
+from evloom.session import ship, sliced, written
+
+from .workspace import read_local
 
 PROBE_SCHEMA = (
-    "streams array<struct<codec_type:string,codec_name:string,width:int,height:int,r_frame_rate:string,avg_frame_rate:string>>,"
+    "streams array<struct<codec_type:string,codec_name:string,width:int,height:int,r_frame_rate:string,avg_frame_rate:string,duration:string>>,"
     "format struct<duration:string,size:string,format_name:string,tags:struct<title:string>>"
 )
 
 
 def probes(rows: DataFrame, json_col: str = "probe") -> DataFrame:
-    """rows (path, probe: container JSON) -> videos; `error` says what a container lacks."""
+    """rows (path, probe: container JSON and, where known, length in bytes and title) -> videos; `error` says what a container
+    lacks. A title handed in goes before the container's own; none is made up."""
     p = rows.withColumn("_p", F.from_json(json_col, PROBE_SCHEMA))
+    for name, kind in (("length", "bigint"), ("title", "string")):
+        p = p if name in rows.columns else p.withColumn(name, F.lit(None).cast(kind))
     p = p.withColumn("_v", F.expr("get(filter(_p.streams, s -> s.codec_type = 'video'), 0)")).withColumn("_a", F.expr("get(filter(_p.streams, s -> s.codec_type = 'audio'), 0)"))
     fps = F.expr("coalesce(try_divide(try_cast(split(_v.avg_frame_rate, '/')[0] as double), try_cast(split(_v.avg_frame_rate, '/')[1] as double)), 0D)")
-    p = p.withColumn("duration_sec", F.expr("try_cast(_p.format.duration as double)"))
+    p = p.withColumn("duration_sec", F.expr("try_cast(coalesce(_p.format.duration, _v.duration) as double)"))
     error = F.expr(
-        "case when _p is null then 'unreadable container' when _v is null then 'no video stream' when not coalesce(duration_sec > 0, false) then 'invalid duration'"
-        " when not coalesce(_v.width > 0 and _v.height > 0, false) then 'invalid frame size' end"
+        "case when path is null then 'no such file' when length = 0 then 'empty file' when _p is null then 'unreadable container' when _v is null then 'no video stream'"
+        " when not coalesce(duration_sec > 0, false) then 'invalid duration' when not coalesce(_v.width > 0 and _v.height > 0, false) then 'invalid frame size' end"
     )
     return p.select(
         "path", "duration_sec", F.col("_v.width").alias("width"), F.col("_v.height").alias("height"), fps.alias("fps"), F.col("_a").isNotNull().alias("has_audio"),
         F.when(is_url("path"), "url").otherwise("local").alias("source_type"), F.col("_v.codec_name").alias("video_codec"), F.col("_a.codec_name").alias("audio_codec"),
-        F.col("_p.format.format_name").alias("format_name"), F.col("_p.format.tags.title").alias("title"), error.alias("error"),
+        F.col("_p.format.format_name").alias("format_name"), F.coalesce("title", "_p.format.tags.title").alias("title"), error.alias("error"),
     )
 
 
-def image_frames(spark, path: str) -> DataFrame:
-    """Decoded images of a folder: origin, width, height, bgr bytes; what cannot be decoded is dropped by the source."""
-    return spark.read.format("image").option("dropInvalid", "true").load(path).select("image.origin", "image.width", "image.height", F.col("image.data").alias("bgr"))
+def resolve(source: str, folder: str, fetcher: Fetcher | None = None) -> dict:
+    """Where a source's media lies: a local file's path, or a url's copy in `folder`, fetched once: a non-empty `<id>.mp4` is
+    used again. (path, source, source_type, title)"""
+    if not source.lower().startswith(("http://", "https://")):
+        path = read_local(source)
+        return {"path": path, "source": path, "source_type": "local", "title": None}
+    if fetcher is None:
+        raise ValueError("a url needs a fetcher")
+    told = fetcher.describe(source)
+    path = os.path.join(folder, f"{told['id']}.mp4")
+    if not (os.path.isfile(path) and os.path.getsize(path)):
+        os.makedirs(folder, exist_ok=True)
+        fetcher.fetch(source, path)
+    return {"path": read_local(path), "source": source, "source_type": "url", "title": told.get("title")}
+
+
+def image_frames(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """Images of a folder: (decoded: origin, width, height, gray raster), (unreadable: origin, error)."""
+    ship(spark)
+    raw = spark.read.format("image").load(path).select("image.*")
+    kind = pa.schema([("origin", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("gray", pa.binary())])
+
+    def gray(batches):
+        for b in sliced(batches, 16):
+            out = []
+            for r in b.to_pylist():
+                bgr = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"])
+                one = bgr[..., 0] if r["nChannels"] == 1 else luma(bgr[..., :3])
+                out.append({"origin": r["origin"], "width": r["width"], "height": r["height"], "gray": one.tobytes()})
+            yield pa.RecordBatch.from_pylist(out, kind)
+
+    good = raw.where("width > 0 and height > 0 and nChannels > 0")
+    bad = raw.where("not coalesce(width > 0 and height > 0 and nChannels > 0, false)").select("origin", F.lit("image could not be decoded").alias("error"))
+    return good.select("origin", "width", "height", "nChannels", "data").mapInArrow(gray, "origin string, width int, height int, gray binary"), bad
+
+
+def last_frames(frames: DataFrame) -> DataFrame:
+    """(video_id, ts): the last frame that can be read of each video, down to the millisecond."""
+    return frames.groupBy("video_id").agg(floor_ms(F.max("ts")).alias("ts"))
 
 
 def clamp_time(t: str, duration: str, fps: str):
@@ -61,9 +114,48 @@ def window_samples(requests: DataFrame) -> DataFrame:
     return grid.groupBy("video_id", "request", "t").agg(F.min("i").alias("i"))
 
 
+def inspect(requests: DataFrame, frames: DataFrame, videos: DataFrame) -> DataFrame:
+    """Targeted requests -> (video_id, request, i, t, frame_ts, crop and scale plan, out_width, out_height).
+
+    A request without a window (or whose window is empty at the video's end) is the one frame at its time; a window gives
+    frames every 1 / fps seconds. Times are clamped to the last frame, by the container's duration and by the frames there
+    are; equal clamped times come once. Broken requests (contracts: inspection) are an error where they are read."""
+    good, _ = contracts.validate(requests.withColumn("start_sec", F.col("timestamp_sec")).withColumn("end_sec", F.expr("case when window_before_sec > 0 or window_after_sec > 0 then timestamp_sec end")), "inspection", strict=True)
+    v = videos.select("video_id", F.col("duration_sec").alias("duration"), F.col("fps").alias("video_fps"), F.col("width").alias("_w"), F.col("height").alias("_h"))
+    r = good.drop("start_sec", "end_sec").join(v, "video_id").join(last_frames(frames).withColumnRenamed("ts", "_last"), "video_id", "left")
+    r = r.withColumn("a", F.expr("greatest(0D, timestamp_sec - coalesce(window_before_sec, 0D))")).withColumn("b", F.expr("least(timestamp_sec + coalesce(window_after_sec, 0D), duration)"))
+    grid = "if(fps is null or b <= a, array(timestamp_sec), transform(sequence(0, cast((b - a) * fps + 1e-9D as int)), i -> a + i / fps))"
+    r = r.withColumn("_plan", _pixel_plan()).select("video_id", "request", "duration", "video_fps", "_last", "_plan", F.posexplode(F.expr(grid)).alias("i", "t"))
+    r = r.withColumn("t", F.least(clamp_time("t", "duration", "video_fps"), F.coalesce("_last", F.col("t"))))
+    r = r.groupBy("video_id", "request", "t").agg(F.min("i").alias("i"), F.first("_plan").alias("_plan"))
+    seen = read_at(r.withColumn("_r", F.col("request")).withColumn("request", F.struct("_r", "i")), frames)
+    return seen.select("video_id", F.col("_r").alias("request"), "i", "t", "frame_ts", "_plan.*")
+
+
+def _pixel_plan():
+    """crop_x, crop_y, crop_w, crop_h (null: whole frame), out_width, out_height of a request on its video's frame."""
+    x, w = even_span("region.x1", "region.x2", "_w")
+    y, h = even_span("region.y1", "region.y2", "_h")
+    whole = F.col("region").isNull() | ((x == 0) & (y == 0) & (w == F.col("_w")) & (h == F.col("_h")))
+    cw, ch = F.when(whole, F.col("_w")).otherwise(w), F.when(whole, F.col("_h")).otherwise(h)
+    wide = F.coalesce(F.col("scale_width"), cw)
+    tall = F.when(wide == cw, ch).otherwise(F.greatest(F.lit(1), F.floor((ch * wide * 2 + cw) / (2 * cw)).cast("int")))
+    return F.struct(*[F.when(~whole, v).alias(n) for n, v in (("crop_x", x), ("crop_y", y), ("crop_w", w), ("crop_h", h))], wide.alias("out_width"), tall.alias("out_height"))
+
+
 def normalise_segments(segments: DataFrame) -> DataFrame:
     """Times to the millisecond, texts stripped, no invented confidence."""
-    return segments.withColumn("start_sec", F.round("start_sec", 3)).withColumn("end_sec", F.round("end_sec", 3)).withColumn("text", py_strip("text")).withColumn("confidence", F.lit(None).cast("double"))
+    return segments.withColumn("start_sec", py_round("start_sec", 3)).withColumn("end_sec", py_round("end_sec", 3)).withColumn("text", py_strip("text")).withColumn("confidence", F.lit(None).cast("double"))
+
+
+# --- seams for outside providers. Each runner makes its provider once per task from a factory that is shipped to it.
+
+
+@runtime_checkable
+class Fetcher(Protocol):
+    def describe(self, url: str) -> dict: ...
+
+    def fetch(self, url: str, path: str) -> None: ...
 
 
 @runtime_checkable
@@ -73,12 +165,17 @@ class Transcriber(Protocol):
 
 @runtime_checkable
 class FrameReader(Protocol):
-    def extract_frames(self, video: dict, out_dir: str) -> list[dict]: ...
+    def extract_frames(self, video: dict) -> list[dict]: ...
+
+
+@runtime_checkable
+class PointerProvider(Protocol):
+    def detect_pointer(self, frame: dict, before: dict | None) -> dict: ...
 
 
 @runtime_checkable
 class VisionProvider(Protocol):
-    def analyze_frame(self, frame: dict, transcript_context: str, pointer: dict | None) -> dict: ...
+    def analyze_frame(self, frame: dict, transcript_context: str | None, pointer: dict | None) -> dict: ...
 
 
 @runtime_checkable
@@ -91,38 +188,175 @@ class Synthesizer(Protocol):
     def synthesize(self, brief: dict) -> dict: ...
 
 
-def analyze_frames(frames: DataFrame, make_provider) -> DataFrame:
-    """Vision observations of a provider, made once per task; a provider's exception fails the job.
-
-    An answer needs a description and a confidence in [0, 1]; a region that is no box is dropped."""
-    import pyarrow as pa
-
-    from evloom.session import ship, sliced
-
-    ship(frames.sparkSession)
-    kinds = pa.schema([("video_id", pa.string()), ("seq", pa.int64()), ("ts", pa.float64()), ("status", pa.string()), ("description", pa.string()), ("confidence", pa.float64()), ("n_elements", pa.int64())])
+def each(rows: DataFrame, make_provider, schema: str, act, batch: int = 64) -> DataFrame:
+    """act(provider, row) -> output rows, for every row; the provider is made once per task."""
+    ship(rows.sparkSession)
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         provider = None
-        for b in sliced(batches, 64):
+        for b in sliced(batches, batch):
             provider = provider or make_provider()
-            rows = []
-            for r in b.to_pylist():
-                a = provider.analyze_frame(r, "", None)
-                rows.append({"video_id": r["video_id"], "seq": r["seq"], "ts": r["ts"], **vision_answer(a)})
-            yield pa.RecordBatch.from_pylist(rows, kinds)
+            out = [x for r in b.to_pylist() for x in act(provider, r)]
+            yield pa.RecordBatch.from_pylist(out, kinds)
+
+    return rows.mapInArrow(run, schema)
+
+
+SEGMENT = "start_sec double, end_sec double, text string, confidence double, words array<struct<text:string,start_sec:double,end_sec:double>>"
+
+
+def transcribe(videos: DataFrame, make_transcriber) -> tuple[DataFrame, DataFrame]:
+    """(headers: video_id, transcript_status; segments in order of start). A video without sound is no_audio and the provider
+    is not asked; nothing said is no_speech; segments are clipped to the video, normalised, and an exception fails the job."""
+
+    def act(t, v):
+        said = [] if not v["has_audio"] else [{"text": "", "confidence": None, "words": None, **s} for s in t.transcribe(v)]
+        yield {"video_id": v["video_id"], "has_audio": bool(v["has_audio"]), "duration": v["duration_sec"], "segments": said}
+
+    inner = ",".join(f"{c.split(' ', 1)[0]}:{c.split(' ', 1)[1]}" for c in ("start_sec double", "end_sec double", "text string", "confidence double")) + ",words:array<struct<text:string,start_sec:double,end_sec:double>>"
+    raw = written(each(videos, make_transcriber, f"video_id string, has_audio boolean, duration double, segments array<struct<{inner}>>", act, 1), "transcripts")
+    flat = clamp_segments(raw.select("video_id", "duration", F.explode("segments").alias("s")).select("video_id", "duration", "s.*")).drop("duration")
+    flat = normalise_segments(flat).where("text <> ''")
+    seg = flat.withColumn("seg_no", F.row_number().over(Window.partitionBy("video_id").orderBy("start_sec", "end_sec", "text")).cast("long") - 1)
+    there = seg.select("video_id").distinct().withColumn("_s", F.lit("ok"))
+    state = F.when(~F.col("has_audio"), "no_audio").otherwise(F.coalesce("_s", F.lit("no_speech")))
+    return raw.join(there, "video_id", "left").select("video_id", state.alias("transcript_status")), seg
+
+
+FRAME = "video_id string, seq long, ts double, path string, width int, height int, gray binary, reason string"
+
+
+def extract_frames(videos: DataFrame, make_reader) -> DataFrame:
+    """Frames of each video, as its reader gives them, numbered in order."""
+
+    def act(reader, v):
+        for i, f in enumerate(reader.extract_frames(v)):
+            yield {"path": "", "width": 0, "height": 0, "gray": None, "reason": "sampled", **f, "video_id": v["video_id"], "seq": i, "ts": float(f["ts"])}
+
+    return each(videos, make_reader, FRAME, act, 1)
+
+
+def detect_pointers(frames: DataFrame, make_provider) -> DataFrame:
+    """Pointer readings of a provider: each frame with the one before it. An answer without status and, unless nothing was
+    detected, a position, is an error."""
+
+    def act(p, r):
+        a = p.detect_pointer({k: v for k, v in r.items() if k != "before"}, r["before"])
+        if a.get("status") not in contracts.POINTER_STATUS or (a["status"] != "not_detected" and (a.get("x") is None or a.get("y") is None)):
+            raise ValueError(f"no pointer reading: {a}")
+        yield {"video_id": r["video_id"], "seq": r["seq"], "ts": r["ts"], "status": a["status"], "x": a.get("x"), "y": a.get("y"), "confidence": float(a.get("confidence", 0.0)), "frame_width": r["width"], "frame_height": r["height"]}
+
+    pairs = placed(frames, ("ts", "gray", "width", "height")).select(*frames.columns, "before")
+    return each(pairs, make_provider, "video_id string, seq long, ts double, status string, x int, y int, confidence double, frame_width int, frame_height int", act, 16)
+
+
+VISION = f"video_id string, seq long, ts double, status string, description string, visible_text array<string>, elements array<{ELEMENT}>, confidence double, model string"
+
+
+def analyze_frames(frames: DataFrame, make_provider, segments: DataFrame | None = None, pointer: DataFrame | None = None) -> DataFrame:
+    """Vision observations of a provider; its exceptions fail the job. With `segments` a frame comes with the speech around
+    it, with `pointer` with the reading of its very time (of several the last)."""
+    own = frames.withColumn("_context", F.lit(None).cast("string")).withColumn("_pointer", F.lit(None).cast("struct<status:string,x:int,y:int,confidence:double>"))
+    if segments is not None:
+        near = text_around(frames.select("video_id", F.col("seq").alias("probe"), F.col("ts").alias("t")), segments, ("video_id", "probe"))
+        own = own.drop("_context").join(near.select("video_id", F.col("probe").alias("seq"), F.col("said").alias("_context")), ["video_id", "seq"], "left")
+    if pointer is not None:
+        own = own.drop("_pointer").join(pointer_at(pointer).select("video_id", "ts", F.struct("status", "x", "y", "confidence").alias("_pointer")), ["video_id", "ts"], "left")
+
+    def act(p, r):
+        frame = {k: v for k, v in r.items() if not k.startswith("_")}
+        yield {"video_id": r["video_id"], "seq": r["seq"], "ts": r["ts"], **vision_answer(p.analyze_frame(frame, r["_context"], r["_pointer"]))}
+
+    return each(own, make_provider, VISION, act)
+
+
+def pointer_at(pointer: DataFrame) -> DataFrame:
+    """One reading per exact time: of several at one time the last (by seq)."""
+    rest = [c for c in pointer.columns if c not in ("video_id", "ts")]
+    return pointer.groupBy("video_id", "ts").agg(F.max_by(F.struct(*rest), "seq").alias("_p")).select("video_id", "ts", "_p.*")
+
+
+def analyze_cached(frames: DataFrame, cache: str, make_provider, model: str = "") -> DataFrame:
+    """analyze_frames through a table of earlier answers at `cache` (a folder all executors see), keyed by the frame's pixels
+    and the model. Only usable answers are kept; what cannot be read is a miss."""
+    spark = frames.sparkSession
+    keyed = frames.withColumn("_key", F.sha2(F.concat_ws("|", F.lit(model), F.hex("gray"), F.col("width").cast("string")), 256))
+    kept = [c.split(" ", 1)[0] for c in ("status string", "description string", "visible_text x", "elements x", "confidence x", "model x")]
+    try:
+        held = spark.read.parquet(cache).select("_key", *kept).dropDuplicates(["_key"])
+    except Exception:  # no table, or one of another shape: everything is asked again
+        held = None
+    asked = keyed if held is None else keyed.join(held, "_key", "left_anti")
+    fresh = written(analyze_frames(asked.drop("_key"), make_provider).join(asked.select("video_id", "seq", "_key"), ["video_id", "seq"]), "vision")
+    out = fresh.drop("_key")
+    if held is not None:
+        out = out.unionByName(keyed.select("video_id", "seq", "ts", "_key").join(held, "_key").drop("_key"))
+        out = written(out, "vision-all")  # read before the table grows
+    fresh.where("status in ('ok', 'low_information')").select("_key", *kept).write.mode("append").parquet(cache)
+    return out.select("video_id", "seq", "ts", *kept)
+
 
-    return frames.mapInArrow(run, "video_id string, seq long, ts double, status string, description string, confidence double, n_elements long")
+def _box(raw) -> dict | None:
+    """Four numbers that make a box inside the unit square, else nothing."""
+    try:
+        x1, y1, x2, y2 = map(float, raw)
+    except (TypeError, ValueError):
+        return None
+    return {"x1": x1, "y1": y1, "x2": x2, "y2": y2} if 0 <= x1 < x2 <= 1 and 0 <= y1 < y2 <= 1 else None
 
 
 def vision_answer(a: dict) -> dict:
-    """A provider's answer, checked: status, description, confidence and the number of elements."""
+    """A provider's answer, checked: it needs a description and a confidence in [0, 1]. An element's region that is no box
+    is dropped and then claims no place; a box without a known label is approximate."""
     if not isinstance(a, dict) or "description" not in a or "confidence" not in a:
         raise ValueError("an answer needs description and confidence")
     confidence = float(a["confidence"])
     if not 0 <= confidence <= 1:
         raise ValueError(f"confidence {confidence} is outside [0, 1]")
-    return {"status": "low_information" if a.get("low_information") else "ok", "description": str(a["description"]), "confidence": confidence, "n_elements": len(a.get("elements") or [])}
+    elements = []
+    for e in a.get("elements") or []:
+        region, said = _box(e.get("region")), e.get("region_confidence")
+        sure = "unknown" if region is None else said if said in ("detected", "approximate") else "approximate"
+        elements.append({"kind": str(e.get("kind", "unknown")), "description": str(e.get("description", "")), "region": region, "region_confidence": sure})
+    return {"status": "low_information" if a.get("low_information") else "ok", "description": str(a["description"]), "visible_text": [str(t) for t in a.get("visible_text") or []],
+            "elements": elements, "confidence": confidence, "model": str(a.get("model", ""))}
+
+
+NATIVE_ROW = f"video_id string, ts double, status string, description string, elements array<{ELEMENT}>, confidence double, error string"
+
+
+def analyze_videos(videos: DataFrame, make_provider) -> tuple[DataFrame, DataFrame]:
+    """Answers of a provider that watches whole videos: (grounded observations, per video: kept, dropped, error).
+
+    Any exception or an answer that is no sequence makes the stream unavailable for that video, named by its type alone,
+    and never fails the job. Observations need a real time inside the video (a second of slack)."""
+
+    def act(p, v):
+        none = {"video_id": v["video_id"], "ts": None, "status": None, "description": None, "elements": None, "confidence": None, "error": None}
+        try:
+            told = p.analyze_video(v, None, 0.0, None, None)
+            if not isinstance(told, list | tuple):
+                raise TypeError(type(told).__name__)
+        except Exception as e:  # outside code: its failure is a missing stream
+            return [none | {"error": type(e).__name__}]
+        rows = [none]
+        for o in told:
+            t = o.get("timestamp_sec") if isinstance(o, dict) else None
+            real = isinstance(t, int | float) and not isinstance(t, bool)
+            try:
+                rows.append(none | {"ts": float(t) if real else float("nan"), **{k: x for k, x in vision_answer(o).items() if k in ("status", "description", "elements", "confidence")}})
+            except (ValueError, TypeError, AttributeError):
+                rows.append(none | {"ts": float("nan"), "status": "failed"})
+        return rows
+
+    raw = written(each(videos, make_provider, NATIVE_ROW, act, 1), "native")
+    said = raw.where("status is not null")
+    good = ground_native(said.where("status <> 'failed'"), videos).drop("error").withColumn("source", F.lit(NATIVE))
+    n = said.groupBy("video_id").agg(F.count("*").alias("told")).join(good.groupBy("video_id").agg(F.count("*").alias("kept")), "video_id", "left")
+    states = raw.groupBy("video_id").agg(F.max("error").alias("error")).join(n, "video_id", "left")
+    kept = F.coalesce("kept", F.lit(0))
+    return good, states.select("video_id", kept.alias("kept"), (F.coalesce("told", F.lit(0)) - kept).alias("dropped"), "error")
 
 
 def ground_native(observations: DataFrame, videos: DataFrame) -> DataFrame:
