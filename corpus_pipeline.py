@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evloom.llm import packing, quality_rules, simhash, suffix_dedup, toxicity
-from evloom.session import written
+from evloom.session import discard, written
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
@@ -25,9 +25,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole `documents` table: the packed pieces of what is left (doc_id, start, length, ids_crc32,
+    doc_tokens, sequence_id, offset).
+
+    Rows with a null or repeated doc_id are documents of their own and keep their id; null texts are empty; an empty table
+    gives an empty result; further columns of the table travel along up to the last stage. A stage's table is deleted once
+    the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs, f"pipeline-{name}")
+            discard(before)
     return docs

@@ -323,7 +323,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
-    """df with the text of the ids (special tokens kept) in column `out`."""
+    """df with the text of the ids (special tokens kept) in column `out`; a null array is null, an empty one is "". A null id
+    or one that the vocabulary does not have is an error."""
     spark = df.sparkSession
     ship(spark)
     spec = _spec(spark, path)
@@ -334,7 +335,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> Dat
         for col in batches:
             off = col.offsets.to_numpy()
             flat = col.values.to_numpy(zero_copy_only=False)
-            yield pa.array([model.decode(flat[a:b].tolist()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.string())
+            if col.values.null_count or (len(flat) and not 0 <= flat.min() <= flat.max() < len(model.token_bytes)):
+                raise ValueError("ids to decode must be ids of the vocabulary")
+            there = col.is_valid().to_pylist()
+            yield pa.array([model.decode(flat[a:b].tolist()) if ok else None for ok, a, b in zip(there, off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.string())
 
     return df.withColumn(out, run(F.col(ids)))
 

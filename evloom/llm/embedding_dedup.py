@@ -48,6 +48,7 @@ def bucket_keys(v: np.ndarray, tables: int = TABLES, projections: int = PROJECTI
 
 def _normal(vectors: list) -> np.ndarray:
     v = np.array(vectors, np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)  # squares of very large or small components would leave the range of doubles
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 

@@ -675,3 +675,55 @@ def test_near_groups_of_odd_texts(spark):
     got = {r._k: r.group for r in simhash.near_groups(d.select("_k", "text")).collect()}
     assert got[0] == got[1] == got[2] == 0 and got[3] == got[4] == 3 and got[5] == 5 and got[6] == got[7] == got[8] == 6
     assert simhash.near_groups(d.select("_k", "text").limit(0)).count() == 0
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rnd = random.Random(6)
+    plain = ["".join(rnd.choice("aeiostnrlm") for _ in range(rnd.randint(3, 8))) for _ in range(400)]
+    text = lambda: " ".join(rnd.choice(plain) for _ in range(90))
+    same = text()
+    ids = [None, None, 3, 3, 3, 4, 5, 6]
+    texts = [text(), same, text(), same, None, "", text(), text()]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, node string, score double, `group` int"
+    full = spark.createDataFrame([(i, t, None, None, None, "x", 1.0, 2) for i, t in zip(ids, texts, strict=True)], kind)
+    for name, table, want in (("odd", full, 5), ("empty", full.limit(0), 0)):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(6, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        at = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for stage, act in cp.STAGES[:-1]:
+            at = act(spark, at, str(tmp_path / name))
+            assert at.columns == full.columns, stage
+            at.write.parquet(str(tmp_path / name / stage))
+            at = spark.read.parquet(str(tmp_path / name / stage))
+        assert at.count() == want and at.where("text is null").count() == 0
+        packed = cp.run(spark, str(tmp_path / name))
+        assert packed.select("doc_id", "doc_tokens").where("doc_tokens > 1").count() >= want and (want or packed.count() == 0)
+
+
+def test_shares_at_any_size(spark):
+    from evloom.llm.toxicity import _share
+
+    df = spark.range(200_000).withColumnRenamed("id", "doc_id")
+    assert 900 < df.where(_share("doc_id", 200_000, 1000)).count() < 1100
+    assert (10_000 << 62) // 10**11 > 4 * 10**11  # at 1e11 rows the threshold is far from zero
+
+
+def test_vectors_of_any_magnitude():
+    v = np.random.default_rng(2).standard_normal((20, 8))
+    want = embedding_dedup._normal(v.tolist())
+    for scale in (1e-170, 1e160):
+        assert np.allclose(embedding_dedup._normal((v * scale).tolist()), want)
+
+
+def test_decode_of_odd_ids(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(0, None), (1, []), (2, [1, 2])], "doc_id long, ids array<int>")
+    got = {r.doc_id: r.text for r in bpe.decode(df, path).collect()}
+    assert got[0] is None and got[1] == "" and got[2]
+    for bad in ([None], [-1], [10**8]):
+        with pytest.raises(Exception, match="ids of the vocabulary"):
+            bpe.decode(spark.createDataFrame([(0, bad)], "doc_id long, ids array<int>"), path).collect()
