@@ -149,13 +149,24 @@ def export_package(package: dict, path: str) -> str:
 
 
 def render_markdown(package: dict) -> str:
-    """A package for readers: source, summary, topics, points, limits."""
-    lines = [f"# {package.get('title') or package['source']}", "", package.get("summary") or "", ""]
-    if package.get("topics"):
-        lines += ["## Topics", "", *[f"- {t}" for t in package["topics"]], ""]
-    for title, key in (("Key lessons", "key_lessons"), ("Claims", "claims")):
-        if package.get(key):
-            lines += [f"## {title}", "", *[f"- [{p['timestamp_sec']:.1f}s] ({p['kind']}, {p['confidence']:.2f}) {p['text']}" for p in package[key]], ""]
-    if package.get("limitations"):
-        lines += ["## Limitations", "", *[f"- {x}" for x in package["limitations"]], ""]
-    return "\n".join(lines)
+    """A package for readers. Every part is a heading and its lines; parts without lines are left out."""
+    src, run, syn = package["source"], package["processing"], package.get("synthesis") or {}
+    at = lambda p: f"{p['timestamp_sec']:.1f}" + (f"-{p['timestamp_end_sec']:.1f}s" if p.get("timestamp_end_sec") is not None else "s")
+    images = {x["claim"]: x["images"] for x in package.get("claim_images") or []}
+    shown = lambda i: f" [visual: {', '.join(images[i])}]" if images.get(i) else ""
+    counted = f" (provider: {syn.get('provider')}, {syn.get('claims_retained')} retained / {syn.get('claims_rejected')} rejected)" if syn.get("status") == "ok" else ""
+    parts = {
+        "Summary": [package["summary"]], "Whole-video summary (semantic synthesis)": [package.get("semantic_summary")],
+        "Verified claims": [f"- **[{c['kind']}/{c['status']}]** ({at(c)}, confidence {c['confidence']:.2f}) {c['text']}{shown(i)}" for i, c in enumerate(package.get("claims") or [])],
+        "Visual evidence": [f"- `{v['evidence_id']}` ({v['timestamp_sec']:.1f}s) `{v['image_path']}` -- {v['selection_reason']}" for v in package.get("visual_evidence") or []],
+        "Topics": [", ".join(package.get("topics") or [])], "Key lessons": [f"- **[{p['kind']}]** ({p['timestamp_sec']:.1f}s) {p['text']}" for p in package.get("key_lessons") or []],
+        "Important observations": [f"- ({p['timestamp_sec']:.1f}s, confidence {p['confidence']:.2f}) {p['text']}" for p in package.get("important_observations") or []],
+        "Limitations": [f"- {x}" for x in package.get("limitations") or []],
+        "Processing": [f"- Evidence streams available: {', '.join(run['stages_available']) or 'none'}", f"- Evidence streams unavailable: {', '.join(run['stages_unavailable']) or 'none'}", f"- Frames referenced: {run['frame_count']}",
+                       f"- Transcript status: {run['transcript_status']}", f"- Semantic synthesis: {syn.get('status', 'unavailable')}{counted}", f"- Engine version: {run['engine_version']}"],
+    }
+    head = [f"# {src.get('title') or src['source']}", "", f"- **Source**: {src['source_type']} -- `{src['source']}`", f"- **Duration**: {src['duration_sec']:.1f}s", f"- **Generated**: {run['generated_at']}"]
+    for title, lines in parts.items():
+        if lines := [x for x in lines if x]:
+            head += ["", f"## {title}", "", *lines]
+    return "\n".join(head) + "\n"

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evloom.functions.scalars import fixed, py_strip
+from evloom.functions.scalars import base_name, filename_stem, fixed
 from evloom.session import settled, written
 
 from . import correlate, knowledge
@@ -158,6 +158,18 @@ def export_packages(packages: DataFrame, path: str) -> int:
     return sum(r.n for r in state)
 
 
+def save(packages: DataFrame, folder: str) -> list[str]:
+    """Each package as `<stem>.json` in a folder of this machine, one after the other; one that breaks a rule is an error
+    before anything is written. For single runs; export_packages is for many."""
+    rows = checked(packages)
+    if broken := rows.where("violation is not null").select("video_id", "violation").limit(1).collect():
+        raise ValueError(f"{broken[0].video_id}: {broken[0].violation}")
+    name = F.coalesce(F.nullif(F.col("source.title"), F.lit("")), F.regexp_replace(base_name("source.source"), r"(?<=.)\.[^.]*$", ""))
+    named = rows.drop("violation").select(filename_stem(name).alias("stem"), F.struct(*packages.columns).alias("p"))
+    os.makedirs(folder, exist_ok=True)
+    return [knowledge.export_package(r.p.asDict(recursive=True), os.path.join(folder, f"{r.stem}.json")) for r in named.toLocalIterator()]
+
+
 def wants(packages: DataFrame, candidates: DataFrame) -> DataFrame:
     """Which candidate frames (video_id, evidence_id, ord, timestamp_sec, ref) knowledge asks for: one row per mention, with
     confidence, reason, order, and the claim that mentions it. Claims come by the frames they cite or the frames behind the

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from evloom.functions import refs, scalars
+from evloom.functions import scalars
 from evloom.operators import folds, measure, pixels
 
 RD = "video_id string, seq long, ts double, status string, x int, y int, frame_width int, frame_height int, confidence double"
@@ -17,7 +17,7 @@ def readings(spark, xy, step=0.5):
 def test_moving_right(spark):
     s = measure.cursor_segments(readings(spark, [(30 * i, 10) for i in range(5)])).collect()
     assert [(r.motion_state, r.start_sec, r.end_sec, r.direction_deg) for r in s] == [("moving", 0.0, 2.0, 0.0)]
-    assert s[0].speed == pytest.approx(0.12)
+    assert s[0].mean_speed_norm == pytest.approx(0.12)
 
 
 def test_reasons_in_order(spark):
@@ -102,8 +102,10 @@ def test_pointer_follows_a_moving_square(spark):
 def test_folds(spark):
     f = spark.createDataFrame([("v", i, float(i), [float(v)] * 4) for i, v in enumerate([0, 5, 11, 12, 25])], "video_id string, seq long, ts double, px array<double>")
     assert [r.seq for r in folds.keyframe_dedupe(f, 10.0).orderBy("seq").collect()] == [0, 2, 4]
-    c = spark.createDataFrame([("v", 0, 0, 0, 10.0), ("v", 1, 1, 3, 10.0), ("v", 2, 2, 2**40 - 1, 10.0), ("v", 3, 3, -1, 90.0)], "video_id string, rank long, seq long, signature long, bright double")
-    assert {r.seq: r.superseded_by for r in folds.bundle(c, most=2).collect()} == {0: 0, 1: 0, 2: 2}
+    rows = [("v", 0, 0, 0, 10.0, 5), ("v", 1, 1, 3, 10.0, 6), ("v", 2, 2, None, None, 5), ("v", 3, 3, 1, 10.0, 0), ("v", 4, 4, 2**40 - 1, 10.0, 7), ("v", 5, 5, 1, 10.0, 8), ("v", 6, 6, -1, 90.0, 9)]
+    c = spark.createDataFrame(rows, "video_id string, rank long, seq long, signature long, bright double, size long")
+    assert {r.seq: r.superseded_by for r in folds.bundle(c, most=2).collect()} == {0: 0, 1: 0, 2: 0, 4: 4}  # by bits, by size; nothing after the second kept one
+    assert {r.seq: r.superseded_by for r in folds.bundle(c).collect()} == {0: 0, 1: 0, 2: 0, 4: 4, 5: 0, 6: 6}
 
 
 def test_spread_keeps_ends(spark):
@@ -128,11 +130,33 @@ def test_scalars(spark):
     assert r.r == "https://host.example:8443/watch?<redacted>"
 
 
-def test_reference_fits():
-    many = {"status": "detected", "regions": [{"x1": i / 97, "y1": 0.123456789, "x2": 1.0, "y2": 1.0} for i in range(8)]}
-    text = refs.fit_regions(many)
-    assert len(text) <= 400 and '"regions_omitted":' in text
-    assert "regions_omitted" not in refs.fit_regions({"regions": []})
+def test_python_rounding(spark):
+    from evloom.functions import scalars
+
+    xs = [2.675, 0.125, 0.5, 1.5, 2.5, 1e-5, 0.00015, 12345678.0, 1e16, 1.0005, -2.675, 0.0, *[i / 1024 for i in range(2000)]]
+    for r in spark.createDataFrame([(x,) for x in xs], "x double").select("x", scalars.py_round("x", 2).alias("a"), scalars.py_round("x", 3).alias("b"), scalars.py_repr("x").alias("t")).collect():
+        assert (r.a, r.b, r.t) == (round(r.x, 2), round(r.x, 3), repr(r.x))
+    assert [r[0] for r in spark.createDataFrame([("é\n",), ("\U0001f600",)], "v string").select(scalars.json_text("v")).collect()] == ['"\\u00e9\\n"', '"\\ud83d\\ude00"']
+
+
+def test_blocks_join_up(spark):
+    from evloom.operators import ordered
+
+    at = [0.0, 1.0, 1.0, 9.0, 25.0, 25.5, 99.0]
+    df = spark.createDataFrame([("v", i, t) for i, t in enumerate(at)], "video_id string, seq long, ts double")
+    got = ordered.placed(df, ("seq",), width=10.0).orderBy("i").collect()
+    assert [r.seq for r in got] == [r.i for r in got] == list(range(7)) and [r.before and r.before.seq for r in got] == [None, 0, 1, 2, 3, 4, 5] and [r.after and r.after.seq for r in got] == [1, 2, 3, 4, 5, 6, None]
+    assert [r.s for r in ordered.running(df, "seq", "s", width=10.0).orderBy("seq").collect()] == [0, 1, 3, 6, 10, 15, 21]
+    ordered.require_order(df).collect()
+    with pytest.raises(Exception, match="follows"):
+        ordered.require_order(df.withColumn("seq", -df.seq)).collect()
+
+
+def test_segment_words(spark):
+    rows = [("v", 0, -1.0, 2.0, [("a", -1.0, -0.5), ("b", 0.5, 1.0)], 10.0), ("v", 1, 9.0, 12.34567, [("c", 10.5, 11.0)], 10.0), ("v", 2, 1.23456, 2.0, None, 10.0), ("v", 3, 10.0, 11.0, None, 10.0)]
+    df = spark.createDataFrame(rows, "video_id string, seg_no long, start_sec double, end_sec double, words array<struct<text:string,start_sec:double,end_sec:double>>, duration double")
+    got = {r.seg_no: r for r in measure.clamp_segments(df).collect()}
+    assert sorted(got) == [0, 1, 2] and got[0].start_sec == 0.0 and [w.text for w in got[0].words] == ["b"] and got[1].words is None and got[1].end_sec == 10.0 and got[2].start_sec == 1.23456
 
 
 def test_signature_bits():

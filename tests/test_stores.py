@@ -1,6 +1,7 @@
 """Sessions, contracts, packages, sources and the job folder."""
 
 import json
+import os
 import threading
 
 import pytest
@@ -48,33 +49,22 @@ def test_contracts(spark):
         contracts.validate(df, "cursor_segment", strict=True)[0].collect()
 
 
-def test_claims(spark):
-    claims = spark.createDataFrame(
-        [("v", 0, "says", "observed", 1.0, 0.9, ["e0", "e1"], 10.0), ("v", 1, "moves", "observed", 5.0, None, ["e2"], 10.0), ("v", 2, "x", "observed", 1.0, 0.5, ["e9"], 10.0), ("v", 3, "x", "observed", 1.0, 0.5, [], 10.0),
-         ("v", 4, "x", "inferred", 99.0, 0.5, ["e0"], 10.0), ("v", 5, "none", "unavailable", 1.0, 0.5, [], 10.0), ("v", 6, "x", "guess", 1.0, 0.5, ["e0"], 10.0), ("v", 7, "near", "observed", 8.0, 0.5, ["e0"], 10.0)],
-        "video_id string, ord long, text string, nature string, timestamp_sec double, confidence double, evidence_ids array<string>, duration_sec double",
-    )
-    brief = spark.createDataFrame([("v", "e0", "transcript", 1.0, None), ("v", "e1", "vision", 1.0, 0.4), ("v", "e2", "visual_change", 5.0, 1.0)], "video_id string, evidence_id string, kind string, ts double, confidence double")
-    conflicts = spark.createDataFrame([("v", 9.9)], "video_id string, c double")
-    got = {r.ord: r for r in synthesis.verify(claims, brief, conflicts).collect()}
-    assert (got[0].status, got[0].confidence, got[0].verification) == ("observed", 0.4, "speech_corroborated_by_visual_evidence")
-    assert (got[1].status, got[1].confidence, got[1].verification) == ("inferred", 0.5, "measurement_evidence_only")
-    assert got[2].reason.endswith("e9") and got[3].reason == "claim cites no evidence" and "outside" in got[4].reason and "nature" in got[6].reason
-    assert (got[5].reason, got[5].status, got[5].confidence) == (None, "unavailable", 0.0)
-    assert got[7].status == "conflicting"
-
-
-def test_responses():
-    assert synthesis.parse_response('```json\n{"claims": []}\n```') == {"claims": []}
-    assert synthesis.parse_response("[1]") is None and synthesis.parse_response("nope") is None and synthesis.parse_response(3) is None
-
-
 def test_package_files(tmp_path, spark):
-    p = {"source": "a", "summary": "s", "topics": ["Spark"], "key_lessons": [{"timestamp_sec": 1.0, "kind": "warning", "confidence": 0.4, "text": "x"}], "claims": [], "limitations": ["none"]}
-    path = knowledge.export_package(p, str(tmp_path / "p.json"))
-    assert json.load(open(path)) == p and "## Topics" in knowledge.render_markdown(p)
-    knowledge.export_packages(spark.createDataFrame([("v", None, "s")], "video_id string, title string, summary string"), str(tmp_path / "bulk"))
-    assert json.loads(spark.read.text(str(tmp_path / "bulk")).first()[0]) == {"video_id": "v", "title": None, "summary": "s"}
+    from evloom import api
+    from evloom.operators import package
+
+    v = spark.createDataFrame([("v", "https://h/Talk 1.mp4", "url", 61.5, None)], "video_id string, source string, source_type string, duration_sec double, title string")
+    seg = spark.createDataFrame([("v", 0, 0.0, 3.0, "Warning: never open the window, window"), ("v", 1, 3.0, 4.0, None)], "video_id string, seg_no long, start_sec double, end_sec double, text string")
+    ev = spark.createDataFrame([("v", 0, 1.0, "frame", "/f/a.jpg", None, None, ""), ("v", 1, 0.0, "transcript", "Warning", None, 3.0, "")], "video_id string, seq long, ts double, kind string, ref string, confidence double, end_ts double, source string")
+    rows = api.process(v, seg, ev, api.Config(generated_at="now"))["packages"].drop("violation")
+    (path,) = package.save(rows, str(tmp_path))
+    doc = json.load(open(path))
+    assert os.path.basename(path) == "Talk_1.json" and doc["semantic_summary"] is None and doc["processing"]["generated_at"] == "now" and doc["key_lessons"][0]["kind"] == "warning"
+    text = knowledge.render_markdown(doc)
+    assert "## Topics\n\nWindow" in text and "- **[warning]** (0.0s) Warning: never open the window, window" in text and "- Transcript status: ok" in text
+    with pytest.raises(ValueError, match="no generated_at"):
+        package.save(rows.withColumn("processing", rows.processing.withField("generated_at", rows.source.title)), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
 
 
 def test_probe_errors(spark):
@@ -98,31 +88,64 @@ def job(root, name, **over):
     (root / "inbox" / f"{name}.json").write_text(json.dumps({"source": "https://u:p@h/x?k=1", "config": {"vision": False}} | over))
 
 
-def test_worker(tmp_path):
+def made(job, folder, text="{}", session=None):
+    os.makedirs(f"{folder}/output", exist_ok=True)
+    open(f"{folder}/output/p.json", "w").write(text)
+    if session is not None:
+        os.makedirs(f"{folder}/session", exist_ok=True)
+        open(f"{folder}/session/x.session.json", "w").write(session)
+    return {"package": "output/p.json"}
+
+
+def test_worker(tmp_path, spark):
     settings = {"vision": bool, "interval": (int, float)}
     job(tmp_path, "b", config={"vision": 1})
     job(tmp_path, "a")
     job(tmp_path, "bad id")
     seen = []
-    run = lambda: worker.run_once(str(tmp_path), lambda j, d: seen.append(j) or {"package": "p"}, settings, ("vision",))
+    run = lambda: worker.run_once(str(tmp_path), lambda j, d: seen.append(j) or made(j, d), settings, ("vision",), spark)
     first, second = run(), run()
-    assert first["status"] == "succeeded" and first["source"] == "https://h/x?<redacted>" and second["status"] == "failed"
+    assert first["status"] == "succeeded" and first["source"] == "https://h/x?<redacted>" and second["status"] == "failed" and second["error"]["type"] == "InvalidJob"
+    assert json.load(open(tmp_path / "done" / "a" / "status.json"))["outputs"] == {"package": "output/p.json", "session": None}
     assert run() is None and (tmp_path / "inbox" / "bad id.json.invalid-id").exists()
     job(tmp_path, "a")
     assert run() is None and (tmp_path / "inbox" / "a.json.duplicate").exists() and len(seen) == 1
 
 
-def test_worker_claims_once(tmp_path):
+@pytest.mark.parametrize(("text", "session", "asked", "status"), [("{}", None, False, "succeeded"), ("{", None, False, "failed"), ("{}", None, True, "failed"), ("{}", "{", True, "failed"), ("{}", json.dumps(DOC), True, "succeeded")])
+def test_worker_gate(tmp_path, spark, text, session, asked, status):
+    job(tmp_path, "g", session=asked)
+    got = worker.run_once(str(tmp_path), lambda j, d: made(j, d, text, session), {"vision": bool, "interval": float}, (), spark)
+    assert got["status"] == status and (tmp_path / ("done" if status == "succeeded" else "failed") / "g" / "status.json").exists()
+
+
+def test_worker_records_an_interrupt(tmp_path, spark):
+    job(tmp_path, "k")
+
+    def stop(j, d):
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        worker.run_once(str(tmp_path), stop, {"vision": bool, "interval": float}, (), spark)
+    assert json.load(open(tmp_path / "failed" / "k" / "status.json"))["status"] == "failed" and (tmp_path / "failed" / "k" / "traceback.txt").exists()
+
+
+def test_worker_claims_once(tmp_path, spark):
     job(tmp_path, "one")
-    for s in worker.STATES:
-        (tmp_path / s).mkdir(exist_ok=True)
     got = []
-    threads = [threading.Thread(target=lambda: got.append(worker.run_once(str(tmp_path), lambda j, d: {}, {"vision": bool}))) for _ in range(4)]
+    threads = [threading.Thread(target=lambda: got.append(worker.run_once(str(tmp_path), made, {"vision": bool, "interval": float}, (), spark))) for _ in range(4)]
     [t.start() for t in threads]
     [t.join() for t in threads]
     assert sum(x is not None for x in got) == 1
 
 
+def test_worker_stream(tmp_path, spark):
+    for name in ("s1", "s2"):
+        job(tmp_path, name)
+    worker.run_stream(str(tmp_path), made, {"vision": bool, "interval": float}, (), spark)
+    assert sorted(os.listdir(tmp_path / "done")) == ["s1", "s2"]
+
+
 def test_streaming_band_join(spark, tmp_path):
     from pyspark.sql import functions as F
 
