@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, embedding_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity, url_filter
+from . import bpe, chat_format, embedding_dedup, packing, quality_classifier, quality_rules, simhash, source_audit, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_simhash": simhash.query,
         "op9_url_filter": url_filter.query,
         "op10_quality_rules": quality_rules.query,
+        "op11_source_audit": source_audit.query,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict:
         "op6_embedding_dedup": embedding_dedup.SQL,
         "op9_url_filter": url_filter.SQL,
         "op10_quality_rules": quality_rules.SQL,
+        "op11_source_audit": source_audit.SQL,
     }
