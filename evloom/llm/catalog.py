@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, embedding_dedup, packing, quality_classifier, quality_rules, simhash, source_audit, suffix_dedup, toxicity, url_filter
+from . import bpe, chat_format, embedding_dedup, mixing, packing, quality_classifier, quality_rules, simhash, source_audit, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_url_filter": url_filter.query,
         "op10_quality_rules": quality_rules.query,
         "op11_source_audit": source_audit.query,
+        "op12_mixing": mixing.query,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict:
         "op9_url_filter": url_filter.SQL,
         "op10_quality_rules": quality_rules.SQL,
         "op11_source_audit": source_audit.SQL,
+        "op12_mixing": mixing.SQL,
     }
