@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, embedding_dedup, mixing, packing, quality_classifier, quality_rules, simhash, source_audit, suffix_dedup, toxicity, url_filter
+from . import bpe, chat_format, embedding_dedup, mixing, packing, quality_classifier, quality_rules, simhash, source_audit, spelling, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_quality_rules": quality_rules.query,
         "op11_source_audit": source_audit.query,
         "op12_mixing": mixing.query,
+        "op13_spelling": spelling.query,
     }
 
 
