@@ -14,8 +14,6 @@ from evloom.functions.evidence import usable
 from evloom.functions.scalars import fixed, py_round
 from evloom.session import settled
 
-from .temporal import band_join, interval_join
-
 # The source label of native video answers, the least normalised way of a moving pointer, the labels of the two rules.
 NATIVE, MOTION_THRESHOLD = "video_understanding", 0.03
 IN_REGION, MOTION = "pointer_in_vision_region", "speech_pointer_motion"
@@ -43,57 +41,76 @@ def _native() -> Column:
     return (F.col("kind") == "vision") & (F.col("source") == NATIVE)
 
 
+def marks(evidence: DataFrame) -> DataFrame:
+    """Rows that give query times (video_id, probe, t): frames, in videos without any the starts of speech, and usable native
+    answers. Times may repeat. Reads kinds, times and statuses only."""
+    some = streams(evidence).where((F.col("kind").isin("frame", "transcript")) | (_native() & usable())).select("video_id", F.col("seq").alias("probe"), F.col("ts").alias("t"), "kind")
+    framed = streams(evidence).where("kind = 'frame'").select("video_id").distinct().withColumn("_framed", F.lit(True))
+    return some.join(framed, "video_id", "left").where("kind <> 'transcript' or _framed is null").select("video_id", "probe", "t")
+
+
 def windows(evidence: DataFrame) -> DataFrame:
-    """Query times (video_id, probe, t): the frames', in videos without any the starts of speech, and those of usable
-    native answers; each time once, `probe` the lowest seq that gives it."""
-    s = streams(evidence)
-    frames = s.where("kind = 'frame'").select("video_id", "seq", "ts")
-    speech = s.where("kind = 'transcript'").select("video_id", "seq", "ts").join(frames.select("video_id").distinct(), "video_id", "left_anti")
-    told = s.where(_native() & usable()).select("video_id", "seq", "ts")
-    every = frames.unionAll(speech).unionAll(told)
-    return every.groupBy("video_id", "ts").agg(F.min("seq").alias("probe")).select("video_id", "probe", F.col("ts").alias("t"))
+    """Query times (video_id, probe, t), each once, `probe` the lowest seq that gives it."""
+    return marks(evidence).groupBy("video_id", "t").agg(F.min("probe").alias("probe")).select("video_id", "probe", "t")
+
 
+_SPANS = "kind in ('transcript', 'cursor_track')"
+_WITHIN = f"named_struct({', '.join(f"'{c}', {c}" for c in _KEEP)})"
+# What a window holds of each kind: the nearest row, or all rows in order.
+_HELD = {
+    "frame": ("near", "kind = 'frame'", "named_struct('ts', ts, 'ref', ref)"), "_p": ("near", "kind = 'pointer'", _WITHIN),
+    "_v": ("near", f"kind = 'vision' and source <> '{NATIVE}'", _WITHIN), "_n": ("near", f"kind = 'vision' and source = '{NATIVE}'", _WITHIN),
+    "_said": ("all", "kind = 'transcript'", "named_struct('ts', ts, 'seq', seq, 'ref', ref, 'confidence', confidence)"),
+    "_ptr": ("all", "kind = 'pointer'", "named_struct('ts', ts, 'seq', seq, 'ref', ref, 'confidence', confidence, 'status', status, 'x', x, 'y', y, 'frame_width', frame_width, 'frame_height', frame_height)"),
+    "_chg": ("all", "kind = 'visual_change' and coalesce(status, '') <> 'unavailable'", "named_struct('ts', ts, 'seq', seq, 'ref', ref, 'confidence', confidence, 'end_ts', end_ts, 'source', source)"),
+    "_mov": ("all", "kind = 'cursor_track'", "named_struct('ts', ts, 'end_ts', end_ts, 'seq', seq, 'ref', ref, 'confidence', confidence, 'source', source)"),
+}
 
-def around(times: DataFrame, evidence: DataFrame, tol: float) -> DataFrame:
-    """(video_id, probe, t, rows): all stream rows of each window: points within tol, speech that overlaps it strictly,
-    movement segments that touch it. A window without any row is not there."""
-    s = streams(evidence)
-    item = F.struct(*_KEEP).alias("e")
-    win = times.withColumn("lo", F.col("t") - tol).withColumn("hi", F.col("t") + tol)
-    spans = s.where("kind in ('transcript', 'cursor_track')").withColumn("_e", F.coalesce("end_ts", "ts"))
-    width = max(2 * tol, 1.0)
-    points = band_join(times, s.where("kind not in ('transcript', 'cursor_track')"), tol)
-    said = interval_join(win, spans.where("kind = 'transcript'"), width, start="ts", end="_e", strict=True)
-    moved = interval_join(win, spans.where("kind = 'cursor_track'"), width, start="ts", end="_e")
-    every = points.select("video_id", "probe", "t", item).unionAll(said.select("video_id", "probe", "t", item)).unionAll(moved.select("video_id", "probe", "t", item))
-    return every.groupBy("video_id", "probe", "t").agg(F.collect_list("e").alias("rows"))
 
+def held(evidence: DataFrame, tol: float, times: DataFrame | None = None) -> DataFrame:
+    """One row per query time (video_id, probe, t) with what its window holds (_HELD): points within tol, speech that overlaps
+    it strictly, movement segments that touch it. Equal times of a video are one, given times stay as they are.
 
-def _sorted(cond: str, by: str = "e.ts as a, e.seq as b") -> Column:
-    return F.expr(f"transform(array_sort(transform(filter(rows, e -> {cond}), e -> struct({by}, e as e))), x -> x.e)")
+    Points are spans of length zero: one join on (video, level, bucket) meets every kind, one aggregation by window takes the
+    nearest rows and the lists. Windows without any row stay. A row falls into few buckets (its level follows its length), so
+    neither a long video nor a long span gathers in one task."""
+    from .temporal import posted
 
+    s = streams(evidence).withColumn("_s", F.col("ts")).withColumn("_e", F.expr(f"if({_SPANS}, coalesce(end_ts, ts), ts)"))
+    width = float(max(2 * tol, 1.0))
+    items = posted(s, "_s", "_e", width).withColumnRenamed("_first", "_s0").withColumnsRenamed({"video_id": "_video", "_l": "_il", "_b": "_ib"})
+    pad = f"({tol * 1e-9 + 1e-9!r}D + abs(t) * 1e-14D)"  # buckets cover what rounding of t +- tol would lose; the predicate decides
+    own = marks(evidence) if times is None else times.select("video_id", "probe", "t")
+    w = posted(own.withColumn("_lo", F.expr(f"t - {tol!r}D - {pad}")).withColumn("_hi", F.expr(f"t + {tol!r}D + {pad}")), "_lo", "_hi", width, every=True).drop("_lo", "_hi")
+    w = w.repartition("video_id", "_l", "_b")
+    w = w.groupBy("video_id", "_l", "_b", "t", "_first").agg(F.min("probe").alias("probe")) if times is None else w
+    meet = f"case kind when 'transcript' then ts < t + {tol!r}D and _e > t - {tol!r}D when 'cursor_track' then ts <= t + {tol!r}D and _e >= t - {tol!r}D else abs(ts - t) <= {tol!r}D end"
+    on = (F.col("video_id") == F.col("_video")) & (F.col("_l") == F.col("_il")) & (F.col("_b") == F.col("_ib")) & (F.col("_b") == F.greatest("_s0", "_first")) & F.expr(meet)
+    met = w.join(items, on, "left")
+    near = "min_by({what}, named_struct('d', abs(ts - t), 'ts', ts, 'seq', seq)) filter (where {cond}) as {name}"
+    every = "array_sort(collect_list({what}) filter (where {cond})) as {name}"
+    found = [F.expr((near if how == "near" else every).format(what=what, cond=cond, name=name)) for name, (how, cond, what) in _HELD.items()]
+    return met.groupBy("video_id", "probe", "t").agg(*found)
 
-def _nearest(cond: str) -> Column:
-    return F.expr(f"array_min(transform(filter(rows, e -> {cond}), e -> struct(abs(e.ts - t) as d, e.ts as a, e.seq as b, e as e))).e")
 
+_NONE = "cast(null as double)"
+_PLACE = "concat('x=', cast({0}.x as string), ', y=', cast({0}.y as string))"
 
-def _ev(ts, kind: str, ref, confidence=None, end=None, source="") -> Column:
-    none = F.lit(None).cast("double")
-    source = F.lit(source) if isinstance(source, str) else source
-    return F.struct(ts.alias("timestamp_sec"), F.lit(kind).alias("kind"), ref.alias("ref"), (none if confidence is None else confidence).alias("confidence"),
-                    (none if end is None else end).alias("timestamp_end_sec"), source.alias("source")).cast(EVIDENCE)
 
+def _ev(ts: str, kind: str, ref: str, confidence: str = _NONE, end: str = _NONE, source: str = "''") -> str:
+    """One piece of evidence, as SQL."""
+    return f"named_struct('timestamp_sec', {ts}, 'kind', '{kind}', 'ref', {ref}, 'confidence', {confidence}, 'timestamp_end_sec', {end}, 'source', {source})"
 
-def _some(condition: Column, item: Column, kind: str) -> Column:
-    return F.when(condition, item).otherwise(F.expr(f"cast(array() as array<{kind}>)"))
 
+def _some(condition: str, item: str, kind: str) -> str:
+    return f"if({condition}, cast({item} as array<{kind}>), cast(array() as array<{kind}>))"
 
-def _seen(v: str, source: str) -> Column:
+
+def _seen(v: str, source: str) -> str:
     """A vision answer as evidence: its description, then its elements."""
-    v = F.col(v)
-    said = F.coalesce(F.nullif(v.ref, F.lit("")), F.lit("(no description)"))
-    parts = F.coalesce(F.transform(v.elements, lambda e: _ev(v.ts, "vision", F.concat(e.kind, F.lit(": "), e.description), v.confidence, None, source)), F.expr(f"cast(array() as array<{EVIDENCE}>)"))
-    return F.concat(F.array(_ev(v.ts, "vision", said, v.confidence, None, source)), parts)
+    said = _ev(f"{v}.ts", "vision", f"coalesce(nullif({v}.ref, ''), '(no description)')", f"{v}.confidence", source=source)
+    part = _ev(f"{v}.ts", "vision", "concat(e.kind, ': ', e.description)", f"{v}.confidence", source=source)
+    return f"concat(cast(array({said}) as array<{EVIDENCE}>), coalesce(cast(transform({v}.elements, e -> {part}) as array<{EVIDENCE}>), cast(array() as array<{EVIDENCE}>)))"
 
 
 def observe(evidence: DataFrame, tol: float = 1.0, configured: tuple[str, ...] = (), times: DataFrame | None = None) -> DataFrame:
@@ -107,68 +124,51 @@ def observe(evidence: DataFrame, tol: float = 1.0, configured: tuple[str, ...] =
         raise ValueError(f"tolerance must be positive, not {tol}")
     if set(configured) - set(OPTIONAL):
         raise ValueError(f"unknown streams: {sorted(set(configured) - set(OPTIONAL))}")
-    times = windows(evidence) if times is None else times.select("video_id", "probe", "t")
-    df = times.join(around(times, evidence, tol).drop("t"), ["video_id", "probe"], "left")
-    df = df.withColumns({
-        "frame": _nearest("e.kind = 'frame'"), "_p": _nearest("e.kind = 'pointer'"), "_v": _nearest(f"e.kind = 'vision' and e.source <> '{NATIVE}'"), "_n": _nearest(f"e.kind = 'vision' and e.source = '{NATIVE}'"),
-        "_said": _sorted("e.kind = 'transcript'"), "_ptr": _sorted("e.kind = 'pointer'"), "_chg": _sorted("e.kind = 'visual_change' and coalesce(e.status, '') <> 'unavailable'"),
-        "_mov": _sorted("e.kind = 'cursor_track'", "e.ts as a, e.end_ts as b, e.seq as c"),
-    }).drop("rows")
-    at = F.coalesce(F.col("_p.status") != "not_detected", F.lit(False))
-    see, native = usable("_v.status"), usable("_n.status")
-    has = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
-    place = lambda p: F.concat(F.lit("x="), p.x.cast("string"), F.lit(", y="), p.y.cast("string"))
-    p, v = F.col("_p"), F.col("_v")
-    ref = F.coalesce(F.concat(place(p), F.lit(" (status="), p.status, F.lit(")")), p.ref)
-    as_said = lambda e: _ev(e.ts, "transcript", e.ref, e.confidence)
-    measured = lambda kind: lambda e: _ev(e.ts, kind, e.ref, e.confidence, e.end_ts, e.source)
-    observed = F.concat(
-        _some(F.col("frame").isNotNull(), F.array(_ev(F.col("frame.ts"), "frame", F.col("frame.ref"))), EVIDENCE), _some(has("_said"), F.transform("_said", as_said), EVIDENCE),
-        _some(at, F.array(_ev(p.ts, "pointer", ref, p.confidence)), EVIDENCE), _some(see, _seen("_v", ""), EVIDENCE), _some(native, _seen("_n", NATIVE), EVIDENCE),
-        _some(has("_chg"), F.transform("_chg", measured("visual_change")), EVIDENCE), _some(has("_mov"), F.transform("_mov", measured("cursor_track")), EVIDENCE),
+    tol = float(tol)
+    df = held(evidence, tol, times)
+    df = df.selectExpr(
+        "*", "coalesce(_p.status <> 'not_detected', false) as _at", "coalesce(_v.status in ('ok', 'low_information'), false) as _see", "coalesce(_n.status in ('ok', 'low_information'), false) as _native",
+        "coalesce(size(_said) > 0, false) as _spoken", "case when _v.status = 'ok' then filter(_v.elements, x -> x.region is not null) end as _loc",
+        "case when _p.frame_width > 0 then _p.x / _p.frame_width end as _nx", "case when _p.frame_height > 0 then _p.y / _p.frame_height end as _ny",
+        "filter(transform(_ptr, (x, i) -> if(x.status = 'detected', i, null)), i -> i is not null) as _hit",
     )
-    missing = [("frame", F.col("frame").isNull()), ("transcript", ~has("_said")), ("pointer", ~at), ("vision", ~see & ~native)]
-    missing += [(s, ~F.lit(s in configured) | ok) for s, ok in (("video_understanding", native), ("visual_change", has("_chg")), ("cursor_track", has("_mov")))]
-    gone = [F.when(~c if s in OPTIONAL else c, F.lit(s)) for s, c in missing]
-    df = df.withColumns({"observed": observed, "unavailable": F.filter(F.array(*gone), lambda x: x.isNotNull())})
-
-    # the pointer against what vision located
+    # the pointer against what vision located; and from its first to its last detection
+    df = df.selectExpr(
+        "*", "get(filter(_loc, x -> _nx between x.region.x1 and x.region.x2 and _ny between x.region.y1 and x.region.y2), 0) as _in", "coalesce(size(_loc) > 0, false) as _located",
+        "case when size(_hit) >= 2 then slice(_ptr, get(_hit, 0) + 1, get(_hit, size(_hit) - 1) - get(_hit, 0) + 1) end as _run",
+    )
+    end = lambda i, c, s: f"get(_run, {i}).{c} / if(get(_run, {i}).{s} > 0, get(_run, {i}).{s}, null)"
+    axis = lambda c, s: f"pow({end('size(_run) - 1', c, s)} - {end('0', c, s)}, 2)"
+    df = df.selectExpr("*", "_located and _at and _nx is not null and _ny is not null as _known", f"sqrt({axis('x', 'frame_width')} + {axis('y', 'frame_height')}) as _way")
     df = df.withColumns({
-        "_loc": F.when(F.col("_v.status") == "ok", F.expr("filter(_v.elements, x -> x.region is not null)")),
-        "_nx": F.expr("case when _p.frame_width > 0 then _p.x / _p.frame_width end"), "_ny": F.expr("case when _p.frame_height > 0 then _p.y / _p.frame_height end"),
-        "_hit": F.expr("filter(transform(_ptr, (x, i) -> if(x.status = 'detected', i, null)), i -> i is not null)"),
+        "_moving": F.expr(f"_spoken and coalesce(forall(_run, x -> x.status = 'detected'), false) and coalesce(_way > {MOTION_THRESHOLD}, false)"),
+        "_sure": py_round(F.expr("_p.confidence * _v.confidence"), 4), "_part": py_round(F.expr("size(_run) / size(_ptr)"), 4), "_x3": fixed("_nx", 3), "_y3": fixed("_ny", 3), "_way3": fixed("_way", 3),
     })
-    df = df.withColumn("_in", F.expr("get(filter(_loc, x -> _nx between x.region.x1 and x.region.x2 and _ny between x.region.y1 and x.region.y2), 0)"))
-    located = has("_loc")
-    known = located & at & F.col("_nx").isNotNull() & F.col("_ny").isNotNull()
-    el = F.col("_in")
-    within = F.struct(
-        F.concat(F.lit("The pointer lay inside the region that vision located as '"), el.description, F.lit("' ("), el.kind, F.lit("). That supports, without proving it, that this element was referred to or used.")).alias("text"),
-        F.array(_ev(p.ts, "pointer", place(p), p.confidence), _ev(v.ts, "vision", F.concat(el.kind, F.lit(": "), el.description), v.confidence)).alias("supporting_evidence"),
-        py_round(p.confidence * v.confidence, 4).alias("confidence"), F.lit(IN_REGION).alias("basis"),
-    ).cast(INFERENCE)
-    outside = F.concat(F.lit("pointer position ("), fixed("_nx", 3), F.lit(", "), fixed("_ny", 3), F.lit(") is in none of the "), F.size("_loc").cast("string"), F.lit(" located region(s)"))
-    alone = F.lit("vision located element(s), but no pointer evidence of this window confirms any use of them")
-    notes = F.array(F.when(known & el.isNull(), outside), F.when(located & ~at, alone))
-    df = df.withColumn("disagreements", F.filter(notes, lambda x: x.isNotNull()))
-
-    # speech while the pointer, detected without a break between its first and last detection, moved
-    df = df.withColumn("_run", F.expr("case when size(_hit) >= 2 then slice(_ptr, get(_hit, 0) + 1, get(_hit, size(_hit) - 1) - get(_hit, 0) + 1) end")).withColumn("_a", F.expr("get(_run, 0)")).withColumn("_z", F.expr("get(_run, size(_run) - 1)"))
-    axis = lambda c, s: f"_z.{c} / nullif(if(_z.{s} > 0, _z.{s}, null), 0) - _a.{c} / nullif(if(_a.{s} > 0, _a.{s}, null), 0)"
-    df = df.withColumn("_way", F.expr(f"sqrt(pow({axis('x', 'frame_width')}, 2) + pow({axis('y', 'frame_height')}, 2))"))
-    moving = has("_said") & F.coalesce(F.expr("forall(_run, x -> x.status = 'detected')"), F.lit(False)) & F.coalesce(F.col("_way") > MOTION_THRESHOLD, F.lit(False))
-    motion = F.struct(
-        F.concat(F.lit("There was speech while the pointer moved across the frame (normalized displacement "), fixed("_way", 3), F.lit(").")).alias("text"),
-        F.concat(F.transform("_said", as_said), F.transform("_run", lambda e: _ev(e.ts, "pointer", place(e), e.confidence))).alias("supporting_evidence"),
-        py_round(F.size("_run") / F.size("_ptr"), 4).alias("confidence"), F.lit(MOTION).alias("basis"),
-    ).cast(INFERENCE)
-    df = df.withColumn("inferences", F.concat(_some(known & el.isNotNull(), F.array(within), INFERENCE), _some(moving, F.array(motion), INFERENCE)))
-
-    first = F.expr("get(filter(observed, x -> x.kind = 'vision'), 0).ref")
-    out = df.select(
-        "video_id", "probe", "t", F.lit(float(tol)).alias("tolerance_sec"), "observed", "inferences", "disagreements", "unavailable", F.col("frame.ref").alias("frame_path"),
-        F.when(has("_said"), F.nullif(F.array_join(F.transform("_said", lambda e: e.ref), " "), F.lit(""))).alias("transcript_context"), F.coalesce(first, F.lit("")).alias("description"),
-        F.when(at, p).alias("pointer"), F.when(see, v).when(native, F.col("_n")).alias("vision"),
+    said, moved = f"transform(_said, e -> {_ev('e.ts', 'transcript', 'e.ref', 'e.confidence')})", f"transform(_run, e -> {_ev('e.ts', 'pointer', _PLACE.format('e'), 'e.confidence')})"
+    measured = lambda kind: _ev("e.ts", kind, "e.ref", "e.confidence", "e.end_ts", "e.source")
+    pointed = _ev("_p.ts", "pointer", f"coalesce(concat({_PLACE.format('_p')}, ' (status=', _p.status, ')'), _p.ref)", "_p.confidence")
+    observed = [
+        _some("frame is not null", f"array({_ev('frame.ts', 'frame', 'frame.ref')})", EVIDENCE), _some("_spoken", said, EVIDENCE), _some("_at", f"array({pointed})", EVIDENCE), _some("_see", _seen("_v", "''"), EVIDENCE),
+        _some("_native", _seen("_n", f"'{NATIVE}'"), EVIDENCE), _some("size(_chg) > 0", f"transform(_chg, e -> {measured('visual_change')})", EVIDENCE), _some("size(_mov) > 0", f"transform(_mov, e -> {measured('cursor_track')})", EVIDENCE),
+    ]
+    there = [("frame", "frame is not null"), ("transcript", "_spoken"), ("pointer", "_at"), ("vision", "_see or _native")]
+    there += [(s, ok) for s, ok in (("video_understanding", "_native"), ("visual_change", "size(_chg) > 0"), ("cursor_track", "size(_mov) > 0")) if s in configured]
+    missing = ", ".join(f"if({ok}, null, '{s}')" for s, ok in there)
+    inside = "concat('The pointer lay inside the region that vision located as ''', _in.description, ''' (', _in.kind, '). That supports, without proving it, that this element was referred to or used.')"
+    cited = f"array({_ev('_p.ts', 'pointer', _PLACE.format('_p'), '_p.confidence')}, {_ev('_v.ts', 'vision', "concat(_in.kind, ': ', _in.description)", '_v.confidence')})"
+    within = f"named_struct('text', {inside}, 'supporting_evidence', {cited}, 'confidence', _sure, 'basis', '{IN_REGION}')"
+    while_said = "concat('There was speech while the pointer moved across the frame (normalized displacement ', _way3, ').')"
+    motion = f"named_struct('text', {while_said}, 'supporting_evidence', concat(cast({said} as array<{EVIDENCE}>), cast({moved} as array<{EVIDENCE}>)), 'confidence', _part, 'basis', '{MOTION}')"
+    outside = "if(_known and _in is null, concat('pointer position (', _x3, ', ', _y3, ') is in none of the ', cast(size(_loc) as string), ' located region(s)'), null)"
+    alone = "if(_located and not _at, 'vision located element(s), but no pointer evidence of this window confirms any use of them', null)"
+    df = df.selectExpr(
+        "*", f"concat({', '.join(observed)}) as observed", f"concat({_some('_known and _in is not null', f'array({within})', INFERENCE)}, {_some('_moving', f'array({motion})', INFERENCE)}) as inferences",
+        f"array_compact(array({outside}, {alone})) as disagreements", f"array_compact(array({missing})) as unavailable",
+    )
+    out = df.selectExpr(
+        "video_id", "probe", "t", f"{tol!r}D as tolerance_sec", "observed", "inferences", "disagreements", "unavailable", "frame.ref as frame_path",
+        "if(_spoken, nullif(array_join(transform(_said, e -> e.ref), ' '), ''), null) as transcript_context", "coalesce(get(filter(observed, x -> x.kind = 'vision'), 0).ref, '') as description",
+        "if(_at, _p, null) as pointer", "case when _see then _v when _native then _n end as vision",
     )
     return settled(out)
 

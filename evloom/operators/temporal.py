@@ -34,16 +34,22 @@ def interval_join(
     Spans go to buckets of `width` * 16^level, the level by their own length, so none falls into
     more than about 17; a pair is kept only in the first bucket that both touch.
     """
-    level = f"cast(least({_LEVELS - 1}, greatest(0, ceil(log(16, greatest(({end} - {start}) / {16 * width!r}D, 1.0D))))) as int)"
-    s = spans.where(f"{start} <= {end}").withColumn("_l", F.expr(level)).withColumn("_w", F.expr(f"{width!r}D * pow(16, _l)"))
-    s = s.withColumn("_s0", F.expr(f"cast(floor({start} / _w) as bigint)")).withColumn("_b", F.explode(F.expr(f"sequence(_s0, cast(floor({end} / _w) as bigint))"))).drop("_w")
-    w = windows.where(f"{lo} <= {hi}").withColumn("_l", F.explode(F.expr(f"sequence(0, {_LEVELS - 1})"))).withColumn("_w", F.expr(f"{width!r}D * pow(16, _l)"))
-    w = w.withColumn("_w0", F.expr(f"cast(floor({lo} / _w) as bigint)")).withColumn("_b", F.explode(F.expr(f"sequence(_w0, cast(floor({hi} / _w) as bigint))"))).drop("_w")
+    s = posted(spans, start, end, width).withColumnRenamed("_first", "_s0")
+    w = posted(windows, lo, hi, width, every=True).withColumnRenamed("_first", "_w0")
     a, b = F.col(start), F.col(end)
     meet = ((a < F.col(hi)) & (b > F.col(lo))) if strict else ((a <= F.col(hi)) & (b >= F.col(lo)))
     return w.join(s, [*on, "_l", "_b"]).where((F.col("_b") == F.greatest("_s0", "_w0")) & meet).drop("_l", "_b", "_s0", "_w0")
 
 
+def posted(spans: DataFrame, start: str, end: str, width: float, every: bool = False) -> DataFrame:
+    """Spans (start <= end, others go) under the buckets that they touch: _l (level), _b (bucket of width * 16^level), _first (the
+    first bucket of the span). A span goes to the level of its own length; with `every` it goes to all levels."""
+    level = f"cast(least({_LEVELS - 1}, greatest(0, ceil(log(16, greatest(({end} - {start}) / {16 * width!r}D, 1.0D))))) as int)"
+    levels = F.explode(F.expr(f"sequence(0, {_LEVELS - 1})")) if every else F.expr(level)
+    s = spans.where(f"{start} <= {end}").withColumn("_l", levels).withColumn("_w", F.expr(f"{width!r}D * pow(16, _l)"))
+    return s.withColumn("_first", F.expr(f"cast(floor({start} / _w) as bigint)")).withColumn("_b", F.explode(F.expr(f"sequence(_first, cast(floor({end} / _w) as bigint))"))).drop("_w")
+
+
 def nearest(probes: DataFrame, points: DataFrame, tol: float, keys: tuple[str, ...], payload: tuple[str, ...], t: str = "t", ts: str = "ts", seq: str = "seq", on=("video_id",), later: bool = False) -> DataFrame:
     """Left: each probe (unique by `keys`) with the payload struct `near` of the nearest point, or null.
 
