@@ -31,9 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors. `few` is for rows of
+    ids and numbers, not of texts: at most four files a core, however many partitions they are dealt over."""
     spark = df.sparkSession
+    df = df.coalesce(4 * spark.sparkContext.defaultParallelism) if few else df
     path = f"{shared_dir(spark)}/evloom/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
     df.write.parquet(path)
@@ -49,6 +51,16 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def alone(make, name: str) -> DataFrame:
+    """written(make(), name); the tables that were written on the way are deleted."""
+    at = len(_WRITTEN)
+    out = written(make(), name)
+    for path in _WRITTEN[at:-1]:
+        _delete(out.sparkSession, path)
+    del _WRITTEN[at:-1]
+    return out
+
+
 def clean(spark: SparkSession) -> None:
     """Delete all intermediates that this driver has written: for sessions that have used their results."""
     while _WRITTEN:
