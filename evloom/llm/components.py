@@ -64,7 +64,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     ship(spark)
     e = edges.toDF("a", "b").where("a is not null and b is not null and a <> b")
-    e = written(e.mapInArrow(_shrink, "a long, b long").distinct(), "edges")
+    e = written(e.mapInArrow(_shrink, "a long, b long").distinct(), "edges", few=True)
     seen = None
     for _ in range(most_rounds):
         sym = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -81,7 +81,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .distinct()
             .toDF("a", "b")
         )
-        new = written(small, "edges")
+        new = written(small, "edges", few=True)
         row = new.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(a, b) as decimal(20,0))"))).first()
         discard(e)
         e = new

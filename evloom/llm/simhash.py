@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evloom.session import discard, ship, sliced, written
+from evloom.session import alone, discard, ship, sliced, written
 
 from .components import connected_components, forest
 from .suffix_dedup import keyed
@@ -150,7 +150,7 @@ def _lists(bits: int):
 def near_components(prints: DataFrame, bits: int = 4, split: int = 50_000) -> DataFrame:
     """prints (doc_id, fp) -> (fp, root, component_id): one row per distinct fingerprint."""
     spark = prints.sparkSession
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps", few=True)
     posts = []
     for i, t in enumerate(triples()):
         key = " | ".join(f"shiftleft(shiftrightunsigned(fp, {8 * p}) & 255, {8 * j})" for j, p in enumerate(t))
@@ -169,7 +169,7 @@ def near_components(prints: DataFrame, bits: int = 4, split: int = 50_000) -> Da
     comp = connected_components(edges)
     # each node, with its root, or alone; then the smallest doc_id of every component
     joined = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    joined = written(joined, "roots")
+    joined = written(joined, "roots", few=True)
     best = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     return joined.join(best, "root").select("fp", "root", "component_id")
 
@@ -367,7 +367,7 @@ def _likely(least: float):
 def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a sample shows often, sorted, and how often: they go last in prefixes, so lists stay short. Any order gives the same links."""
     n = docs.count()
-    some = docs if n <= SAMPLE else docs.where(F.pmod(F.xxhash64("_k", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / n))
+    some = docs if n <= SAMPLE else docs.where(F.pmod(F.xxhash64("_k", F.lit(5)), F.lit(2**62)) < 2**62 * SAMPLE // n)
     seen = some.select("_k", "text").mapInArrow(_shingle_sets(words), SETS).select(F.explode("s").alias("h")).groupBy("h").count()
     got = seen.where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toPandas()  # at most COMMON rows
     h, c = got["h"].to_numpy(np.int64).view(np.uint64), got["count"].to_numpy(np.int64)
@@ -391,16 +391,16 @@ def _verified(found: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, l
     """Pairs of nodes -> those whose sets have a Jaccard similarity of `least` or more. Only texts of candidates are read again, and
     only what passes a wide sketch (of about half a bit per byte of text) meets as whole sets."""
     wanted = found.select(F.col("a").alias("node")).unionAll(found.select("b")).distinct()
-    leads = written(nodes.join(wanted, "node").select("least", "node"), "wanted")
+    leads = written(nodes.join(wanted, "node").select("least", "node"), "wanted", few=True)
     texts = docs.select("_k", "text").join(leads, F.col("_k") == F.col("least")).select("node", "text")
     whole = sets = written(texts.mapInArrow(_shingle_sets(words), SETS), "sets")
     side = lambda c, *cols: sets.select(F.col("node").alias(c), *[F.col(x).alias(x + c) for x in cols])
     likely = found.join(side("a", "n", "w"), "a").join(side("b", "n", "w"), "b").select("a", "b", "na", "wa", "nb", "wb")
-    likely = written(likely.mapInArrow(_likely(least), "a long, b long"), "likely")
-    ends = written(likely.select(F.col("a").alias("node")).unionAll(likely.select("b")).distinct(), "ends")
+    likely = written(likely.mapInArrow(_likely(least), "a long, b long"), "likely", few=True)
+    ends = written(likely.select(F.col("a").alias("node")).unionAll(likely.select("b")).distinct(), "ends", few=True)
     sets = sets.join(ends, "node", "left_semi")
     both = likely.join(side("a", "s"), "a").join(side("b", "s"), "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
-    near = written(both.where(F.col("n") >= F.lit(least) * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b"), "similar")
+    near = written(both.where(F.col("n") >= F.lit(least) * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b"), "similar", few=True)
     discard(whole)
     discard(leads)
     return near
@@ -421,13 +421,13 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, split: int
     prints = docs.select("_k", "text").mapInArrow(_wide_prints(sent, words, least), "doc_id long, fp long, node long, n int, sketch binary, first array<long>")
     prints = written(prints, "prints")
     comp = near_components(prints.select("doc_id", "fp"))
-    roots = written(prints.select("fp", "node").distinct().join(comp, "fp").select("node", "root").distinct(), "noderoots")
+    roots = written(prints.select("fp", "node").distinct().join(comp, "fp").select("node", "root").distinct(), "noderoots", few=True)
     first = roots.groupBy("root").agg(F.min("node").alias("m"))
     same = roots.join(first, "root").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
-    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes", few=True)
     leaders = prints.join(nodes.withColumnRenamed("node", "_node"), F.col("doc_id") == F.col("least"))
     posted = leaders.select("node", "n", F.posexplode("first").alias("pos", "unit")).select("unit", "node", "n", "pos")
-    lists = written(posted.repartition("unit").sortWithinPartitions("unit").mapInArrow(_shared, "unit long, node long, n int, pos int"), "lists")
+    lists = written(posted.repartition("unit").sortWithinPartitions("unit").mapInArrow(_shared, "unit long, node long, n int, pos int"), "lists", few=True)
     bits = written(leaders.select("node", "sketch").join(lists.select("node").distinct(), "node"), "sketches")
     groups = connected_components(same)
     for n in (stars, 0):
@@ -436,10 +436,10 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, split: int
             full = _cut(full, lists.groupBy("unit").count(), split, False)
         else:
             stats = full.groupBy("unit").agg(F.count("*").alias("count"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
-            stats = written(stats.where("_lo <> _hi").select("unit", "count"), "open")
+            stats = written(stats.where("_lo <> _hi").select("unit", "count"), "open", few=True)
             full = _cut(full.join(stats.select("unit"), "unit"), stats, split, True)
         full = full.join(bits, "node").select("unit", "node", "comp", "n", "pos", "sketch")
-        found = written(full.repartition("unit").sortWithinPartitions("unit").mapInArrow(_by_unit(_links(least, n)), "a long, b long").distinct(), "candidates")
+        found = written(full.repartition("unit").sortWithinPartitions("unit").mapInArrow(_by_unit(_links(least, n)), "a long, b long").distinct(), "candidates", few=True)
         groups = connected_components(_verified(found, docs, nodes, words, least).unionAll(groups.toDF("a", "b")))
     rich = nodes.join(groups.withColumnRenamed("root", "g"), "node", "left").select("node", "least", F.coalesce("g", "node").alias("g"))
     best = rich.groupBy("g").agg(F.min("least").alias("group"))
@@ -458,5 +458,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group (smallest doc_id, nulls last, then smallest text), with all its columns."""
     cols = docs.columns
     df = keyed(docs.select("doc_id", "text", F.struct(*cols).alias("_doc")), "doc_id", "text", ("_doc",))
-    copies = written(near_groups(df).where("_k <> group").select("_k"), "copies")  # fewer than the rest: the texts need not move
+    copies = alone(lambda: near_groups(df).where("_k <> group").select("_k").coalesce(4 * spark.sparkContext.defaultParallelism), "copies")  # fewer than the rest: the texts need not move
     return df.join(copies, "_k", "left_anti").select("_doc.*")
