@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evloom.llm import packing, quality_rules, simhash, suffix_dedup, toxicity
-from evloom.session import discard, written
+from evloom.session import alone, discard
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
@@ -29,12 +29,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_tokens, sequence_id, offset).
 
     Rows with a null or repeated doc_id are documents of their own and keep their id; null texts are empty; an empty table
-    gives an empty result; further columns of the table travel along up to the last stage. A stage's table is deleted once
-    the next one is written."""
+    gives an empty result; further columns of the table travel along up to the last stage. The tables of a
+    stage are deleted once its result is written, and that once the next one is; the last result is a written table too."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        before, docs = docs, stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs, f"pipeline-{name}")
-            discard(before)
+    for name, stage in STAGES:
+        before, docs = docs, alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return docs
