@@ -73,14 +73,17 @@ def measured_motion(evidence: DataFrame, config: Config = Config()) -> DataFrame
 
 def run_streams(evidence: DataFrame, config: Config = Config()) -> DataFrame:
     """The stream rows that a configuration lets in: what is off is left out, and cursor movement is measured from the
-    pointer rows where it was asked for and not handed in."""
+    pointer rows where it was asked for, in videos that come without any."""
     s = correlate.streams(evidence)
     native = F.coalesce(F.col("source") == correlate.NATIVE, F.lit(False)) & (F.col("kind") == "vision")
     off = [~native if not config.video_understanding else None, (F.col("kind") != "vision") | native if not config.vision_enabled else None]
     off += [F.col("kind") != kind if not on else None for kind, on in (("pointer", config.pointer_enabled), ("visual_change", config.visual_change_enabled), ("cursor_track", config.cursor_intelligence_enabled))]
     for keep in off:
         s = s if keep is None else s.where(keep)
-    return s
+    if not config.cursor_intelligence_enabled:
+        return s
+    given = s.where("kind = 'cursor_track'").select("video_id").distinct()
+    return s.unionByName(correlate.streams(measured_motion(s, config)).join(given, "video_id", "left_anti"))
 
 
 def analyze(evidence: DataFrame, config: Config = Config()) -> dict[str, DataFrame]:
@@ -90,10 +93,11 @@ def analyze(evidence: DataFrame, config: Config = Config()) -> dict[str, DataFra
     return {"structured": structured, "evidence": correlate.flattened(structured), "visual_changes": correlate.change_stream(streams)}
 
 
-def process(videos: DataFrame, segments: DataFrame, evidence: DataFrame, config: Config = Config(), answers: DataFrame | None = None, transcripts: DataFrame | None = None) -> dict[str, DataFrame]:
+def process(videos: DataFrame, segments: DataFrame, evidence: DataFrame, config: Config = Config(), answers: DataFrame | None = None, transcripts: DataFrame | None = None, images: DataFrame | None = None) -> dict[str, DataFrame]:
     """From evidence to knowledge: structured observations, brief items, prompts, checked package rows and, if asked for,
     sessions. `answers` (video_id, answer, error) are a synthesizer's to the prompts; without them packages say that no
-    synthesis was run. `transcripts`: (video_id, transcript_status)."""
+    synthesis was run. `transcripts`: (video_id, transcript_status). `images` (pixels.image_facts): what is known of the
+    frames' files; with it packages show the frames that they rest on, and `bundle` names the files to copy."""
     out = analyze(evidence, config)
     out["structured"] = written(out["structured"], "structured")  # every part below reads it
     out["evidence"] = correlate.flattened(out["structured"])
@@ -103,6 +107,8 @@ def process(videos: DataFrame, segments: DataFrame, evidence: DataFrame, config:
     made = None if answers is None else synthesis.outputs(answers, brief, notes, videos)
     stream = out["visual_changes"] if config.visual_change_enabled else None
     rows = package.assemble(videos, segments, out["structured"], config.generated_at, stream, made, transcripts)
+    if images is not None:
+        rows, out["bundle"] = package.illustrated(rows, brief.where("kind = 'frame'"), images, correlate.descriptions(out["structured"]), config.max_visual_evidence)
     out |= {"brief": brief, "prompts": package.prompt(brief, notes, synthesis.missing_streams(out["structured"]), videos), "packages": package.checked(rows)}
     if config.session:
         out["sessions"] = session_store.build_sessions(videos, out["structured"], out["visual_changes"], segments, config.generated_at, config.facts(), transcripts=transcripts)

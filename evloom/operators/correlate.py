@@ -97,7 +97,7 @@ _NONE = "cast(null as double)"
 _PLACE = "concat('x=', cast({0}.x as string), ', y=', cast({0}.y as string))"
 
 
-def _ev(ts: str, kind: str, ref: str, confidence: str = _NONE, end: str = _NONE, source: str = "''") -> str:
+def piece(ts: str, kind: str, ref: str, confidence: str = _NONE, end: str = _NONE, source: str = "''") -> str:
     """One piece of evidence, as SQL."""
     return f"named_struct('timestamp_sec', {ts}, 'kind', '{kind}', 'ref', {ref}, 'confidence', {confidence}, 'timestamp_end_sec', {end}, 'source', {source})"
 
@@ -108,8 +108,8 @@ def _some(condition: str, item: str, kind: str) -> str:
 
 def _seen(v: str, source: str) -> str:
     """A vision answer as evidence: its description, then its elements."""
-    said = _ev(f"{v}.ts", "vision", f"coalesce(nullif({v}.ref, ''), '(no description)')", f"{v}.confidence", source=source)
-    part = _ev(f"{v}.ts", "vision", "concat(e.kind, ': ', e.description)", f"{v}.confidence", source=source)
+    said = piece(f"{v}.ts", "vision", f"coalesce(nullif({v}.ref, ''), '(no description)')", f"{v}.confidence", source=source)
+    part = piece(f"{v}.ts", "vision", "concat(e.kind, ': ', e.description)", f"{v}.confidence", source=source)
     return f"concat(cast(array({said}) as array<{EVIDENCE}>), coalesce(cast(transform({v}.elements, e -> {part}) as array<{EVIDENCE}>), cast(array() as array<{EVIDENCE}>)))"
 
 
@@ -144,18 +144,18 @@ def observe(evidence: DataFrame, tol: float = 1.0, configured: tuple[str, ...] =
         "_moving": F.expr(f"_spoken and coalesce(forall(_run, x -> x.status = 'detected'), false) and coalesce(_way > {MOTION_THRESHOLD}, false)"),
         "_sure": py_round(F.expr("_p.confidence * _v.confidence"), 4), "_part": py_round(F.expr("size(_run) / size(_ptr)"), 4), "_x3": fixed("_nx", 3), "_y3": fixed("_ny", 3), "_way3": fixed("_way", 3),
     })
-    said, moved = f"transform(_said, e -> {_ev('e.ts', 'transcript', 'e.ref', 'e.confidence')})", f"transform(_run, e -> {_ev('e.ts', 'pointer', _PLACE.format('e'), 'e.confidence')})"
-    measured = lambda kind: _ev("e.ts", kind, "e.ref", "e.confidence", "e.end_ts", "e.source")
-    pointed = _ev("_p.ts", "pointer", f"coalesce(concat({_PLACE.format('_p')}, ' (status=', _p.status, ')'), _p.ref)", "_p.confidence")
+    said, moved = f"transform(_said, e -> {piece('e.ts', 'transcript', 'e.ref', 'e.confidence')})", f"transform(_run, e -> {piece('e.ts', 'pointer', _PLACE.format('e'), 'e.confidence')})"
+    measured = lambda kind: piece("e.ts", kind, "e.ref", "e.confidence", "e.end_ts", "e.source")
+    pointed = piece("_p.ts", "pointer", f"coalesce(concat({_PLACE.format('_p')}, ' (status=', _p.status, ')'), _p.ref)", "_p.confidence")
     observed = [
-        _some("frame is not null", f"array({_ev('frame.ts', 'frame', 'frame.ref')})", EVIDENCE), _some("_spoken", said, EVIDENCE), _some("_at", f"array({pointed})", EVIDENCE), _some("_see", _seen("_v", "''"), EVIDENCE),
+        _some("frame is not null", f"array({piece('frame.ts', 'frame', 'frame.ref')})", EVIDENCE), _some("_spoken", said, EVIDENCE), _some("_at", f"array({pointed})", EVIDENCE), _some("_see", _seen("_v", "''"), EVIDENCE),
         _some("_native", _seen("_n", f"'{NATIVE}'"), EVIDENCE), _some("size(_chg) > 0", f"transform(_chg, e -> {measured('visual_change')})", EVIDENCE), _some("size(_mov) > 0", f"transform(_mov, e -> {measured('cursor_track')})", EVIDENCE),
     ]
     there = [("frame", "frame is not null"), ("transcript", "_spoken"), ("pointer", "_at"), ("vision", "_see or _native")]
     there += [(s, ok) for s, ok in (("video_understanding", "_native"), ("visual_change", "size(_chg) > 0"), ("cursor_track", "size(_mov) > 0")) if s in configured]
     missing = ", ".join(f"if({ok}, null, '{s}')" for s, ok in there)
     inside = "concat('The pointer lay inside the region that vision located as ''', _in.description, ''' (', _in.kind, '). That supports, without proving it, that this element was referred to or used.')"
-    cited = f"array({_ev('_p.ts', 'pointer', _PLACE.format('_p'), '_p.confidence')}, {_ev('_v.ts', 'vision', "concat(_in.kind, ': ', _in.description)", '_v.confidence')})"
+    cited = f"array({piece('_p.ts', 'pointer', _PLACE.format('_p'), '_p.confidence')}, {piece('_v.ts', 'vision', "concat(_in.kind, ': ', _in.description)", '_v.confidence')})"
     within = f"named_struct('text', {inside}, 'supporting_evidence', {cited}, 'confidence', _sure, 'basis', '{IN_REGION}')"
     while_said = "concat('There was speech while the pointer moved across the frame (normalized displacement ', _way3, ').')"
     motion = f"named_struct('text', {while_said}, 'supporting_evidence', concat(cast({said} as array<{EVIDENCE}>), cast({moved} as array<{EVIDENCE}>)), 'confidence', _part, 'basis', '{MOTION}')"

@@ -103,10 +103,12 @@ def check_threshold(threshold: float) -> None:
 
 
 def frame_changes(frames: DataFrame, above: float = PIXEL_DIFF, threshold: float = CHANGE_THRESHOLD) -> DataFrame:
-    """Each frame against the one before: magnitude (null: unavailable), status, confidence. Frames are taken in time
-    order; ordered.require_order rejects sequences that are not."""
+    """Each frame against the one before: magnitude (null: unavailable), status, confidence. A `seq` that runs against
+    the time is an error where it is read: a sequence is not sorted silently."""
     check_threshold(threshold)
-    df = placed(frames, ("ts", "px")).withColumnRenamed("before", "prev").where("prev is not null")
+    df = placed(frames, ("ts", "px", "seq")).withColumnRenamed("before", "prev").where("prev is not null")
+    late = F.raise_error(F.format_string("%s: frame %d follows frame %d", F.col("video_id"), F.col("seq"), F.col("prev.seq")))
+    df = df.withColumn("seq", F.when(F.col("seq") < F.col("prev.seq"), late.cast("long")).otherwise(F.col("seq")))
     ok = "px is not null and prev.px is not null and size(px) = size(prev.px)"
     df = df.withColumn("magnitude", F.expr(f"case when {ok} then {changed_share('px', 'prev.px', above)} end"))
     df = df.withColumn("status", F.expr(f"case when magnitude is null then 'unavailable' when magnitude >= {threshold!r}D then 'detected' else 'not_detected' end"))

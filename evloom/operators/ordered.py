@@ -37,6 +37,33 @@ def running(df: DataFrame, value: str, name: str, per: tuple[str, ...] = ("video
     return df.withColumn("_r", F.sum(value).over(w)).join(edge, key).withColumn(name, F.col("_r") + F.col("_o")).drop("_b", "_r", "_o")
 
 
+def latest(df: DataFrame, value: str, name: str, per: tuple[str, ...] = ("video_id",), order: tuple[str, ...] = ("ts", "seq"), width: float = WIDTH) -> DataFrame:
+    """df with `name`: the last value that is not null up to this row, however far back: carried inside blocks, and from
+    block to block by one row each."""
+    df = _blocked(df, order[0], width)
+    key = [*per, "_b"]
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    past = Window.partitionBy(*per).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    edge = df.groupBy(*key).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_l")).select(*key, F.last("_l", True).over(past).alias("_o"))
+    return df.withColumn("_r", F.last(value, True).over(w)).join(edge, key).withColumn(name, F.coalesce("_r", "_o")).drop("_b", "_r", "_o")
+
+
+def haloed(df: DataFrame, after: bool = False, per: str = "video_id", order: tuple[str, ...] = ("ts", "seq"), width: float = WIDTH) -> DataFrame:
+    """df dealt by blocks of the time axis and sorted inside them, each block with the last row of the block before it
+    (`_side` -1) and, with `after`, the first row of the next one (`_side` 1): what a block needs to see all neighbours of its
+    own rows (`_side` 0). Only the rows at the borders travel twice; where they lie is known from `per` and `order` alone."""
+    df = _blocked(df, order[0], width)
+    at = F.struct(*order)
+    edge = df.groupBy(per, "_b").agg(F.min(at).alias("_f"), F.max(at).alias("_l"))
+    v = Window.partitionBy(per).orderBy("_b")
+    edge = edge.withColumn("_next", F.lead("_b").over(v)).withColumn("_past", F.lag("_b").over(v))
+    send = edge.where("_next is not null").select(per, "_l.*", F.col("_next").alias("_to"), F.lit(-1).alias("_side"))
+    if after:
+        send = send.unionByName(edge.where("_past is not null").select(per, "_f.*", F.col("_past").alias("_to"), F.lit(1).alias("_side")))
+    halo = df.drop("_b").join(send.withColumnRenamed("_to", "_b"), [per, *order])
+    return df.withColumn("_side", F.lit(0)).unionByName(halo).repartition(per, "_b").sortWithinPartitions(per, "_b", *order)
+
+
 def require_order(df: DataFrame, per: tuple[str, ...] = ("video_id",), at: str = "ts", seq: str = "seq") -> DataFrame:
     """df as it is; reading it fails where a time lies before that of the row with the next lower `seq`: measurements
     over given sequences must not be re-sorted silently."""

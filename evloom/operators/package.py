@@ -90,7 +90,7 @@ def assemble(
     if "confidence" not in said.columns:
         said = said.withColumn("confidence", F.lit(None).cast("double"))
     topics = _listed(knowledge.topics(said, ("video_id",), order="seg_no"), F.col("topic"), "topics", "pos")
-    quote = F.array(correlate._ev(F.col("start_sec"), "transcript", F.col("text"), F.col("said_confidence")))
+    quote = F.expr(f"array({correlate.piece('start_sec', 'transcript', 'text', 'said_confidence')})").cast(f"array<{EVIDENCE}>")
     lesson = knowledge.lessons(said, cues).withColumn("nature", F.lit("observed"))
     lessons = _listed(lesson, _point("text", F.col("kind"), F.col("start_sec"), quote, F.col("confidence"), "observed"), "key_lessons", "pos")
     important = important_observations(correlate.inferences(structured))
@@ -175,7 +175,7 @@ def wants(packages: DataFrame, candidates: DataFrame) -> DataFrame:
     confidence, reason, order, and the claim that mentions it. Claims come by the frames they cite or the frames behind the
     vision they cite (never native vision); key points by the nearest frame, within half the usual gap of frames."""
     from .measure import anchor_tolerance
-    from .temporal import band_join
+    from .temporal import band_join, interval_join
 
     c = candidates.select("video_id", F.col("evidence_id").alias("frame_id"), F.col("ord").alias("frame_ord"), F.col("timestamp_sec").alias("frame_ts"), F.col("ref").alias("path"))
     claims = packages.select("video_id", F.posexplode("claims").alias("claim", "x")).select("video_id", "claim", F.col("x.confidence").alias("confidence"), F.posexplode("x.supporting_evidence").alias("pos", "e"))
@@ -184,9 +184,10 @@ def wants(packages: DataFrame, candidates: DataFrame) -> DataFrame:
     behind = band_join(own, c, VISION_EPSILON, ts="frame_ts").groupBy("video_id", "claim", "pos", "confidence").agg(F.min_by("frame_id", "frame_ord").alias("frame_id"), F.min_by("frame_ts", "frame_ord").alias("frame_ts"))
     cited = by_path.withColumn("reason", F.lit("cited by a verified claim")).unionByName(behind.withColumn("reason", F.lit("the frame behind vision that a verified claim cites")))
     points = packages.select("video_id", F.posexplode(F.concat("key_lessons", "important_observations")).alias("point", "k")).select("video_id", "point", F.col("k.timestamp_sec").alias("t"), F.col("k.confidence").alias("confidence"))
-    near = c.join(anchor_tolerance(c.select("video_id", F.col("frame_ts").alias("ts"), F.col("frame_ord").alias("seq"))), "video_id")
-    reach = points.join(near, "video_id").where(F.abs(F.col("frame_ts") - F.col("t")) <= F.col("tolerance"))  # a video's candidates are its few kept frames
-    best = reach.groupBy("video_id", "point", "confidence").agg(F.min_by(F.struct("frame_id", "frame_ts"), F.struct(F.abs(F.col("frame_ts") - F.col("t")), -F.col("frame_ord"))).alias("f"))
+    reach = anchor_tolerance(c.select("video_id", F.col("frame_ts").alias("ts"), F.col("frame_ord").alias("seq")))
+    spans = points.join(reach, "video_id").withColumn("_lo", F.expr("t - tolerance - 1e-6D")).withColumn("_hi", F.expr("t + tolerance + 1e-6D"))
+    met = interval_join(c.withColumn("_at", F.col("frame_ts")), spans, 1.0, lo="frame_ts", hi="_at", start="_lo", end="_hi").where("abs(frame_ts - t) <= tolerance")
+    best = met.groupBy("video_id", "point", "confidence").agg(F.min_by(F.struct("frame_id", "frame_ts"), F.struct(F.abs(F.col("frame_ts") - F.col("t")), -F.col("frame_ord"))).alias("f"))
     best = best.select("video_id", F.lit(None).cast("int").alias("claim"), F.col("point").alias("pos"), "confidence", "f.frame_id", "f.frame_ts", F.lit("nearest frame to a key point").alias("reason"))
     every = cited.unionByName(best)
     return every.withColumn("ord", F.struct(F.col("claim").isNull(), F.coalesce("claim", F.lit(0)), "pos")).withColumnRenamed("frame_ts", "ts")
@@ -214,13 +215,41 @@ def prompt(items: DataFrame, notes: DataFrame, missing: DataFrame, videos: DataF
     ).alias("prompt"))
 
 
-def vision_frames(cited: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Cited vision (video_id, cite, ts, source) -> the frame it was read from: first candidate (by ord) within 0.01 s; native vision has none."""
-    from .temporal import band_join
+def illustrated(packages: DataFrame, candidates: DataFrame, images: DataFrame, descriptions: DataFrame | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Packages with their images: (packages with visual_evidence and claim_images, bundle: video_id, evidence_id, ref, image_path).
 
-    own = cited.where("source <> 'video_understanding'").select("video_id", "cite", F.col("ts").alias("t"))
-    hit = band_join(own, candidates.select("video_id", "frame_id", "ord", "ts"), VISION_EPSILON)
-    return hit.groupBy("video_id", "cite").agg(F.min_by("frame_id", "ord").alias("frame_id"))
+    candidates: the frames that were offered (video_id, evidence_id, ord, timestamp_sec, ref); images: what is known of their
+    files (video_id, ref, signature, bright, width, height, size; a missing file has no row); descriptions: correlate.descriptions.
+    What knowledge asks for most comes first; near-duplicates are stood for by the kept one, also in the claims that cite them;
+    at `most` images the bundle is full. A claim names only images that are in the bundle."""
+    from .folds import bundle
+    from .temporal import nearest
+
+    asked = written(wants(packages, candidates), "wants")
+    ranked = knowledge.demand(asked).join(candidates.select("video_id", F.col("evidence_id").alias("frame_id"), F.col("ord").alias("seq"), "ref"), ["video_id", "frame_id"]).join(images, ["video_id", "ref"])
+    ranked = written(ranked, "ranked")
+    kept = written(bundle(ranked.select("video_id", "rank", "seq", "signature", "bright", F.col("size").cast("long").alias("size")), most), "bundled")
+    shown = ranked.join(kept.where("seq = superseded_by").select("video_id", "seq"), ["video_id", "seq"])
+    if descriptions is None:
+        shown = shown.withColumn("description", F.lit(""))
+    else:
+        told = descriptions.select("video_id", F.col("ts").alias("told_at"), "description").withColumn("_one", F.lit(0))
+        near = nearest(shown.select("video_id", "seq", F.col("ts").alias("t")), told, DESCRIPTION_TOLERANCE, ("video_id", "seq"), ("description",), ts="told_at", seq="_one")
+        shown = shown.join(near.select("video_id", "seq", F.substring(F.coalesce("near.description", F.lit("")), 1, MAX_DESCRIPTION).alias("description")), ["video_id", "seq"])
+    stem = filename_stem(F.coalesce(F.nullif(F.col("source.title"), F.lit("")), F.regexp_replace(base_name("source.source"), r"(?<=.)\.[^.]*$", "")))
+    ending = F.coalesce(F.nullif(F.regexp_extract("ref", r"(?<=[^/])(\.[^./]*)$", 1), F.lit("")), F.lit(".jpg"))
+    shown = shown.join(packages.select("video_id", stem.alias("stem")), "video_id").withColumn("image_path", F.concat("stem", F.lit("_evidence/"), "frame_id", ending))
+    reason = F.concat("reason", F.lit("; referenced by "), F.col("refs").cast("string"), F.lit(" knowledge unit(s)"))
+    item = F.struct(F.col("frame_id").alias("evidence_id"), F.col("ts").alias("timestamp_sec"), "image_path", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), F.col("size").cast("long").alias("byte_size"), reason.alias("selection_reason"), "description").cast(VISUAL)
+    visual = _listed(shown, item, "visual_evidence", "rank")
+    ids = candidates.select("video_id", F.col("ord").alias("seq"), "evidence_id")
+    link = kept.join(ids, ["video_id", "seq"]).select("video_id", F.col("evidence_id").alias("_id"), "superseded_by")
+    link = link.join(ids.withColumnRenamed("evidence_id", "stand_in"), (link.video_id == ids.video_id) & (F.col("superseded_by") == ids.seq)).select(link.video_id, F.col("_id").alias("seq"), F.col("stand_in").alias("superseded_by"))
+    claims = link_images(asked.where("claim is not null").withColumnRenamed("frame_id", "frame").select("video_id", "claim", "pos", F.col("frame").alias("frame_id")), link)
+    claims = _listed(claims, F.struct(F.col("claim").cast("int").alias("claim"), "images"), "claim_images", "claim")
+    out = packages.drop("visual_evidence", "claim_images").join(visual, "video_id", "left").join(claims, "video_id", "left")
+    out = out.withColumn("visual_evidence", F.coalesce("visual_evidence", _empty(VISUAL))).withColumn("claim_images", F.coalesce("claim_images", _empty("struct<claim:int,images:array<string>>")))
+    return out.select(*packages.columns), shown.select("video_id", F.col("frame_id").alias("evidence_id"), "ref", "image_path")
 
 
 def link_images(wants: DataFrame, bundled: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evloom.functions import scalars
-from evloom.operators import folds, measure
+from evloom.operators import folds, measure, ordered, pixels
 
 from . import views
 from .registry import query
@@ -26,28 +26,32 @@ def track_confidence(spark, sf_dir):
     return measure.track_summary(views.pointer(spark, sf_dir))
 
 
-_IV = f"""o AS (SELECT *, lead(ts) OVER w AS ts2, lead(status) OVER w AS st2, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(confidence) OVER w AS c2, row_number() OVER w - 1 AS i FROM pt WINDOW w AS (PARTITION BY video_id ORDER BY ts, seq)),
+INTERVALS = f"""o AS (SELECT *, lead(ts) OVER w AS ts2, lead(status) OVER w AS st2, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(confidence) OVER w AS c2, row_number() OVER w - 1 AS i FROM pt WINDOW w AS (PARTITION BY video_id ORDER BY ts, seq)),
 iv AS (SELECT video_id, i, ts AS start_sec, ts2 AS end_sec, x, y, x2, y2, confidence AS c1, c2, sqrt(1.0::DOUBLE * (x2 - x) * (x2 - x) + 1.0::DOUBLE * (y2 - y) * (y2 - y)) / sqrt(1250000.0::DOUBLE) AS step,
   CASE WHEN ts2 <= ts THEN 'zero_elapsed_time' WHEN ts2 - ts > {GAP} THEN 'sampling_gap' WHEN x IS NULL OR x2 IS NULL THEN 'pointer_not_observed' WHEN status <> 'detected' OR st2 <> 'detected' THEN 'ambiguous_position'
   WHEN sqrt(1.0::DOUBLE * (x2 - x) * (x2 - x) + 1.0::DOUBLE * (y2 - y) * (y2 - y)) / sqrt(1250000.0::DOUBLE) < 0.03 THEN 'displacement_within_jitter' ELSE 'moving' END AS basis FROM o WHERE ts2 IS NOT NULL)"""
 
 
-@query("cursor_intervals", f"WITH {PT}, {_IV} SELECT video_id, i, start_sec, end_sec, basis FROM iv")
+ISLANDS = """n AS (SELECT *, CASE WHEN lag(basis) OVER (PARTITION BY video_id ORDER BY i) = basis THEN 0 ELSE 1 END AS new FROM iv),
+g AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY i) AS island FROM n),
+s AS (SELECT video_id, island, min(start_sec) AS a, max(end_sec) AS z, any_value(basis) AS why, count(*) AS intervals, sum(step) AS path, arg_max(x2, i) - arg_min(x, i) AS dx, arg_max(y2, i) - arg_min(y, i) AS dy, arg_min(c1, i) AS c0, sum(c2) AS cs FROM g GROUP BY ALL),
+m AS (SELECT *, why = 'moving' AS moving, sqrt(1.0::DOUBLE * dx * dx + 1.0::DOUBLE * dy * dy) / sqrt(1250000.0::DOUBLE) AS net FROM s),
+h AS (SELECT *, moving AND net >= 0.03 AND net / path >= 0.8 AS straight, degrees(atan2(dy::DOUBLE, dx::DOUBLE)) AS deg FROM m),
+moved AS (SELECT video_id, a AS start_sec, z AS end_sec, intervals, CASE WHEN moving THEN 'moving' ELSE 'uncertain' END AS motion_state, CASE WHEN straight THEN CAST(printf('%.1f', CASE WHEN deg < 0 THEN deg + 360 ELSE deg END) AS DOUBLE) % 360 END AS direction_deg,
+  CASE WHEN moving THEN CAST(printf('%.4f', path / (z - a)) AS DOUBLE) END AS mean_speed_norm, CASE WHEN moving THEN CAST(printf('%.4f', (c0 + cs) / (intervals + 1) * least(1.0::DOUBLE, intervals / 2.0::DOUBLE)) AS DOUBLE) ELSE 0.0 END::DOUBLE AS confidence,
+  CASE WHEN NOT moving THEN why WHEN straight THEN 'consecutive_detections_displaced' ELSE 'consecutive_detections_displaced_heading_varies' END AS basis FROM h)"""
+
+
+@query("cursor_intervals", f"WITH {PT}, {INTERVALS} SELECT video_id, i, start_sec, end_sec, basis FROM iv")
 def cursor_intervals(spark, sf_dir):
     return measure.cursor_intervals(views.pointer(spark, sf_dir), GAP).select("video_id", "i", "start_sec", "end_sec", "basis")
 
 
 @query(
     "cursor_segments",
-    f"""WITH {PT}, {_IV}, n AS (SELECT *, CASE WHEN lag(basis) OVER (PARTITION BY video_id ORDER BY i) = basis THEN 0 ELSE 1 END AS new FROM iv),
-g AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY i) AS island FROM n),
-s AS (SELECT video_id, island, min(start_sec) AS a, max(end_sec) AS z, any_value(basis) AS why, count(*) AS intervals, sum(step) AS path, arg_max(x2, i) - arg_min(x, i) AS dx, arg_max(y2, i) - arg_min(y, i) AS dy, arg_min(c1, i) AS c0, sum(c2) AS cs FROM g GROUP BY ALL),
-m AS (SELECT *, why = 'moving' AS moving, sqrt(1.0::DOUBLE * dx * dx + 1.0::DOUBLE * dy * dy) / sqrt(1250000.0::DOUBLE) AS net FROM s),
-h AS (SELECT *, moving AND net >= 0.03 AND net / path >= 0.8 AS straight, degrees(atan2(dy::DOUBLE, dx::DOUBLE)) AS deg FROM m),
+    f"""WITH {PT}, {INTERVALS}, {ISLANDS},
 own AS (SELECT video_id, count(*) AS n, min(ts) AS first, max(ts) AS last, min(ts) - 10.0::DOUBLE AS t0, max(ts) + CASE WHEN CAST(video_id AS BIGINT) % 2 = 0 THEN 5.0 ELSE 0.0 END::DOUBLE AS t1 FROM pt GROUP BY 1)
-SELECT video_id, a AS start_sec, z AS end_sec, intervals, CASE WHEN moving THEN 'moving' ELSE 'uncertain' END AS motion_state, CASE WHEN straight THEN CAST(printf('%.1f', CASE WHEN deg < 0 THEN deg + 360 ELSE deg END) AS DOUBLE) % 360 END AS direction_deg,
-  CASE WHEN moving THEN CAST(printf('%.4f', path / (z - a)) AS DOUBLE) END AS mean_speed_norm, CASE WHEN moving THEN CAST(printf('%.4f', (c0 + cs) / (intervals + 1) * least(1.0::DOUBLE, intervals / 2.0::DOUBLE)) AS DOUBLE) ELSE 0.0 END::DOUBLE AS confidence,
-  CASE WHEN NOT moving THEN why WHEN straight THEN 'consecutive_detections_displaced' ELSE 'consecutive_detections_displaced_heading_varies' END AS basis FROM h
+SELECT * FROM moved
 UNION ALL SELECT video_id, t0, first, 0, 'uncertain', NULL, NULL, 0.0, 'not_sampled' FROM own WHERE n > 1
 UNION ALL SELECT video_id, last, t1, 0, 'uncertain', NULL, NULL, 0.0, 'not_sampled' FROM own WHERE n > 1 AND last < t1
 UNION ALL SELECT video_id, t0, t1, 0, 'uncertain', NULL, NULL, 0.0, 'too_few_samples' FROM own WHERE n = 1
@@ -102,25 +106,28 @@ def keyframe_dedupe(spark, sf_dir):
     return folds.keyframe_dedupe(views.frames(spark, sf_dir), 0.14)
 
 
-_SIG = "h AS (SELECT video_id, seq, ts, px, list_sum(list_transform(range(0, 56), lambda i: CASE WHEN px[(i // 7) * 8 + i % 7 + 1] > px[(i // 7) * 8 + i % 7 + 2] THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS sig FROM fr)"
+# cell (r, c) of the 9 x 8 grid over 8 x 8 pixels: pixel c - 1 by c / 8, pixel c by (8 - c) / 8; high bit first
+_SIG = f"""{views.GR}, ce AS (SELECT *, list_transform(range(0, 72), lambda k: round_even(((k % 9) * coalesce(g[(k // 9) * 8 + k % 9], 0) + (8 - k % 9) * coalesce(g[(k // 9) * 8 + k % 9 + 1], 0)) / 8.0::DOUBLE, 0)) AS c FROM gr),
+h0 AS (SELECT *, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN c[(i // 8) * 9 + i % 8 + 2] > c[(i // 8) * 9 + i % 8 + 1] THEN 1::HUGEINT << (63 - i)::INT ELSE 0::HUGEINT END))::HUGEINT AS s FROM ce),
+h AS (SELECT video_id, seq, ts, list_sum(g) / 64.0::DOUBLE AS bright, (CASE WHEN s >= 9223372036854775808::HUGEINT THEN s - 18446744073709551616::HUGEINT ELSE s END)::BIGINT AS sig FROM h0)"""
+
+
+def _facts(spark, sf_dir):
+    return pixels.image_facts(views.rasters(spark, sf_dir).withColumn("size", F.lit(64)), ("video_id", "seq", "ts"))
 
 
 @query(
     "dhash_hamming",
     f"""WITH {FR}, {_SIG},
-p AS (SELECT *, lag(sig) OVER (PARTITION BY video_id ORDER BY ts, seq) AS prev FROM h) SELECT video_id, seq, sig, bit_count(xor(sig, prev))::BIGINT AS distance FROM p WHERE prev IS NOT NULL""",
+p AS (SELECT *, lag(sig) OVER (PARTITION BY video_id ORDER BY ts, seq) AS prev FROM h) SELECT video_id, seq, sig, bright, bit_count(xor(sig, prev))::BIGINT AS distance FROM p WHERE prev IS NOT NULL""",
 )
 def dhash_hamming(spark, sf_dir):
-    fr = views.frames(spark, sf_dir).withColumn("sig", F.expr(SIGNATURE))
-    fr = fr.withColumn("prev", F.lag("sig").over(Window.partitionBy("video_id").orderBy("ts", "seq"))).where("prev is not null")
-    return fr.select("video_id", "seq", "sig", F.expr("cast(bit_count(sig ^ prev) as bigint)").alias("distance"))
-
+    """Signatures of rasters, and how many bits neighbours differ in."""
+    h = ordered.placed(_facts(spark, sf_dir).withColumnRenamed("signature", "sig"), ("sig",)).where("before is not null")
+    return h.select("video_id", "seq", "sig", "bright", F.expr("cast(bit_count(sig ^ before.sig) as bigint)").alias("distance"))
 
-# 7 comparisons of neighbours in each of 8 rows, low bit first
-SIGNATURE = "aggregate(sequence(0, 55), 0L, (s, i) -> s | if(px[(i div 7) * 8 + i % 7] > px[(i div 7) * 8 + i % 7 + 1], shiftleft(1L, i), 0L))"
 
-
-_BUNDLE = """r AS (SELECT video_id, seq, CASE WHEN seq % 11 = 0 THEN NULL ELSE sig END AS sig, list_sum(px) / 64 AS bright, CASE WHEN seq % 13 = 0 THEN 0 ELSE seq % 5 + 1 END AS size, (seq % 97) * 1000000 + seq AS rank FROM h),
+_BUNDLE = """r AS (SELECT video_id, seq, CASE WHEN seq % 11 = 0 THEN NULL ELSE sig END AS sig, bright, CASE WHEN seq % 13 = 0 THEN 0 ELSE seq % 5 + 1 END AS size, (seq % 97) * 1000000 + seq AS rank FROM h),
 o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY rank) AS i FROM r),
 k AS (SELECT video_id, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::BIGINT AS superseded_by, []::STRUCT(q BIGINT, s BIGINT, b DOUBLE, z BIGINT)[] AS kept FROM (SELECT DISTINCT video_id FROM o)
 UNION ALL SELECT o.video_id, o.i, o.seq, CASE WHEN len(k.kept) < 12 AND o.size > 0 THEN coalesce(d[1].q, o.seq) END, CASE WHEN len(k.kept) < 12 AND o.size > 0 AND len(d) = 0 THEN list_append(k.kept, {'q': o.seq, 's': o.sig, 'b': o.bright, 'z': o.size}) ELSE k.kept END
@@ -129,8 +136,8 @@ FROM k JOIN o ON o.video_id = k.video_id AND o.i = k.i + 1, LATERAL (SELECT list
 
 @query("bundle_greedy", f"WITH RECURSIVE {FR}, {_SIG}, {_BUNDLE} SELECT video_id, seq, superseded_by FROM k WHERE superseded_by IS NOT NULL")
 def bundle_greedy(spark, sf_dir):
-    fr = views.frames(spark, sf_dir).withColumn("rank", F.expr("cast(seq % 97 as bigint) * 1000000 + seq"))
-    c = fr.select("video_id", "seq", "rank", F.expr(f"if(seq % 11 = 0, null, {SIGNATURE})").alias("signature"), F.expr("aggregate(px, 0D, (a, x) -> a + x) / 64").alias("bright"), F.expr("if(seq % 13 = 0, 0L, seq % 5 + 1)").alias("size"))
+    fr = _facts(spark, sf_dir).withColumn("rank", F.expr("cast(seq % 97 as bigint) * 1000000 + seq"))
+    c = fr.select("video_id", "seq", "rank", F.expr("if(seq % 11 = 0, null, signature)").alias("signature"), "bright", F.expr("if(seq % 13 = 0, 0L, seq % 5 + 1)").alias("size"))
     return folds.bundle(c, most=12, distance=16, brightness=4.0)
 
 
@@ -231,11 +238,35 @@ def transcript_chunks(spark, sf_dir):
 @query("visual_regions")
 def visual_regions(spark, sf_dir):
     """Pixel changes between neighbouring 8 x 8 rasters, located (numpy: no SQL counterpart)."""
-    from evloom.operators import pixels
+    return pixels.visual_changes(views.rasters(spark, sf_dir))
+
+
+@query(
+    "raster_changes",
+    f"""WITH {FR}, {views.GR}, p AS (SELECT *, lag(g) OVER w AS q, lag(ts) OVER w AS earlier FROM gr WINDOW w AS (PARTITION BY video_id ORDER BY ts, seq)),
+d AS (SELECT video_id, seq, earlier, ts AS later, list_filter(range(0, 64), lambda i: abs(g[i + 1] - q[i + 1]) > 25) AS c FROM p WHERE q IS NOT NULL), m AS (SELECT *, len(c) / 64.0::DOUBLE AS magnitude FROM d)
+SELECT video_id, seq, earlier, later, magnitude, CASE WHEN magnitude >= 0.08 THEN 'detected' ELSE 'not_detected' END AS status, least(1.0::DOUBLE, abs(magnitude - 0.08::DOUBLE) / 0.08::DOUBLE) AS confidence,
+CASE WHEN magnitude >= 0.08 THEN list_min(list_transform(c, lambda i: i % 8)) / 8.0::DOUBLE END AS x1, CASE WHEN magnitude >= 0.08 THEN list_min(list_transform(c, lambda i: i // 8)) / 8.0::DOUBLE END AS y1,
+CASE WHEN magnitude >= 0.08 THEN (list_max(list_transform(c, lambda i: i % 8)) + 1) / 8.0::DOUBLE END AS x2, CASE WHEN magnitude >= 0.08 THEN (list_max(list_transform(c, lambda i: i // 8)) + 1) / 8.0::DOUBLE END AS y2 FROM m""",
+)
+def raster_changes(spark, sf_dir):
+    """Pixel changes between neighbouring rasters, with the box around all that changed (of 8 areas at most)."""
+    ch = pixels.visual_changes(views.rasters(spark, sf_dir))
+    hull = [F.expr(f"array_{how}(transform(regions, r -> r.{c}))").alias(c) for c, how in (("x1", "min"), ("y1", "min"), ("x2", "max"), ("y2", "max"))]
+    return ch.select("video_id", "seq", "earlier", "later", "magnitude", "status", "confidence", *hull)
+
 
-    gray = F.expr("unhex(array_join(transform(px, x -> lpad(hex(cast(least(255, greatest(0, floor(128 + x * 400))) as int)), 2, '0')), ''))")
-    fr = views.frames(spark, sf_dir).select("video_id", "seq", "ts", gray.alias("gray"), F.lit(8).alias("width"), F.lit(8).alias("height"))
-    return pixels.visual_changes(fr)
+@query(
+    "raster_pointer",
+    f"""WITH {FR}, {views.GR}, p AS (SELECT *, lag(g) OVER w AS q, row_number() OVER w AS i FROM gr WINDOW w AS (PARTITION BY video_id ORDER BY ts, seq)),
+c AS (SELECT *, len(list_filter(range(0, 64), lambda k: abs(g[k + 1] - q[k + 1]) > 25)) / 64.0::DOUBLE AS share FROM p) SELECT video_id, seq, q IS NOT NULL AND share <= 0.15 AS asked FROM c""",
+)
+def raster_pointer(spark, sf_dir):
+    """Where two rasters differ in so few pixels that a pointer may be looked for (an 8 x 8 raster is too small to show one)."""
+    fr = views.rasters(spark, sf_dir)
+    ch = pixels.visual_changes(fr, 0.15).select("video_id", "seq", (F.col("magnitude") <= 0.15).alias("asked"))
+    seen = pixels.two_frame_pointer(fr).select("video_id", "seq", (F.col("status") == "not_detected").alias("none"))
+    return seen.join(ch, ["video_id", "seq"], "left").select("video_id", "seq", F.when(F.col("none"), F.coalesce("asked", F.lit(False))).alias("asked"))
 
 
 @query(
@@ -264,5 +295,4 @@ def pointer_references(spark, sf_dir):
 )
 def neighbour_links(spark, sf_dir):
     """Each frame with the one before and after it."""
-    w = Window.partitionBy("video_id").orderBy("ts", "seq")
-    return views.frames(spark, sf_dir).select("video_id", "seq", F.lag("seq").over(w).alias("before"), F.lead("seq").over(w).alias("after"))
+    return ordered.placed(views.frames(spark, sf_dir).drop("px"), ("seq",)).select("video_id", "seq", F.col("before.seq").alias("before"), F.col("after.seq").alias("after"))

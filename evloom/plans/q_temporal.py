@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from evloom.operators import correlate, temporal
+from evloom.operators import correlate, ordered, temporal
 
-from . import views
+from . import q_measure, views
 from .registry import query
-from .views import EV, SG, SP, ST, windowed
+from .views import EV, PT, SG, SP, ST, windowed
 
 TOL = 21600.0
 _CANON = "ts, coalesce(end_ts, ts), kind, source, ref, coalesce(confidence, -1.0)"
@@ -195,7 +194,7 @@ _REGION = """rg AS (SELECT np.video_id, np.probe, np.t, np.seq, np.x / 1000.0::D
 @query(
     "pointer_in_region",
     f"""WITH {_WIN}, {_REGION} SELECT video_id, probe, 'x=' || x || ', y=' || y || ' + button: the button' AS cited, CAST(printf('%.4f', pc * vc) AS DOUBLE) AS confidence,
-'The pointer lay inside the region that vision located as ''the button'' (button). That supports, without proving it, that this element was referred to or used.' AS text FROM rg WHERE nx BETWEEN 0.4::DOUBLE AND 0.8::DOUBLE AND ny BETWEEN 0.0::DOUBLE AND 0.06::DOUBLE""",
+'The pointer lay inside the region that vision located as ''the button'' (button). That supports, without proving it, that this element was referred to or used.' AS text FROM rg WHERE nx BETWEEN 0.1::DOUBLE AND 0.9::DOUBLE AND ny BETWEEN 0.0::DOUBLE AND 0.5::DOUBLE""",
 )
 def pointer_in_region(spark, sf_dir):
     found = correlate.inferences(_structured(spark, sf_dir)).where(F.col("basis") == correlate.IN_REGION)
@@ -204,7 +203,7 @@ def pointer_in_region(spark, sf_dir):
 
 @query(
     "region_disagreements",
-    f"""WITH {_WIN}, {_REGION} SELECT video_id, probe, 'pointer position (' || printf('%.3f', nx) || ', ' || printf('%.3f', ny) || ') is in none of the 1 located region(s)' AS note FROM rg WHERE NOT (nx BETWEEN 0.4::DOUBLE AND 0.8::DOUBLE AND ny BETWEEN 0.0::DOUBLE AND 0.06::DOUBLE)
+    f"""WITH {_WIN}, {_REGION} SELECT video_id, probe, 'pointer position (' || printf('%.3f', nx) || ', ' || printf('%.3f', ny) || ') is in none of the 1 located region(s)' AS note FROM rg WHERE NOT (nx BETWEEN 0.1::DOUBLE AND 0.9::DOUBLE AND ny BETWEEN 0.0::DOUBLE AND 0.5::DOUBLE)
 UNION ALL SELECT nv.video_id, nv.probe, 'vision located element(s), but no pointer evidence of this window confirms any use of them' FROM nv LEFT JOIN np USING (video_id, probe) WHERE nv.status = 'ok' AND nv.seq % 2 = 0 AND coalesce(np.status, 'not_detected') = 'not_detected'""",
 )
 def region_disagreements(spark, sf_dir):
@@ -250,10 +249,23 @@ SELECT video_id, t, tol, row_number() OVER (PARTITION BY video_id ORDER BY t, to
 def session_windows(spark, sf_dir):
     ev = views.evidence(spark, sf_dir).where("kind in ('frame', 'vision')")
     w = ev.select("video_id", F.col("ts").alias("t"), F.expr("case when seq % 2 = 0 then 1.0D else 0.5D end").alias("tol"), "seq")
-    return w.withColumn("pos", F.row_number().over(Window.partitionBy("video_id").orderBy("t", "tol", "seq")).cast("long") - 1).drop("seq")
+    return ordered.placed(w, ("seq",), order=("t", "tol", "seq")).select("video_id", "t", "tol", F.col("i").cast("long").alias("pos"))
 
 
 @query("query_timestamps", f"WITH {_WIN} SELECT video_id, probe, t FROM w")
 def query_timestamps(spark, sf_dir):
     """Frame times, or segment starts where a video has no frames, with the times of usable native answers."""
     return correlate.windows(views.streams(spark, sf_dir))
+
+
+@query(
+    "run_motion",
+    f"""WITH {PT}, {q_measure.INTERVALS}, {q_measure.ISLANDS} SELECT video_id, start_sec AS ts, end_sec AS end_ts, motion_state AS state, basis, confidence, 'cursor_intelligence' AS source FROM moved""",
+)
+def run_motion(spark, sf_dir):
+    """A run that is asked for cursor movement and comes without any measures it from its own pointer readings."""
+    from evloom import api
+
+    pt = views.pointer(spark, sf_dir).withColumns({"kind": F.lit("pointer"), "ref": F.lit("at"), "end_ts": F.lit(None).cast("double"), "source": F.lit("")})
+    ran = api.run_streams(pt, api.Config(cursor_intelligence_enabled=True, cursor_max_interval_sec=q_measure.GAP)).where("kind = 'cursor_track'")
+    return ran.select("video_id", "ts", "end_ts", F.get_json_object("ref", "$.state").alias("state"), F.get_json_object("ref", "$.basis").alias("basis"), "confidence", "source")

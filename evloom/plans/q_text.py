@@ -141,7 +141,7 @@ r_ AS (SELECT *, row_number() OVER (PARTITION BY video_id, probe ORDER BY ts, se
 b_ AS (SELECT video_id, probe, min(i) FILTER (WHERE status = 'detected') AS a, max(i) FILTER (WHERE status = 'detected') AS z FROM r_ GROUP BY ALL),
 g_ AS (SELECT b_.video_id, b_.probe, z - a + 1 AS run, bool_and(status = 'detected') AS ok, arg_min(x, i) AS x0, arg_max(x, i) AS x1, arg_min(y, i) AS y0, arg_max(y, i) AS y1 FROM b_ JOIN r_ ON r_.video_id = b_.video_id AND r_.probe = b_.probe AND i BETWEEN a AND z GROUP BY ALL),
 mv AS (SELECT * FROM (SELECT video_id, probe, sqrt(pow(x1 / 1000.0::DOUBLE - x0 / 1000.0::DOUBLE, 2) + pow(y1 / 500.0::DOUBLE - y0 / 500.0::DOUBLE, 2)) AS way FROM g_ JOIN sp_ USING (video_id, probe) WHERE ok AND run >= 2) WHERE way > 0.03),
-inr AS (SELECT * FROM rg WHERE nx BETWEEN 0.4::DOUBLE AND 0.8::DOUBLE AND ny BETWEEN 0.0::DOUBLE AND 0.06::DOUBLE),
+inr AS (SELECT * FROM rg WHERE nx BETWEEN 0.1::DOUBLE AND 0.9::DOUBLE AND ny BETWEEN 0.0::DOUBLE AND 0.5::DOUBLE),
 con AS (SELECT video_id, probe FROM mv UNION SELECT video_id, probe FROM inr)"""
 _BRIEF = f"""WITH RECURSIVE {views.windowed(TOL)}, {_OBSERVED}, {_REGION}, {_INFERRED}, {SG}, {_CHUNKED},
 bi AS (SELECT video_id, -1.0::DOUBLE AS tt, NULL::BIGINT AS probe, chunk AS p, ts, 'transcript' AS kind, ref, NULL::DOUBLE AS confidence, '' AS source, condensed FROM said_
@@ -164,7 +164,7 @@ def brief_items(spark, sf_dir):
 
 @query(
     "synthesis_prompts",
-    f"""{_BRIEF}, nt AS (SELECT video_id, t, 0 AS o, 'pointer position (' || printf('%.3f', nx) || ', ' || printf('%.3f', ny) || ') is in none of the 1 located region(s)' AS note FROM rg WHERE NOT (nx BETWEEN 0.4::DOUBLE AND 0.8::DOUBLE AND ny BETWEEN 0.0::DOUBLE AND 0.06::DOUBLE)
+    f"""{_BRIEF}, nt AS (SELECT video_id, t, 0 AS o, 'pointer position (' || printf('%.3f', nx) || ', ' || printf('%.3f', ny) || ') is in none of the 1 located region(s)' AS note FROM rg WHERE NOT (nx BETWEEN 0.1::DOUBLE AND 0.9::DOUBLE AND ny BETWEEN 0.0::DOUBLE AND 0.5::DOUBLE)
   UNION ALL SELECT nv.video_id, nv.t, 0, 'vision located element(s), but no pointer evidence of this window confirms any use of them' FROM nv LEFT JOIN np USING (video_id, probe) WHERE nv.status = 'ok' AND nv.seq % 2 = 0 AND coalesce(np.status, 'not_detected') = 'not_detected'),
 s(stage) AS (VALUES ('frame'), ('transcript'), ('pointer'), ('vision'), ('video_understanding'), ('visual_change'), ('cursor_track')),
 k AS (SELECT DISTINCT video_id, probe, kind AS stage FROM o UNION SELECT DISTINCT video_id, probe, 'video_understanding' FROM o WHERE slot = 5),
@@ -551,3 +551,70 @@ def claim_images(spark, sf_dir):
     wants = views.table(spark, sf_dir, "labels").select(F.lit("0").alias("video_id"), F.col("doc_id").alias("claim"), F.posexplode(F.array(*[F.lit(i) for i in range(3)])).alias("pos", "_i"))
     wants = wants.select("video_id", "claim", "pos", F.expr("claim * 2 div 5 + pos").alias("frame_id"))
     return package.link_images(wants, kept).select("claim", F.array_join(F.col("images").cast("array<string>"), ",").alias("images"))
+
+
+_SEEN = "SELECT page_id, CASE WHEN starts_with(url, 'https') THEN 'second' ELSE 'first' END || ' ' || url || CASE WHEN starts_with(url, 'https') THEN ' (secure)' ELSE '' END AS description FROM pages"
+
+
+class _Named:
+    """A provider that signs its answers."""
+
+    name = "first"
+
+    def analyze_frame(self, frame, transcript_context, pointer):
+        return {"description": f"{self.name} {frame['path']}" + (f" ({transcript_context})" if transcript_context else ""), "confidence": 0.5}
+
+
+class _Other(_Named):
+    name = "second"
+
+
+@query("vision_answers", _SEEN)
+def vision_answers(spark, sf_dir):
+    """2.13: pages as frames, asked once without speech and once more with speech beside some: what was not asked in this way
+    before is asked again, the rest comes from the table of answers."""
+    from uuid import uuid4
+
+    from evloom.session import shared_dir
+    from evloom.sources import media
+
+    p = views.table(spark, sf_dir, "pages").select(F.lit("p").alias("video_id"), F.col("page_id").alias("seq"), F.expr("page_id * 20.0D").alias("ts"), F.col("url").alias("path"), F.lit(1).alias("width"), F.lit(1).alias("height"), F.lit(None).cast("binary").alias("gray"))
+    said = p.where("path like 'https%'").select("video_id", F.col("seq").alias("seg_no"), F.expr("ts - 1").alias("start_sec"), F.expr("ts + 1").alias("end_sec"), F.lit("secure").alias("text"))
+    cache = f"{shared_dir(spark)}/evloom/answers-{uuid4().hex}"
+    media.analyze_cached(p, cache, _Named, "m")
+    return media.analyze_cached(p, cache, _Other, "m", said).select(F.col("seq").alias("page_id"), "description")
+
+
+_IMAGES = f"""WITH {FR}, c AS (SELECT video_id, 'e' || seq AS evidence_id, seq AS ord, ts, '/f/' || seq || '.png' AS ref, seq % 17 * 10 AS size FROM fr),
+p AS (SELECT CAST(doc_id % 10 AS VARCHAR) AS video_id, doc_id AS pos, doc_id * 1.9::DOUBLE AS t, n_chars % 9 / 10.0::DOUBLE AS confidence FROM documents),
+u AS (SELECT video_id, greatest(1.0::DOUBLE, list_sort(list(gap))[count(*) // 2 + 1] / 2) AS tol FROM (SELECT video_id, ts - lag(ts) OVER (PARTITION BY video_id ORDER BY ts, seq) AS gap FROM fr) WHERE gap IS NOT NULL GROUP BY 1),
+x AS (SELECT p.video_id, pos, p.confidence, c.evidence_id, c.ts, row_number() OVER (PARTITION BY p.video_id, pos ORDER BY abs(c.ts - t), ord DESC) AS r FROM p JOIN u USING (video_id) JOIN c ON c.video_id = p.video_id AND abs(c.ts - t) <= tol),
+k AS (SELECT CAST(doc_id % 10 AS VARCHAR) AS video_id, doc_id AS claim, toxic / 2.0::DOUBLE + 0.1 AS confidence, '/f/' || doc_id || '.png' AS ref FROM labels WHERE toxic IS NOT NULL),
+a AS (SELECT video_id, evidence_id, ts, confidence, 1 AS how FROM x WHERE r = 1 UNION ALL SELECT k.video_id, c.evidence_id, c.ts, k.confidence, 0 FROM k JOIN c USING (video_id, ref)),
+d AS (SELECT video_id, evidence_id, count(*) AS refs, max(confidence) AS best, min(how) AS how, min(ts) AS ts FROM a GROUP BY ALL),
+s AS (SELECT d.*, size, ref, row_number() OVER (PARTITION BY d.video_id, size ORDER BY refs DESC, best DESC, d.ts, evidence_id) AS first FROM d JOIN c USING (video_id, evidence_id) WHERE size > 0)
+SELECT video_id, evidence_id, CASE WHEN how = 0 THEN 'cited by a verified claim' ELSE 'nearest frame to a key point' END || '; referenced by ' || refs || ' knowledge unit(s)' AS reason, 'film_' || video_id || '_evidence/' || evidence_id || '.png' AS image_path, size AS byte_size FROM s WHERE first = 1"""
+
+
+@query("package_images", _IMAGES)
+def package_images(spark, sf_dir):
+    """Packages of labelled videos, documents as key points and labels as claims, shown by the frames that they ask for."""
+    from evloom.operators import package
+    from evloom.operators.correlate import EVIDENCE
+
+    point = "named_struct('text', 'x', 'kind', 'k', 'timestamp_sec', {t}, 'supporting_evidence', {es}, 'confidence', {c}, 'nature', 'observed')"
+    none = f"cast(array() as array<{EVIDENCE}>)"
+    frame = f"cast(array(named_struct('timestamp_sec', 0D, 'kind', 'frame', 'ref', concat('/f/', doc_id, '.png'), 'confidence', cast(null as double), 'timestamp_end_sec', cast(null as double), 'source', '')) as array<{EVIDENCE}>)"
+    d = views.table(spark, sf_dir, "documents").select(F.expr("cast(doc_id % 10 as string)").alias("video_id"), F.expr(point.format(t="doc_id * 1.9D", es=none, c="n_chars % 9 / 10.0D")).alias("e"))
+    k = views.table(spark, sf_dir, "labels").where("toxic is not null").select(F.expr("cast(doc_id % 10 as string)").alias("video_id"), F.expr(point.format(t="0D", es=frame, c="toxic / 2.0D + 0.1D")).alias("e"))
+    fr = views.frames(spark, sf_dir).drop("px")
+    v = fr.select("video_id").distinct()
+    lists = {"key_lessons": d, "claims": k}
+    p = v.selectExpr("video_id", "named_struct('source', concat('/a/film ', video_id, '.mp4'), 'title', cast(null as string)) as source", f"cast(array() as array<{package.KEY_POINT}>) as important_observations",
+                     f"cast(array() as array<{package.VISUAL}>) as visual_evidence", "cast(array() as array<struct<claim:int,images:array<string>>>) as claim_images")
+    for name, rows in lists.items():
+        p = p.join(rows.groupBy("video_id").agg(F.collect_list("e").cast(f"array<{package.KEY_POINT}>").alias(name)), "video_id", "left").withColumn(name, F.coalesce(name, F.expr(f"cast(array() as array<{package.KEY_POINT}>)")))
+    c = fr.select("video_id", F.expr("concat('e', seq)").alias("evidence_id"), F.col("seq").alias("ord"), F.col("ts").alias("timestamp_sec"), F.expr("concat('/f/', seq, '.png')").alias("ref"))
+    facts = fr.selectExpr("video_id", "concat('/f/', seq, '.png') as ref", "cast(null as bigint) as signature", "cast(null as double) as bright", "0 as width", "0 as height", "seq % 17 * 10 as size")
+    shown, _ = package.illustrated(p, c, facts)
+    return shown.select("video_id", F.explode("visual_evidence").alias("e")).select("video_id", "e.evidence_id", F.col("e.selection_reason").alias("reason"), "e.image_path", "e.byte_size")

@@ -74,6 +74,15 @@ def frames(spark, sf_dir: str) -> DataFrame:
 FR = """fr AS (SELECT CAST(label AS VARCHAR) AS video_id, vec_id AS seq, vec_id * 2.0::DOUBLE AS ts, list_transform(embedding, lambda x: x::DOUBLE) AS px FROM embeddings)"""
 
 
+def rasters(spark, sf_dir: str) -> DataFrame:
+    """The thumbnails of frames() as gray rasters of 8 x 8 pixels."""
+    gray = F.expr("unhex(array_join(transform(px, x -> lpad(hex(cast(least(255, greatest(0, floor(128 + x * 400))) as int)), 2, '0')), ''))")
+    return frames(spark, sf_dir).select("video_id", "seq", "ts", gray.alias("gray"), F.lit(8).alias("width"), F.lit(8).alias("height"))
+
+
+GR = """gr AS (SELECT video_id, seq, ts, list_transform(px, lambda x: least(255, greatest(0, floor(128 + x * 400)))::INT) AS g FROM fr)"""
+
+
 def spans(spark, sf_dir: str) -> DataFrame:
     """order lines as day spans of a video per customer: from the order to the shipment (some end before they start)."""
     o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")  # noqa: E741
@@ -89,7 +98,7 @@ SP = """sp AS (SELECT CAST(o_custkey AS VARCHAR) AS video_id, l_orderkey * 10 +
   date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) * 1.0::DOUBLE AS end_sec FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
 
 
-_BOX = "named_struct('x1', 0.4D, 'y1', 0.0D, 'x2', 0.8D, 'y2', 0.06D)"
+_BOX = "named_struct('x1', 0.1D, 'y1', 0.0D, 'x2', 0.9D, 'y2', 0.5D)"
 
 
 def streams(spark, sf_dir: str) -> DataFrame:

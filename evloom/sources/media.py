@@ -8,7 +8,7 @@ from typing import Protocol, runtime_checkable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -17,7 +17,7 @@ from evloom.functions.scalars import even_span, floor_ms, is_url, py_round, py_s
 from evloom.operators import contracts
 from evloom.operators.correlate import ELEMENT, NATIVE
 from evloom.operators.measure import clamp_segments
-from evloom.operators.ordered import placed
+from evloom.operators.ordered import latest, placed
 from evloom.operators.pixels import luma
 from evloom.operators.temporal import text_around
 from evloom.session import ship, sliced, written
@@ -97,13 +97,13 @@ def clamp_time(t: str, duration: str, fps: str):
 
 
 def read_at(requests: DataFrame, frames: DataFrame) -> DataFrame:
-    """Each request (video_id, request, t) with the last frame at or before t; bounded by day-long buckets of the axis."""
-    last = frames.groupBy("video_id", F.expr("floor(ts / 86400)").alias("b")).agg(F.max("ts").alias("m"))
-    own = requests.withColumn("b", F.expr("floor(t / 86400)"))
-    same = own.join(frames.select("video_id", F.col("ts").alias("f"), F.expr("floor(ts / 86400)").alias("b")), ["video_id", "b"]).where("f <= t").groupBy("video_id", "request").agg(F.max("f").alias("f"))
-    before = own.join(last.withColumnRenamed("b", "lb"), "video_id").where("lb < b").groupBy("video_id", "request").agg(F.max("m").alias("g"))
-    out = requests.join(same, ["video_id", "request"], "left").join(before, ["video_id", "request"], "left")
-    return out.withColumn("frame_ts", F.coalesce("f", "g")).drop("f", "g")
+    """Each request (video_id, request, t) with the last frame at or before t, however long before: requests and frames are
+    put in one order, the last frame is carried on inside blocks of the time axis and from block to block."""
+    q = F.struct(*requests.columns)
+    both = requests.select("video_id", F.col("t").alias("_t"), F.lit(1).alias("_side"), q.alias("_q"), F.lit(None).cast("double").alias("_f"))
+    kind = both.schema["_q"].dataType
+    both = both.unionByName(frames.select("video_id", F.col("ts").alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(kind).alias("_q"), F.col("ts").alias("_f")))
+    return latest(both, "_f", "frame_ts", order=("_t", "_side")).where("_side = 1").select("_q.*", "frame_ts")
 
 
 def window_samples(requests: DataFrame) -> DataFrame:
@@ -207,34 +207,47 @@ SEGMENT = "start_sec double, end_sec double, text string, confidence double, wor
 
 
 def transcribe(videos: DataFrame, make_transcriber) -> tuple[DataFrame, DataFrame]:
-    """(headers: video_id, transcript_status; segments in order of start). A video without sound is no_audio and the provider
-    is not asked; nothing said is no_speech; segments are clipped to the video, normalised, and an exception fails the job."""
+    """(headers: video_id, transcript_status, error; segments in order of start). A video without sound is no_audio and the
+    provider is not asked; nothing said is no_speech; a provider that fails leaves its video unavailable, with the type of
+    the error, and the job goes on; segments are clipped to the video and normalised."""
 
     def act(t, v):
-        said = [] if not v["has_audio"] else [{"text": "", "confidence": None, "words": None, **s} for s in t.transcribe(v)]
-        yield {"video_id": v["video_id"], "has_audio": bool(v["has_audio"]), "duration": v["duration_sec"], "segments": said}
+        row = {"video_id": v["video_id"], "has_audio": bool(v["has_audio"]), "duration": v["duration_sec"], "segments": [], "error": None}
+        try:
+            yield row if not v["has_audio"] else row | {"segments": [{"text": "", "confidence": None, "words": None, **x} for x in t.transcribe(v)]}
+        except Exception as e:  # outside code: speech is missing, the rest goes on
+            yield row | {"error": type(e).__name__}
 
     inner = ",".join(f"{c.split(' ', 1)[0]}:{c.split(' ', 1)[1]}" for c in ("start_sec double", "end_sec double", "text string", "confidence double")) + ",words:array<struct<text:string,start_sec:double,end_sec:double>>"
-    raw = written(each(videos, make_transcriber, f"video_id string, has_audio boolean, duration double, segments array<struct<{inner}>>", act, 1), "transcripts")
+    raw = written(each(videos, make_transcriber, f"video_id string, has_audio boolean, duration double, segments array<struct<{inner}>>, error string", act, 1), "transcripts")
     flat = clamp_segments(raw.select("video_id", "duration", F.explode("segments").alias("s")).select("video_id", "duration", "s.*")).drop("duration")
     flat = normalise_segments(flat).where("text <> ''")
     seg = flat.withColumn("seg_no", F.row_number().over(Window.partitionBy("video_id").orderBy("start_sec", "end_sec", "text")).cast("long") - 1)
     there = seg.select("video_id").distinct().withColumn("_s", F.lit("ok"))
-    state = F.when(~F.col("has_audio"), "no_audio").otherwise(F.coalesce("_s", F.lit("no_speech")))
-    return raw.join(there, "video_id", "left").select("video_id", state.alias("transcript_status")), seg
+    state = F.when(~F.col("has_audio"), "no_audio").when(F.col("error").isNotNull(), "unavailable").otherwise(F.coalesce("_s", F.lit("no_speech")))
+    return raw.join(there, "video_id", "left").select("video_id", state.alias("transcript_status"), "error"), seg
 
 
 FRAME = "video_id string, seq long, ts double, path string, width int, height int, gray binary, reason string"
 
 
-def extract_frames(videos: DataFrame, make_reader) -> DataFrame:
-    """Frames of each video, as its reader gives them, numbered in order."""
+def extract_frames(videos: DataFrame, make_reader) -> tuple[DataFrame, DataFrame]:
+    """(frames of each video, as its reader gives them, numbered in order; states: video_id, n_frames, error). A reader that
+    fails leaves its video without frames and names the type of the error; the job goes on."""
 
     def act(reader, v):
-        for i, f in enumerate(reader.extract_frames(v)):
-            yield {"path": "", "width": 0, "height": 0, "gray": None, "reason": "sampled", **f, "video_id": v["video_id"], "seq": i, "ts": float(f["ts"])}
+        none = {"video_id": v["video_id"], "seq": None, "ts": None, "path": None, "width": None, "height": None, "gray": None, "reason": None, "error": None}
+        rows = []
+        try:
+            for i, f in enumerate(reader.extract_frames(v)):
+                rows.append(none | {"path": "", "width": 0, "height": 0, "reason": "sampled", **f, "video_id": v["video_id"], "seq": i, "ts": float(f["ts"])})
+        except Exception as e:  # outside code: frames are missing, the rest goes on
+            rows = [none | {"error": type(e).__name__}]
+        return rows or [none]
 
-    return each(videos, make_reader, FRAME, act, 1)
+    raw = written(each(videos, make_reader, FRAME + ", error string", act, 1), "frames")
+    states = raw.groupBy("video_id").agg(F.count("seq").alias("n_frames"), F.max("error").alias("error"))
+    return raw.where("seq is not null").drop("error"), states
 
 
 def detect_pointers(frames: DataFrame, make_provider) -> DataFrame:
@@ -254,21 +267,30 @@ def detect_pointers(frames: DataFrame, make_provider) -> DataFrame:
 VISION = f"video_id string, seq long, ts double, status string, description string, visible_text array<string>, elements array<{ELEMENT}>, confidence double, model string"
 
 
-def analyze_frames(frames: DataFrame, make_provider, segments: DataFrame | None = None, pointer: DataFrame | None = None) -> DataFrame:
-    """Vision observations of a provider; its exceptions fail the job. With `segments` a frame comes with the speech around
-    it, with `pointer` with the reading of its very time (of several the last)."""
+def _asked(frames: DataFrame, segments: DataFrame | None, pointer: DataFrame | None) -> DataFrame:
+    """Frames with the speech around each (_context) and the reading of its very time (_pointer; one that found nothing is none)."""
     own = frames.withColumn("_context", F.lit(None).cast("string")).withColumn("_pointer", F.lit(None).cast("struct<status:string,x:int,y:int,confidence:double>"))
     if segments is not None:
         near = text_around(frames.select("video_id", F.col("seq").alias("probe"), F.col("ts").alias("t")), segments, ("video_id", "probe"))
         own = own.drop("_context").join(near.select("video_id", F.col("probe").alias("seq"), F.col("said").alias("_context")), ["video_id", "seq"], "left")
     if pointer is not None:
-        own = own.drop("_pointer").join(pointer_at(pointer).select("video_id", "ts", F.struct("status", "x", "y", "confidence").alias("_pointer")), ["video_id", "ts"], "left")
+        at = pointer_at(pointer).select("video_id", "ts", F.when(F.col("status") != "not_detected", F.struct("status", "x", "y", "confidence")).alias("_pointer"))
+        own = own.drop("_pointer").join(at, ["video_id", "ts"], "left")
+    return own
+
 
+def _answers(asked: DataFrame, make_provider) -> DataFrame:
     def act(p, r):
         frame = {k: v for k, v in r.items() if not k.startswith("_")}
         yield {"video_id": r["video_id"], "seq": r["seq"], "ts": r["ts"], **vision_answer(p.analyze_frame(frame, r["_context"], r["_pointer"]))}
 
-    return each(own, make_provider, VISION, act)
+    return each(asked, make_provider, VISION, act)
+
+
+def analyze_frames(frames: DataFrame, make_provider, segments: DataFrame | None = None, pointer: DataFrame | None = None) -> DataFrame:
+    """Vision observations of a provider; its exceptions fail the job. With `segments` a frame comes with the speech around
+    it, with `pointer` with the reading of its very time (of several the last), unless that found nothing."""
+    return _answers(_asked(frames, segments, pointer), make_provider)
 
 
 def pointer_at(pointer: DataFrame) -> DataFrame:
@@ -277,24 +299,47 @@ def pointer_at(pointer: DataFrame) -> DataFrame:
     return pointer.groupBy("video_id", "ts").agg(F.max_by(F.struct(*rest), "seq").alias("_p")).select("video_id", "ts", "_p.*")
 
 
-def analyze_cached(frames: DataFrame, cache: str, make_provider, model: str = "") -> DataFrame:
-    """analyze_frames through a table of earlier answers at `cache` (a folder all executors see), keyed by the frame's pixels
-    and the model. Only usable answers are kept; what cannot be read is a miss."""
+PROMPT_VERSION = "1"
+_KEPT = f"status string, description string, visible_text array<string>, elements array<{ELEMENT}>, confidence double, model string"
+
+
+def vision_key(model: str) -> Column:
+    """What an answer depends on, as a digest: the frame (its path, pixels and width), its time to the millisecond, the
+    model, the version of the prompt, the speech and the pointer it comes with. A part that is missing differs from every value."""
+    p = F.col("_pointer")
+    parts = ["path", F.sha2("gray", 256), F.col("width").cast("string"), F.format_string("%.3f", "ts"), F.lit(model), F.lit(PROMPT_VERSION), F.coalesce("_context", F.lit("")),
+             F.concat_ws(":", p.status, p.x.cast("string"), p.y.cast("string"), F.format_string("%.3f", p.confidence))]
+    return F.sha2(F.to_json(F.array(*[F.col(x) if isinstance(x, str) else x for x in parts]), {"ignoreNullFields": "false"}), 256)
+
+
+def _cache(spark, path: str) -> DataFrame | None:
+    """The answers held at `path`, each key once; parts that cannot be read are not there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return None
+    held = spark.read.schema(f"_key string, {_KEPT}").option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).parquet(path)
+    return held.where("_key is not null and status in ('ok', 'low_information')").groupBy("_key").agg(F.min_by(F.struct(*[c for c in held.columns if c != "_key"]), F.xxhash64(*held.columns)).alias("a")).select("_key", "a.*")
+
+
+def analyze_cached(frames: DataFrame, cache: str, make_provider, model: str = "", segments: DataFrame | None = None, pointer: DataFrame | None = None) -> DataFrame:
+    """analyze_frames through a table of earlier answers at `cache` (a folder all executors see), under vision_key(). Answers
+    that say something are kept; a failure is not, nor is what cannot be read. A run writes one part, named by the keys it
+    asked for: the same run again replaces its part, so nothing is kept twice."""
     spark = frames.sparkSession
-    keyed = frames.withColumn("_key", F.sha2(F.concat_ws("|", F.lit(model), F.hex("gray"), F.col("width").cast("string")), 256))
-    kept = [c.split(" ", 1)[0] for c in ("status string", "description string", "visible_text x", "elements x", "confidence x", "model x")]
-    try:
-        held = spark.read.parquet(cache).select("_key", *kept).dropDuplicates(["_key"])
-    except Exception:  # no table, or one of another shape: everything is asked again
-        held = None
-    asked = keyed if held is None else keyed.join(held, "_key", "left_anti")
-    fresh = written(analyze_frames(asked.drop("_key"), make_provider).join(asked.select("video_id", "seq", "_key"), ["video_id", "seq"]), "vision")
-    out = fresh.drop("_key")
-    if held is not None:
-        out = out.unionByName(keyed.select("video_id", "seq", "ts", "_key").join(held, "_key").drop("_key"))
-        out = written(out, "vision-all")  # read before the table grows
-    fresh.where("status in ('ok', 'low_information')").select("_key", *kept).write.mode("append").parquet(cache)
-    return out.select("video_id", "seq", "ts", *kept)
+    columns = [x.split(" ", 1)[0] for x in ("status x", "description x", "visible_text x", "elements x", "confidence x", "model x")]
+    keyed = written(_asked(frames, segments, pointer).withColumn("_key", vision_key(model)), "vision-asked")
+    held = _cache(spark, cache)
+    lacking = keyed if held is None else keyed.join(held, "_key", "left_anti")
+    once = lacking.groupBy("_key").agg(F.min(F.struct("video_id", "seq")).alias("f")).select("_key", "f.*")  # equal keys are one question
+    fresh = _answers(lacking.join(once, ["_key", "video_id", "seq"]), make_provider).join(once, ["video_id", "seq"]).select("_key", *columns)
+    fresh = written(fresh, "vision-fresh")
+    every = fresh if held is None else fresh.unionByName(held.join(keyed.select("_key").distinct(), "_key", "left_semi"))
+    out = written(keyed.select("video_id", "seq", "ts", "_key").join(every, "_key").drop("_key"), "vision")  # read before the table grows
+    good = fresh.where("status in ('ok', 'low_information')")
+    name = good.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("_key")), F.lit(0)).alias("x")).first()
+    if name.n:
+        good.write.mode("overwrite").parquet(f"{cache.rstrip('/')}/part-{name.n}-{name.x & (2**64 - 1):016x}")
+    return out
 
 
 def _box(raw) -> dict | None:

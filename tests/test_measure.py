@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from evloom.functions import scalars
 from evloom.operators import folds, measure, pixels
@@ -35,9 +37,7 @@ def test_changed_rectangle_is_found_exactly():
     a = textured()
     b = a.copy()
     b[60:180, 100:260] = (b[60:180, 100:260].astype(int) + 128) % 256
-    m = pixels.measure_pair(a, b)
-    assert (m["status"], m["kind"], m["magnitude"]) == ("detected", "visual_change_localized", 19200 / 230400)
-    assert m["regions"] == [{"x1": 100 / 640, "y1": 60 / 360, "x2": 260 / 640, "y2": 180 / 360}]
+    assert pixels.compared(a[None], b[None], 0.08) == [(19200 / 230400, [(100, 60, 260, 180)])]
 
 
 def test_two_rectangles_larger_first_and_glyphs_join():
@@ -45,21 +45,100 @@ def test_two_rectangles_larger_first_and_glyphs_join():
     b = a.copy()
     for y1, y2, x1, x2 in ((10, 110, 20, 110), (200, 300, 400, 540)):
         b[y1:y2, x1:x2] = (b[y1:y2, x1:x2].astype(int) + 128) % 256
-    assert [round(r["x1"] * 640) for r in pixels.measure_pair(a, b)["regions"]] == [400, 20]
+    assert [x[0] for x in pixels.compared(a[None], b[None], 0.08)[0][1]] == [400, 20]
     c = a.copy()
     for i in range(8):
         c[100:116, 200 + 14 * i : 210 + 14 * i] = (c[100:116, 200 + 14 * i : 210 + 14 * i].astype(int) + 128) % 256
-    assert [tuple(round(v) for v in (r["x1"] * 640, r["y1"] * 360, r["x2"] * 640, r["y2"] * 360)) for r in pixels.measure_pair(a, c, 0.001)["regions"]] == [(200, 100, 308, 116)]
+    assert pixels.compared(a[None], c[None], 0.001)[0][1] == [(200, 100, 308, 116)]
 
 
-def test_thresholds_are_exact():
+GRAY = "video_id string, seq long, ts double, width int, height int, gray binary"
+
+
+def film(spark, *rasters, video="v", step=1.0):
+    rows = [(video, i, i * step, *((None, None, None) if g is None else (g.shape[1], g.shape[0], g.tobytes()))) for i, g in enumerate(rasters)]
+    return spark.createDataFrame(rows, GRAY)
+
+
+def test_thresholds_are_exact(spark):
     a = np.full((100, 100), 100, np.uint8)
-    assert pixels.measure_pair(a, a + 25)["magnitude"] == 0.0 and pixels.measure_pair(a, a + 26)["magnitude"] == 1.0
-    for n, status in ((800, "detected"), (799, "not_detected")):
-        b = a.copy()
-        b.ravel()[:n] = 200
-        assert pixels.measure_pair(a, b)["status"] == status
-    assert pixels.measure_pair(a, a[:50])["status"] == "unavailable" and pixels.measure_pair(None, a)["magnitude"] is None
+    few, many = a.copy(), a.copy()
+    few.ravel()[:799] = 200
+    many.ravel()[:800] = 200
+    got = pixels.visual_changes(film(spark, a, a + 25, a - 1, a, few, a, many, a[:50], None, a)).orderBy("seq").collect()
+    assert [r.magnitude for r in got[:3]] == [0.0, 1.0, 0.0] and got[1].kind == "visual_change_global" and got[1].confidence == 1.0 and got[0].confidence == 1.0
+    assert [r.status for r in got] == ["not_detected", "detected", "not_detected", "not_detected", "not_detected", "detected", "unavailable", "unavailable", "unavailable"]
+    assert [(r.x1, r.y1, r.x2, r.y2) for r in got[5].regions] == [(0.0, 0.0, 1.0, 0.08)] and got[5].kind == "visual_change_localized"
+    assert got[6].detail == "frame sizes differ: 100x100 and 100x50" and got[7].detail == "frame could not be read" and got[7].magnitude is None and got[7].confidence == 0.0
+    for bad in (0, -1.0, 1.5, True):
+        with pytest.raises(ValueError):
+            pixels.visual_changes(film(spark, a), bad)
+
+
+def test_blocks_of_rasters_meet_at_their_borders(spark):
+    rng = np.random.default_rng(8)
+    shots = [rng.integers(0, 256, (6, 8), dtype=np.uint8) for _ in range(25)]
+    a = film(spark, *shots, step=7.0).unionByName(film(spark, *shots[:3], video="w", step=1000.0)).unionByName(film(spark, shots[0], video="one"))
+    key = lambda df: sorted(map(str, df.collect()))
+    whole = key(pixels.visual_changes(a, width=1e9))
+    assert len(whole) == 26 and key(pixels.visual_changes(a, width=20.0)) == whole and key(pixels.visual_changes(a, width=1.0)) == whole
+    plan = pixels.visual_changes(a)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Window" in x and "gray" in x]
+    wrong = a.withColumn("seq", -a.seq)
+    for broken in (lambda: pixels.visual_changes(wrong, width=20.0).collect(), lambda: measure.frame_changes(wrong.selectExpr("video_id", "seq", "ts", "array(1D) as px")).collect()):
+        with pytest.raises(Exception, match="follows frame"):
+            broken()
+
+
+def square(i, w=320, h=240):
+    g = np.full((h, w), 90, np.uint8)
+    g[100:110, 40 + 30 * i : 50 + 30 * i] = 255
+    return g
+
+
+def test_pointer_of_two_frames_and_around_a_moment(spark):
+    df = film(spark, *[square(i) for i in range(6)], np.full((240, 320), 90, np.uint8), step=0.5)
+    two = pixels.two_frame_pointer(df).orderBy("seq").collect()
+    assert [(r.status, r.confidence) for r in two] == [("not_detected", 0.0), *[("uncertain", 0.55)] * 5, ("detected", 0.75)]
+    asked = spark.createDataFrame([("v", 1, 1.0), ("v", 2, 0.0), ("v", 3, 1.2), ("w", 4, 1.0)], "video_id string, request long, t double")
+    got = {r.request: (r.status, r.x, r.y, r.confidence) for r in pixels.pointer_around(asked, df, 0.5).collect()}
+    assert got == {1: ("detected", 105, 105, 0.9), 2: ("not_detected", None, None, 0.0), 3: ("detected", 105, 105, 0.9), 4: ("not_detected", None, None, 0.0)}
+    whole = sorted(map(str, pixels.track_pointer(df).collect()))
+    assert sorted(map(str, pixels.track_pointer(df, width=0.9, fold_width=1.1).collect())) == whole
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 30), st.integers(0, 5)), min_size=1, max_size=60), st.sampled_from([1.0, 4.0, 100.0]))
+def test_folds_in_blocks_equal_the_sequence(spark, rows, width):
+    frames = [(f"v{v}", i, float(t), [float(x), 0.0]) for i, (v, t, x) in enumerate(rows)]
+    want = []
+    for v in {r[0] for r in frames}:
+        last = None
+        for r in sorted((r for r in frames if r[0] == v), key=lambda r: (r[2], r[1])):
+            if last is None or abs(r[3][0] - last) / 2 > 1.0:
+                want.append((v, r[1]))
+                last = r[3][0]
+    got = folds.keyframe_dedupe(spark.createDataFrame(frames, "video_id string, seq long, ts double, px array<double>"), 1.0, width)
+    assert sorted((r.video_id, r.seq) for r in got.collect()) == sorted(want)
+    said = [(f"v{v}", i, float(t), float(t + x), "a") for i, (v, t, x) in enumerate(rows)]
+    want = {}
+    for v in {r[0] for r in said}:
+        start, chunk = None, -1
+        for _, i, a, b, _ in (r for r in said if r[0] == v):
+            if start is None:
+                start, chunk = a, chunk + 1
+            want[i] = (chunk, start)
+            start = None if b - start >= 20 else start
+    got = folds.transcript_chunks(spark.createDataFrame(said, "video_id string, seg_no long, start_sec double, end_sec double, text string"), 20.0, width)
+    assert {r.seg_no: (r.chunk, r.chunk_start) for r in got.collect()} == want
+
+
+def test_a_still_picture_is_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = folds._left
+    monkeypatch.setattr(folds, "_left", lambda *a: rounds.append(1) or real(*a))
+    f = spark.range(400).selectExpr("'v' as video_id", "id as seq", "cast(id as double) as ts", "array(if(id = 390, 9D, 1D)) as px")
+    assert sorted(r.seq for r in folds.keyframe_dedupe(f, 1.0, 5.0).collect()) == [0, 390, 391] and len(rounds) <= 5
 
 
 def test_labels_and_dilation_match_a_slow_form():
