@@ -145,9 +145,6 @@ def test_images_for_claims(spark):
     wants = spark.createDataFrame([("v", 0, 0, 5), ("v", 0, 1, 6), ("v", 0, 2, 7)], "video_id string, claim long, pos long, frame_id long")
     kept = spark.createDataFrame([("v", 5, 5), ("v", 6, 5), ("v", 8, 8)], "video_id string, seq long, superseded_by long")
     assert package.link_images(wants, kept).first().images == [5]
-    cited = spark.createDataFrame([("v", 0, 2.0, ""), ("v", 1, 2.0, "video_understanding")], "video_id string, cite long, ts double, source string")
-    frames = spark.createDataFrame([("v", 11, 1, 2.005), ("v", 12, 0, 1.995), ("v", 13, 2, 2.5)], "video_id string, frame_id long, ord long, ts double")
-    assert [(r.cite, r.frame_id) for r in package.vision_frames(cited, frames).collect()] == [(0, 12)]
 
 
 def test_scenes_and_files(tmp_path):

@@ -1,15 +1,18 @@
 """Runs: measured movement, images of packages, provider runners and their failures, the cache of answers, frames at or before."""
 
 import os
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from evloom import api
 from evloom.functions import scalars
 from evloom.operators import correlate, ordered, package, pixels
 from evloom.sources import media
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the fakes travel with the tasks
 EV = f"video_id string, seq long, ts double, kind string, ref string, confidence double, end_ts double, source string, status string, x int, y int, frame_width int, frame_height int, elements array<{correlate.ELEMENT}>"
 
 
