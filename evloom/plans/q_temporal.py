@@ -269,3 +269,16 @@ def run_motion(spark, sf_dir):
     pt = views.pointer(spark, sf_dir).withColumns({"kind": F.lit("pointer"), "ref": F.lit("at"), "end_ts": F.lit(None).cast("double"), "source": F.lit("")})
     ran = api.run_streams(pt, api.Config(cursor_intelligence_enabled=True, cursor_max_interval_sec=q_measure.GAP)).where("kind = 'cursor_track'")
     return ran.select("video_id", "ts", "end_ts", F.get_json_object("ref", "$.state").alias("state"), F.get_json_object("ref", "$.basis").alias("basis"), "confidence", "source")
+
+
+@query(
+    "keyframe_stream",
+    """WITH RECURSIVE o AS (SELECT CAST(user_id AS VARCHAR) AS video_id, event_id AS seq, epoch_us(ts) AS us, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+k AS (SELECT video_id, i, seq, us, v AS last, true AS kept FROM o WHERE i = 1 UNION ALL SELECT o.video_id, o.i, o.seq, o.us, CASE WHEN abs(o.v - k.last) > 60.0 THEN o.v ELSE k.last END, abs(o.v - k.last) > 60.0 FROM k JOIN o ON o.video_id = k.video_id AND o.i = k.i + 1)
+SELECT video_id, seq, us FROM k WHERE kept AND us < (SELECT max(us) // 1000 * 1000 - 3600000000 FROM o)""",
+)
+def keyframe_stream(spark, sf_dir):
+    """2.14: key frames of a stream by typed state and event-time timers: what the watermark has passed, as the batch fold has it."""
+    from evloom.streaming import sessions
+
+    return sessions.event_keyframes(spark, sf_dir)

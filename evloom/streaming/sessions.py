@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import uuid
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from evloom.session import ship, shared_dir
 
-from evloom.session import shared_dir
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_stream(spark, sf_dir: str) -> DataFrame:
@@ -17,17 +24,19 @@ def event_stream(spark, sf_dir: str) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a stream over all that is there now; the sink's last state as a table in the shared folder."""
+def drain(stream: DataFrame, mode: str, name: str, root: str | None = None) -> DataFrame:
+    """Run a stream over all that is there now; the sink's last state as a table in the shared folder. Every micro-batch has a
+    folder of its own, by its number: one that is run again after a failure replaces its rows. With `root` of an earlier call
+    the stream goes on from its checkpoint there, and the table holds both runs."""
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/evloom/{name}-{uuid.uuid4().hex}"
+    root = root or f"{shared_dir(spark)}/evloom/{name}-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{root}/out")
+        batch.write.mode("overwrite").parquet(f"{root}/out/{'last' if mode == 'complete' else f'batch={epoch}'}")
 
     q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{root}/out")
 
 
 def activity_runs(spark, sf_dir: str, gap: str = "1 day") -> DataFrame:
@@ -43,3 +52,63 @@ def correlate_stream(points: DataFrame, windows: DataFrame, tol_sec: float, late
     p = points.withWatermark("ts", late).withColumnRenamed("video_id", "_v")
     w = windows.withWatermark("t", late)
     return w.join(p, (F.col("video_id") == F.col("_v")) & (F.col("ts") >= F.col("t") - tol) & (F.col("ts") <= F.col("t") + tol)).drop("_v")
+
+
+class KeyframeFold(StatefulProcessor):
+    """folds.keyframe_dedupe as a stream: rows wait, in state, until the watermark has passed them, then they are folded in the
+    order of their times, however they were cut into micro-batches. State: the rows that wait, the last kept thumbnail."""
+
+    def __init__(self, least_mad: float):
+        self.least = least_mad
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, seq long, px array<double>")
+        self.last = handle.getValueState("last", "px array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(us), int(seq), [float(x) for x in px]) for some in rows for us, seq, px in zip(some["us"], some["seq"], some["px"], strict=True)]
+        self.waiting.appendList(new)
+        self.handle.registerTimer(min(new)[0] // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(((int(r[0]), int(r[1]), list(r[2])) for r in self.waiting.get()) if self.waiting.exists() else [])
+        due, rest = [r for r in held if r[0] < until], [r for r in held if r[0] >= until]
+        if rest:
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        if not due:  # another timer of this batch has folded them
+            return iter(())
+        last = np.array(self.last.get()[0]) if self.last.exists() else None
+        kept = []
+        for us, seq, px in due:
+            px = np.array(px)
+            if last is None or np.abs(px - last).sum() / len(px) > self.least:
+                last = px
+                kept.append((key[0], seq, us))
+        self.last.update((last.tolist(),))
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        return iter([pd.DataFrame(kept, columns=["video_id", "seq", "us"])] if kept else [])
+
+    def close(self) -> None:
+        pass
+
+
+def keyframe_stream(frames: DataFrame, least_mad: float, late: str = "1 hour") -> DataFrame:
+    """A stream of frames (video_id, seq, at: timestamp, px) -> (video_id, seq, us: microseconds since 1970) of those that differ from
+    the last kept one. A frame is told once the watermark has passed it; later than `late` it is dropped by Spark. The state
+    store is RocksDB: what waits need not fit in memory."""
+    ship(frames.sparkSession)
+    frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = frames.select("video_id", "seq", F.unix_micros("at").alias("us"), F.col("px").cast("array<double>").alias("px"), "at").withWatermark("at", late)
+    return rows.groupBy("video_id").transformWithStateInPandas(KeyframeFold(least_mad), "video_id string, seq long, us long", "Append", "EventTime")
+
+
+def event_keyframes(spark, sf_dir: str, least_mad: float = 60.0) -> DataFrame:
+    """Events as a stream of frames with one pixel, their value."""
+    e = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.array("value").alias("px"))
+    return drain(keyframe_stream(e, least_mad), "append", "keyframes")

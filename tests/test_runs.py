@@ -235,3 +235,25 @@ def test_latest_is_carried_over_blocks(spark):
 def test_fixed_numbers(spark):
     r = spark.range(1).select(scalars.fixed(scalars._c("id") + 0.0625, 3).alias("x")).first()
     assert r.x == f"{0.0625:.3f}"
+
+
+STREAMED = "video_id string, seq long, at timestamp, px array<double>"
+
+
+@pytest.mark.parametrize("cuts", [1, 2, 5])
+def test_key_frames_of_a_stream_equal_the_batch(spark, tmp_path, cuts):
+    from evloom.operators import folds
+    from evloom.streaming import sessions
+
+    rng = np.random.default_rng(cuts)
+    rows = [(f"v{int(v)}", i, 1_700_000_000 + i + int(d), [float(x)]) for i, (v, d, x) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 8, 200), rng.integers(0, 6, 200), strict=True))]
+    rows.append(("end", 999, 1_700_009_999, [0.0]))  # lets the watermark pass all others
+    df = spark.createDataFrame(rows, "video_id string, seq long, t long, px array<double>").selectExpr("video_id", "seq", "timestamp_seconds(t) as at", "px")
+    step = -(-len(rows) // cuts)
+    root, out = None, None
+    for c in range(cuts):  # each cut is a run of its own that goes on from the checkpoint
+        df.where(f"seq >= {c * step} and seq < {(c + 1) * step} or (seq = 999 and {c} = {cuts - 1})").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(STREAMED).parquet(f"{tmp_path}/in")
+        out = sessions.drain(sessions.keyframe_stream(stream, 1.5, "20 seconds"), "append", "k", str(tmp_path / "job"))
+    want = folds.keyframe_dedupe(df.selectExpr("video_id", "seq", "cast(unix_micros(at) as double) as ts", "px"), 1.5, 1e30).where("video_id <> 'end'")
+    assert sorted((r.video_id, r.seq) for r in out.collect() if r.video_id != "end") == sorted((r.video_id, r.seq) for r in want.collect())
