@@ -9,7 +9,8 @@ carry loss, so every assistant text is a target exactly once.
 
 Template: <|im_start|>role, newline, text, <|im_end|>, newline. Control strings inside texts get a
 backslash behind their first character (one more if there are some), which unescape() takes away.
-Tokens are estimated as a quarter of a turn's characters plus four.
+A turn counts as one token for every two of its bytes (BYTES_A_TOKEN) and four more: byte-level vocabularies of 50,000
+tokens need no more than that for prose in Latin or Chinese script, so a window that keeps its budget here keeps it there.
 
 Defined results: null text or role is empty; turns are ordered by (turn, nulls first; role; text);
 repeated rows are separate turns; rows with a null conv_id form one conversation of that name.
@@ -24,6 +25,7 @@ from evloom.session import written
 
 BUDGET, HISTORY, SYSTEM = 1024, 256, 128
 BLOCK_TURNS = 256
+BYTES_A_TOKEN = 2
 # What counts as a control string behind its first character, < or [.
 CONTROL = r"(\|[A-Za-z0-9_]+\|>|/?s>|/?INST\]|</?SYS>>)"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -44,7 +46,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, syst
     # the conversation as a struct: equal to itself even where the id is null
     df = turns.select(F.struct("conv_id").alias("c"), "turn", F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("body"))
     df = df.withColumn("head", F.concat(F.lit(OPEN), F.url_encode("role"), F.lit("\n")))
-    df = df.withColumn("tok", F.expr(f"cast((length(head) + length(body) + {len(CLOSE) + 1}) div 4 + 4 as long)"))
+    df = df.withColumn("tok", F.expr(f"cast((octet_length(head) + octet_length(body) + {len(CLOSE) + 1}) div {BYTES_A_TOKEN} + 4 as long)"))
     df = df.withColumn("blk", F.expr(f"coalesce(turn div {BLOCK_TURNS}, -9223372036854775808)"))
     inside = Window.partitionBy("c", "blk").orderBy(F.col("turn").asc_nulls_first(), "role", "body")
     df = df.withColumn("s", F.sum("tok").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tok")).withColumn("i", F.row_number().over(inside) - 1)
@@ -119,7 +121,7 @@ SQL = r"""
 WITH c AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (SELECT *, '<|im_start|>' || url_encode(role) || chr(10) || regexp_replace(text, '([<\[])(\\*)(\|[A-Za-z0-9_]+\|>|/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g') || '<|im_end|>' || chr(10) AS whole FROM c),
-t AS (SELECT *, length(whole) // 4 + 4 AS tok FROM e),
+t AS (SELECT *, strlen(whole) // 2 + 4 AS tok FROM e),
 o AS (SELECT *, sum(tok) OVER o - tok AS s, row_number() OVER o - 1 AS idx FROM t WINDOW o AS (PARTITION BY c ORDER BY turn NULLS FIRST, role, whole ROWS UNBOUNDED PRECEDING)),
 x AS (SELECT *, CAST(s AS BIGINT) // 320 * 2 + (tok > 320)::BIGINT AS own FROM o),
 f AS (SELECT c, own AS w, min(s) AS w0 FROM x GROUP BY ALL),
