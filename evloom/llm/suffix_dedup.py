@@ -6,9 +6,12 @@ sort at once:
 
   digit 1  the smallest hash among the 24-byte grams of a window (equal windows have equal ones);
            neighbouring windows with the same one travel as one run, about one row per 40 bytes;
-  digit 2  the bytes of a whole run: of runs that are equal throughout, the first stays in the
+  digit 2  the digest of a whole run: of runs that are equal throughout, the first stays in the
            sort as their leader and the others are repeats altogether;
-  digits 3 to 6  a quarter of the window each, inside tasks that get the leaders' bytes by digit 1.
+  digits 3 to 6  the digest of a quarter of the window each, inside tasks that get the leaders' bytes by digit 1.
+
+Digests are polynomials of the bytes modulo 2^64 under a mixed odd base; bytes themselves are not compared again, so two
+different windows are taken for equal with a chance of about 2^-64 a pair that shares digit 1.
 
 Windows that are equal in all digits are the equal groups; the first of a group (smallest key,
 then smallest start) stays, all bytes of the others go. Groups with more than `split` leaders are
@@ -16,7 +19,7 @@ ordered by aggregation over the cluster instead of inside one task, with the sam
 
 Bit filters of fixed size (BLOOM_MB) keep runs with a unique first digit out of the shuffle and let
 the leaders' bytes be read from the source again; a filter only ever lets too many through, which
-changes nothing, as later digits are exact. Digits with more than `frequent` runs go through an
+changes nothing, as later digits tell runs apart. Digits with more than `frequent` runs go through an
 aggregation and a join that Spark splits. Texts are processed whole, in segments.
 
 Defined results: null is an empty text; texts shorter than `depth` bytes are kept; rows that share

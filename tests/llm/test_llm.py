@@ -70,6 +70,29 @@ def test_chat_windows_hold_budget_history_and_each_target_once(spark):
     assert one.over_budget and one.formatted[one.loss[0].start :][: one.loss[0].length] == "x" * 9000
 
 
+def test_chat_budget_holds_for_a_real_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(8)
+    latin = lambda n: " ".join("".join(rnd.choice(["tion", "er", "an", "the", "qu", "i", "st"]) for _ in range(rnd.randint(1, 4))) for _ in range(n))
+    han = lambda n: "".join(chr(rnd.randint(0x4E00, 0x7FFF)) for _ in range(n))
+    rows = [(c, i, ("user", "assistant")[i % 2], (han if c else latin)(rnd.randint(1, 90))) for c in (0, 1) for i in range(60)]
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = chat_format.windows(conversations(spark, rows)).where("not over_budget").collect()
+    assert len(got) > 8 and max(len(tok.encode(r.formatted, add_special_tokens=False).ids) for r in got) <= 1.05 * chat_format.BUDGET
+
+
+def test_chat_of_many_turns_and_clashing_columns(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} " + "z" * (i % 50)) for i in range(700)] + [(2, 5, "user", f"same place {i}") for i in range(300)]
+    df = conversations(spark, rows[::-1]).withColumn("blk", F.lit(1)).withColumn("idx", F.lit(2)).withColumn("tok", F.lit(3)).withColumn("c", F.lit(4)).withColumn("w", F.lit(5))
+    w = chat_format.windows(df.repartition(5))
+    back = sorted((r.conv_id, r.idx, r.text) for r in chat_format.read_back(w).collect())
+    assert [x[2] for x in back if x[0] == 1] == [r[3] for r in rows if r[0] == 1]  # blocks of turns join up
+    assert [x[2] for x in back if x[0] == 2] == sorted(r[3] for r in rows if r[0] == 2)
+    assert all(r.n_tokens <= chat_format.BUDGET for r in w.collect())
+
+
 def test_chat_empty(spark):
     assert chat_format.windows(conversations(spark, [])).count() == 0
 
@@ -206,6 +229,42 @@ def test_label_model_discounts_copies():
     assert ((q > 0.5) == y).mean() > 0.85
 
 
+@pytest.mark.parametrize("flips", [0.1, 0.2])
+def test_label_model_outvotes_wrong_labels(flips):
+    """A fraction of the given labels is wrong; posteriors of the unlabelled rows hardly feel it, and equal those of an EM that
+    is written apart, over rows instead of sums."""
+    rng = np.random.default_rng(int(flips * 100))
+    n, d = 4000, 40
+    y = rng.random(n) < 0.25
+    votes = (rng.random((n, d)) < np.where(y[:, None], 0.1, 0.0005)).astype(np.uint8)
+    votes[:, 1] = votes[:, 0]  # a copy counts as one voter
+    label = np.where(rng.random(n) < 0.3, y.astype(int), -1)
+    wrong = (label >= 0) & (rng.random(n) < flips)
+    label[wrong] = 1 - label[wrong]
+    q, (prior, hit1, hit0, share) = toxicity.label_model(votes, label)
+    free = label < 0
+    assert ((q >= 0.5) == y)[free].mean() > 0.96 and abs(prior - y.mean()) < 0.2 and share[0] < 0.6 < share[2]
+
+    v, known = votes.astype(float), label >= 0
+    n1, n0 = (label == 1).sum(), (label == 0).sum()
+    base1, base0 = v[label == 1].sum(0), v[label == 0].sum(0)
+    silent = ~votes.any(1)
+    quiet = np.log((silent[label == 1].sum() + 0.5) / (n1 + 1)) - np.log((silent[label == 0].sum() + 0.5) / (n0 + 1))
+    pi, h1, h0, r = (n1 + 1) / (n1 + n0 + 2), (base1 + 0.5) / (n1 + 1), (base0 + 0.5) / (n0 + 1), np.full(n, (n1 + 1) / (n1 + n0 + 2))
+    for _ in range(12):
+        mean = r @ v / r.sum()
+        cov = (v * r[:, None]).T @ v / r.sum() - np.outer(mean, mean)
+        rho = np.clip(cov / np.sqrt(np.outer(np.maximum(np.diag(cov), 1e-9), np.maximum(np.diag(cov), 1e-9))), 0, 1)
+        rho = np.where(rho < 0.5, 0, rho)
+        np.fill_diagonal(rho, 0)
+        part = 1 / (1 + rho.sum(1))
+        z = np.log(pi / (1 - pi)) + np.where(silent, quiet, v @ (part * np.log(h1 / h0))) + toxicity.LABEL_VOTE * ((label == 1).astype(float) - (label == 0))
+        r = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        pi = np.clip((r.sum() + n1) / (n + n1 + n0), 1e-4, 1 - 1e-4)
+        h1, h0 = np.clip((r @ v + base1 + 0.5) / (r.sum() + n1 + 1), 1e-5, 1 - 1e-5), np.clip(((1 - r) @ v + base0 + 0.5) / ((1 - r).sum() + n0 + 1), 1e-5, 1 - 1e-5)
+    assert q == pytest.approx(r, abs=1e-9) and (prior, *hit1, *hit0) == pytest.approx((pi, *h1, *h0), rel=1e-9) and known.any()
+
+
 def test_toxicity_tests_every_feature_before_ranking(spark):
     rnd = random.Random(6)
     stock = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(4600)]
@@ -478,6 +537,44 @@ def test_every_alias_of_whole_urls(spark):
 
 
 
+def test_quality_posteriors_equal_a_plain_computation(spark):
+    rnd = random.Random(12)
+    rows, lab = [], []
+    for i in range(500):
+        good = rnd.random() < 0.6
+        text = " ".join(rnd.choice(["apple", "river", "stone", "walks"]) + ("!" if not good and rnd.random() < 0.8 else "") for _ in range(rnd.randint(5, 120)))
+        rows.append((i, text, rnd.choice(["de", "en", None]), rnd.choice(["a", "b", "b", "b", None])))
+        if i % 3:
+            lab.append((i, int(good), 0))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame(lab, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_classifier.classify(d, labels).collect()}
+    known = {i: y for i, y, _ in lab if zlib.crc32(str(i).encode()) % 5}
+    p = {i: known.get(i, 1 / (1 + np.exp(-got[i].doc_logit))) for i, *_ in rows}
+    prior = (sum(p.values()) + 1) / (len(p) + 2)
+
+    def strength(groups, share):
+        q = sum(len(g) * (np.mean([p[i] for i in g]) - share[k]) ** 2 for k, g in groups.items())
+        w = sum(share[k] * (1 - share[k]) for k in groups)
+        nw = sum(len(g) * share[k] * (1 - share[k]) for k, g in groups.items())
+        beyond = (q - w) / nw
+        return float(np.clip(1 / beyond - 1 if beyond > 0 else 1e4, 1, 1e4))
+
+    hosts, sites = {}, {}
+    for i, _, path, host in rows:
+        hosts.setdefault(host, []).append(i)
+        sites.setdefault((host, path), []).append(i)
+    k1 = strength(hosts, dict.fromkeys(hosts, prior))
+    host_share = {h: (sum(p[i] for i in g) + k1 * prior) / (len(g) + k1) for h, g in hosts.items()}
+    k2 = strength(sites, {s: host_share[s[0]] for s in sites})
+    for i, _, path, host in rows:
+        g = sites[host, path]
+        share = (sum(p[j] for j in g) + k2 * host_share[host]) / (len(g) + k2)
+        logit = got[i].doc_logit - np.log(prior / (1 - prior)) + np.log(share / (1 - share))
+        assert (got[i].host_share, got[i].path_share, got[i].score) == pytest.approx((host_share[host], share, 1 / (1 + np.exp(-logit))), rel=1e-9)
+        assert got[i].kept == (got[i].score >= 0.5)
+
+
 # --- quality rules
 
 
