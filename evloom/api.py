@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evloom.operators import correlate, folds, knowledge, measure, package, pixels, session_store, synthesis, temporal
+from evloom.operators import correlate, folds, measure, package, pixels, session_store, synthesis, temporal
 from evloom.session import written
 from evloom.sources import media
 
@@ -115,12 +115,6 @@ def process(videos: DataFrame, segments: DataFrame, evidence: DataFrame, config:
     return out
 
 
-def verified_claims(raw: DataFrame, brief: DataFrame, conflicts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(claims that stand, rejects with reasons) of what a synthesizer returned, within the intake bounds."""
-    seen = synthesis.intake(synthesis.verify(synthesis.examined(raw), brief, conflicts))
-    return seen.where("reason is null").drop("reason"), seen.where("reason is not null").select("video_id", "ord", "reason")
-
-
 def _finite(**numbers) -> None:
     for name, x in numbers.items():
         if isinstance(x, bool) or not isinstance(x, int | float) or not abs(x) < float("inf"):
@@ -168,5 +162,11 @@ def inspect(requests: DataFrame, frames: DataFrame, videos: DataFrame) -> DataFr
     return media.inspect(requests, frames, videos)
 
 
-def retrieve_topics(segments: DataFrame) -> DataFrame:
-    return knowledge.topics(segments, ("video_id",), order="seg_no")
+def pointer_at(requests: DataFrame, frames: DataFrame, config: Config = Config()) -> DataFrame:
+    """The pointer at each request (video_id, request, t), from the frames before, at and after it."""
+    return pixels.pointer_around(requests, frames, config.pointer_step_sec)
+
+
+def scenes(videos: DataFrame, frames: DataFrame) -> DataFrame:
+    """Decoded frames (bgr) -> (video_id, ts) where scenes start; 0.0 for a video without cuts."""
+    return pixels.scene_starts(videos, pixels.scene_scores(frames))

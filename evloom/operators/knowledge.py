@@ -37,9 +37,9 @@ TOPIC_WORD = "[A-Za-z][A-Za-z'-]+"
 def topics(texts: DataFrame, per: tuple[str, ...] = (), order: str = "seq", text: str = "text") -> DataFrame:
     """The most frequent words (topic, n, pos) of all texts or of each group: of the 16 most frequent, ties by first
     appearance, those with at least two occurrences, eight at most."""
-    kept = F.filter(F.transform(F.regexp_extract_all(text, F.lit(TOPIC_WORD), 0), lambda x, i: F.struct(F.lower(x).alias("w"), i.alias("p"))), lambda x: (F.length(x.w) >= MIN_TOPIC_LEN) & ~x.w.isin(STOPWORDS))
-    words = texts.select(*per, F.col(order).alias("_o"), F.explode(kept).alias("e"))  # what is no topic never becomes a row
-    count = words.groupBy(*per, F.col("e.w").alias("w")).agg(F.count("*").alias("n"), F.min(F.struct("_o", "e.p")).alias("first"))
+    words = texts.select(*per, F.col(order).alias("_o"), F.posexplode(F.regexp_extract_all(text, F.lit(TOPIC_WORD), F.lit(0))).alias("p", "w"))
+    words = words.where(F.length("w") >= MIN_TOPIC_LEN).withColumn("w", F.lower("w")).where(~F.col("w").isin(STOPWORDS))
+    count = words.groupBy(*per, "w").agg(F.count("*").alias("n"), F.min(F.struct("_o", "p")).alias("first"))
     if per:
         rank = F.row_number().over(Window.partitionBy(*per).orderBy(F.desc("n"), "first"))
         top = count.withColumn("_r", rank).where(f"_r <= {2 * MAX_TOPICS}")

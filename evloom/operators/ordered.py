@@ -62,11 +62,3 @@ def haloed(df: DataFrame, after: bool = False, per: str = "video_id", order: tup
         send = send.unionByName(edge.where("_past is not null").select(per, "_f.*", F.col("_past").alias("_to"), F.lit(1).alias("_side")))
     halo = df.drop("_b").join(send.withColumnRenamed("_to", "_b"), [per, *order])
     return df.withColumn("_side", F.lit(0)).unionByName(halo).repartition(per, "_b").sortWithinPartitions(per, "_b", *order)
-
-
-def require_order(df: DataFrame, per: tuple[str, ...] = ("video_id",), at: str = "ts", seq: str = "seq") -> DataFrame:
-    """df as it is; reading it fails where a time lies before that of the row with the next lower `seq`: measurements
-    over given sequences must not be re-sorted silently."""
-    late = placed(df, (at,), per, (seq,), 100_000.0)
-    wrong = F.raise_error(F.format_string("%s: %s follows %s", F.concat_ws("/", *[F.col(c).cast("string") for c in per]), F.col(at).cast("string"), F.col(f"before.{at}").cast("string")))
-    return late.withColumn(at, F.when(F.col(f"before.{at}") > F.col(at), wrong.cast("double")).otherwise(F.col(at))).drop("i", "before", "after")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import shutil
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -270,23 +269,3 @@ def copy_bundle(rows: list[dict], folder: str) -> list[dict]:
             shutil.copyfile(r["path"], os.path.join(folder, name))
             out.append(r | {"image_path": f"{os.path.basename(folder)}/{name}", "byte_size": os.path.getsize(r["path"])})
     return out
-
-
-def hsv(bgr: np.ndarray) -> np.ndarray:
-    """Hue (0 to 180), saturation and value (0 to 255) of a BGR raster."""
-    b, g, r = (bgr[..., i].astype(float) for i in range(3))
-    top, low = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
-    d = np.where(top > low, top - low, 1)
-    hue = np.where(top == r, (g - b) / d, np.where(top == g, 2 + (b - r) / d, 4 + (r - g) / d)) * 30 % 180
-    return np.stack([np.where(top > low, hue, 0), np.where(top > 0, (top - low) / np.where(top > 0, top, 1) * 255, 0), top], -1)
-
-
-def scene_starts(frames: list[tuple[float, np.ndarray]], threshold: float = 27.0) -> list[float]:
-    """Times at which the picture differs from the one before by more than `threshold` (mean over hue, saturation, value); [0.0] without any."""
-    out, last = [], None
-    for ts, bgr in frames:
-        now = hsv(bgr)
-        if last is None or (now.shape == last.shape and np.abs(now - last).mean() > threshold):
-            out.append(ts)
-        last = now
-    return out or [0.0]

@@ -296,3 +296,14 @@ def pointer_references(spark, sf_dir):
 def neighbour_links(spark, sf_dir):
     """Each frame with the one before and after it."""
     return ordered.placed(views.frames(spark, sf_dir).drop("px"), ("seq",)).select("video_id", "seq", F.col("before.seq").alias("before"), F.col("after.seq").alias("after"))
+
+
+@query(
+    "scene_scores",
+    f"""WITH {FR}, {views.GR}, p AS (SELECT *, lag(g) OVER (PARTITION BY video_id ORDER BY ts, seq) AS q FROM gr)
+SELECT video_id, seq, ts, CASE WHEN q IS NOT NULL THEN list_sum(list_transform(list_zip(g, q), lambda z: abs(z[1] - z[2]))) / 192.0::DOUBLE END AS score FROM p""",
+)
+def scene_scores(spark, sf_dir):
+    """How much the picture changes from frame to frame, on gray pictures (no hue, no saturation)."""
+    fr = views.frames(spark, sf_dir).withColumn("bgr", F.expr("unhex(array_join(transform(px, x -> repeat(lpad(hex(cast(least(255, greatest(0, floor(128 + x * 400))) as int)), 2, '0'), 3)), ''))"))
+    return pixels.scene_scores(fr.withColumns({"width": F.lit(8), "height": F.lit(8)}))

@@ -147,10 +147,7 @@ def test_images_for_claims(spark):
     assert package.link_images(wants, kept).first().images == [5]
 
 
-def test_scenes_and_files(tmp_path):
-    red, blue = np.zeros((4, 4, 3), np.uint8), np.zeros((4, 4, 3), np.uint8)
-    red[..., 2], blue[..., 0] = 200, 200
-    assert package.scene_starts([(0.0, red), (1.0, red), (2.0, blue)]) == [0.0, 2.0] and package.scene_starts([]) == [0.0]
+def test_files(tmp_path):
     with workspace.Workspace(str(tmp_path / "job")) as w:
         open(w.path("frames") + "/a.jpg", "wb").write(b"xy")
         assert w.size() == 2 and not w.cleanup()

@@ -226,9 +226,6 @@ def test_blocks_join_up(spark):
     got = ordered.placed(df, ("seq",), width=10.0).orderBy("i").collect()
     assert [r.seq for r in got] == [r.i for r in got] == list(range(7)) and [r.before and r.before.seq for r in got] == [None, 0, 1, 2, 3, 4, 5] and [r.after and r.after.seq for r in got] == [1, 2, 3, 4, 5, 6, None]
     assert [r.s for r in ordered.running(df, "seq", "s", width=10.0).orderBy("seq").collect()] == [0, 1, 3, 6, 10, 15, 21]
-    ordered.require_order(df).collect()
-    with pytest.raises(Exception, match="follows"):
-        ordered.require_order(df.withColumn("seq", -df.seq)).collect()
 
 
 def test_segment_words(spark):
@@ -242,3 +239,22 @@ def test_signature_bits():
     g = np.tile(np.arange(90, dtype=np.uint8) * 2, (80, 1))
     bits, mean = pixels.signature(g)
     assert bits == -1 and mean == pytest.approx(89.0)
+
+
+def test_scenes(spark):
+    def shot(colour, w=6, h=4):
+        return np.broadcast_to(np.array(colour, np.uint8), (h, w, 3)).copy()
+
+    red, blue, grey = (0, 0, 200), (200, 0, 0), (90, 90, 90)
+    shots = [shot(red)] * 3 + [shot(blue)] * 2 + [shot(red)] * 20 + [shot(grey)] * 2 + [shot(grey, 8)] + [None] + [shot(grey)]
+    rows = [("v", i, float(i), None if s is None else bytearray(s.tobytes()), s.shape[1] if s is not None else None, 4) for i, s in enumerate(shots)] + [("still", i, float(i), bytearray(shot(red).tobytes()), 6, 4) for i in range(5)]
+    df = spark.createDataFrame(rows, "video_id string, seq long, ts double, bgr binary, width int, height int")
+    scores = pixels.scene_scores(df)
+    got = {(r.video_id, r.seq): r.score for r in scores.collect()}
+    assert got["v", 0] is None and got["v", 1] == 0.0 and got["v", 27] is None and got["v", 28] is None and got["v", 29] is None
+    assert got["v", 3] == np.abs(pixels.hsv(shot(blue)) - pixels.hsv(shot(red))).mean() > 27
+    assert {(r.video_id, r.seq): r.score for r in pixels.scene_scores(df, width=2.5).collect()} == got
+    videos = spark.createDataFrame([("v",), ("still",), ("none",)], "video_id string")
+    starts = lambda **kw: sorted((r.video_id, r.ts) for r in pixels.scene_starts(videos, scores, **kw).collect())
+    assert starts(least=1) == [("none", 0.0), ("still", 0.0), ("v", 0.0), ("v", 3.0), ("v", 5.0), ("v", 25.0)]
+    assert starts(least=4) == [("none", 0.0), ("still", 0.0), ("v", 0.0), ("v", 5.0), ("v", 25.0)] and starts(threshold=1e9) == [("none", 0.0), ("still", 0.0), ("v", 0.0)]

@@ -257,3 +257,48 @@ def test_key_frames_of_a_stream_equal_the_batch(spark, tmp_path, cuts):
         out = sessions.drain(sessions.keyframe_stream(stream, 1.5, "20 seconds"), "append", "k", str(tmp_path / "job"))
     want = folds.keyframe_dedupe(df.selectExpr("video_id", "seq", "cast(unix_micros(at) as double) as ts", "px"), 1.5, 1e30).where("video_id <> 'end'")
     assert sorted((r.video_id, r.seq) for r in out.collect() if r.video_id != "end") == sorted((r.video_id, r.seq) for r in want.collect())
+
+
+def test_sources_on_this_machine(spark, tmp_path):
+    class Fetch:
+        told = []
+
+        def describe(self, url):
+            return {"id": "abc", "title": "A film"}
+
+        def fetch(self, url, path):
+            self.told.append(url)
+            with open(path, "wb") as f:
+                f.write(b"film")
+
+    for _ in range(2):  # the second time the copy is used
+        got = media.resolve("https://h/x", str(tmp_path / "media"), Fetch())
+    assert got["source_type"] == "url" and got["title"] == "A film" and got["path"].endswith("abc.mp4") and Fetch.told == ["https://h/x"]
+    local = tmp_path / "own.mp4"
+    local.write_bytes(b"x")
+    assert media.resolve(str(local), "unused")["source_type"] == "local"
+    with pytest.raises(ValueError):
+        media.resolve("https://h/x", str(tmp_path))
+    row = bytes([10, 20, 30, 200, 100, 50, 0, 0])  # two BGR pixels and padding to four bytes
+    bmp = b"BM" + (54 + 8).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + (2).to_bytes(4, "little") + (1).to_bytes(4, "little") + (1).to_bytes(2, "little") + (24).to_bytes(2, "little") + bytes(24) + row
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img" / "a.bmp").write_bytes(bmp)
+    (tmp_path / "img" / "b.bmp").write_bytes(b"no picture")
+    good, bad = media.image_frames(spark, str(tmp_path / "img"))
+    (r,) = good.collect()
+    assert (r.width, r.height, list(r.gray)) == (2, 1, [round(10 * 0.114 + 20 * 0.587 + 30 * 0.299), round(200 * 0.114 + 100 * 0.587 + 50 * 0.299)])
+    assert [b.error for b in bad.collect()] in ([], ["image could not be decoded"])  # what the reader cannot decode it may leave out
+
+
+def test_selection_grid_and_effective_values(spark):
+    frames = spark.createDataFrame([("v", i, float(i), [float(i % 2 * 50)] * 4) for i in range(20)], "video_id string, seq long, ts double, px array<double>")
+    got = [r.seq for r in api.select_frames(frames, api.Config(max_frames=5, keyframe_diff_threshold=10.0)).orderBy("seq").collect()]
+    assert len(got) == 5 and got[0] == 0 and got[-1] == 19
+    videos = spark.createDataFrame([("v", 10.0)], "video_id string, duration double")
+    last = spark.createDataFrame([("v", 9.5)], "video_id string, ts double")
+    assert [r.ts for r in api.change_grid(videos, last, api.Config(visual_change_interval_sec=4.0)).orderBy("i").collect()] == [0.0, 4.0, 8.0, 9.5]
+    for bad in (api.Config(visual_change_interval_sec=0.0), api.Config(visual_change_max_samples=1)):
+        with pytest.raises(ValueError):
+            api.change_grid(videos, None, bad)
+    told = api.Config(max_frames=3).effective(vision=Eyes(), transcriber=None)
+    assert told["max_frames"] == 3 and told["providers"] == {"vision": "Eyes", "transcriber": None} and told["tolerance_sec"] == 1.0

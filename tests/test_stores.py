@@ -112,6 +112,23 @@ def test_worker(tmp_path, spark):
     assert run() is None and (tmp_path / "inbox" / "a.json.duplicate").exists() and len(seen) == 1
 
 
+def test_worker_records_what_really_ran(tmp_path, spark):
+    from evloom.api import Config
+
+    def process(asked, folder):
+        return made(asked, folder)
+
+    process.effective = lambda config: Config(vision_enabled=config["vision"]).effective(vision=tmp_path)
+    job(tmp_path, "a")
+    got = worker.run_once(str(tmp_path), process, {"vision": bool}, (), spark)
+    assert got["config"]["vision_enabled"] is False and got["config"]["max_frames"] == 20 and got["config"]["providers"] == {"vision": type(tmp_path).__name__}
+    store = worker.Store(str(tmp_path), spark)
+    for text in ("one", "two"):  # replaced in one step, nothing is left beside it
+        store.write("done/note", text)
+        assert store.read("done/note") == text
+    assert sorted(p for p in os.listdir(tmp_path / "done") if "note" in p) == ["note"]
+
+
 @pytest.mark.parametrize(("text", "session", "asked", "status"), [("{}", None, False, "succeeded"), ("{", None, False, "failed"), ("{}", None, True, "failed"), ("{}", "{", True, "failed"), ("{}", json.dumps(DOC), True, "succeeded")])
 def test_worker_gate(tmp_path, spark, text, session, asked, status):
     job(tmp_path, "g", session=asked)
