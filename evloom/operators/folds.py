@@ -136,9 +136,9 @@ def _fold(df: DataFrame, key: str, order: tuple[str, ...], schema: str, step, wi
     entries, known = blocks.select("_g", "_b", F.lit(start).alias("s")), None
     names = ["_g", "_b", "_s", *df.columns]
     for _ in range(most_rounds):
-        got = written(_entered(body, entries, order).mapInArrow(_left(names, step), _STATES), "fold-states", few=True)
+        got = written(_entered(body, entries, order).mapInArrow(_left(names, step), _STATES), "fold-states")
         known = got if known is None else known.unionByName(got)
-        walked = written(known.repartition("_g").sortWithinPartitions("_g", "_b").mapInArrow(_stitched, "_g string, _b long, s binary, known boolean"), "fold-walk", few=True)
+        walked = written(known.repartition("_g").sortWithinPartitions("_g", "_b").mapInArrow(_stitched, "_g string, _b long, s binary, known boolean"), "fold-walk")
         front = walked.where("not known").select("_g", F.col("_b").alias("_u"), F.col("s").alias("_f"))
         if not front.limit(1).count():
             break

@@ -282,3 +282,11 @@ def keyframe_stream(spark, sf_dir):
     from evloom.streaming import sessions
 
     return sessions.event_keyframes(spark, sf_dir)
+
+
+@query("overlap_stream", f"WITH {EV} SELECT p.video_id, p.seq AS probe, e.seq FROM ev p JOIN ev e ON p.video_id = e.video_id AND p.kind = 'frame' AND e.kind = 'transcript' AND e.ts <= p.ts + {TOL} AND e.end_ts >= p.ts - {TOL}")
+def overlap_stream(spark, sf_dir):
+    """2.14: spans that overlap the windows of a stream, both sides with watermarks."""
+    from evloom.streaming import sessions
+
+    return sessions.event_overlaps(spark, sf_dir, TOL)

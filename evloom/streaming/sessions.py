@@ -54,6 +54,25 @@ def correlate_stream(points: DataFrame, windows: DataFrame, tol_sec: float, late
     return w.join(p, (F.col("video_id") == F.col("_v")) & (F.col("ts") >= F.col("t") - tol) & (F.col("ts") <= F.col("t") + tol)).drop("_v")
 
 
+def overlap_stream(spans: DataFrame, windows: DataFrame, tol_sec: float, longest_sec: float, late: str = "10 minutes") -> DataFrame:
+    """Stream-stream join of windows (video_id, t) with the spans (video_id, ts, end_ts) that overlap [t - tol, t + tol], ends
+    included. A span lasts `longest_sec` at most, longer ones are not met in full: with the watermarks that bounds what
+    either side must keep, and Spark drops from state what can meet nothing any more."""
+    tol, longest = F.expr(f"interval {tol_sec!r} seconds"), F.expr(f"interval {longest_sec!r} seconds")
+    s = spans.withWatermark("ts", late).withColumnRenamed("video_id", "_v")
+    w = windows.withWatermark("t", late)
+    meet = (F.col("ts") <= F.col("t") + tol) & (F.col("ts") >= F.col("t") - tol - longest) & (F.col("end_ts") >= F.col("t") - tol)
+    return w.join(s, (F.col("video_id") == F.col("_v")) & meet).drop("_v")
+
+
+def event_overlaps(spark, sf_dir: str, tol_sec: float, longest_sec: float = 86400.0) -> DataFrame:
+    """Views of a user's event stream as windows, errors as spans of as many minutes as their value says."""
+    e = event_stream(spark, sf_dir).withColumn("video_id", F.col("user_id").cast("string"))
+    w = e.where("event_type = 'view'").select("video_id", F.col("event_id").alias("probe"), F.col("ts").alias("t"))
+    s = e.where("event_type = 'error'").select("video_id", F.col("event_id").alias("seq"), "ts", F.expr("ts + make_dt_interval(0, 0, 0, value * 60)").alias("end_ts"))
+    return drain(overlap_stream(s, w, tol_sec, longest_sec).select("video_id", "probe", "seq"), "append", "overlaps")
+
+
 class KeyframeFold(StatefulProcessor):
     """folds.keyframe_dedupe as a stream: rows wait, in state, until the watermark has passed them, then they are folded in the
     order of their times, however they were cut into micro-batches. State: the rows that wait, the last kept thumbnail."""

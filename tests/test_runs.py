@@ -302,3 +302,26 @@ def test_selection_grid_and_effective_values(spark):
             api.change_grid(videos, None, bad)
     told = api.Config(max_frames=3).effective(vision=Eyes(), transcriber=None)
     assert told["max_frames"] == 3 and told["providers"] == {"vision": "Eyes", "transcriber": None} and told["tolerance_sec"] == 1.0
+
+
+def test_overlaps_of_streams_equal_the_batch(spark, tmp_path):
+    from evloom.operators import temporal
+    from evloom.streaming import sessions
+
+    rng = np.random.default_rng(4)
+    rows = [(f"v{rng.integers(0, 3)}", i, 1_700_000_000 + 3 * i + int(rng.integers(0, 20)), int(rng.integers(0, 40))) for i in range(240)]
+    df = spark.createDataFrame(rows, "video_id string, seq long, a long, n long")
+    kind = "video_id string, seq long, ts timestamp, end_ts timestamp"
+    out = None
+    for c in range(3):  # each third is a run of its own that goes on from the checkpoint
+        some = df.where(f"seq >= {80 * c} and seq < {80 * c + 80}").selectExpr("video_id", "seq", "timestamp_seconds(a) as ts", "timestamp_seconds(a + n) as end_ts").coalesce(1)
+        some.where("seq % 2 = 0").write.mode("append").parquet(f"{tmp_path}/w")
+        some.where("seq % 2 = 1").write.mode("append").parquet(f"{tmp_path}/s")
+        w = spark.readStream.schema(kind).parquet(f"{tmp_path}/w").selectExpr("video_id", "seq as probe", "ts as t")
+        s = spark.readStream.schema(kind).parquet(f"{tmp_path}/s")
+        out = sessions.drain(sessions.overlap_stream(s, w, 5.0, 40.0, "30 minutes").select("video_id", "probe", "seq"), "append", "o", str(tmp_path / "job"))
+    spans = df.where("seq % 2 = 1").selectExpr("video_id", "seq", "cast(a as double) as start_sec", "cast(a + n as double) as end_sec")
+    windows = df.where("seq % 2 = 0").selectExpr("video_id", "seq as probe", "a - 5D as lo", "a + 5D as hi")
+    want = temporal.interval_join(windows, spans, 10.0).select("video_id", "probe", "seq")
+    got = sorted(map(tuple, out.collect()))
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 100
