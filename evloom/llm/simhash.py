@@ -455,7 +455,9 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, split: i
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group (smallest doc_id, nulls last, then smallest text), with all its columns."""
+    """Pipeline stage: one document of each group (smallest doc_id, nulls last, then smallest text), with all its columns. Groups
+    are near_groups(): op8's count filter joins fingerprints within four bits, and a prefix join of shingle sets beside it
+    finds every pair with a similarity of 0.8 or more, which four bits mostly miss."""
     cols = docs.columns
     df = keyed(docs.select("doc_id", "text", F.struct(*cols).alias("_doc")), "doc_id", "text", ("_doc",))
     copies = alone(lambda: near_groups(df).where("_k <> group").select("_k").coalesce(4 * spark.sparkContext.defaultParallelism), "copies")  # fewer than the rest: the texts need not move
