@@ -23,6 +23,7 @@ BRIEF_CHARS, MIN_CHUNK_CHARS, CHUNK_SEC = 24000, 120, 20.0
 MAX_CLAIMS, MAX_EXAMINED, MAX_REASONS, MAX_LIMITATIONS = 40, 160, 10, 5
 MAX_CLAIM_TEXT, MAX_KIND, MAX_PROVIDER, MAX_SUMMARY, MAX_LIMITATION, MAX_REF = 600, 40, 80, 4000, 300, 400
 CONFLICT_WINDOW, DURATION_SLACK, DEFAULT_CONFIDENCE = 2.0, 1.0, 0.5
+PART_CHARS, PART_ROWS, DEALT_KEYS = 1 << 22, 1 << 16, 4096
 CONDENSED = " ...[condensed]"
 MEASUREMENTS, CONTENT, NATURES = ("visual_change", "cursor_track"), ("transcript", "vision"), ("observed", "inferred", "unavailable")
 MEDIA = "response contains embedded media/base64 data"
@@ -52,13 +53,29 @@ def speech_chunks(segments: DataFrame, chunk_sec: float = CHUNK_SEC) -> DataFram
     return told.select("video_id", "chunk", "ts", F.array_join(F.transform("s", lambda x: x.text), " ").alias("text"))
 
 
+def _dealt(groups: DataFrame) -> DataFrame:
+    """(_h, _n): into how many parts the groups (_key, _total, _rows) of a hash of the key are dealt. Only hashes with a group
+    beyond one part: at most `DEALT_KEYS` rows, however many groups there are."""
+    n = F.greatest(F.coalesce(F.max("_total"), F.lit(0)) / PART_CHARS, F.max("_rows") / PART_ROWS)
+    return groups.groupBy(_hash("_key").alias("_h")).agg(F.ceil(n).cast("int").alias("_n")).where("_n > 1")
+
+
+def _hash(key: str) -> Column:
+    return F.coalesce(F.pmod(F.xxhash64(key), F.lit(DEALT_KEYS)), F.lit(0))  # never null, which Spark can't tell: no filter for it splits a scan in two
+
+
 def fit_budget(chunks: DataFrame, most: int = BRIEF_CHARS, per: str = "video_id", text: str = "text") -> DataFrame:
     """chunks with `fitted` and `condensed`: over budget every chunk is cut to an equal share (120 characters at least) and
-    marked. Totals come from one aggregation, so the texts of a group are never in one task."""
-    total = chunks.groupBy(per).agg(F.sum(F.length(text)).alias("_total"), F.greatest(F.lit(MIN_CHUNK_CHARS), F.expr(f"{most} div count(*)")).alias("_share"))
+    marked. Totals come from one aggregation and meet the chunks by (group, part): a large group is dealt into parts by a hash of
+    its rows, so its texts are never in one task. Chunks of no group are a group of their own."""
+    groups = chunks.groupBy(F.col(per).alias("_key")).agg(F.sum(F.length(text)).alias("_total"), F.count("*").alias("_rows"))
+    dealt = F.broadcast(_dealt(groups))
+    total = groups.withColumn("_h", _hash("_key")).join(dealt, "_h", "left").select("_key", F.explode(F.expr("sequence(0, coalesce(_n, 1) - 1)")).alias("_of"), "_total", F.expr(f"greatest({MIN_CHUNK_CHARS}, {most} div _rows)").alias("_share"))
+    parts = chunks.withColumn("_h", _hash(per)).join(dealt, "_h", "left").withColumn("_part", F.expr("cast(pmod({}, coalesce(_n, 1)) as int)".format(f"xxhash64({', '.join(f'`{c}`' for c in chunks.columns)})")))
+    df = parts.join(total, F.col(per).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")))
     cut = F.concat(F.regexp_replace(F.expr(f"left({text}, cast(_share as int))"), r"(?U)[\s\x1c-\x1f]+$", ""), F.lit(CONDENSED))
-    df = chunks.join(total, per).withColumn("condensed", F.col("_total") > most)
-    return df.withColumn("fitted", F.when(~F.col("condensed") | (F.length(text) <= F.col("_share")), F.col(text)).otherwise(cut)).drop("_total", "_share")
+    df = df.withColumn("condensed", F.col("_total") > most).withColumn("fitted", F.when(~F.col("condensed") | (F.length(text) <= F.col("_share")), F.col(text)).otherwise(cut))
+    return df.select(*chunks.columns, "condensed", "fitted")
 
 
 def null_measurement(kind: str = "kind", ref: str = "ref") -> Column:

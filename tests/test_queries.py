@@ -69,3 +69,30 @@ def test_contract_rejects_by_the_rules_asked_for(spark, tmp_path):
     want = want.fetchall()
     assert {r[columns.index("rule")] for r in want} == {"segment_order", "pointer_position", "evidence_span"}
     assert rows(df.columns, df.collect()) == rows(columns, want)
+
+
+def test_budget_of_a_large_group_is_not_one_task(spark, monkeypatch):
+    """One language has most of the text; chunks without a language are a group as in SQL."""
+    from pyspark.sql import functions as F
+
+    from evloom.operators import synthesis
+
+    monkeypatch.setattr(synthesis, "PART_CHARS", 20000, raising=False)
+    said = [(i, f"{i} " + "word " * 150, "en" if i % 20 else "de" if i % 40 else None) for i in range(2000)] + [(9000, None, "en"), (9001, "alone", "fr"), (9002, None, None)]
+    df = spark.createDataFrame(said, "doc_id long, text string, lang string")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    for k, v in zip(keep, ("false", "-1", "16"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        out = synthesis.fit_budget(df, per="lang")
+        got = out.select("lang", "doc_id", "fitted", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    most = max(sum(r.p == p for r in got) for p in range(16))
+    assert most < len(said) / 4
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?)", said)
+    want = c.execute(catalog.oracle_sql()["brief_budget"]).fetchall()
+    assert rows(["lang", "doc_id", "fitted"], [(r.lang, r.doc_id, r.fitted) for r in got]) == rows(["lang", "doc_id", "fitted"], want)
