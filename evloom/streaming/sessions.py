@@ -15,6 +15,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from evloom.session import ship, shared_dir
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+GROUPS = 8192  # of videos in the state of a fold: a group's rows are in memory at once
+_PACKED = ("code", "us", "seq", "size", "px")
 
 
 def event_stream(spark, sf_dir: str) -> DataFrame:
@@ -73,45 +75,117 @@ def event_overlaps(spark, sf_dir: str, tol_sec: float, longest_sec: float = 8640
     return drain(overlap_stream(s, w, tol_sec, longest_sec).select("video_id", "probe", "seq"), "append", "overlaps")
 
 
+def _frames(some: pd.DataFrame) -> dict:
+    """Columns of frames: the videos' names and, a row, its video's place there, time, id, number of pixels; all pixels in one row."""
+    code, names = pd.factorize(some["video_id"], use_na_sentinel=False)
+    px = [np.asarray(x, dtype=np.float64) for x in some["px"]]
+    whole = lambda x: np.asarray(x, dtype=np.int64)
+    return {"names": [x if isinstance(x, str) else None for x in names], "code": whole(code), "us": whole(some["us"]), "seq": whole(some["seq"]), "size": whole([len(x) for x in px]), "px": np.concatenate(px)}
+
+
+def _packed(f: dict) -> tuple:
+    return f["names"], *(f[c].tobytes() for c in _PACKED)
+
+
+def _unpacked(held: list) -> dict:
+    place: dict = {}
+    code = [np.array([place.setdefault(x, len(place)) for x in r[0]], dtype=np.int64)[np.frombuffer(r[1], np.int64)] for r in held]
+    rest = {c: np.concatenate([np.frombuffer(r[i], np.float64 if c == "px" else np.int64) for r in held]) for i, c in enumerate(_PACKED[1:], 2)}
+    return {"names": list(place), "code": np.concatenate(code), **rest}
+
+
+def _where(f: dict, rows: np.ndarray) -> dict:
+    names, code = np.unique(f["code"][rows], return_inverse=True)
+    return {"names": [f["names"][i] for i in names], "code": code.astype(np.int64), "px": f["px"][np.repeat(rows, f["size"])], **{c: f[c][rows] for c in ("us", "seq", "size")}}
+
+
+def _videos(f: dict) -> Iterator[tuple]:
+    """(name, its rows in the order of times, then ids, then pixels; their pixels as a matrix) of each video."""
+    start = np.cumsum(f["size"]) - f["size"]
+    order = np.lexsort((f["seq"], f["us"], f["code"]))
+    for rows in np.split(order, np.flatnonzero(np.diff(f["code"][order])) + 1):
+        width = f["size"][rows[0]]
+        if (f["size"][rows] != width).any():
+            raise ValueError(f"frames of video {f['names'][f['code'][rows[0]]]} differ in size")
+        px = f["px"][start[rows][:, None] + np.arange(width)]
+        if ((np.diff(f["us"][rows]) == 0) & (np.diff(f["seq"][rows]) == 0)).any():
+            again = np.lexsort((*px.T[::-1], f["seq"][rows], f["us"][rows]))
+            rows, px = rows[again], px[again]
+        yield f["names"][f["code"][rows[0]]], rows, px
+
+
+def _kept(px: np.ndarray, last: np.ndarray | None, least: float) -> tuple[list[int], np.ndarray]:
+    """(places of the frames that differ from the last kept one, that one at the end): looks ahead in blocks, from each kept frame to the next."""
+    kept, at, ahead = [], 0, 8
+    if last is None:
+        kept, last, at = [0], px[0], 1
+    if px.shape[1] == 1:
+        v = float(last[0])
+        for i, x in enumerate(px[at:, 0].tolist(), at):
+            if abs(x - v) > least:
+                v = x
+                kept.append(i)
+        return kept, np.array([v])
+    while at < len(px):
+        far = np.abs(px[at : at + ahead] - last).sum(axis=1) / px.shape[1] > least
+        i = int(far.argmax())
+        if far[i]:
+            at, ahead, last = at + i + 1, 8, px[at + i]
+            kept.append(at - 1)
+        else:
+            at, ahead = at + len(far), min(2 * ahead, 1024)
+    return kept, last
+
+
 class KeyframeFold(StatefulProcessor):
     """folds.keyframe_dedupe as a stream: rows wait, in state, until the watermark has passed them, then they are folded in the
-    order of their times, however they were cut into micro-batches. State: the rows that wait, the last kept thumbnail."""
+    order of their times, however they were cut into micro-batches. A group holds the videos of one hash, for a group and a call to
+    the state store cost milliseconds and a frame microseconds. State: the rows that wait, packed by batches of rows as they
+    came; the last kept thumbnail of each video."""
 
     def __init__(self, least_mad: float):
         self.least = least_mad
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, seq long, px array<double>")
-        self.last = handle.getValueState("last", "px array<double>")
+        self.waiting = handle.getListState("waiting", "names array<string>, code binary, us binary, seq binary, size binary, px binary")
+        self.last = handle.getValueState("last", "names array<string>, size binary, px binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(us), int(seq), [float(x) for x in px]) for some in rows for us, seq, px in zip(some["us"], some["seq"], some["px"], strict=True)]
-        self.waiting.appendList(new)
-        self.handle.registerTimer(min(new)[0] // 1000 + 1)
+        new = [_frames(some) for some in rows if len(some)]
+        self.waiting.appendList([_packed(f) for f in new])
+        self.handle.registerTimer(min(int(f["us"].min()) for f in new) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(((int(r[0]), int(r[1]), list(r[2])) for r in self.waiting.get()) if self.waiting.exists() else [])
-        due, rest = [r for r in held if r[0] < until], [r for r in held if r[0] >= until]
-        if rest:
-            self.handle.registerTimer(rest[0][0] // 1000 + 1)
-        if not due:  # another timer of this batch has folded them
+        held = list(self.waiting.get())
+        if not held:  # another timer of this batch has folded them
             return iter(())
-        last = np.array(self.last.get()[0]) if self.last.exists() else None
-        kept = []
-        for us, seq, px in due:
-            px = np.array(px)
-            if last is None or np.abs(px - last).sum() / len(px) > self.least:
-                last = px
-                kept.append((key[0], seq, us))
-        self.last.update((last.tolist(),))
-        if rest:
-            self.waiting.put(rest)
-        else:
+        f = _unpacked(held)
+        due = f["us"] < until
+        if not due.all():
+            self.handle.registerTimer(int(f["us"][~due].min()) // 1000 + 1)
+        if not due.any():
+            return iter(())
+        if due.all():
             self.waiting.clear()
-        return iter([pd.DataFrame(kept, columns=["video_id", "seq", "us"])] if kept else [])
+        else:
+            self.waiting.put([_packed(_where(f, ~due))])
+            f = _where(f, due)
+        last, kept = self._last(), []
+        for name, rows, px in _videos(f):
+            at, last[name] = _kept(px, last.get(name), self.least)
+            kept.append(rows[at])
+        self.last.update((list(last), np.array([len(x) for x in last.values()], dtype=np.int64).tobytes(), np.concatenate(list(last.values())).tobytes()))
+        kept = np.concatenate(kept)
+        return iter([pd.DataFrame({"video_id": [f["names"][i] for i in f["code"][kept]], "seq": f["seq"][kept], "us": f["us"][kept]})] if len(kept) else [])
+
+    def _last(self) -> dict:
+        was = self.last.get()
+        if was is None:
+            return {}
+        return dict(zip(was[0], np.split(np.frombuffer(was[2], np.float64), np.cumsum(np.frombuffer(was[1], np.int64))[:-1]), strict=True))
 
     def close(self) -> None:
         pass
@@ -124,7 +198,8 @@ def keyframe_stream(frames: DataFrame, least_mad: float, late: str = "1 hour") -
     ship(frames.sparkSession)
     frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = frames.select("video_id", "seq", F.unix_micros("at").alias("us"), F.col("px").cast("array<double>").alias("px"), "at").withWatermark("at", late)
-    return rows.groupBy("video_id").transformWithStateInPandas(KeyframeFold(least_mad), "video_id string, seq long, us long", "Append", "EventTime")
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64("video_id"), F.lit(GROUPS)))
+    return rows.groupBy("_group").transformWithStateInPandas(KeyframeFold(least_mad), "video_id string, seq long, us long", "Append", "EventTime")
 
 
 def event_keyframes(spark, sf_dir: str, least_mad: float = 60.0) -> DataFrame:

@@ -325,3 +325,80 @@ def test_overlaps_of_streams_equal_the_batch(spark, tmp_path):
     want = temporal.interval_join(windows, spans, 10.0).select("video_id", "probe", "seq")
     got = sorted(map(tuple, out.collect()))
     assert got == sorted(map(tuple, want.collect())) and len(got) > 100
+
+
+class _Handle:
+    """The state of one group in plain Python; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.state, self.timers = 0, {}, set()
+
+    def getListState(self, name, schema):
+        return _Cell(self, name)
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class _Cell:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def _call(self, new=None, keep=False):
+        self.handle.calls += 1
+        if not keep:
+            self.handle.state[self.name] = new
+
+    def appendList(self, new):
+        self._call([*(self.handle.state.get(self.name) or []), *new])
+
+    def put(self, new):
+        self._call(new)
+
+    update = put
+
+    def clear(self):
+        self._call()
+
+    def get(self):
+        self._call(keep=True)
+        found = self.handle.state.get(self.name)
+        return iter(found or []) if self.name == "waiting" else found
+
+    def exists(self):
+        self._call(keep=True)
+        return bool(self.handle.state.get(self.name))
+
+
+def test_key_frames_of_many_videos_take_few_calls_to_the_state():
+    """One group holds many videos of several sizes: results as by video, calls by micro-batch."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from evloom.streaming import sessions
+
+    rng = np.random.default_rng(5)
+    rows = [(None if v == 7 else f"v{v}", i, int(us), rng.integers(0, 5, 1 + v % 3 * 20).astype(float)) for i, (v, us) in enumerate(zip(rng.integers(0, 60, 3000), rng.integers(0, 500, 3000) * 1000, strict=True))]
+    fold, handle, got = sessions.KeyframeFold(1.6), _Handle(), []
+    fold.init(handle)
+    for cut, mark in ((rows[:1000], 0), (rows[1000:], 0), ([], 250), ([], 600)):
+        if cut:
+            df = pd.DataFrame(cut, columns=["video_id", "seq", "us", "px"])
+            list(fold.handleInputRows((1,), iter([df.iloc[:600], df.iloc[600:]]), None))
+        for at in sorted(t for t in handle.timers if t <= mark):
+            handle.timers.remove(at)
+            got += [r for out in fold.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda mark=mark: mark), None) for r in out.itertuples(index=False, name=None)]
+    want = []
+    for v in {r[0] for r in rows}:
+        last = None
+        for _, seq, us, px in sorted((r for r in rows if r[0] == v), key=lambda r: (r[2], r[1])):
+            if last is None or np.abs(px - last).sum() / len(px) > 1.6:
+                last = px
+                want.append((v, seq, us))
+    key = lambda r: r[1]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert handle.calls < 40
